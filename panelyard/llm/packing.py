@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +29,35 @@ CAPACITY = 1024
 GROUP_PIECES = 20_000
 MAX_ROUNDS = 12
 #: Distinct chunks whose ids a worker keeps; beyond it the store is emptied and filled again.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 800_000
+KEPT_CHARS = 64
+#: A space that the vocabulary's pattern may join with white space after it.
+LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
 _encoders: dict[str, Encoder] = {}  # one per Python worker
 
 
+class _Store(dict):
+    """Ids of chunks by the chunk; a chunk that is not there is encoded."""
+
+    def __init__(self, encode, before: str):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = array("I", self.encode(self.before + chunk)).tobytes()
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= KEPT_CHUNKS:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pattern never joins characters across a space that stands before a character that is not white
-    space, so a text can be cut there, and chunks that come again take their ids from a store.
+    A byte-level BPE pattern never joins characters across a space that stands before a character that is not white
+    space, so a text can be cut there, and chunks that come again take their ids from a store. New chunks are encoded by
+    tiktoken with the file's own vocabulary, where its merges are in the order of their ids; else by tokenizers.
     """
 
     def __init__(self, path: str):
@@ -45,35 +66,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
-        self.fast = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        made = json.loads(self.tokenizer.to_str())
+        self.cut = made["normalizer"] is None and made["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        encode = self._ranked(made) if self.cut else None
+        encode = encode or (lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
+        self.plain, self.first, self.later = encode, _Store(encode, ""), _Store(encode, " ")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ranked(made: dict):
+        """tiktoken's encoder of the same vocabulary, or None if the merges don't follow the ids."""
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        vocab, merges = made["model"]["vocab"], made["model"]["merges"]
+        ids = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in merges]
+        if ids != sorted(ids):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = {t["content"] for t in made["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @staticmethod
     def chunks(text: str) -> list[str]:
+        """The text cut at spaces before characters that are not white space; the spaces are left out."""
         parts = text.split(" ")
+        if not LOOSE_SPACE.search(text):
+            return parts
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:
                 out[-1] += " " + p
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.fast:
-            return self._encode(texts)
-        kept = self.kept
-        if len(kept) > KEPT_CHUNKS:
-            kept.clear()
-        cut = [self.chunks(t) for t in texts]
-        new = list({c for cs in cut for c in cs if c not in kept})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            kept.update(zip(part, self._encode(part)))
-        return [b"".join(map(kept.__getitem__, cs)) for cs in cut]
+    def encode(self, text: str) -> bytes:
+        if not self.cut:
+            return array("I", self.plain(text)).tobytes()
+        cs = self.chunks(text)
+        return self.first[cs[0]] + b"".join(map(self.later.__getitem__, cs[1:]))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
@@ -94,8 +127,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 b = whole.slice(at, 256)
                 rows, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
                 out: list[list] = [[] for _ in range(7)]
-                for row, doc, enc in zip(rows, ids, encoder.encode([t or "" for t in b.column(2).to_pylist()])):
-                    enc += end
+                for row, doc, text in zip(rows, ids, b.column(2)):
+                    enc = encoder.encode(text.as_py() or "") + end
                     n = len(enc) // 4
                     first = n % capacity or min(n, capacity)
                     a, piece = 0, 0
