@@ -1 +1 @@
-
+"""Functions of the panel engine."""

@@ -1 +1 @@
-
+"""Operators of the panel engine."""

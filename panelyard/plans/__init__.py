@@ -1 +1 @@
-
+"""Plans of the panel engine."""

@@ -1 +1 @@
-
+"""Sources of the panel engine."""

@@ -1 +1 @@
-
+"""Streaming of the panel engine."""
