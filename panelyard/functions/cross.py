@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-WD = W.partitionBy("date")
+def wd():
+    return W.partitionBy("date")
 
 
 def average_rank(c: str, keys: tuple[str, ...] = ("date",)) -> Column:
@@ -17,43 +18,43 @@ def average_rank(c: str, keys: tuple[str, ...] = ("date",)) -> Column:
 
 def centred_rank(panel: DataFrame, c: str, out: str = "rank") -> DataFrame:
     """Average rank mapped to [-1, 1]; one name alone gets 0."""
-    n = F.count(c).over(WD)
+    n = F.count(c).over(wd())
     return panel.withColumn("_r", average_rank(c)).withColumn("_n", n).withColumn(out, F.when(F.col("_n") > 1, (2 * (F.col("_r") - 1) / (F.col("_n") - 1)) - 1).when(F.col("_r").isNotNull(), F.lit(0.0))).drop("_r", "_n")
 
 
 def ranked_pct(panel: DataFrame, c: str, out: str = "pct") -> DataFrame:
     """(average rank / count - 1/2) * 2."""
-    return panel.withColumn("_r", average_rank(c)).withColumn(out, (F.col("_r") / F.count(c).over(WD) - 0.5) * 2).drop("_r")
+    return panel.withColumn("_r", average_rank(c)).withColumn(out, (F.col("_r") / F.count(c).over(wd()) - 0.5) * 2).drop("_r")
 
 
 def demeaned(c: str) -> Column:
     """X3"""
-    return F.col(c) - F.avg(c).over(WD)
+    return F.col(c) - F.avg(c).over(wd())
 
 
 def score_weights(panel: DataFrame, c: str, tilt: float = 0.6) -> DataFrame:
     """(1 + tilt * centred rank) / n."""
     p = centred_rank(panel.filter(F.col(c).isNotNull()), c, "_rank")
-    return p.withColumn("weight", (1 + tilt * F.col("_rank")) / F.count("*").over(WD)).drop("_rank")
+    return p.withColumn("weight", (1 + tilt * F.col("_rank")) / F.count("*").over(wd())).drop("_rank")
 
 
 def top_weights(panel: DataFrame, c: str, k: int) -> DataFrame:
     """Equal weights of the k best; names tied at the edge share what is left."""
-    p = panel.filter(F.col(c).isNotNull()).withColumns({"_above": F.rank().over(WD.orderBy(F.desc(c))) - 1, "_ties": F.count("*").over(W.partitionBy("date", c)), "_n": F.least(F.lit(k), F.count("*").over(WD))})
+    p = panel.filter(F.col(c).isNotNull()).withColumns({"_above": F.rank().over(wd().orderBy(F.desc(c))) - 1, "_ties": F.count("*").over(W.partitionBy("date", c)), "_n": F.least(F.lit(k), F.count("*").over(wd()))})
     w = F.when(F.col("_above") + F.col("_ties") <= F.col("_n"), 1 / F.col("_n")).when(F.col("_above") < F.col("_n"), (F.col("_n") - F.col("_above")) / F.col("_n") / F.col("_ties")).otherwise(F.lit(0.0))
     return p.withColumn("weight", w).drop("_above", "_ties", "_n")
 
 
 def target_weights(panel: DataFrame, c: str, k: int, gross: float = 0.995) -> DataFrame:
     """X6 without a cap: the k best by score, ties to the symbol first in order, weighted 1.5 to 0.5 by place."""
-    p = panel.filter(F.col(c).isNotNull()).withColumn("place", F.row_number().over(WD.orderBy(F.desc(c), "symbol"))).filter(F.col("place") <= k)
+    p = panel.filter(F.col(c).isNotNull()).withColumn("place", F.row_number().over(wd().orderBy(F.desc(c), "symbol"))).filter(F.col("place") <= k)
     raw = 1.5 - (F.col("place") - 1) / F.lit(max(k - 1, 1))
-    return p.withColumn("_w", raw).withColumn("weight", gross * F.col("_w") / F.sum("_w").over(WD)).drop("_w")
+    return p.withColumn("_w", raw).withColumn("weight", gross * F.col("_w") / F.sum("_w").over(wd())).drop("_w")
 
 
 def quantile_spread(panel: DataFrame, c: str, label: str, q: float = 0.2) -> DataFrame:
     """Mean label of the best share q less that of the worst, by date."""
-    p = panel.filter(F.col(c).isNotNull() & F.col(label).isNotNull()).withColumn("_p", average_rank(c)).withColumn("_p", F.col("_p") / F.count("*").over(WD))
+    p = panel.filter(F.col(c).isNotNull() & F.col(label).isNotNull()).withColumn("_p", average_rank(c)).withColumn("_p", F.col("_p") / F.count("*").over(wd()))
     return p.groupBy("date").agg((F.avg(F.when(F.col("_p") > 1 - q, F.col(label))) - F.avg(F.when(F.col("_p") <= q, F.col(label)))).alias("spread"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-WS = W.partitionBy("symbol").orderBy("date")
+def ws():
+    return W.partitionBy("symbol").orderBy("date")
 
 
 def col(c: str | Column) -> Column:
@@ -14,7 +15,7 @@ def col(c: str | Column) -> Column:
 
 
 def over(n: int):
-    return WS.rowsBetween(-(n - 1), 0)
+    return ws().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, c: str | Column, n: int) -> Column:
@@ -24,7 +25,7 @@ def full(value: Column, c: str | Column, n: int) -> Column:
 
 def change(c: str | Column, k: int = 1) -> Column:
     """Simple return over k rows."""
-    return col(c) / F.lag(col(c), k).over(WS) - 1
+    return col(c) / F.lag(col(c), k).over(ws()) - 1
 
 
 def mean(c: str | Column, n: int) -> Column:
@@ -47,7 +48,7 @@ def low(c: str | Column, n: int) -> Column:
 
 def gap(bars: DataFrame) -> DataFrame:
     """Opening gap and its 20-row mean."""
-    g = bars.withColumn("gap", F.col("open") / F.lag("close").over(WS) - 1)
+    g = bars.withColumn("gap", F.col("open") / F.lag("close").over(ws()) - 1)
     return g.withColumn("gap_20", mean("gap", 20))
 
 
@@ -90,27 +91,27 @@ def ichimoku(bars: DataFrame, a: int = 9, b: int = 26, c: int = 52) -> DataFrame
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Mean true range; the first row has no previous close and no true range."""
-    prev = F.lag("close").over(WS)
+    prev = F.lag("close").over(ws())
     tr = F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
     t = bars.withColumn("true_range", tr)
     return t.withColumn("atr", mean("true_range", n))
 
 
-def persistence(panel: DataFrame, flag: str, n: int) -> Column:
+def persistence(flag: str, n: int) -> Column:
     """Share of the last n rows where flag holds."""
     return full(F.avg(F.col(flag).cast("double")).over(over(n)), flag, n)
 
 
 def session_legs(bars: DataFrame) -> DataFrame:
     """Overnight, intraday and close-to-close returns, and how far the two legs are from the third."""
-    prev = F.lag("close").over(WS)
+    prev = F.lag("close").over(ws())
     s = bars.withColumns({"overnight": F.col("open") / prev - 1, "intraday": F.col("close") / F.col("open") - 1, "close_close": F.col("close") / prev - 1})
     return s.withColumn("leg_error", (1 + F.col("overnight")) * (1 + F.col("intraday")) - 1 - F.col("close_close"))
 
 
 def forward_label(h: int = 5, price: str = "open") -> Column:
     """Return from the next row's price to the one h rows later."""
-    return F.lead(price, h + 1).over(WS) / F.lead(price, 1).over(WS) - 1
+    return F.lead(price, h + 1).over(ws()) / F.lead(price, 1).over(ws()) - 1
 
 
 def wealth(r: str = "r", keys: tuple[str, ...] = ("symbol",), order: str = "date") -> Column:

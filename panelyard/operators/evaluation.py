@@ -60,7 +60,7 @@ def log_decomposition(legs: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> D
 def ic_summary(ic: DataFrame, keys: tuple[str, ...] = ("year",)) -> DataFrame:
     """A10"""
     p = F.percentile("ic", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return ic.filter("ic is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), p[0].alias("q05"), p[1].alias("median"), p[2].alias("q95"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"))
+    return ic.filter("ic is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), p[0].alias("q05"), p[1].alias("median"), p[2].alias("q95"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("share_positive"))
 
 
 def pair_correlation(returns: DataFrame) -> DataFrame:
