@@ -117,11 +117,8 @@ def _identify(record_id: str) -> str:
     return record_id.strip("<>")
 
 
-def write_monolithic(rows: DataFrame, folder: str, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
-    """Writes (record_id, uri, payload, kind, refers_to, payload_digest) as whole-file gzip archives; returns (file, bytes)."""
-    n = rows.count()
-    files = max(1, -(-n // archive_rows))
-
+def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes (record_id, uri, payload, kind, refers_to, payload_digest), one whole-file gzip archive a partition; returns (file, bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, total, moved = None, None, 0, None
         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -143,7 +140,7 @@ def write_monolithic(rows: DataFrame, folder: str, archive_rows: int = ARCHIVE_R
             system.move(moved, path)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total + len(data)], pa.int64())], names=["file", "bytes"])
 
-    dealt = rows.select("record_id", "uri", "payload", "kind", "refers_to", "payload_digest").repartition(files, "record_id").sortWithinPartitions("record_id")
+    dealt = rows.select("record_id", "uri", "payload", "kind", "refers_to", "payload_digest")
     return dealt.mapInArrow(run, "file string, bytes long")
 
 
@@ -204,7 +201,7 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.mapInPandas(run, INDEX + ", payload binary")
 
 
-def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
     """Writes (page_id, url, html) as monolithic archives, normalises them and returns the index.
 
     Of records with equal payloads of at least min_bytes bytes the one with the largest page_id is the response; the
@@ -219,7 +216,8 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     keyed = saved(rows.select("row", "page_id", "url", "payload_digest", "bytes"), "warc-digests")
     best = keyed.filter(F.col("bytes") >= min_bytes).groupBy("payload_digest", "bytes").agg(F.max(F.struct("page_id", "row")).alias("best"))
     firsts = saved(keyed.hint("merge").join(best.hint("merge"), ["payload_digest", "bytes"], "left").select("row", F.col("best.row").alias("first_row"), F.col("best.page_id").alias("first_page")), "warc-firsts")
-    numbered = rows.hint("merge").join(firsts.hint("merge"), "row")
+    files = max(1, -(-keyed.count() // archive_rows))
+    numbered = rows.repartition(files, "row").hint("merge").join(firsts.repartition(files, "row").hint("merge"), "row")  # the payloads' only shuffle
     revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
 
     def name(page, row):
