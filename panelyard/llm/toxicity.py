@@ -14,51 +14,47 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, is_small, saved, table
 
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 SIZES = (3, 5, 7)
 #: The regression is fitted on about so many labelled texts; the log-count ratios take all of them.
 SAMPLE_TEXTS = 6_000
 STEPS = 80
 SEGMENT = 500
 BROADCAST_LABELS = 500_000
-KEPT_WORDS = 200_000
+#: Factors of the rolling and the final hash of an n-gram's code points.
+ROLL, STIR = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
-_kept: dict[bytes, np.ndarray] = {}  # n-grams of words seen by this Python worker
-
-
-def word_grams(word: bytes) -> np.ndarray:
-    s = "<" + word.decode("utf-8", "replace") + ">"
-    digest = xxhash.xxh32_intdigest
-    return np.unique(np.array([digest(s[i : i + n], 0) % BUCKETS for n in SIZES for i in range(max(0, len(s) - n) + 1)], np.int32))
+_last = np.zeros(BUCKETS, np.int32)  # where each bucket was written last, in this Python worker
 
 
 def features(text: str | bytes | None) -> np.ndarray:
-    """The buckets of the n-grams of all words of a text, once each (A-Z lower-cased; no words: none)."""
+    """The buckets of the character n-grams of all words of a text, once each (A-Z lower-cased; no words: none).
+
+    The distinct words stand side by side, each between two marks; n-grams are hashed for all places at once, and those
+    that reach into another word are left out.
+    """
     body = text.encode() if isinstance(text, str) else bytes(text or b"")
-    found = []
-    for w in set(body.lower().split()):
-        g = _kept.get(w)
-        if g is None:
-            if len(_kept) >= KEPT_WORDS:
-                _kept.clear()
-            g = word_grams(w)
-            if len(w) <= 64:
-                _kept[w] = g
-        found.append(g)
-    if not found:
+    words = dict.fromkeys(body.lower().split())
+    if not words:
         return np.empty(0, np.int32)
-    if len(found) < 2000:
-        return np.unique(np.concatenate(found))
-    seen = np.zeros(BUCKETS, bool)
-    for g in found:
-        seen[g] = True
-    return np.flatnonzero(seen).astype(np.int32)
+    s = (b"\x02" + b"\x03\x02".join(words) + b"\x03").decode("utf-8", "replace")
+    c = np.frombuffer(s.encode("utf-32-le"), "<u4")
+    word, h, found = np.cumsum(c == 2), c, []
+    for n in range(2, min(max(SIZES), len(c)) + 1):
+        h = h[:-1] * ROLL + c[n - 1 :]
+        if n in SIZES:
+            x = (h[word[: len(h)] == word[n - 1 :]] + np.uint32(n)) * STIR
+            found.append((x ^ (x >> np.uint32(15))) * STIR >> np.uint32(32 - BUCKET_BITS))
+    f = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
+    places = np.arange(len(f), dtype=np.int32)
+    _last[f] = places
+    return f[_last[f] == places]
 
 
 def log_count_ratios(counts: pd.DataFrame) -> np.ndarray:
