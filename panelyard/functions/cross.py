@@ -10,10 +10,14 @@ def wd():
     return W.partitionBy("date")
 
 
-def average_rank(c: str, keys: tuple[str, ...] = ("date",)) -> Column:
-    """Rank from 1 with the mean rank for ties; null stays null."""
-    w = W.partitionBy(*keys)
-    return F.when(F.col(c).isNotNull(), F.rank().over(w.orderBy(F.col(c).asc_nulls_last())) + (F.count("*").over(W.partitionBy(*keys, c)) - 1) / 2)
+def average_rank(c: str | Column, keys: tuple[str, ...] = ("date",)) -> Column:
+    """Rank from 1 with the mean rank for ties; null stays null.
+
+    Ties come from the ranks of both directions, so every window shares the keys' partitioning: one shuffle.
+    """
+    x, w = (F.col(c) if isinstance(c, str) else c), W.partitionBy(*keys)
+    up, down = F.rank().over(w.orderBy(x.asc_nulls_last())), F.rank().over(w.orderBy(x.desc_nulls_last()))
+    return F.when(x.isNotNull(), (up + F.count(x).over(w) + 1 - down) / 2)
 
 
 def centred_rank(panel: DataFrame, c: str, out: str = "rank") -> DataFrame:
@@ -40,9 +44,10 @@ def score_weights(panel: DataFrame, c: str, tilt: float = 0.6) -> DataFrame:
 
 def top_weights(panel: DataFrame, c: str, k: int) -> DataFrame:
     """Equal weights of the k best; names tied at the edge share what is left."""
-    p = panel.filter(F.col(c).isNotNull()).withColumns({"_above": F.rank().over(wd().orderBy(F.desc(c))) - 1, "_ties": F.count("*").over(W.partitionBy("date", c)), "_n": F.least(F.lit(k), F.count("*").over(wd()))})
+    p = panel.filter(F.col(c).isNotNull()).withColumns({"_above": F.rank().over(wd().orderBy(F.desc(c))) - 1, "_below": F.rank().over(wd().orderBy(F.asc(c))) - 1, "_names": F.count("*").over(wd())})
+    p = p.withColumns({"_ties": F.col("_names") - F.col("_above") - F.col("_below"), "_n": F.least(F.lit(k), F.col("_names"))})
     w = F.when(F.col("_above") + F.col("_ties") <= F.col("_n"), 1 / F.col("_n")).when(F.col("_above") < F.col("_n"), (F.col("_n") - F.col("_above")) / F.col("_n") / F.col("_ties")).otherwise(F.lit(0.0))
-    return p.withColumn("weight", w).drop("_above", "_ties", "_n")
+    return p.withColumn("weight", w).drop("_above", "_below", "_names", "_ties", "_n")
 
 
 def target_weights(panel: DataFrame, c: str, k: int, gross: float = 0.995) -> DataFrame:

@@ -1 +1,3 @@
-"""Plans of the panel engine."""
+"""Queries over the given tables; importing the package registers all of them in the catalog."""
+
+from . import catalog, signals

@@ -235,11 +235,6 @@ def w8(spark, d):
     return B.panel(spark, d).select("symbol", "date", (F.lag("close", 5).over(S.ws()) / F.lag("close", 63).over(S.ws()) - 1).alias("momentum"), (S.change("close", 21) - S.change("close", 63) / 3).alias("acceleration"))
 
 
-@query("w12_wilder_rsi")
-def w12(spark, d):
-    return S.wilder_rsi(B.panel(spark, d))
-
-
 @query("w14_percentile_rank", f"SELECT symbol, date, CASE WHEN n = 60 THEN (len(list_filter(w, lambda x: x < close)) + (len(list_filter(w, lambda x: x = close)) + 1) / 2.0) / 60 END AS pct FROM (SELECT symbol, date, close, list(close) {_frame(60)} AS w, count(close) {_frame(60)} AS n FROM bars)", "pct")
 def w14(spark, d):
     return B.panel(spark, d).select("symbol", "date", S.percentile_rank("close", 60).alias("pct"))
