@@ -74,3 +74,33 @@ def chain_breaks(ledger: DataFrame, key: str = "study", order: str = "seq") -> D
     before = F.coalesce(F.lag("sha256").over(W.partitionBy(key).orderBy(order)), F.lit("0" * 64))
     own = F.sha2(F.concat_ws("|", "previous", "payload"), 256)
     return ledger.withColumns({"linked": F.col("previous") == before, "intact": F.col("sha256") == own}).filter("not linked or not intact")
+
+
+def price_weight_join(weights: DataFrame, prices: DataFrame) -> DataFrame:
+    """Weights with prices on (date, symbol); matched is false for keys that one side lacks, so that none goes unseen."""
+    j = weights.withColumn("_w", F.lit(True)).join(prices.withColumn("_p", F.lit(True)), ["date", "symbol"], "full")
+    return j.withColumn("matched", F.col("_w").isNotNull() & F.col("_p").isNotNull()).drop("_w", "_p")
+
+
+def keep_accepted(panel: DataFrame, roster: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Rows of the roster's symbols without those of excluded groups (symbol)."""
+    return panel.join(roster.select("symbol"), "symbol", "left_semi").join(excluded.select("symbol"), "symbol", "left_anti")
+
+
+def forward_outcome(targets: DataFrame, timing: DataFrame, prices: DataFrame, entry: str = "open", exit: str = "open") -> DataFrame:
+    """targets(date, symbol) with the return from the entry session's price to the exit session's.
+
+    Two equi-joins on (symbol, date). status: pending while the exit has no price, missing where the entry has none.
+    """
+    t = targets.join(timing, "date", "left")
+    a = prices.select("symbol", F.col("date").alias("entry_date"), F.col(entry).alias("_a"))
+    b = prices.select("symbol", F.col("date").alias("exit_date"), F.col(exit).alias("_b"))
+    j = t.join(a, ["symbol", "entry_date"], "left").join(b, ["symbol", "exit_date"], "left")
+    status = F.when(F.col("exit_date").isNull() | F.col("_b").isNull(), "pending").when(F.col("_a").isNull(), "missing").otherwise("final")
+    return j.withColumns({"outcome": F.col("_b") / F.col("_a") - 1, "status": status}).drop("_a", "_b")
+
+
+def history(runs: DataFrame, trials: DataFrame, run: str, order: tuple[str, ...]) -> DataFrame:
+    """Every run with its trials numbered by time; runs without trials stay, numbered null."""
+    n = F.when(F.col("_t").isNotNull(), F.row_number().over(W.partitionBy(run).orderBy(*order)))
+    return runs.join(trials.withColumn("_t", F.lit(1)), run, "left").withColumn("trial_no", n).drop("_t")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -81,3 +84,36 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 def write_results(df: DataFrame, path: str, by: tuple[str, ...] = ("partition", "strategy")) -> None:
     """One table, partitioned by the columns that later reads select on."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """S3: files whose SHA-256 differs from manifest(name, sha256), is missing there, or has no file; executors hash them."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    j = files.join(manifest, "name", "full")
+    return j.filter(~F.col("found").eqNullSafe(F.col("sha256"))).select("name", F.when(F.col("found").isNull(), "no file").when(F.col("sha256").isNull(), "not listed").otherwise("differs").alias("issue"))
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result tables with their partition columns; an empty folder gives an empty table of the schema."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def explode_groups(groups: DataFrame, c: str = "groups") -> DataFrame:
+    """JSON group -> [symbols] to (symbol, grp, n); n is the number of groups that name the symbol."""
+    m = groups.select(F.explode(F.from_json(c, "map<string, array<string>>")).alias("grp", "_s")).select(F.explode("_s").alias("symbol"), "grp")
+    return m.withColumn("n", F.count("*").over(W.partitionBy("symbol")))
+
+
+def event_counts(payloads: DataFrame, c: str = "events") -> DataFrame:
+    """Number of events of each kind over payloads whose events map a kind to its entries."""
+    e = payloads.select(F.explode(F.from_json(c, "map<string, map<string, string>>")).alias("kind", "_e"))
+    return e.groupBy("kind").agg(F.sum(F.size("_e")).cast("long").alias("n"))
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; a temporary one is made only where none is set (tests)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
