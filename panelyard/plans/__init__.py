@@ -1,3 +1,3 @@
 """Queries over the given tables; importing the package registers all of them in the catalog."""
 
-from . import catalog, records, signals
+from . import catalog, records, signals, streams
