@@ -126,3 +126,74 @@ def block_bootstrap(daily: DataFrame, samples: int = 200, block: int = 20, seed:
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     ci = means.groupBy(*keys).agg(q[0].alias("low"), q[1].alias("high"))
     return d.groupBy(*keys).agg(F.avg(r).alias("mean")).join(ci, list(keys))
+
+
+def rigor_metrics(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symbol",), per_year: int = YEAR) -> DataFrame:
+    """A3: Sortino and Calmar ratios, beta to r_mkt, mean of the worst 5 %, shares of positive months and years."""
+    d = daily.filter(F.col(r).isNotNull())
+    down = F.sqrt(F.avg(F.pow(F.least(F.col(r), F.lit(0.0)), F.lit(2.0))) * per_year)
+    g = d.groupBy(*keys).agg((F.avg(r) * per_year / F.nullif(down, F.lit(0.0))).alias("sortino"), (F.covar_samp(r, "r_mkt") / F.nullif(F.var_samp(F.when(F.col(r).isNotNull(), F.col("r_mkt"))), F.lit(0.0))).alias("beta"))
+    base = return_metrics(d, r, keys, per_year).select(*keys, (F.col("cagr") / F.nullif(-F.col("max_drawdown"), F.lit(0.0))).alias("calmar"))
+    tail = tail_stats(d, r, keys).select(*keys, F.col("shortfall").alias("tail_loss"))
+
+    def positive(unit: str, name: str) -> DataFrame:
+        p = d.groupBy(*keys, F.date_trunc(unit, "date").alias("_u")).agg(F.sum(F.log1p(r)).alias("_g"))
+        return p.groupBy(*keys).agg(F.avg((F.col("_g") > 0).cast("double")).alias(name))
+
+    for other in (base, tail, positive("month", "monthly_consistency"), positive("year", "annual_consistency")):
+        g = g.join(other, list(keys))
+    return g
+
+
+def lot_metrics(lots: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """A3: hit rate, mean winner and loser as returns, and profit factor of closed lots(pnl, buy_price, sell_price)."""
+    ret, win, lose = F.col("sell_price") / F.col("buy_price") - 1, F.col("pnl") > 0, F.col("pnl") < 0
+    return lots.groupBy(*keys).agg(F.avg(win.cast("double")).alias("hit_rate"), F.avg(F.when(win, ret)).alias("average_winner"), F.avg(F.when(lose, ret)).alias("average_loser"), (F.sum(F.when(win, F.col("pnl"))) / F.nullif(-F.sum(F.when(lose, F.col("pnl"))), F.lit(0.0))).alias("profit_factor"))
+
+
+def attribution(contributions: DataFrame, fees: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Gross, fees and net by key; keys of one side only count 0 on the other."""
+    a = contributions.groupBy(*keys).agg(F.sum("pnl").alias("gross"))
+    b = fees.groupBy(*keys).agg(F.sum("fee").alias("fees"))
+    j = a.join(b, list(keys), "full").select(*keys, F.coalesce("gross", F.lit(0.0)).alias("gross"), F.coalesce("fees", F.lit(0.0)).alias("fees"))
+    return j.withColumn("net", F.col("gross") - F.col("fees"))
+
+
+def group_exposure(weights: DataFrame, groups: DataFrame) -> DataFrame:
+    """By date, the group with the largest weight (ties to the larger name) and that weight; groups(symbol, grp)."""
+    g = weights.join(groups, "symbol").groupBy("date", "grp").agg(F.sum("weight").alias("weight"))
+    return g.groupBy("date").agg(F.max("weight").alias("weight"), F.max_by("grp", F.struct("weight", "grp")).alias("grp"))
+
+
+def leave_one_out(excess: DataFrame, keys: tuple[str, ...] = ("symbol",), r: str = "r", per_year: int = YEAR) -> DataFrame:
+    """Mean yearly excess over all years, and without the best and the worst one (ties to the earlier year).
+
+    From sums, extremes and counts of the yearly means: no second pass.
+    """
+    y = excess.filter(F.col(r).isNotNull()).groupBy(*keys, F.year("date").alias("year")).agg((F.avg(r) * per_year).alias("_y"))
+    n = F.count("*")
+    rest = lambda x: F.when(n > 1, (F.sum("_y") - x) / (n - 1))
+    return y.groupBy(*keys).agg(F.avg("_y").alias("mean"), F.max_by("year", F.struct("_y", -F.col("year"))).alias("best_year"), rest(F.max("_y")).alias("without_best"), rest(F.min("_y")).alias("without_worst"), F.count_if(F.col("_y") > 0).alias("positive_years"))
+
+
+def without_each_group(panel: DataFrame, groups: DataFrame, r: str = "r") -> DataFrame:
+    """by (grp, date), the equal-weight return of all names outside the group.
+
+    From the date's totals less the group's: one aggregate, no copy of the panel for each group.
+    """
+    p = panel.filter(F.col(r).isNotNull()).join(groups, "symbol")
+    g = p.groupBy("date", "grp").agg(F.sum(r).alias("_s"), F.count("*").alias("_n"))
+    w = W.partitionBy("date")
+    g = g.withColumns({"_ts": F.sum("_s").over(w), "_tn": F.sum("_n").over(w)})
+    return g.select("grp", "date", ((F.col("_ts") - F.col("_s")) / F.nullif((F.col("_tn") - F.col("_n")).cast("double"), F.lit(0.0))).alias("r"))
+
+
+def select_winner(metrics: DataFrame, metric: str, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """The best row of each key by metric, ties to the smaller name; null metrics take no part."""
+    w = W.partitionBy(*keys).orderBy(F.desc(metric), name)
+    return metrics.filter(F.col(metric).isNotNull()).withColumn("_p", F.row_number().over(w)).filter("_p = 1").drop("_p")
+
+
+def ranked_summary(metrics: DataFrame, metric: str, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """Every row with its place by metric within its key."""
+    return metrics.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(metric), name)))

@@ -40,3 +40,35 @@ def test_ledgers(spark):
     assert [(r["study"], r["seq"]) for r in bad] == [("t", 2)]
     fills = spark.createDataFrame([("e.01", 1.0), ("e.02", 2.0), ("e.10", 3.0), ("f.01", 4.0)], "execution_id string, quantity double")
     assert sorted(r["quantity"] for r in J.effective_fills(fills).collect()) == [3.0, 4.0]
+
+
+def test_close_marked_account(spark):
+    days = [dt.date(2020, 1, n) for n in (1, 2, 3)]
+    prices = spark.createDataFrame(list(zip(days, "AAA", (100.0, 100.0, 121.0), (100.0, 110.0, 133.1))), "date date, symbol string, open double, close double")
+    targets = prices.select("date", "symbol", F.lit(1.0).alias("weight"))
+    cal = spark.createDataFrame([(days[1], days[0], 0), (days[2], days[1], 1)], "date date, decision_date date, session_no int")
+    for cadence in (1, 5):
+        free = {r["date"]: r for r in A.close_marked_account(prices, targets, cal, 0.0, cadence).collect()}
+        last = free[days[2]]
+        assert (last["nav"], last["overnight"], last["intraday"]) == pytest.approx((1.331, 0.10, 0.11))
+        paid = {r["date"]: r for r in A.close_marked_account(prices, targets, cal, 100.0, cadence).collect()}
+        assert paid[days[2]]["nav"] == pytest.approx(1.331 * 0.99 / 1.01)
+        assert all(r["overnight"] + r["intraday"] - r["cost"] == pytest.approx(r["net"]) for r in paid.values())
+
+
+def test_normal_cdf(spark):
+    from statistics import NormalDist
+
+    from panelyard.operators import models as M
+
+    zs = [-4.0, -1.3, 0.0, 0.2, 1.96, 5.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", M.normal_cdf(F.col("z")).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(NormalDist().cdf(r["z"]), abs=2e-7) for r in got)
+
+
+def test_verify_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / "b.txt").write_text("b")
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    listed = spark.createDataFrame([("a.txt", h("a")), ("b.txt", h("x")), ("c.txt", h("c"))], "name string, sha256 string")
+    assert {(r["name"], r["issue"]) for r in B.verify_files(spark, str(tmp_path), listed).collect()} == {("b.txt", "differs"), ("c.txt", "no file")}
