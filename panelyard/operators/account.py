@@ -167,3 +167,20 @@ def overnight_study(legs: DataFrame, conditions: DataFrame, start: str, grid: tu
 def time_share(a: DataFrame, b: DataFrame) -> DataFrame:
     """two books one after the other each day: (1 + a)(1 + b) - 1."""
     return a.select("date", F.col("r").alias("_a")).join(b.select("date", F.col("r").alias("_b")), "date").select("date", ((1 + F.col("_a")) * (1 + F.col("_b")) - 1).alias("r"))
+
+
+def shadow_curves(outcomes: DataFrame, bps: float, keys: tuple[str, ...] = ("version",)) -> DataFrame:
+    """By version, the value of its matured batches one after the other, rebalanced at a cost and never liquidated.
+
+    outcomes(version, date, symbol, weight, r): r is null while a batch's outcome is pending. A version's curve stops
+    before its first batch with such a gap. Weights drift with r to the next batch.
+    """
+    b = outcomes.groupBy(*keys, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("gross"), F.count_if(F.col("r").isNull()).alias("_gaps"), F.map_from_entries(F.collect_list(F.struct("symbol", "weight"))).alias("_t"), F.map_from_entries(F.collect_list(F.struct("symbol", F.expr("weight * (1 + r)").alias("v")))).alias("_v"))
+    w = W.partitionBy(*keys).orderBy("date")
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    b = b.withColumn("_bad", F.sum("_gaps").over(run)).filter("_bad = 0").withColumn("_ends", F.transform_values("_v", lambda _, v: v / (1 + F.col("gross"))))
+    b = b.withColumn("_prev", F.coalesce(F.lag("_ends").over(w), F.expr("cast(map() as map<string, double>)")))
+    names = F.array_sort(F.array_union(F.map_keys("_prev"), F.map_keys("_t")))
+    at = lambda m: F.transform(names, lambda s: F.coalesce(F.element_at(F.col(m), s), F.lit(0.0)))
+    b = b.withColumn("cost", trading_cost(at("_prev"), at("_t"), bps / 10_000)).withColumn("net", (1 - F.col("cost")) * (1 + F.col("gross")) - 1)
+    return b.withColumn("nav", F.product(1 + F.col("net")).over(run)).select(*keys, "date", "gross", "cost", "net", "nav")

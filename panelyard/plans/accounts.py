@@ -119,3 +119,15 @@ def f10(spark, d):
     s = S.session_legs(B.panel(spark, d))
     leg = lambda n, c: s.filter(F.col("symbol") == n).select("date", F.col(c).alias("r"))
     return A.time_share(leg("S1", "overnight"), leg("S2", "intraday"))
+
+
+@query("l5_shadow_curves", f"""WITH x AS (SELECT v.version, b.symbol, b.date, CASE v.version WHEN 'equal' THEN 1.0 / count(*) OVER (PARTITION BY v.version, b.date) ELSE coalesce(t.weight, 0) END AS w, lead(b.close) OVER (PARTITION BY v.version, b.symbol ORDER BY b.date) / b.close - 1 AS r FROM bars b JOIN ({_TOP}) t ON t.symbol = b.symbol AND t.date = b.date, (VALUES ('equal'), ('top')) AS v(version)),
+ g AS (SELECT version, date, sum(w * r) AS gross, list(w ORDER BY symbol) AS t, list(w * (1 + r) ORDER BY symbol) AS v FROM x GROUP BY ALL HAVING count(*) = count(r)),
+ p AS (SELECT *, lag(list_transform(v, lambda q: q / (1 + gross))) OVER (PARTITION BY version ORDER BY date) AS pv FROM g),
+ c AS (SELECT version, date, gross, list_reduce(list_transform(range(21), lambda i: CAST(0 AS DOUBLE)), lambda c, z: 0.001 * list_sum(list_transform(range(1, 10), lambda i: abs((1 - c) * t[i] - coalesce(pv[i], 0))))) AS cost FROM p)
+ SELECT version, date, gross, cost, (1 - cost) * (1 + gross) - 1 AS net, product((1 - cost) * (1 + gross)) OVER (PARTITION BY version ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM c""", "gross cost net nav")
+def l5(spark, d):
+    w = x5(spark, d).withColumn("_e", 1 / F.count("*").over(X.wd()))
+    nxt = B.panel(spark, d).select("symbol", "date", (F.lead("close").over(S.ws()) / F.col("close") - 1).alias("r"))
+    books = F.explode(F.create_map(F.lit("equal"), F.col("_e"), F.lit("top"), F.col("weight"))).alias("version", "weight")
+    return A.shadow_curves(w.select("symbol", "date", books).join(nxt.hint("merge"), ["symbol", "date"]), 10.0)

@@ -72,3 +72,30 @@ def test_verify_files(spark, tmp_path):
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
     listed = spark.createDataFrame([("a.txt", h("a")), ("b.txt", h("x")), ("c.txt", h("c"))], "name string, sha256 string")
     assert {(r["name"], r["issue"]) for r in B.verify_files(spark, str(tmp_path), listed).collect()} == {("b.txt", "differs"), ("c.txt", "no file")}
+
+
+def test_close_marked_account_step_by_step(spark):
+    import random
+
+    rng, names, n, cadence, rate = random.Random(4), "ABC", 14, 3, 0.005
+    days = [dt.date(2021, 3, 1) + dt.timedelta(i) for i in range(n)]
+    close = {(i, s): 100 * rng.uniform(0.8, 1.2) for i in range(n) for s in names}
+    open_ = {k: v * rng.uniform(0.95, 1.05) for k, v in close.items()}
+    weight = {(i, s): rng.choice([0.0, 0.1, 0.3]) for i in range(n) for s in names}
+    rows = [(days[i], s, open_[i, s], close[i, s], weight[i, s]) for i, s in close]
+    df = spark.createDataFrame(rows, "date date, symbol string, open double, close double, weight double")
+    cal = spark.createDataFrame([(days[i], days[i - 1], i - 1) for i in range(1, n)], "date date, decision_date date, session_no int")
+    got = {r["date"]: r for r in A.close_marked_account(df, df, cal, rate * 10_000, cadence).collect()}
+    cash, units = 1.0, dict.fromkeys(names, 0.0)
+    for i in range(1, n):
+        value = cash + sum(units[s] * open_[i, s] for s in names)
+        if (i - 1) % cadence == 0:
+            after = value
+            for _ in range(200):  # the value that is left once the fees of reaching the weights are paid
+                after = value - rate * sum(abs(after * weight[i - 1, s] - units[s] * open_[i, s]) for s in names)
+            units = {s: after * weight[i - 1, s] / open_[i, s] for s in names}
+            cash = after - sum(units[s] * open_[i, s] for s in names)
+        nav = cash + sum(units[s] * close[i, s] for s in names)
+        nav -= rate * sum(units[s] * close[i, s] for s in names) if i == n - 1 else 0
+        assert got[days[i]]["nav"] == pytest.approx(nav, abs=1e-9)
+        assert got[days[i]]["n_missing"] == 0
