@@ -68,3 +68,24 @@ def rank_ic(panel: DataFrame, score: str, label: str) -> DataFrame:
     p = panel.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     p = p.withColumns({"_a": average_rank(score), "_b": average_rank(label)})
     return p.groupBy("date").agg((F.covar_pop("_a", "_b") / F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))).alias("ic"), F.count("*").alias("n"))
+
+
+def capped(panel: DataFrame, raw: str, gross: float, cap: float, keys: tuple[str, ...] = ("date",), name: str = "symbol") -> DataFrame:
+    """Weights in proportion to raw, none above cap, summing to gross (to cap times the names, if that is less).
+
+    The names by falling raw: the first one that fits below the cap, once those before it are held at the cap, sets the
+    scale of all after it. Two windows by date instead of repeated passes.
+    """
+    w = W.partitionBy(*keys)
+    down = w.orderBy(F.desc(raw), name)
+    p = panel.withColumns({"_j": F.row_number().over(down), "_rest": F.sum(raw).over(down.rowsBetween(0, W.unboundedFollowing))})
+    scale = (gross - (F.col("_j") - 1) * cap) / F.col("_rest")
+    p = p.withColumn("_scale", F.when(F.col(raw) * scale <= cap, scale)).withColumn("_from", F.min(F.when(F.col("_scale").isNotNull(), F.col("_j"))).over(w))
+    p = p.withColumn("_s", F.max(F.when(F.col("_j") == F.col("_from"), F.col("_scale"))).over(w))
+    return p.withColumn("weight", F.when(F.col("_j") >= F.col("_from"), F.col(raw) * F.col("_s")).otherwise(F.lit(cap))).drop("_j", "_rest", "_scale", "_from", "_s")
+
+
+def inverse_volatility_weights(panel: DataFrame, c: str, volatility: str, k: int, gross: float = 0.995, cap: float = 0.4) -> DataFrame:
+    """The k best by score, ties to the symbol first in order, sized by 1 / max(volatility, 0.005) under a cap."""
+    p = panel.filter(F.col(c).isNotNull() & F.col(volatility).isNotNull()).withColumn("place", F.row_number().over(wd().orderBy(F.desc(c), "symbol"))).filter(F.col("place") <= k)
+    return capped(p.withColumn("_raw", 1 / F.greatest(F.col(volatility), F.lit(0.005))), "_raw", gross, cap).drop("_raw")

@@ -170,3 +170,15 @@ def x9(spark, d):
     b = B.panel(spark, d)
     p = b.withColumn("r", S.change("close")).select("symbol", "date", S.change("close", 5).alias("score"), S.std("r", 20).alias("volatility"))
     return G.gate_expectation(X.target_weights(p, "score", 4), B.sessions(b), 0.02)
+
+
+# of three names at most two reach a cap of 0.4, so two rounds of holding names at the cap are enough
+@query("x6_inverse_volatility", f"""WITH t AS (SELECT symbol, date, 1 / greatest(vol, 0.005) AS raw, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS place FROM (SELECT symbol, date, close / lag(close, 5) {WSQL} - 1 AS score, {_full('stddev_samp(r)', 'r', 20)} AS vol FROM r) WHERE score IS NOT NULL AND vol IS NOT NULL),
+ u AS (SELECT *, 0.995 * raw / sum(raw) OVER (PARTITION BY date) AS w0 FROM t WHERE place <= 3),
+ a AS (SELECT *, w0 > 0.4 AS c0, count(*) FILTER (w0 > 0.4) OVER (PARTITION BY date) AS n0, sum(CASE WHEN w0 > 0.4 THEN 0 ELSE raw END) OVER (PARTITION BY date) AS s0 FROM u),
+ b AS (SELECT *, CASE WHEN c0 THEN 0.4 ELSE (0.995 - 0.4 * n0) * raw / s0 END AS w1 FROM a),
+ c AS (SELECT *, w1 > 0.4 OR c0 AS c1, count(*) FILTER (w1 > 0.4 OR c0) OVER (PARTITION BY date) AS n1, sum(CASE WHEN w1 > 0.4 OR c0 THEN 0 ELSE raw END) OVER (PARTITION BY date) AS s1 FROM b)
+ SELECT symbol, date, CAST(place AS INTEGER) AS place, CASE WHEN c1 THEN 0.4 ELSE (0.995 - 0.4 * n1) * raw / s1 END AS weight FROM c""", "weight")
+def x6(spark, d):
+    p = B.panel(spark, d).withColumn("r", S.change("close")).select("symbol", "date", S.change("close", 5).alias("score"), S.std("r", 20).alias("volatility"))
+    return X.inverse_volatility_weights(p, "score", "volatility", 3).select("symbol", "date", "place", "weight")

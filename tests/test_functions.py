@@ -99,3 +99,23 @@ def test_close_marked_account_step_by_step(spark):
         nav -= rate * sum(units[s] * close[i, s] for s in names) if i == n - 1 else 0
         assert got[days[i]]["nav"] == pytest.approx(nav, abs=1e-9)
         assert got[days[i]]["n_missing"] == 0
+
+
+def test_capped_weights(spark):
+    from panelyard.functions import cross as X
+
+    raw = {"a": [9.0, 1.0, 1.0, 1.0], "b": [1.0], "c": [6.0, 5.0, 1.0, 0.5], "d": [1.0] * 5, "e": [2.0, 2.0]}
+    rows = [(k, f"s{i}", x) for k, v in raw.items() for i, x in enumerate(v)]
+    got = {}
+    for r in X.capped(spark.createDataFrame(rows, "date string, symbol string, raw double"), "raw", 0.995, 0.4).orderBy("symbol").collect():
+        got.setdefault(r["date"], []).append(r["weight"])
+    for k, v in raw.items():
+        held = set()
+        while True:  # hold what exceeds the cap and share the rest, until nothing exceeds it
+            free = sum(x for i, x in enumerate(v) if i not in held)
+            w = [0.4 if i in held else x / free * (0.995 - 0.4 * len(held)) for i, x in enumerate(v)]
+            over = {i for i, x in enumerate(w) if x > 0.4 and i not in held}
+            held |= over
+            if not over or len(held) == len(v):
+                break
+        assert got[k] == pytest.approx([0.4 if i in held else x for i, x in enumerate(w)])
