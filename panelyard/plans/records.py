@@ -20,8 +20,8 @@ _NEXT = "SELECT date, lead(date, 1) OVER (ORDER BY date) AS entry_date, lead(dat
 @query("s5_s6_result_tables", "SELECT symbol, date, close, year(date) AS year FROM bars", "close")
 def s5(spark, d):
     path = B.fresh_path(spark, "results")
-    B.write_results(B.panel(spark, d).select("symbol", "date", "close", F.year("date").alias("year")), path, ("year",))
-    return B.read_results(spark, path, "symbol string, date date, close double, year int")
+    B.write_results(B.panel(spark, d).select("symbol", "date", "close", F.year("date").cast("long").alias("year")), path, ("year",))
+    return B.read_results(spark, path, "symbol string, date date, close double, year bigint")
 
 
 @query("s7_explode_groups", "SELECT n_name AS symbol, r_name AS grp, count(*) OVER (PARTITION BY n_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey", prelude=False)
@@ -181,7 +181,7 @@ _PLAN = f"""SELECT date, symbol, side, q2 AS quantity, p AS limit_price, q2 * p
  SELECT *, CASE WHEN side = 'BUY' THEN floor(q * coalesce(least(1, greatest(0, cash - nav * 0.02) / nullif(sum(CASE WHEN side = 'BUY' THEN q * p + {_FEE.format(q='q')} END) OVER (PARTITION BY date), 0)), 1)) ELSE q END AS q2 FROM (
   SELECT *, least(abs(dl), floor(volume * close * 0.02 / p)) AS q FROM (SELECT *, CASE WHEN dl > 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN dl > 0 THEN buy ELSE sell END AS p FROM (
    SELECT *, floor(nav * 0.98 * weight / buy) - held AS dl FROM (SELECT date, symbol, close, volume, 1.0 / count(*) OVER (PARTITION BY date) AS weight, floor(volume / 200) AS held, ceil(close * 1.001 * 1.01 * 100) / 100 AS buy, floor(close * 0.999 * 0.99 * 100) / 100 AS sell,
-     20000.0 AS cash, 20000 + sum(floor(volume / 200) * close) OVER (PARTITION BY date) AS nav FROM bars)) WHERE dl <> 0))) WHERE q2 > 0"""
+     CAST(20000 AS DOUBLE) AS cash, 20000 + sum(floor(volume / 200) * close) OVER (PARTITION BY date) AS nav FROM bars)) WHERE dl <> 0))) WHERE q2 > 0"""
 
 
 def plan(spark, d):
@@ -244,4 +244,4 @@ def j5(spark, d):
 def j9(spark, d):
     runs = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"))
     trials = B.table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "run", "l_partkey": "part"})
-    return J.history(runs, trials, "run", ("l_shipdate", "l_linenumber", "part", "l_suppkey", "l_extendedprice")).select("run", "part", "trial_no")
+    return J.history(runs, trials, "run", ("l_shipdate", "l_linenumber", "part", "l_suppkey", "l_extendedprice")).select("run", "part", F.col("trial_no").cast("long").alias("trial_no"))
