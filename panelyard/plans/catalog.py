@@ -308,7 +308,7 @@ def w27(spark, d):
 
 @query("w28_rebalance_blocks", "SELECT date, session_no, CAST(floor((session_no - 2) / 5.0) AS BIGINT) AS block, (session_no - 2) % 5 = 0 AS is_rebalance FROM cal")
 def w28(spark, d):
-    return A.rebalance_blocks(B.sessions(B.panel(spark, d)), 5, 2)
+    return A.rebalance_blocks(B.sessions(B.panel(spark, d)), 5, 2).withColumn("session_no", F.col("session_no").cast("long"))
 
 
 # 2.5 windows by date
@@ -370,7 +370,7 @@ def a9(spark, d):
 
 @query("a10_ic_summary", f"SELECT year(date) AS year, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, quantile_cont(ic, 0.05) AS q05, quantile_cont(ic, 0.5) AS median, quantile_cont(ic, 0.95) AS q95, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS share_positive FROM ({_IC}) WHERE ic IS NOT NULL GROUP BY year(date)", "mean std q05 median q95 share_positive")
 def a10(spark, d):
-    return E.ic_summary(a9(spark, d).withColumn("year", F.year("date")))
+    return E.ic_summary(a9(spark, d).withColumn("year", F.year("date").cast("long")))
 
 
 # 2.6 joins
@@ -429,7 +429,7 @@ def a4(spark, d):
 
 @query("a5_a7_breakdown", "SELECT symbol, year(date) AS year, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS total_return FROM r WHERE r IS NOT NULL GROUP BY GROUPING SETS ((symbol), (year(date)), (symbol, year(date)))", "total_return")
 def a5(spark, d):
-    return E.breakdown(returns(spark, d))
+    return E.breakdown(returns(spark, d)).withColumn("year", F.col("year").cast("long"))
 
 
 @query("a12_effective_n", f"SELECT date, 1 / nullif(sum(weight * weight), 0) AS effective_n, max(weight) AS largest, sum(abs(weight)) AS gross FROM ({_TOP}) GROUP BY date", "effective_n largest gross")
