@@ -200,6 +200,55 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept) == list(range(30))
 
 
+def near_brute(rows, t=0.8):
+    """The smallest doc_id of each group that links of Jaccard similarity t join."""
+
+    def sh(x):
+        w = x.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [sh(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= t * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return sorted({rows[find(i)][0] for i in range(len(rows))})
+
+
+def test_near_copies_finds_every_appended_or_truncated_copy(spark):
+    rng = random.Random(8)
+    word = lambda: f"{rng.choice('abcdef')}{rng.randrange(900)}"
+    rows = []
+    for i in range(150):
+        base = [word() for _ in range(400)]
+        more = int(396 / (0.8 + 0.15 * i / 150)) - 396
+        rows += [(3 * i, " ".join(base), "en", "s", 0), (3 * i + 1, " ".join(base + [word() for _ in range(more)]), "en", "s", 0), (3 * i + 2, " ".join(base[: 400 - more + 8]), "en", "s", 0)]
+    kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
+    assert kept == near_brute(rows)
+
+
+def test_crowded_near_copies(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"{rng.choice('abcdef')}{rng.randrange(900)}"
+    monkeypatch.setattr(near_copies, "CELL", 5)
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    core, rows = [word() for _ in range(100)], []
+    for i in range(160):  # a chain of variants, whose ends are far apart, beside variants that no link reaches
+        core[rng.randrange(100)] = word()
+        other = core[:60] + [word() for _ in range(40)]
+        rows += [(i, " ".join(core), "en", "s", 0), (1000 + i, " ".join(other), "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(df).select("doc_id").collect())
+    assert kept == near_brute(rows)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows = [(i, " ".join([rng.choice(VOCAB) for _ in range(40)] + (["scoundrels"] if i % 3 == 0 else [])), "en", "s", 0) for i in range(300)]
