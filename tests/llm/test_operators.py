@@ -234,6 +234,18 @@ def test_near_copies_finds_every_appended_or_truncated_copy(spark):
     assert kept == near_brute(rows)
 
 
+def test_pairs_below_the_threshold_stay(spark):
+    rng = random.Random(11)
+    word = lambda: f"{rng.choice('abcdef')}{rng.randrange(900)}"
+    rows = []
+    for i in range(60):  # Jaccard similarity 0.70 to 0.79, and 0.81
+        base = [word() for _ in range(300)]
+        rows.append((2 * i, " ".join(base), "en", "s", 0))
+        rows.append((2 * i + 1, " ".join(base + [word() for _ in range(int(296 / (0.81 if i % 6 == 0 else 0.70 + 0.09 * i / 60)) - 296)]), "en", "s", 0))
+    kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
+    assert kept == near_brute(rows) == [i for i in range(120) if i % 12 != 1]
+
+
 def test_crowded_near_copies(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: f"{rng.choice('abcdef')}{rng.randrange(900)}"
