@@ -27,26 +27,32 @@ def _key(x: Column) -> Column:
     return F.struct(F.xxhash64(_line(x)).alias("a"), F.xxhash64(F.lit("line"), _line(x)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, once: bool = False) -> DataFrame:
     """(_host, _lines): each host's boilerplate, as an array of line keys; a host has fewer than its mean lines a page / ratio."""
     lines = F.array_distinct(F.filter(F.split(F.col(text), "\n"), lambda x: F.length(_line(x)) > 0))
-    named = docs.select(F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")).alias("_host"), lines.alias("_l"))
-    keys = F.array_distinct(F.transform("_l", _key))
-    each = named.select("_host", F.explode(keys).alias("_k")).groupBy("_host", "_k.a", "_k.b").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pages)
+    keys = F.array_distinct(F.transform(lines, _key)).alias("_keys")
+    name = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")).alias("_host")
+    if once:  # 128 bits stand for a text, so that only its line keys are shuffled, after equal texts met in each task
+        pages = docs.select(name, F.xxhash64(text).alias("_a"), F.xxhash64(F.lit("text"), F.col(text)).alias("_b"), keys)
+        named = saved(pages.groupBy("_host", "_a", "_b").agg(F.first("_keys").alias("_keys")).select("_host", "_keys"), "line-pages")
+    else:
+        named = docs.select(name, keys)
+    each = named.select("_host", F.explode("_keys").alias("_k")).groupBy("_host", "_k.a", "_k.b").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pages)
     pages = named.groupBy("_host").agg(F.count("*").alias("_pages"))
     common = each.hint("merge").join(pages.hint("merge"), "_host").filter(F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
     return common.groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("_lines"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, once: bool = False) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines, n_dropped.
 
     A line counts once a page, compared without outer white space; blank lines are never counted or dropped. A line goes
     if it is on at least min_pages pages of its host and on more than ratio of them. Pages without such lines keep their
     text as it is; a page of only such lines keeps an empty text. Null text stays null (0 lines). Pages of a null host
-    form a host of their own. Repeated rows count as pages each. An empty table gives an empty result.
+    form a host of their own. Repeated rows count as pages each, unless once is set: then all rows of a host with the
+    same text count as one page, so that copies alone make no line boilerplate. An empty table gives an empty result.
     """
-    bad = saved(boilerplate(docs, host, text, ratio, min_pages), "line-boilerplate")
+    bad = saved(boilerplate(docs, host, text, ratio, min_pages, once), "line-boilerplate")
     listed = bad.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0]
     bad = F.broadcast(bad) if listed <= BROADCAST_LINES else bad.hint("merge")
     named = docs.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")))

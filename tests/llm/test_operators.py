@@ -110,6 +110,19 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_one_of_many_copies_survives_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    story = lambda: "\n".join(" ".join(f"{rng.choice('abcdef')}{rng.randrange(900)}" for _ in range(20)) for _ in range(6))
+    copied = story()
+    rows = [(i, (copied if i % 3 == 0 else story()) + "\nall rights reserved", "en", "s", 0) for i in range(120)] + [(900, None, "en", "s", 0)]
+    lined = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lined, "").collect()}
+    assert kept[0] == copied and sorted(kept) == [i for i in range(120) if i == 0 or i % 3] + [900]
+    assert not any("rights" in (t or "") for t in kept.values())
+
+
 def test_html():
     page = "<html><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies, yes</div><article><h1>T &amp; t</h1><p>First, long paragraph with words, and more.<p>Second\n one<br>here</article><aside>side, bar</aside><div id=comments><p>I think, so</p></div><form>name</form><footer>foot</footer>"
     assert html_text.main_text(page) == "T & t\nFirst, long paragraph with words, and more.\nSecond one here"
