@@ -22,10 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session has none (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir or the session's checkpoint folder.
+
+    Only where a local session has neither (tests), one is made on the machine that all of it runs on.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = conf or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -35,11 +40,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut and no later stage recomputes it."""
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and its path there."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut and no later stage recomputes it."""
+    return saved_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that saved_at wrote and that no later step reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def words(text: str | Column) -> Column:

@@ -1,36 +1,50 @@
 """Operator 3: language-model scores of a hidden Markov model.
 
-Every token of the training texts is counted. The most frequent tokens are
-symbols of the model; all rarer ones share one symbol, whose tokens are told
-apart by their own smoothed shares, found by a join. Baum-Welch runs as Spark
-jobs: each partition sums its expected counts, Spark adds them by symbol, and
-the driver forms the next model of bounded size. The rounds take nested and
-growing parts of the training texts, by a hash of the row, and the last takes
-all. The scaled forward recursion then gives each text's exact likelihood.
-With one state the model is the smoothed unigram model.
+Every token of the training texts has an emission row of its own. The rows of
+the most frequent tokens are a table of bounded size that the driver holds;
+those of all rarer ones are a table that Spark keeps partitioned and that grows
+with the corpus. Baum-Welch runs as Spark jobs, every round over all training
+texts: each partition sums its expected counts, and Spark adds them. In all
+rounds but the last, rarer tokens of one form (their last two bytes) share one
+emission row; the last round gives every token its own. The scaled forward
+recursion then gives each text's exact likelihood: texts meet the rows of their
+rarer tokens block by block, one row a token and block of texts.
+With one state the model is a smoothed unigram model.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import crc_mod, saved, table
+from .common import crc_mod, remove, saved, saved_at, table
 
+#: States; at most 8, since a rarer token's shares of them are the 8 bytes of a long.
 STATES = 8
-#: Tokens with a symbol of their own; a symbol's number fits in two bytes.
-SYMBOLS = 16_000
-#: Shares of the training rows, by hash, that the rounds of Baum-Welch take; the last is all of them.
-ROUNDS = (1 / 64, 1 / 32, 1 / 32, 1 / 16, 1 / 16, 1 / 8, 1 / 4, 1.0)
-#: Prior weight of the unigram shares in a state's emissions, in tokens.
-PRIOR = 200.0
-BATCH_TOKENS = 600_000
+#: Tokens whose emission rows the driver holds and sends to all tasks; every other token's row is in a Spark table.
+FREQUENT = 16_000
+#: Forms that tie the rarer tokens in the rounds before the last.
+FORMS = 256
+#: Rounds of Baum-Welch, each over all training texts; the last is the one with a row for every token.
+ROUNDS = 5
+#: Prior weight of the unigram shares in a state's emissions, in tokens; and the part of its form in a rarer token's row.
+PRIOR, FORM_PART = 200.0, 0.3
+BATCH_TOKENS = 300_000
+#: Tokens of a block of texts, about; a longer text is a block of its own.
+BLOCK_TOKENS = 3_000_000
 FLUSH_TOKENS = 300_000
+#: Marks a rarer token while a text is coded.
+RARE = 0xFFFF
 
 Model = tuple[np.ndarray, np.ndarray, np.ndarray]  # start (S), moves (S, S), emissions (symbols, S)
 
@@ -39,6 +53,11 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def form(token: bytes, forms: int = FORMS) -> int:
+    """The symbol of a rarer token: 1 to forms, by its last two bytes."""
+    return 1 + zlib.crc32(token[-2:]) % forms
+
+
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, n): the tokens of all texts but the ends, summed in each task before they are shuffled."""
 
@@ -61,30 +80,54 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def encoded(docs: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
-    """docs(row, doc_id, held_out, text) with its symbols and rare tokens in the text's place.
+class _Made(dict):
+    """A dict that makes what it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: bytes) -> int:
+        v = self[key] = self.make(key)
+        return v
 
-    Symbols are numbered from 2; 0 is the end and 1 any rarer token.
+
+def encoded(docs: DataFrame, symbols: dict[bytes, int], forms: int = FORMS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """docs(doc_id, held_out, train, text) as (block, doc_id, held_out, train, n_tokens, ids, rare).
+
+    ids: the tokens' symbols, two bytes each; 0 is the end, 1 to forms a rarer token's form. rare: the rarer tokens' XXH64
+    in their order, which stands for the token from here on. Blocks are numbered within one write, so the result must be
+    saved before it is used twice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
+    names = ["block", "doc_id", "held_out", "train", "n_tokens", "ids", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        get, form_of, hashes = shared.value.get, _Made(lambda t: form(t, forms)), _Made(lambda t: xxhash.xxh64_intdigest(t))
+        block, filled = TaskContext.get().partitionId() << 24, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                n, ids, rare = [], [], []
+                blocks, n, ids, rare = [], [], [], []
                 for t in b.column(3):
                     ws = tokens(t.as_py())
-                    x = [get(w, 1) for w in ws]
-                    n.append(len(ws) + 1)
-                    rare.append([w for w, s in zip(ws, x) if s == 1])
+                    x = [get(w, RARE) for w in ws]
+                    few = [w for w, s in zip(ws, x) if s == RARE]
                     x.append(0)
-                    ids.append(np.array(x, "<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "n_tokens", "ids", "rare"])
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, ids binary, rare array<binary>")
+                    a = np.array(x, "<u2")
+                    a[a == RARE] = np.fromiter(map(form_of.__getitem__, few), np.uint16, len(few))
+                    if filled and filled + len(x) > block_tokens:
+                        block, filled = block + 1, 0
+                        form_of.clear()
+                        hashes.clear()
+                    filled += len(x)
+                    blocks.append(block)
+                    n.append(len(x))
+                    ids.append(a.tobytes())
+                    rare.append(np.fromiter(map(hashes.__getitem__, few), "<u8", len(few)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *[b.column(i) for i in range(3)], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=names)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "train", F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(run, "block long, doc_id long, held_out boolean, train boolean, n_tokens long, ids binary, rare binary")
 
 
 def _packed(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,14 +161,14 @@ def forward(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     return result
 
 
-def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of Baum-Welch over the sequences: starts (S), moves (S, S) and emissions (symbols, S)."""
+def posteriors(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The expected starts (S) and moves (S, S) of the sequences, and of each token its place in their concatenation and its posterior (S)."""
     start, moves, emit = model
     s = len(start)
-    _, flat, starts, active = _packed(seqs)
+    order, flat, starts, active = _packed(seqs)
     at = np.concatenate([[0], np.cumsum(active)])
-    symbols = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active)])
-    alpha, e, scale = np.empty((at[-1], s)), emit[symbols], np.empty(at[-1])
+    where = np.concatenate([starts[:n] + t for t, n in enumerate(active)])
+    alpha, e, scale = np.empty((at[-1], s), emit.dtype), emit[flat[where]], np.empty(at[-1], emit.dtype)
     a = np.tile(start, (len(seqs), 1))
     for t, n in enumerate(active):
         i, j = at[t], at[t + 1]
@@ -134,7 +177,7 @@ def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
         a /= scale[i:j, None]
         alpha[i:j] = a
     e /= scale[:, None]
-    pairs, beta = np.zeros((s, s)), np.ones((active[-1], s))
+    pairs, beta = np.zeros((s, s)), np.ones((active[-1], s), emit.dtype)
     back = moves.T.copy()
     for t in range(len(active) - 1, 0, -1):
         i, j, n = at[t], at[t + 1], active[t]
@@ -142,112 +185,287 @@ def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
         alpha[i:j] *= beta  # from here on the state's posterior
         p = at[t - 1]
         pairs += alpha[p : p + n].T @ eb
-        beta = np.ones((active[t - 1], s))
+        beta = np.ones((active[t - 1], s), emit.dtype)
         beta[:n] = eb @ back
     alpha[: at[1]] *= beta
-    counts = np.stack([np.bincount(symbols, weights=alpha[:, k], minlength=len(emit)) for k in range(s)], axis=1)
-    return alpha[: at[1]].sum(axis=0), pairs * moves, counts
+    size = np.array([len(x) for x in seqs])
+    first = np.concatenate([[0], size[:-1].cumsum()])  # places in the order of seqs, not in that of length
+    moved = np.repeat(first[order], size[order]) + np.arange(len(flat)) - np.repeat(starts, size[order])
+    return alpha[: at[1]].sum(axis=0, dtype=np.float64), pairs * moves, moved[where], alpha
+
+
+def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of Baum-Welch over the sequences: starts (S), moves (S, S) and emissions (symbols, S)."""
+    start, pairs, where, post = posteriors(seqs, model)
+    return start, pairs, _by_symbol(np.concatenate(seqs)[where], post, len(model[2]))
+
 
+def _by_symbol(symbols: np.ndarray, post: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(symbols, weights=post[:, k], minlength=n) for k in range(post.shape[1])], axis=1)
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
-    """((batch's rows), sequences) of at most about BATCH_TOKENS tokens, or of one longer text."""
-    for b in batches:
-        few: list[np.ndarray] = []
-        first = n = 0
-        for i, x in enumerate(b.column(column)):
-            few.append(np.frombuffer(x.as_buffer(), "<u2"))
-            n += len(few[-1])
-            if n >= BATCH_TOKENS or i == b.num_rows - 1:
-                yield b.slice(first, len(few)), few
-                few, first, n = [], i + 1, 0
 
+def _batches(rows: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows, given by their numbers of tokens, of at most about BATCH_TOKENS tokens or of one longer text."""
+    first = n = 0
+    for i, k in enumerate(rows):
+        n += k
+        if n >= BATCH_TOKENS or i == len(rows) - 1:
+            yield first, i + 1
+            first, n = i + 1, 0
 
-def _estep(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all rows of coded. Each task sends one row a symbol; Spark adds them; symbols + states + 1 rows come back."""
+
+def _numbers(x: pa.BinaryScalar, kind: str) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
+
+
+def _dense(total: np.ndarray, names: list[str]) -> list[pa.Array]:
+    i = np.flatnonzero(total.any(axis=1))
+    return [pa.array(i.astype(np.int32)), *[pa.array(total[i, k]) for k in range(total.shape[1])]]
+
+
+def _summed(rows: DataFrame, n_symbols: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows (i, c0, c1, ...) added by i: expected starts, moves and emissions; symbols + states + 1 rows come to the driver.
+
+    They are summed as decimals, so that the order of tasks doesn't matter.
+    """
+    names = [f"c{k}" for k in range(states)]
+    got = rows.groupBy("i").agg(*[F.sum(F.col(c).cast("decimal(28,8)")).cast("double").alias(c) for c in names]).toPandas()
+    total = np.zeros((n_symbols + states + 1, states))
+    total[got["i"].to_numpy(np.int64)] = got[names].to_numpy(np.float64)
+    return total[-1], total[n_symbols : n_symbols + states], total[:n_symbols]
+
+
+def _float32(model: Model) -> Model:
+    return tuple(np.maximum(m, 1e-30).astype(np.float32) for m in model)
+
+
+def estep(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over all rows of coded(ids, n_tokens). Each task sends one row a symbol."""
     s, n_symbols = len(model[0]), len(model[2])
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(_float32(model))
     names = ["i", *[f"c{k}" for k in range(s)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n_symbols + s + 1, s))
-        for _, seqs in _batches(batches, 0):
-            start, pairs, counts = expected(seqs, shared.value)
-            total += np.concatenate([counts, pairs, start[None]])
-        i = np.flatnonzero(total.any(axis=1))
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *[pa.array(total[i, k].astype(np.float64)) for k in range(s)]], names=names)
-
-    sums = coded.select("ids").mapInArrow(run, ", ".join(["i int", *[f"c{k} double" for k in range(s)]]))
-    # summed as decimals, so that the order of tasks doesn't matter and reruns agree
-    got = sums.groupBy("i").agg(*[F.sum(F.col(f"c{k}").cast("decimal(28,8)")).cast("double").alias(f"c{k}") for k in range(s)]).toPandas()
-    total = np.zeros((n_symbols + s + 1, s))
-    total[got["i"].to_numpy()] = got[names[1:]].to_numpy(np.float64)
-    return total[-1], total[n_symbols : n_symbols + s], total[:n_symbols]
-
-
-def baum_welch(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: tuple[float, ...] = ROUNDS, seed: int = 7) -> Model:
-    """A model from the training rows coded(row, ids); unigram: the symbols' smoothed shares, which are every state's prior."""
+        for b in batches:
+            for i, j in _batches(b.column(1).to_pylist()):
+                start, pairs, counts = expected([_numbers(x, "<u2") for x in b.column(0)[i:j]], shared.value)
+                total += np.concatenate([counts, pairs, start[None]])
+        yield pa.RecordBatch.from_arrays(_dense(total, names), names=names)
+
+    return _summed(coded.select("ids", "n_tokens").mapInArrow(run, ", ".join(["i int", *[f"c{k} double" for k in range(s)]])), n_symbols, s)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Rows of expected counts as their shares in 255 parts, a byte a state, in one long each (no counts: 0)."""
+    q = np.zeros((len(counts), 8), np.uint8)
+    q[:, : counts.shape[1]] = np.rint(255 * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-30))
+    return q.view("<i8")[:, 0]
+
+
+def _byte(c: str, k: int) -> Column:
+    return F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+
+
+def last_estep(coded: DataFrame, model: Model, name: str, forms: int = FORMS) -> tuple[DataFrame, str]:
+    """The last E-step's expected counts, saved: rows (i, c0, ...) as in estep, and rows (block, h, form, n, q) of rarer tokens.
+
+    n counts the token h in the block's training texts, q packs the states' shares of n. Tokens of other texts come with n = 0.
+    A task holds the sums of one block.
+    """
+    s, n_symbols = len(model[0]), len(model[2])
+    shared = coded.sparkSession.sparkContext.broadcast(_float32(model))
+    names = ["i", *[f"c{k}" for k in range(s)], "block", "h", "form", "n", "q"]
+    kinds = [pa.int32(), *[pa.float64()] * s, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, parts, here = np.zeros((n_symbols + s + 1, s)), [], None
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+            sums = _by_symbol(inverse, np.concatenate([p[2] for p in parts]), len(h))
+            out = h, np.concatenate([p[1] for p in parts])[first], sums
+            parts[:] = [out]
+            return out
+
+        def block_rows() -> Iterator[pa.RecordBatch]:
+            if parts:
+                h, kind, sums = merged()
+                for a in range(0, len(h), 100_000):
+                    z = slice(a, a + 100_000)
+                    few = sums[z, :s], sums[z, s]
+                    blank = [pa.nulls(len(few[1]), k) for k in kinds[: s + 1]]
+                    yield pa.RecordBatch.from_arrays([*blank, pa.array(np.full(len(few[1]), here, np.int64)), pa.array(h[z].view(np.int64)), pa.array(kind[z].astype(np.int32)), pa.array(np.rint(few[1]).astype(np.int64)), pa.array(_shares(few[0]))], names=names)
+                parts.clear()
+
+        for b in batches:
+            blocks, sizes, train = b.column(0).to_numpy(), b.column(2).to_pylist(), b.column(1).to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if here != blocks[lo]:
+                    yield from block_rows()
+                    here = int(blocks[lo])
+                for wanted in (True, False):
+                    rows = [r for r in range(lo, hi) if train[r] is wanted]
+                    for i, j in _batches([sizes[r] for r in rows]):
+                        seqs = [_numbers(b.column(3)[r], "<u2") for r in rows[i:j]]
+                        ids = np.concatenate(seqs)
+                        is_rare = (ids > 0) & (ids <= forms)
+                        h, kind = np.concatenate([_numbers(b.column(4)[r], "<u8") for r in rows[i:j]]), ids[is_rare]
+                        sums = np.zeros((len(h), s + 1), np.float32)
+                        if wanted:
+                            start, pairs, where, post = posteriors(seqs, shared.value)
+                            total += np.concatenate([_by_symbol(ids[where], post, n_symbols), pairs, start[None]])
+                            back = np.empty_like(post)
+                            back[where] = post
+                            sums[:, :s], sums[:, s] = back[is_rare], 1
+                        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                        parts.append((u, kind[first], _by_symbol(inverse, sums, len(u))))
+                        if len(parts) >= 8:
+                            merged()
+        yield from block_rows()
+        dense = _dense(total, names)
+        yield pa.RecordBatch.from_arrays([*dense, *[pa.nulls(len(dense[0]), k) for k in kinds[s + 1 :]]], names=names)
+
+    fields = ["i int", *[f"c{k} double" for k in range(s)], "block long", "h long", "form int", "n long", "q long"]
+    return saved_at(coded.select("block", "train", "n_tokens", "ids", "rare").mapInArrow(run, ", ".join(fields)), name)
+
+
+def start_model(unigram: np.ndarray, states: int, seed: int = 7) -> Model:
+    """A model around the unigram shares, the states' emissions shaken apart by a seed."""
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * np.exp(0.5 * rng.standard_normal((len(unigram), states)))
-    emit /= emit.sum(axis=0)
     moves = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(moves, 0.9 if states > 1 else 1.0)
-    model = (np.full(states, 1 / states), moves, emit)
-    for share in rounds:
-        part = coded if share >= 1 else coded.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        start, pairs, counts = _estep(part, model)
-        start, pairs = start + 1 / states, pairs + 0.5
-        emit = counts + PRIOR * unigram[:, None]
-        model = (start / start.sum(), pairs / pairs.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return np.full(states, 1 / states), moves, emit / emit.sum(axis=0)
+
+
+def next_model(start: np.ndarray, pairs: np.ndarray, counts: np.ndarray, unigram: np.ndarray) -> Model:
+    """The model of expected counts; every state's emissions have the unigram shares as prior."""
+    start, pairs, emit = start + 1 / len(start), pairs + 0.5, counts + PRIOR * unigram[:, None]
+    return start / start.sum(), pairs / pairs.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+
+
+def baum_welch(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS - 1) -> Model:
+    """The model after rounds of Baum-Welch over all rows of coded(ids, n_tokens), rarer tokens tied by form."""
+    model = start_model(unigram, states)
+    for _ in range(rounds):
+        model = next_model(*estep(coded, model), unigram)
     return model
 
 
-def score_texts(docs: DataFrame, training: str = "held_out = false", states: int = STATES, symbols: int = SYMBOLS, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
+def emission_table(rows: DataFrame) -> DataFrame:
+    """rows (block, h, form, n, q) of blocks: n and q become those of the token in the whole corpus; weight is one over the token's rows.
+
+    Sums are of integers, so that the order of rows doesn't matter. A token has one row a block, or two where a split of
+    a file cuts the block, and never one an occurrence.
+    """
+    token = W.partitionBy("h")
+    n = F.sum("n").over(token)
+    parts = [F.sum(F.col("n") * _byte("q", k)).over(token).alias(f"s{k}") for k in range(8)]
+    sums = rows.select("block", "h", "form", n.alias("n"), (F.lit(1.0) / F.count("*").over(token)).alias("weight"), *parts)
+    total = F.greatest(sum((F.col(f"s{k}") for k in range(1, 8)), F.col("s0")), F.lit(1).cast("long"))
+    q = sum((F.shiftleft(F.floor((F.lit(255) * F.col(f"s{k}") + F.floor(total / 2)) / total).cast("long"), 8 * k) for k in range(1, 8)), F.floor((F.lit(255) * F.col("s0") + F.floor(total / 2)) / total).cast("long"))
+    return sums.select("block", "h", "form", "n", "weight", q.alias("q"))
+
+
+def _unpacked(n: np.ndarray, q: np.ndarray, states: int) -> np.ndarray:
+    """Expected counts of tokens (rows) by state from their counts and packed shares."""
+    shares = np.ascontiguousarray(q, "<i8").view(np.uint8).reshape(-1, 8)[:, :states].astype(np.float64)
+    return shares * (n / np.maximum(shares.sum(axis=1), 1))[:, None]
+
+
+def _state_sums(emissions: DataFrame, states: int) -> np.ndarray:
+    """Expected counts of all rarer tokens by state."""
+    names = [f"c{k}" for k in range(states)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(states)
+        for b in batches:
+            n, q, w = (b.column(i).to_numpy() for i in range(3))
+            total += (_unpacked(n, q, states) * w[:, None]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+    rows = emissions.filter("n > 0").select("n", "q", "weight").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+    got = rows.agg(*[F.coalesce(F.sum(F.col(c).cast("decimal(28,8)")).cast("double"), F.lit(0.0)).alias(c) for c in names]).first()
+    return np.array(list(got), np.float64)
+
+
+def score_texts(docs: DataFrame, training: str = "held_out = false", states: int = STATES, frequent: int = FREQUENT, rounds: int = ROUNDS, forms: int = FORMS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs(doc_id, held_out, text).
 
     Tokens: the text's words, A-Z lower-cased, and one end. base_score: the unigram model with one added to every count
     and one unseen token; score: log10 of the text's probability under the hidden Markov model trained on the rows that
-    training selects. Null and blank texts are the end alone. Texts of any length are taken whole. Without training rows
-    both models know the unseen token and the end only. Rows that repeat a doc_id are trained on and scored each.
+    training selects. The model gives every state a probability of the end, of each training token, and of one unseen
+    token a form; they add up to one. Null and blank texts are the end alone. Texts of any length are taken whole. Without
+    training rows both models know the unseen token and the end only. Rows that repeat a doc_id are trained on and scored
+    each; where training is null for a row, it is scored only. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "held_out", "text")
-    known = saved(token_counts(docs.filter(training)), "hmm-tokens")
-    ends = docs.filter(training).count()
+    docs = docs.select("doc_id", "held_out", F.coalesce(F.expr(training), F.lit(False)).alias("train"), "text")
+    known = saved(token_counts(docs.filter("train")), "hmm-tokens")
+    ends = docs.filter("train").count()
     words, types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = words + ends, types + (1 if ends else 0)
-    # the most frequent tokens, ties by the token: a table of at most `symbols` rows
-    top = [(bytes(r[0]), r[1]) for r in known.orderBy(F.desc("n"), "token").limit(symbols).collect()]
-    top_n, all_n = sum(n for _, n in top), total + kinds + 1
-    rare_n = words - top_n + types - len(top) + 1
-    unigram = np.array([ends + 1 if ends else 1, rare_n, *[n + 1 for _, n in top]], np.float64)
+    # the most frequent tokens, ties by the token: a table of at most `frequent` rows
+    top = [(bytes(r[0]), r[1]) for r in known.orderBy(F.desc("n"), "token").limit(frequent).collect()]
+    all_n = total + kinds + 1
+    by_form = known.groupBy((F.crc32(F.substring("token", -2, 2)) % forms + 1).alias("form")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+    rest = np.ones(forms + 1)  # add-one counts of the rarer tokens by form, one unseen token each; place 0 is not used
+    for r in by_form.collect():  # forms rows at most
+        rest[r["form"]] += r["n"] + r["types"]
+    for w, n in top:
+        rest[form(w, forms)] -= n + 1
+    unigram = np.concatenate([[ends + 1 if ends else 1], rest[1:], [n + 1 for _, n in top]]).astype(np.float64)
     unigram /= unigram.sum()
-    coded = saved(encoded(docs, {w: i + 2 for i, (w, _) in enumerate(top)}), "hmm-symbols")
-    # rare tokens meet their counts by a join on the token; each is less frequent than the last of the symbols
-    rare = coded.select("row", F.explode("rare").alias("token")).hint("merge").join(known.hint("merge"), "token", "left")
-    rare = rare.groupBy("row").agg(F.count("n").alias("rare_known"), F.count("*").alias("rare_n"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_log"))
-    model = baum_welch(coded.filter(training).select("row", "ids"), unigram, states, rounds)
-    shared = spark.sparkContext.broadcast((model, np.log10(np.array([ends + 1, 1, *[n + 1 for _, n in top]], np.float64))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, logs = shared.value
-        for b, seqs in _batches(batches, 4):
-            frequent = [float(logs[s].sum()) for s in seqs]
-            n_rare = [int((s == 1).sum()) for s in seqs]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(n_rare, pa.int64()), pa.array(frequent, pa.float64()), pa.array(forward(seqs, m), pa.float64())], names=["row", "doc_id", "held_out", "n_tokens", "n_rare", "frequent_log", "states_log"])
-
-    scores = coded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_rare long, frequent_log double, states_log double")
-    out = scores.hint("merge").join(rare.hint("merge"), "row", "left").fillna(0, ["rare_known", "rare_n"]).fillna(0.0, ["rare_log"])
-    end_known = 0 if ends else 1
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") + F.col("rare_known") - end_known).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("frequent_log") + F.col("rare_log") - F.col("n_tokens") * F.log10(F.lit(float(all_n)))).alias("base_score"),
-        (F.col("states_log") + F.col("rare_log") - F.col("n_rare") * F.log10(F.lit(float(rare_n)))).alias("score"),
-    )
+    coded = saved(encoded(docs, {w: i + forms + 1 for i, (w, _) in enumerate(top)}, forms, block_tokens), "hmm-symbols")
+    tied = baum_welch(coded.filter("train"), unigram, states, rounds - 1)
+    last, path = last_estep(coded, tied, "hmm-last", forms)
+    start, pairs, counts = _summed(last.filter("i is not null"), len(unigram), states)
+    emissions = saved(emission_table(last.filter("h is not null").select("block", "h", "form", "n", "q")), "hmm-emissions")
+    remove(spark, path)
+    # a rarer token's row: its own expected counts and, as a part, its add-one count shared out as its form's states are
+    by_state = counts[: forms + 1] + PRIOR * unigram[: forms + 1, None]
+    by_state /= by_state.sum(axis=1, keepdims=True)
+    emit = counts + PRIOR * unigram[:, None]
+    emit[1 : forms + 1] = FORM_PART * by_state[1:]  # of one add-one count
+    sums = emit[0] + emit[forms + 1 :].sum(axis=0) + (FORM_PART * by_state[1:] * rest[1:, None]).sum(axis=0) + (1 - FORM_PART) * _state_sums(emissions, states)
+    start, moves, _ = next_model(start, pairs, counts, unigram)
+    logs = np.zeros(len(unigram))
+    logs[0], logs[forms + 1 :] = np.log10(ends + 1), np.log10(np.array([n + 1 for _, n in top], np.float64))
+    shared = spark.sparkContext.broadcast((start, moves, emit / sums, sums, logs))
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def score(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """The scores of a block of texts; rows are its rarer tokens'."""
+        if not len(texts):
+            return pd.DataFrame({c: [] for c in columns})
+        start, moves, emit, sums, logs = shared.value
+        rows = rows.drop_duplicates("h")  # the two parts of a block that a file's split cut say the same
+        h, o = np.unique(rows["h"].to_numpy(np.int64).view(np.uint64), return_index=True)
+        n = rows["n"].to_numpy(np.int64)[o]
+        own = (1 - FORM_PART) * _unpacked(n, rows["q"].to_numpy(np.int64)[o], len(start)) / sums + (n + 1)[:, None] * emit[rows["form"].to_numpy(np.int64)[o]]
+        all_emit = np.concatenate([emit, own])
+        all_logs = np.concatenate([logs, np.log10(n + 1.0)])
+        seen = np.concatenate([np.ones(len(emit), np.int64), (n > 0).astype(np.int64)])
+        seen[0] = int(ends > 0)
+        base, known_n, found = [], [], []
+        for i, j in _batches(texts["n_tokens"].tolist()):
+            seqs = []
+            for ids, rare in zip(texts["ids"].iloc[i:j], texts["rare"].iloc[i:j]):
+                x = np.frombuffer(ids, "<u2").astype(np.int64)
+                x[(x > 0) & (x <= forms)] = len(emit) + np.searchsorted(h, np.frombuffer(rare, "<u8"))
+                seqs.append(x)
+                base.append(float(all_logs[x].sum()) - len(x) * float(np.log10(all_n)))
+                known_n.append(int(seen[x].sum()))
+            found.append(forward(seqs, (start, moves, all_emit)))
+        return texts[["doc_id", "held_out", "n_tokens"]].assign(n_known=known_n, base_score=base, score=np.concatenate(found))[columns]
+
+    texts = coded.select("block", "doc_id", "held_out", "n_tokens", "ids", "rare")
+    out = texts.groupBy("block").cogroup(emissions.select("block", "h", "form", "n", "q").groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op3_hmm(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,14 +72,76 @@ def test_maxscore(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_hmm(docs, empty):
+def brute_base(rows):
+    """(n_tokens, n_known, N, base_score) of each text of rows (train, text)."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    c = Counter(w for (train, _), ws in zip(rows, words) if train for w in ws)
+    ends = sum(bool(train) for train, _ in rows)
+    total, kinds = sum(c.values()) + ends, len(c) + (ends > 0)
+    return [(len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), total, sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in ws) + math.log10((ends + 1) / (total + kinds + 1))) for ws in words]
+
+
+@pytest.mark.parametrize("frequent", [20, 0, 1000])
+def test_hmm_base_score_is_that_of_brute_force(docs, frequent):
+    marked = docs.select("doc_id", (F.pmod("doc_id", F.lit(7)) == 2).alias("held_out"), F.concat_ws(" ", "text", F.concat(F.lit("Rare"), F.col("doc_id"))).alias("text"), F.lit(1).alias("block"), F.lit("x").alias("train"))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in hmm.score_texts(marked, states=3, frequent=frequent, rounds=2, block_tokens=400).collect())
+    rows = marked.collect()
+    want = brute_base([(r["held_out"] is False, r["text"]) for r in rows])
+    assert got == sorted((str(r["doc_id"]), a, b, n, round(x, 6)) for r, (a, b, n, x) in zip(rows, want))
+
+
+def test_hmm_scores(docs, empty):
     marked = docs.select("doc_id", (F.pmod("doc_id", F.lit(7)) == 2).alias("held_out"), "text").fillna(False, ["held_out"])
-    rows = hmm.score_texts(marked, states=3, symbols=20, rounds=(1.0, 1.0)).collect()
-    assert len(rows) == docs.count() and all(r["score"] <= 0 and r["train_tokens"] == rows[0]["train_tokens"] for r in rows)
-    one = {(r["doc_id"], r["n_tokens"]): r for r in hmm.score_texts(marked, states=1, symbols=20, rounds=(1.0,)).collect()}
-    for r in one.values():
+    rows = hmm.score_texts(marked, states=3, frequent=20, rounds=3).collect()
+    assert len(rows) == docs.count() and all(r["score"] <= 0 for r in rows)
+    for r in hmm.score_texts(marked, states=1, frequent=20, rounds=1, forms=4).collect():
         assert r["score"] == pytest.approx(r["base_score"], rel=0.05)
     assert hmm.score_texts(marked.limit(0)).count() == 0
+    untrained = hmm.score_texts(marked, training="false", rounds=2).collect()
+    assert len(untrained) == docs.count() and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in untrained)
+
+
+def test_hmm_is_proper_and_takes_every_row_in_every_round(spark, monkeypatch):
+    """All texts of two tokens from a small vocabulary, an unseen token of each form included: their probabilities add up to one."""
+    few = {"frequent": 3, "forms": 4, "block_tokens": 30}
+    words = [f"{a}{b}" for a in "xyz" for b in "abcd"]
+    unseen = {}
+    for w in (f"u{i}" for i in range(1000)):
+        unseen.setdefault(hmm.form(w.encode(), 4), w)
+    rng = random.Random(1)
+    train = [(i, False, " ".join(rng.choice(words) for _ in range(6))) for i in range(60)]
+    asked = [(1000 + i, True, w) for i, w in enumerate([*words, *unseen.values()])]
+    marked = spark.createDataFrame([*train, *asked], "doc_id long, held_out boolean, text string").repartition(3)
+    seen = []
+    real = hmm.estep
+    monkeypatch.setattr(hmm, "estep", lambda coded, model: seen.append(coded.count()) or real(coded, model))
+    got = {r["doc_id"]: r for r in hmm.score_texts(marked, states=3, rounds=4, **few).collect()}
+    assert seen == [60, 60, 60]
+    # with one state a text's probability is the product of its tokens'
+    one = {r["doc_id"]: r for r in hmm.score_texts(marked, states=1, rounds=2, **few).collect()}
+    end = 10 ** hmm.score_texts(marked.unionByName(spark.createDataFrame([(5000, True, "")], marked.schema)), states=1, rounds=2, **few).filter("doc_id = 5000").first()["score"]
+    assert sum(10 ** one[d]["score"] / end for d, _, _ in asked) + end == pytest.approx(1)
+    assert all(got[d]["score"] < 0 for d, _, _ in asked)
+
+
+def test_baum_welch_step_over_partitions_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(2)
+    model = (rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(4), 2).T)
+    seqs = [rng.integers(0, 4, rng.integers(1, 6)).astype("<u2") for _ in range(40)]
+    coded = spark.createDataFrame([(s.tobytes(), len(s)) for s in seqs], "ids binary, n_tokens long").repartition(5)
+    start, pairs, counts = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    for s in seqs:
+        paths = {z: model[0][z[0]] * model[2][s[0], z[0]] * np.prod([model[1][z[t - 1], z[t]] * model[2][s[t], z[t]] for t in range(1, len(s))]) for z in itertools.product(range(2), repeat=len(s))}
+        p = sum(paths.values())
+        for z, w in paths.items():
+            start[z[0]] += w / p
+            for t in range(len(s)):
+                counts[s[t], z[t]] += w / p
+                if t:
+                    pairs[z[t - 1], z[t]] += w / p
+    got = hmm.estep(coded, model)
+    for a, b in zip(got, (start, pairs, counts)):
+        assert np.allclose(a, b, atol=1e-3)
 
 
 def test_forward_is_exact():
