@@ -58,18 +58,50 @@ def test_mix(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def brute_top(rows, k):
+    """rows (id, integers): each query's k best by Python's own integers, those beyond a long as the nearest long."""
+    want = []
+    for q, v in sorted({(q, v) for q, v in rows if q % 20 == 0}):
+        s = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -(2**63)), 2**63 - 1), c) for c, w in rows if c != q)[:k]
+        want += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s)]
+    return sorted(want)
+
+
 def test_maxscore(spark):
     rng = np.random.default_rng(1)
     m = rng.integers(-9, 10, (300, 8))
     m[7] = m[20]
-    rows = [(i, [float(x) / 64 for x in v]) for i, v in enumerate(m.tolist())] + [(900, None), (901, [0.1, None]), (902, [float("nan")])]
-    v = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    rows = [(i, [float(x) / 64 for x in v]) for i, v in enumerate(m.tolist())] + [(900, None), (901, [0.1, None]), (902, [float("nan")]), (7, [float(x) / 64 for x in m[7]])]
+    clash = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS shard", "1 AS block", "2 AS ids", "3 AS v")
+    v = maxscore.quantised(clash)
     got = maxscore.top_k(v, v.filter("vec_id % 20 = 0"), 5, shard_rows=64, query_rows=4).collect()
-    want = []
-    for q in range(0, 300, 20):
-        s = sorted((-int(m[q] @ m[c]), c) for c in range(300) if c != q)[:5]
-        want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == brute_top([*enumerate(map(tuple, m.tolist())), (7, tuple(m[7].tolist()))], 5)
+    assert maxscore.top_k(v.limit(0), v).count() == 0 and maxscore.top_k(v, v.limit(0)).count() == 0
+    assert maxscore.top_k(v.filter("vec_id in (0, 1)"), v.filter("vec_id = 0")).count() == 1
+
+
+@pytest.mark.parametrize("size", [1e7, 1e9, 1e17])
+def test_maxscore_is_exact_for_large_components(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.uniform(-size, size, 6)]) for i in range(60)]
+    v = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    long = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = brute_top([(i, tuple(long(math.floor(64 * x)) for x in e)) for i, e in rows], 4)
+    assert sorted(map(tuple, maxscore.top_k(v, v.filter("vec_id % 20 = 0"), 4, shard_rows=16).collect())) == want
+
+
+def test_maxscore_passes_over_lists_that_are_not_essential():
+    rng = np.random.default_rng(5)
+    scale = np.array([200] * 4 + [5] * 60)  # few terms carry the scores
+    x = np.rint(rng.standard_normal((6000, 64)) * scale).astype(np.int64)
+    ids = np.arange(6000)
+    found, read = maxscore.search_shard(ids, x, ids[:40], x[:40], 10)
+    assert read < 0.5 * 40 * 6000 * 64
+    for q in range(40):
+        s = x @ x[q]
+        s[q] = np.iinfo(np.int64).min
+        top = np.lexsort((ids, -s))[:10]
+        assert [(v, n) for a, v, n in found if a == q] == [(int(t), int(s[t])) for t in top]
 
 
 def brute_base(rows):
