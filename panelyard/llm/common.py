@@ -77,6 +77,14 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or name with as many underscores at its end as make it differ from all columns in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; the check that goes before every broadcast."""
     return df.limit(rows + 1).count() <= rows

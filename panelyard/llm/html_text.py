@@ -10,136 +10,184 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 # HTML's element groups and the words that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select option datalist audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROP = frozenset("nav footer aside form button menu dialog head fieldset label".split())
+DROP = frozenset("nav footer aside button menu dialog head fieldset label".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table td th div section article main body html".split())
 PARAGRAPH = frozenset("p pre blockquote td dd li".split())
 TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "th": -5}
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|side|signup|skip|skyscraper|social|sponsor|sponsored|subscribe|tags?|toolbar|topbar|widget)(?:$|[\s_\d-])", re.I)
+BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|byline-share|consent|cookies?|disclaimer|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo|promoted|recommended|related|search|share|sharing|sidebar|side|signup|skip|skyscraper|social|sponsor|sponsored|subscribe|tags?|toolbar|topbar|widget)(?:$|[\s_\d-])", re.I)
+COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_\d-])", re.I)
+LAYOUT_NAME = re.compile(r"(?:has|no|with|without|is)-\S*|\S*-(?:enabled|disabled)|side-by-side", re.I)
 HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|top-?header|header)(?:$|[\s_-])", re.I)
 GOOD_NAME = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*>", re.S)
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?/]|[a-zA-Z])")
+END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)")
+NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
+INSIDE = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*")
+PLAIN_TAG = re.compile(r"<([a-zA-Z][^\s/<>]*)([^<>]*)>")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("drop", "kids", "link", "name", "parent", "points", "size", "tag")
+    __slots__ = ("drop", "kids", "link", "links", "main", "name", "parent", "points", "size", "suspect", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids, self.name, self.drop = tag, parent, [], "", False
-        self.points, self.size, self.link = 0.0, 0, 0
+        self.tag, self.parent, self.kids, self.name, self.drop, self.suspect = tag, parent, [], "", False, False
+        self.points, self.size, self.link, self.links, self.main = 0.0, 0, 0, 0, False
 
 
-def _marked(node: Node, attributes: str) -> None:
-    """Sets name and drop of an element from its attributes."""
-    inside = node.parent
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    if node.tag in DROP or node.tag == "header" and inside is None:
-        node.drop = True
+def _marked(node: Node, attributes: str, inside: bool) -> None:
+    """Sets name, drop and suspect of an element from its attributes; inside: whether it stands in an article or main."""
+    protected = node.tag in ("html", "body", "article", "main")
+    node.drop = node.tag in DROP or node.tag == "header" and not inside
+    node.suspect = node.tag == "form"
     if attributes and not attributes.isspace():
-        names, protected = [], node.tag in ("html", "body", "article", "main")
+        names = []
         for k, a, b, c in ATTRIBUTE.findall(attributes):
             k, v = k.lower(), a or b or c
             if k in ("class", "id"):
-                names.append(v)
+                names += v.split()
             elif k == "role":
-                node.drop |= v.strip().lower() in BAD_ROLE and not protected
+                node.suspect |= v.strip().lower() in BAD_ROLE and not protected
             elif k == "style":
                 node.drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I))
             elif k == "hidden" or v.strip().lower() == "true":
                 node.drop = True
         node.name = " ".join(names)
-        if node.name and not protected and (BAD_NAME.search(node.name) or inside is None and HEAD_NAME.search(node.name)):
-            node.drop = True
+        said = " ".join(x for x in names if not LAYOUT_NAME.fullmatch(x))
+        if said and not protected:
+            node.drop |= bool(COMMENT_NAME.search(said))
+            node.suspect |= bool(BAD_NAME.search(said)) or not inside and bool(HEAD_NAME.search(said))
+
+
+@lru_cache(10_000)
+def _kinds(tag: str) -> tuple[str, ...]:
+    """The kinds of element that an open tag counts as."""
+    return (tag, *(["*block"] if tag in BLOCK else []), *(["*scope"] if tag in SCOPE else []))
+
+
+class _Open:
+    """The open elements from the root down, with the places of each tag, so that no step walks the whole depth twice."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        for kind in _kinds(node.tag):
+            self.places.setdefault(kind, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, *kinds: str) -> int:
+        """The place of the innermost open element of these kinds (none: 0, which is the root's)."""
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the elements from that place on."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            for kind in _kinds(node.tag):
+                self.places[kind].pop()
+
+
+def _start_tag(html: str, at: int, plain: bool) -> tuple[str, str, int] | None:
+    """(tag, attributes, end) of the start tag at a place, None if it never ends; plain: a tag ends at the next > before any <."""
+    if plain:
+        m = PLAIN_TAG.match(html, at)
+        return (m.group(1).lower(), m.group(2), m.end()) if m else None
+    m = NAME.match(html, at)
+    end = INSIDE.match(html, m.end()).end()
+    return (m.group(1).lower(), html[m.end() : end], end + 1) if html[end : end + 1] == ">" else None
 
 
 def parsed(html: str) -> Node:
-    """The page's elements as a tree, its text as strings among the kids, without comments and raw elements."""
-    root = here = Node("#", None)
-    at, end, low = 0, len(html), None
+    """The page's elements as a tree, its text as strings among the kids, without comments and raw elements.
+
+    The time is proportional to the length of the page: after a tag whose quotes never close, tags end at the next >.
+    """
+    root = Node("#", None)
+    opened, at, low, plain, never = _Open(root), 0, None, False, set()
 
     def text(s: str) -> None:
         if s:
-            here.kids.append(unescape(s) if "&" in s else s)
+            opened.stack[-1].kids.append(unescape(s) if "&" in s else s)
 
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            text(html[at:])
-            break
+    while (m := MARKUP.search(html, at)) is not None:
         text(html[at : m.start()])
-        at = m.end()
-        if m.group(1) is not None:
-            text(m.group(1))
-        tag = m.group(3)
-        if tag is None:
+        at = m.start()
+        if m.group() == "<!--":
+            end = html.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(html)
             continue
-        tag = tag.lower()
-        if m.group(2):
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root and not (tag not in BLOCK and any_block_between(here, up)):
-                here = up.parent
+        if m.group() == "<![CDATA[":
+            end = html.find("]]>", m.end())
+            text(html[m.end() : end if end >= 0 else len(html)])
+            at = end + 3 if end >= 0 else len(html)
             continue
+        if m.group() in ("<!", "<?", "</"):
+            e = END_TAG.match(html, at) if m.group() == "</" else None
+            end = e.end() - 1 if e else html.find(">", at)
+            at = end + 1 if end >= 0 else len(html)
+            if e:
+                tag = e.group(1).lower()
+                place = opened.last(tag)
+                if place and (tag in BLOCK or place > opened.last("*block")):
+                    opened.close(place)
+            continue
+        found = _start_tag(html, at, plain)
+        if found is None and not plain:
+            plain, found = True, _start_tag(html, at, True)
+        if found is None:  # a sign that opens no tag
+            text("<")
+            at += 1
+            continue
+        tag, attributes, at = found
         if tag in RAW:
-            if not m.group(4).endswith("/"):
+            if not attributes.endswith("/"):
                 low = low or html.lower()
-                stop = low.find(f"</{tag}", at)
+                stop = low.find(f"</{tag}", at) if tag not in never else -1
                 close = low.find(">", stop) if stop >= 0 else -1
-                at = close + 1 if close >= 0 else (end if tag in ("script", "style", "textarea", "title", "template", "noscript") else at)
+                if close < 0:
+                    never.add(tag)
+                at = close + 1 if close >= 0 else (len(html) if tag in ("script", "style", "textarea", "title", "template", "noscript") else at)
             continue
         if tag == "br" or tag == "wbr":
-            here.kids.append(" " if tag == "br" else "")
+            opened.stack[-1].kids.append(" " if tag == "br" else "")
             continue
-        if tag in CLOSES_P:
-            up = here
-            while up is not root and up.tag not in SCOPE and up.tag != "p":
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
+        if tag in CLOSES_P and opened.last("p") > opened.last("*scope"):
+            opened.close(opened.last("p"))
         if tag in SAME:
-            up = here
-            stops = {"ul", "ol", "menu"} if tag == "li" else {"dl"} if tag in ("dt", "dd") else {"table"}
-            while up is not root and up.tag not in stops and up.tag not in SAME[tag]:
-                up = up.parent
-            if up.tag in SAME[tag]:
-                if tag == "tr" and up.tag != "tr" and up.parent is not None and up.parent.tag == "tr":
-                    up = up.parent
-                here = up.parent
+            stops = ("ul", "ol", "menu") if tag == "li" else ("dl",) if tag in ("dt", "dd") else ("table",)
+            place = opened.last(*SAME[tag])
+            if place > opened.last(*stops):
+                if tag == "tr" and opened.stack[place].tag != "tr" and opened.stack[place - 1].tag == "tr":
+                    place -= 1
+                opened.close(place)
+        here = opened.stack[-1]
         node = Node(tag, here)
-        _marked(node, m.group(4))
+        _marked(node, attributes, bool(opened.last("article", "main")))
         here.kids.append(node)
-        if tag not in VOID and not (m.group(4).endswith("/") and tag not in BLOCK):
-            here = node
+        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+            opened.push(node)
+    text(html[at:])
     return root
 
 
-def any_block_between(low: Node, high: Node) -> bool:
-    """Whether an open block lies between the current element and an inline element that is closed."""
-    while low is not high:
-        if low.tag in BLOCK:
-            return True
-        low = low.parent
-    return False
-
-
 def _order(root: Node) -> list[Node]:
     """All elements that are not dropped, parents first."""
     out, todo = [], [root]
@@ -151,13 +199,25 @@ def _order(root: Node) -> list[Node]:
 
 
 def _sizes(nodes: list[Node]) -> None:
+    """Of each element: the lengths of its text and of that in links, its links, and whether it holds an article or main."""
     for n in nodes:
         n.size = sum(len(k.strip()) for k in n.kids if isinstance(k, str))
-        n.link = n.size if n.tag == "a" else 0
+        n.link, n.links, n.main = (n.size, 1, False) if n.tag == "a" else (0, 0, n.tag in ("article", "main"))
     for n in reversed(nodes):
         if n.parent is not None:
             n.parent.size += n.size
             n.parent.link += n.size if n.tag == "a" else n.link
+            n.parent.links += n.links
+            n.parent.main |= n.main
+
+
+def _drop_suspects(root: Node) -> None:
+    """Elements named like a menu, notice or form go, but not those that wrap the page: an article, or most of the text outside links."""
+    nodes = _order(root)
+    _sizes(nodes)
+    for n in nodes:
+        if n.suspect and not n.main and 2 * (n.size - n.link) <= root.size - root.link:
+            n.drop = True
 
 
 def blocks(root: Node) -> Iterator[str]:
@@ -188,18 +248,21 @@ def blocks(root: Node) -> Iterator[str]:
 def main_text(html: str | None) -> str:
     """The article's blocks joined by line ends; an empty text if there is none."""
     root = parsed(html or "")
+    _drop_suspects(root)
     nodes = _order(root)
     _sizes(nodes)
     for n in nodes:  # lists and boxes of links are menus
-        if n.tag in ("ul", "ol", "div", "table", "section", "p") and n.size and n.link > 0.6 * n.size and sum(1 for x in _order(n) if x.tag == "a") >= 3:
+        if n.tag in ("ul", "ol", "div", "table", "section", "p") and n.size and n.link > 0.6 * n.size and n.links >= 3:
             n.drop = True
-    nodes = [n for n in _order(root)]
+    nodes = _order(root)
     _sizes(nodes)
     scored: dict[int, Node] = {}
     for n in nodes:
+        if n.tag not in BLOCK and n.tag != "#" or n.tag[:1] == "h" and n.tag[1:].isdigit():
+            continue
         own = "".join(k if isinstance(k, str) else " " * bool(k.tag in BLOCK) or _inline(k) for k in n.kids) if n.tag in PARAGRAPH or any(isinstance(k, str) and not k.isspace() for k in n.kids) else ""
         body = own.strip()
-        if not body or n.tag not in BLOCK and n.tag != "#" or n.tag[:1] == "h" and n.tag[1:].isdigit():
+        if not body:
             continue
         points = 1 + body.count(",") + body.count("，") + min(len(body) / 100, 3)
         up, level = n.parent if n.tag in PARAGRAPH and n.parent is not None else n, 0
@@ -241,7 +304,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Null and empty html give an empty text, as do pages without text outside menus, notices and forms. Broken markup is
     read as far as it goes: open elements end with the page, stray end tags are passed over. Pages of any length are read
-    whole. Rows are taken one by one, so repeated rows give repeated results.
+    whole, in time proportional to their length. Rows are taken one by one, so repeated rows give repeated results. Other
+    columns stay, whatever their names; one named text is replaced.
     """
     others = [c for c in pages.columns if c not in (html, "text")]
     schema = pages.select(*others).withColumn("text", F.lit("")).schema
@@ -251,7 +315,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = [main_text(h.as_py()) for h in b.column(len(others))]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(others))] + [pa.array(texts, pa.string())], names=[*others, "text"])
 
-    return pages.select(*others, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*others, F.col(html).alias(unused("html", others))).mapInArrow(run, schema)
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:

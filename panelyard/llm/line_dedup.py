@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, is_small, saved, table
+from .common import BLANKS, saved, table, unused
 
 #: The hosts' lists are broadcast while they hold at most so many lines (16 bytes each).
 BROADCAST_LINES = 200_000
@@ -51,19 +51,20 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     text as it is; a page of only such lines keeps an empty text. Null text stays null (0 lines). Pages of a null host
     form a host of their own. Repeated rows count as pages each, unless once is set: then all rows of a host with the
     same text count as one page, so that copies alone make no line boilerplate. An empty table gives an empty result.
+    Other columns stay, whatever their names; columns named n_lines or n_dropped are replaced.
     """
     bad = saved(boilerplate(docs, host, text, ratio, min_pages, once), "line-boilerplate")
-    listed = bad.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0]
-    bad = F.broadcast(bad) if listed <= BROADCAST_LINES else bad.hint("merge")
-    named = docs.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")))
-    joined = named.join(bad, "_host", "left")
+    n_listed = bad.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0]
+    bad = F.broadcast(bad) if n_listed <= BROADCAST_LINES else bad.hint("merge")
+    at, listed, left = (unused(c, docs.columns) for c in ("_host", "_lines", "_kept"))
+    named = docs.withColumn(at, F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")))
+    joined = named.join(bad.withColumnsRenamed({"_host": at, "_lines": listed}), at, "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(_line(x)) == 0) | ~F.array_contains(F.col("_lines"), _key(x))))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("_kept")))
-    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return out.drop("_host", "_lines", "_kept")
+    kept = F.when(F.col(listed).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(_line(x)) == 0) | ~F.array_contains(F.col(listed), _key(x))))
+    out = joined.withColumn(left, kept).withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+    out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size(left)))
+    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
+    return out.drop(at, listed, left)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ takes a subset of what a larger one takes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import is_small, saved, table, word_count
+from .common import is_small, saved, table, unused, word_count
 
 LEVEL_BITS = 10
 LEVELS = 3
@@ -82,23 +82,21 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError("unreachable")
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
-    """Per document: the copies that a mix of budget * all words takes, sources near their weighted targets.
+def _key(source: str = "source") -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
 
-    docs: doc_id, text, source; other columns are ignored. weights: a table (source, weight), or weights that repeat over
-    the sources in code point order. Returns doc_id, source, size, source_size, weight, target, copies and taken.
 
-    Each source gives floor(target / its size) whole passes; hash thresholds choose the documents of the last part.
-    Null text has size 0 and takes 0 words. A null source is a source of its own, the last. Null doc_ids share one hash.
-    Rows with the same doc_id share their hash, so they are taken together. An empty table gives an empty result.
-    """
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, _h, _key) of every document, saved."""
     hashed = F.xxhash64(F.col("doc_id"), F.lit(int(seed)))
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), hashed.alias("_h"))
-    sized = saved(sized.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))), "mix-sizes")
+    return saved(docs.select("doc_id", "source", word_count("text").alias("size"), hashed.alias("_h"), _key().alias("_key")), "mix-sizes")
+
+
+def source_limits(sized: DataFrame, weights: DataFrame | tuple[int, ...], budget: float, cap: float) -> DataFrame:
+    """One row a source: _key, source_size, weight, target, _passes and _limit; a document is taken _passes times, and once more if its hash lies under _limit."""
     sources = sized.groupBy("_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     if isinstance(weights, DataFrame):
-        w = weights.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("_key"), F.col("weight").cast("double"))
-        sources = sources.join(w, "_key", "left").fillna(0.0, ["weight"])
+        sources = sources.join(weights.select(_key().alias("_key"), F.col("weight").cast("double")), "_key", "left").fillna(0.0, ["weight"])
     else:
         sources = ranked_weights(sources, weights)
     sources = water_fill(sources, budget, cap)
@@ -106,12 +104,44 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[int, ...] = (5, 2, 1
     sources = saved(sources.withColumn("_passes", whole).withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size")), "mix-sources")
     limits = saved(hash_thresholds(sized, sources.select("_key", "_rest")), "mix-limits")
     chosen = sources.join(limits, "_key", "left").select("_key", "source_size", "weight", "target", "_passes", F.coalesce("_limit", F.lit(0)).cast("long").alias("_limit"))
-    chosen = F.broadcast(chosen) if is_small(chosen, BROADCAST_ROWS) else chosen.hint("merge")
-    extra = (F.shiftrightunsigned(F.col("_h"), 64 - LEVEL_BITS * LEVELS) < F.col("_limit")).cast("long")
-    copies = (F.col("_passes") + extra).cast("long")
-    out = sized.join(chosen, "_key").withColumn("copies", F.least(copies, F.lit(int(cap)).cast("long")))
+    return F.broadcast(chosen) if is_small(chosen, BROADCAST_ROWS) else chosen.hint("merge")
+
+
+def _copies(h: str, cap: float, passes: str = "_passes", limit: str = "_limit") -> Column:
+    extra = (F.shiftrightunsigned(h, 64 - LEVEL_BITS * LEVELS) < F.col(limit)).cast("long")
+    return F.least((F.col(passes) + extra).cast("long"), F.lit(int(cap)).cast("long"))
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
+    """Per document: the copies that a mix of budget * all words takes, sources near their weighted targets.
+
+    docs: doc_id, text, source; other columns are ignored. weights: a table (source, weight), or weights that repeat over
+    the sources in code point order. Returns doc_id, source, size, source_size, weight, target, copies and taken.
+
+    Each source gives floor(target / its size) whole passes; hash thresholds choose the documents of the last part.
+    Null text has size 0 and takes 0 words. A null source is a source of its own, the last. Null doc_ids share one hash.
+    Rows with the same doc_id share their hash, so they are taken together. An empty table gives an empty result.
+    """
+    sized = _sized(docs, seed)
+    out = sized.join(source_limits(sized, weights, budget, cap), "_key").withColumn("copies", _copies("_h", cap))
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
+    """docs with each row as often as mix_sources takes it: not at all, once, and so on up to cap times.
+
+    Whether a row is taken depends on its source and the hash of its doc_id alone, so no row meets another one and the
+    texts are not shuffled while sources are few. Columns as in docs, whatever their names; nulls, repeats and empty tables
+    as in mix_sources.
+    """
+    limits = source_limits(_sized(docs, seed), weights, budget, cap)
+    h, times = unused("_h", docs.columns), unused("_times", docs.columns)
+    names = {c: unused(c, docs.columns) for c in ("_key", "_passes", "_limit")}
+    hashed = docs.withColumn(h, F.xxhash64(F.col("doc_id"), F.lit(int(seed)))).withColumn(names["_key"], _key())
+    joined = hashed.join(limits.select(*names).withColumnsRenamed(names), names["_key"])
+    out = joined.withColumn(times, _copies(h, cap, names["_passes"], names["_limit"]).cast("int")).filter(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -27,7 +27,6 @@ from .common import saved, table
 
 CAPACITY = 1024
 GROUP_PIECES = 20_000
-MAX_ROUNDS = 12
 #: Distinct chunks whose ids a worker keeps; beyond it the store is emptied and filled again.
 KEPT_CHUNKS = 800_000
 KEPT_CHARS = 64
@@ -57,7 +56,8 @@ class Encoder:
 
     A byte-level BPE pattern never joins characters across a space that stands before a character that is not white
     space, so a text can be cut there, and chunks that come again take their ids from a store. New chunks are encoded by
-    tiktoken with the file's own vocabulary, where its merges are in the order of their ids; else by tokenizers.
+    tiktoken with the file's own vocabulary, where its merges are in the order of their ids; else by tokenizers. A text
+    that holds the string of a special token goes to tokenizers whole.
     """
 
     def __init__(self, path: str):
@@ -65,12 +65,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         self.cut = made["normalizer"] is None and made["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        encode = self._ranked(made) if self.cut else None
-        encode = encode or (lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
-        self.plain, self.first, self.later = encode, _Store(encode, ""), _Store(encode, " ")
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        encode = (self._ranked(made) if self.cut else None) or self.plain
+        self.first, self.later = _Store(encode, ""), _Store(encode, " ")
 
     @staticmethod
     def _ranked(made: dict):
@@ -103,7 +103,7 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        if not self.cut:
+        if not self.cut or any(s in text for s in self.special):
             return array("I", self.plain(text)).tobytes()
         cs = self.chunks(text)
         return self.first[cs[0]] + b"".join(map(self.later.__getitem__, cs[1:]))
@@ -209,31 +209,33 @@ def _pack_round(items: DataFrame, number: int, capacity: int) -> DataFrame:
     return items.groupBy("g").applyInPandas(run, "row long, piece int, length int, sequence long, offset long, open boolean")
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(row, piece, sequence_id, offset) for pieces (row, piece, length) of 1..capacity tokens.
 
-    Full pieces are sequences of their own. Groups have about GROUP_PIECES pieces, whatever the input's size. Each round
+    Full pieces are sequences of their own. Groups have about group_pieces pieces, whatever the input's size. Each round
     takes the pieces of not full sequences of groups above their bound, deals them to fewer groups and packs again; it is
-    kept if it needs fewer sequences. An empty table gives an empty result.
+    kept if it needs fewer sequences, else the packing before it stays. The rounds end when all groups are certified, when
+    the open pieces are one group, or when a round saves nothing. An empty table gives an empty result.
     """
-    whole = cut.filter(F.col("length") == capacity).select("row", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = cut.filter(F.col("length") < capacity).select("row", "piece", "length")
-    done, number = [whole], 0
-    while True:
-        n = rest.count()
-        if not n:
-            break
-        groups = max(1, -(-n // GROUP_PIECES))
+    place = ["row", "piece", F.col("sequence").alias("sequence_id"), "offset"]
+    done = [cut.filter(F.col("length") == capacity).select("row", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    rest, before, used, number = cut.filter(F.col("length") < capacity).select("row", "piece", "length"), None, None, 0
+    while n := rest.count():
+        groups = max(1, -(-n // group_pieces))
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("row", "piece", F.lit(number)), F.lit(groups)).cast("long"))
         now = saved(_pack_round(dealt, number, capacity), "packed")
-        opened = now.filter("open").agg(F.count("*"), F.countDistinct("sequence"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        done.append(now.filter("not open").select("row", "piece", F.col("sequence").alias("sequence_id"), "offset"))
-        number += 1
+        sequences = now.groupBy("sequence").agg(F.first("open").alias("open"), F.sum("length").alias("length"))
+        total, opened, tokens = sequences.agg(F.count("*"), F.count(F.when(F.col("open"), 1)), F.coalesce(F.sum(F.when(F.col("open"), F.col("length"))), F.lit(0))).first()
+        if used is not None and total >= used:  # nothing saved
+            done.append(before.select(*place))
+            break
+        done.append(now.filter("not open").select(*place))
         # a single group has nobody to exchange with; nor is there a sequence to save where the open ones' sum needs as many
-        if groups == 1 or number >= MAX_ROUNDS or opened[1] <= -(-opened[2] // capacity):
-            done.append(now.filter("open").select("row", "piece", F.col("sequence").alias("sequence_id"), "offset"))
+        if groups == 1 or opened <= -(-tokens // capacity):
+            done.append(now.filter("open").select(*place))
             break
-        rest = now.filter("open").select("row", "piece", "length")
+        before, used, number = now.filter("open"), opened, number + 1
+        rest = before.select("row", "piece", "length")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table, words
+from .common import BLANKS, table, unused, words
 
 # Frequent function words of the four languages.
 STOP_WORDS = (
@@ -67,11 +67,10 @@ def _covered(windows: Column, width: int) -> Column:
     return F.get(F.transform(bound, union), 0)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios that the rules use, as struct _m."""
+def measured(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """docs with the counts that the measures are made of, as a struct of that name."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
 
     def of_words(w: Column) -> Column:
         n = F.size(w)
@@ -83,37 +82,38 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     of = F.get(F.transform(F.array(words(text)), of_words), 0)
     # stop words: occurrences in the lower-cased text, one pass of a regular expression
     spaced = F.concat(F.lit(" "), F.lower(body), F.lit(" "))
-    n_stop = F.size(F.array_except(F.array(), F.array())) if not STOP_WORDS else F.regexp_count(spaced, F.lit("(?<=[ \\t\\n\\x0B\\f\\r])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?=[ \\t\\n\\x0B\\f\\r.,;:!?])"))
+    n_stop = F.regexp_count(spaced, F.lit("(?<=[ \\t\\n\\x0B\\f\\r])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?=[ \\t\\n\\x0B\\f\\r.,;:!?])"))
     per_line = F.get(F.transform(F.array(lines), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))), 0)
-    return docs.withColumn("_m", F.struct(of.alias("w"), n_stop.cast("long").alias("n_stop"), per_line.alias("l"), F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols")))
+    return docs.withColumn(name, F.struct(of.alias("w"), n_stop.cast("long").alias("n_stop"), per_line.alias("l"), F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols")))
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def measures() -> dict[str, Column]:
-    n = F.col("_m.w.n_words")
+def measures(m: str) -> dict[str, Column]:
+    """The measures that rules can name, from the struct m."""
+    n = F.col(f"{m}.w.n_words")
     return {
         "n_words": n,
-        "mean_word_chars": _ratio(F.col("_m.w.word_chars"), n),
-        "symbol_ratio": _ratio(F.col("_m.n_symbols"), n),
-        "stop_ratio": _ratio(F.col("_m.n_stop"), n),
-        "adjacent_ratio": _ratio(F.col("_m.w.n_adjacent"), n),
-        "dup_line_ratio": _ratio(F.col("_m.l.n_dup_lines"), F.col("_m.l.n_lines")),
-        "repeat_word_ratio": _ratio(F.col("_m.w.n_repeat_words"), n),
+        "mean_word_chars": _ratio(F.col(f"{m}.w.word_chars"), n),
+        "symbol_ratio": _ratio(F.col(f"{m}.n_symbols"), n),
+        "stop_ratio": _ratio(F.col(f"{m}.n_stop"), n),
+        "adjacent_ratio": _ratio(F.col(f"{m}.w.n_adjacent"), n),
+        "dup_line_ratio": _ratio(F.col(f"{m}.l.n_dup_lines"), F.col(f"{m}.l.n_lines")),
+        "repeat_word_ratio": _ratio(F.col(f"{m}.w.n_repeat_words"), n),
     }
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
-    """One expression: true where every rule of the table passes."""
-    known, passes = measures(), F.lit(True)
+def compile_rules(rules: tuple[Rule, ...], m: str) -> Column:
+    """One expression over the struct m: true where every rule of the table passes."""
+    known, passes = measures(m), F.lit(True)
     for r in rules:
-        m, fine = known[r.measure], F.lit(True)
+        x, fine = known[r.measure], F.lit(True)
         if r.low is not None:
-            fine = fine & (m >= F.lit(float(r.low)))
+            fine = fine & (x >= F.lit(float(r.low)))
         if r.high is not None:
-            fine = fine & (m <= F.lit(float(r.high)))
+            fine = fine & (x <= F.lit(float(r.high)))
         passes = passes & (fine if not r.min_words else (known["n_words"] < r.min_words) | fine)
     return passes
 
@@ -122,14 +122,15 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     Null and blank texts have no words: they fail the base rule (fewer than 10 words) and are not kept. Lines compare with
-    their line end's carriage return, if any. Texts of any length are taken whole. Columns of docs that have one of the
-    result's names are replaced. Rows are judged one by one, so repeated rows get equal verdicts.
+    their line end's carriage return, if any. Texts of any length are taken whole. Other columns stay, whatever their
+    names; those that have one of the result's names are replaced. Rows are judged one by one, so repeated rows get equal
+    verdicts. An empty table gives an empty result.
     """
-    m = measured(docs)
-    n, rep = F.col("_m.w.n_words"), F.col("_m.w.n_repeat_words")
+    m = unused("_m", docs.columns)
+    n, rep = F.col(f"{m}.w.n_words"), F.col(f"{m}.w.n_repeat_words")
     failed = (n < 10) | (100 * rep > 20 * n)
-    named = {"n_words": n, "word_chars": F.col("_m.w.word_chars"), "n_symbols": F.col("_m.n_symbols"), "n_dup_lines": F.col("_m.l.n_dup_lines"), "n_repeat_words": rep, "base_failed": failed, "kept": ~failed & compile_rules(rules)}
-    return m.withColumns(named).drop("_m")
+    named = {"n_words": n, "word_chars": F.col(f"{m}.w.word_chars"), "n_symbols": F.col(f"{m}.n_symbols"), "n_dup_lines": F.col(f"{m}.l.n_dup_lines"), "n_repeat_words": rep, "base_failed": failed, "kept": ~failed & compile_rules(rules, m)}
+    return measured(docs, m).withColumns(named).drop(m)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, is_small, saved, table
+from .common import crc_mod, is_small, saved, table, unused
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -102,7 +102,9 @@ def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int =
 def train(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:
     """The model (weights by bucket, intercept) from docs (doc_id, text) and labels (doc_id, toxic 0 or 1).
 
-    Null labels and ids take no part. The sample is chosen by a hash of the id, so reruns agree.
+    Null labels and ids take no part. A text with several label rows counts once with each of them, so that conflicting
+    labels weigh against each other. Without texts of both labels the score is the smoothed share of toxic ones, a half
+    where there are none. The sample is chosen by a hash of the id, so reruns agree. Other columns are ignored.
     """
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(labels) if is_small(labels, BROADCAST_LABELS) else labels.hint("merge"), "doc_id")
@@ -144,7 +146,8 @@ def scored(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
     """docs without the text, and score: the probability that the text is toxic.
 
     Null and blank texts get the model's base rate. Texts of any length are read whole; repeated rows get equal scores.
-    Columns named score or predicted are replaced.
+    Other columns stay, whatever their names; columns named score or predicted are replaced. An empty table gives an empty
+    result.
     """
     others = [c for c in docs.columns if c not in (text, "score", "predicted")]
     schema = docs.select(*others).withColumn("score", F.lit(0.0)).schema
@@ -160,7 +163,7 @@ def scored(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(others))] + [pa.array(s)], names=[*others, "score"])
 
-    return docs.select(*others, F.col(text).cast("binary").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*others, F.col(text).cast("binary").alias(unused("t", others))).mapInArrow(run, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

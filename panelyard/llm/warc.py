@@ -13,7 +13,6 @@ a repeated task gives the same file again.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import uuid
 import zlib
@@ -22,25 +21,29 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, saved, table
+from .common import fresh_path, remove, saved, saved_at, table
 
 #: Rows to a written archive, about; and the bytes that the normaliser reads at once.
 ARCHIVE_ROWS = 2_000
 CHUNK = 1 << 20
+INDEX_ROWS = 1_000
 LEVEL = 3
 INDEX = "file string, offset long, length long, warc_type string, record_id string, refers_to string, uri string, payload_digest string"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI; Hadoop's s3a is the file systems' s3."""
+    path = path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def digest(payload: bytes) -> str:
-    """SHA-1 in base 32, upper case."""
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def digest(payload: Column) -> Column:
+    """SHA-1 of a binary column in base 32, upper case: ten hexadecimal digits are eight of base 32."""
+    parts = [F.lpad(F.conv(F.substring(F.sha1(payload), 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def record(kind: str, record_id: str, uri: str | None, payload: bytes, payload_digest: str, refers_to: str | None = None) -> bytes:
@@ -90,6 +93,8 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
                 raise ValueError("the archive ends inside a record's head")
         head = bytes(buf[: end + 4])
         fields = parse_head(head[:-4])
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"a record's head has no content-length: {head[:200]!r}")
         n = int(fields["content-length"])
         if not need(end + 4 + n):
             raise ValueError("the archive ends inside a record")
@@ -147,9 +152,10 @@ def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
 def normalise(files: DataFrame, folder: str) -> DataFrame:
     """Rewrites every archive of files (file) with a gzip member a record, into folder; returns the index of all members.
 
-    Each archive is inflated once as a stream; memory holds one record. Beside each new archive lies its index as
-    <name>.index.csv (offset, length, type, record id).
+    Each archive is inflated once as a stream; memory holds one record and INDEX_ROWS lines of the index. Beside each new
+    archive lies its index as <name>.index.csv (offset, length, type, record id).
     """
+    names = [c.split()[0] for c in INDEX.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -159,18 +165,20 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 system, to = _open(target)
                 system.create_dir(to.rpartition("/")[0], recursive=True)
                 part, rows, at = f"{to}.{uuid.uuid4().hex}", [], 0
-                with source.open_input_stream(path, compression=None) as i, system.open_output_stream(part, compression=None) as o:
+                with source.open_input_stream(path, compression=None) as i, system.open_output_stream(part, compression=None) as o, system.open_output_stream(f"{part}.csv", compression=None) as side:
                     for f, head, block in records(inflated(i)):
                         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = z.compress(head + block + b"\r\n\r\n") + z.flush()
                         o.write(member)
                         rows.append((target, at, len(member), f.get("warc-type"), _identify(f.get("warc-record-id", "")), _identify(f["warc-refers-to"]) if "warc-refers-to" in f else None, f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:")))
                         at += len(member)
-                with system.open_output_stream(f"{part}.csv", compression=None) as o:
-                    o.write("".join(f"{r[1]},{r[2]},{r[3]},{r[4]}\n" for r in rows).encode())
+                        side.write(f"{rows[-1][1]},{rows[-1][2]},{rows[-1][3]},{rows[-1][4]}\n".encode())
+                        if len(rows) == INDEX_ROWS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
                 system.move(part, to)
                 system.move(f"{part}.csv", f"{to}.index.csv")
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("file").mapInPandas(run, INDEX)
 
@@ -206,16 +214,19 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0, archive_row
 
     Of records with equal payloads of at least min_bytes bytes the one with the largest page_id is the response; the
     others revisit it. Equality is that of length and SHA-1, summed up by an aggregate, so a payload that thousands of
-    pages share is no group of pairs. Null html is an empty payload. Rows that repeat a page_id with an equal payload are
-    revisits of one response; the row of the smallest url, and then any, is the response.
+    pages share is no group of pairs. Null html is an empty payload; a null page_id is smaller than any other. Of rows that
+    repeat the largest page_id with an equal payload, one is the response and the others revisit it. Other columns are
+    ignored. An empty table gives an empty index.
+
+    The rows are numbered once, in a saved table, so that all steps mean the same row whatever the files' splits. That table
+    and the whole archives are removed once the next step has written what it takes from them.
     """
     spark = pages.sparkSession
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sha = F.udf(lambda b: digest(bytes(b)), "string", useArrow=True)
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", body.alias("payload")).withColumn("payload_digest", sha("payload")).withColumn("bytes", F.length("payload").cast("long"))
-    keyed = saved(rows.select("row", "page_id", "url", "payload_digest", "bytes"), "warc-digests")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows, numbered_at = saved_at(rows.withColumn("payload_digest", digest(F.col("payload"))).withColumn("bytes", F.length("payload").cast("long")), "warc-numbered")
+    keyed = rows.select("row", "page_id", "payload_digest", "bytes")
     best = keyed.filter(F.col("bytes") >= min_bytes).groupBy("payload_digest", "bytes").agg(F.max(F.struct("page_id", "row")).alias("best"))
-    firsts = saved(keyed.hint("merge").join(best.hint("merge"), ["payload_digest", "bytes"], "left").select("row", F.col("best.row").alias("first_row"), F.col("best.page_id").alias("first_page")), "warc-firsts")
+    firsts = keyed.hint("merge").join(best.hint("merge"), ["payload_digest", "bytes"], "left").select("row", F.col("best.row").alias("first_row"), F.col("best.page_id").alias("first_page"))
     files = max(1, -(-keyed.count() // archive_rows))
     numbered = rows.repartition(files, "row").hint("merge").join(firsts.repartition(files, "row").hint("merge"), "row")  # the payloads' only shuffle
     revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
@@ -225,13 +236,15 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0, archive_row
 
     records_ = numbered.select(name(F.col("page_id"), F.col("row")).alias("record_id"), F.col("url").alias("uri"), F.when(~revisit, F.col("payload")).alias("payload"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, name(F.col("first_page"), F.col("first_row"))).alias("refers_to"), "payload_digest")
     written = saved(write_monolithic(records_, f"{folder}/whole"), "warc-written")
-    return saved(normalise(written.repartition(max(1, min(written.count(), 10_000)), "file"), f"{folder}/members"), "warc-index")
+    remove(spark, numbered_at)
+    index = saved(normalise(written.repartition(max(1, min(written.count(), 10_000)), "file"), f"{folder}/members"), "warc-index")
+    remove(spark, f"{folder}/whole")
+    return index
 
 
 def read_back(index: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to; revisits take the bytes of their response."""
-    sha = F.udf(lambda b: digest(bytes(b)) if b is not None else None, "string", useArrow=True)
-    got = read_records(index).select("record_id", "warc_type", F.col("refers_to").alias("refers"), F.col("payload_digest").alias("said"), F.length("payload").cast("long").alias("n"), sha("payload").alias("found"))
+    got = read_records(index).select("record_id", "warc_type", F.col("refers_to").alias("refers"), F.length("payload").cast("long").alias("n"), digest(F.col("payload")).alias("found"))
     got = saved(got, "warc-read")
     page = lambda c: F.when(F.split(c, ":")[2] != "none", F.split(c, ":")[2].cast("long"))
     own = got.filter("warc_type = 'response'").select(page(F.col("record_id")).alias("page_id"), F.col("n").alias("payload_bytes"), F.col("found").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))

@@ -56,6 +56,12 @@ def test_mix(docs, empty):
     again = {(r["doc_id"], r["source"], r["size"]): r["taken"] for r in mixing.mix_sources(docs.repartition(7)).collect()}
     assert again == {(r["doc_id"], r["source"], r["size"]): r["taken"] for r in rows}
     assert mixing.mix_sources(empty).count() == 0
+    wanted = sorted(str((r["doc_id"], r["source"], r["size"])) for r in rows for _ in range(r["copies"]))
+    clash = docs.selectExpr("*", "'x' AS _key", "1 AS _limit", "2 AS _h", "3 AS copies", "4 AS _times")
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns
+    assert sorted(str((r["doc_id"], r["source"], len((r["text"] or "").encode().split()))) for r in mixed.collect()) == wanted
+    assert mixing.mixed_documents(empty).count() == 0
 
 
 def brute_top(rows, k):
@@ -99,7 +105,7 @@ def test_maxscore_passes_over_lists_that_are_not_essential():
     assert read < 0.5 * 40 * 6000 * 64
     for q in range(40):
         s = x @ x[q]
-        s[q] = np.iinfo(np.int64).min
+        s[q] = -(10**15)
         top = np.lexsort((ids, -s))[:10]
         assert [(v, n) for a, v, n in found if a == q] == [(int(t), int(s[t])) for t in top]
 
