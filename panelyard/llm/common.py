@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)  # where saved tables go inside scratch
 
 
-def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    return f"{(None if keep else _folder.get()) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables saved inside, but those saved to keep, are removed at the end; what is kept must not read them."""
+    path = fresh_path(spark, name)
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        remove(spark, path)
+
+
+def saved_at(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again, and its path there."""
-    path = fresh_path(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written to the shared folder and read again: its lineage is cut and no later stage recomputes it."""
-    return saved_at(df, name)[0]
+    return saved_at(df, name, keep)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
