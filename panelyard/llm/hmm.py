@@ -204,14 +204,20 @@ def _by_symbol(symbols: np.ndarray, post: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(symbols, weights=post[:, k], minlength=n) for k in range(post.shape[1])], axis=1)
 
 
-def _batches(rows: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of rows, given by their numbers of tokens, of at most about BATCH_TOKENS tokens or of one longer text."""
-    first = n = 0
-    for i, k in enumerate(rows):
-        n += k
-        if n >= BATCH_TOKENS or i == len(rows) - 1:
-            yield first, i + 1
-            first, n = i + 1, 0
+def _batches(sizes: list[int]) -> Iterator[list[int]]:
+    """The places of all sizes (numbers of tokens) in batches of about BATCH_TOKENS tokens or of one longer text.
+
+    Texts of like length go together: a batch takes as many steps as its longest text has tokens.
+    """
+    few, n = [], 0
+    for i in np.argsort(-np.array(sizes, np.int64), kind="stable").tolist():
+        few.append(i)
+        n += sizes[i]
+        if n >= BATCH_TOKENS:
+            yield few
+            few, n = [], 0
+    if few:
+        yield few
 
 
 def _numbers(x: pa.BinaryScalar, kind: str) -> np.ndarray:
@@ -248,8 +254,8 @@ def estep(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n_symbols + s + 1, s))
         for b in batches:
-            for i, j in _batches(b.column(1).to_pylist()):
-                start, pairs, counts = expected([_numbers(x, "<u2") for x in b.column(0)[i:j]], shared.value)
+            for few in _batches(b.column(1).to_pylist()):
+                start, pairs, counts = expected([_numbers(b.column(0)[i], "<u2") for i in few], shared.value)
                 total += np.concatenate([counts, pairs, start[None]])
         yield pa.RecordBatch.from_arrays(_dense(total, names), names=names)
 
@@ -309,11 +315,12 @@ def last_estep(coded: DataFrame, model: Model, name: str, forms: int = FORMS) ->
                     here = int(blocks[lo])
                 for wanted in (True, False):
                     rows = [r for r in range(lo, hi) if train[r] is wanted]
-                    for i, j in _batches([sizes[r] for r in rows]):
-                        seqs = [_numbers(b.column(3)[r], "<u2") for r in rows[i:j]]
+                    for few in _batches([sizes[r] for r in rows]):
+                        few = [rows[i] for i in few]
+                        seqs = [_numbers(b.column(3)[r], "<u2") for r in few]
                         ids = np.concatenate(seqs)
                         is_rare = (ids > 0) & (ids <= forms)
-                        h, kind = np.concatenate([_numbers(b.column(4)[r], "<u8") for r in rows[i:j]]), ids[is_rare]
+                        h, kind = np.concatenate([_numbers(b.column(4)[r], "<u8") for r in few]), ids[is_rare]
                         sums = np.zeros((len(h), s + 1), np.float32)
                         if wanted:
                             start, pairs, where, post = posteriors(seqs, shared.value)
@@ -405,7 +412,7 @@ def score_texts(docs: DataFrame, training: str = "held_out = false", states: int
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "held_out", F.coalesce(F.expr(training), F.lit(False)).alias("train"), "text")
-    known = saved(token_counts(docs.filter("train")), "hmm-tokens")
+    known, counted = saved_at(token_counts(docs.filter("train")), "hmm-tokens")
     ends = docs.filter("train").count()
     words, types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = words + ends, types + (1 if ends else 0)
@@ -451,17 +458,18 @@ def score_texts(docs: DataFrame, training: str = "held_out = false", states: int
         all_logs = np.concatenate([logs, np.log10(n + 1.0)])
         seen = np.concatenate([np.ones(len(emit), np.int64), (n > 0).astype(np.int64)])
         seen[0] = int(ends > 0)
-        base, known_n, found = [], [], []
-        for i, j in _batches(texts["n_tokens"].tolist()):
+        ids, rare = texts["ids"].to_list(), texts["rare"].to_list()
+        base, known_n, found = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for few in _batches(texts["n_tokens"].tolist()):
             seqs = []
-            for ids, rare in zip(texts["ids"].iloc[i:j], texts["rare"].iloc[i:j]):
-                x = np.frombuffer(ids, "<u2").astype(np.int64)
-                x[(x > 0) & (x <= forms)] = len(emit) + np.searchsorted(h, np.frombuffer(rare, "<u8"))
+            for i in few:
+                x = np.frombuffer(ids[i], "<u2").astype(np.int64)
+                x[(x > 0) & (x <= forms)] = len(emit) + np.searchsorted(h, np.frombuffer(rare[i], "<u8"))
                 seqs.append(x)
-                base.append(float(all_logs[x].sum()) - len(x) * float(np.log10(all_n)))
-                known_n.append(int(seen[x].sum()))
-            found.append(forward(seqs, (start, moves, all_emit)))
-        return texts[["doc_id", "held_out", "n_tokens"]].assign(n_known=known_n, base_score=base, score=np.concatenate(found))[columns]
+                base[i] = all_logs[x].sum() - len(x) * np.log10(all_n)
+                known_n[i] = seen[x].sum()
+            found[few] = forward(seqs, (start, moves, all_emit))
+        return texts[["doc_id", "held_out", "n_tokens"]].assign(n_known=known_n, base_score=base, score=found)[columns]
 
     texts = coded.select("block", "doc_id", "held_out", "n_tokens", "ids", "rare")
     out = texts.groupBy("block").cogroup(emissions.select("block", "h", "form", "n", "q").groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
