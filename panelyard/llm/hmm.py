@@ -41,7 +41,7 @@ ROUNDS = 5
 PRIOR, FORM_PART = 200.0, 0.3
 BATCH_TOKENS = 300_000
 #: Tokens of a block of texts, about; a longer text is a block of its own.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 6_000_000
 FLUSH_TOKENS = 300_000
 #: Marks a rarer token while a text is coded.
 RARE = 0xFFFF
@@ -423,6 +423,7 @@ def score_texts(docs: DataFrame, training: str = "held_out = false", states: int
     rest = np.ones(forms + 1)  # add-one counts of the rarer tokens by form, one unseen token each; place 0 is not used
     for r in by_form.collect():  # forms rows at most
         rest[r["form"]] += r["n"] + r["types"]
+    remove(spark, counted)
     for w, n in top:
         rest[form(w, forms)] -= n + 1
     unigram = np.concatenate([[ends + 1 if ends else 1], rest[1:], [n + 1 for _, n in top]]).astype(np.float64)
