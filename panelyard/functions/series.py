@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -128,18 +130,24 @@ def drawdown(nav: str = "nav", keys: tuple[str, ...] = ("symbol",), order: str =
 def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """The first n changes give means, later ones are smoothed by 1 / n; 100 without losses, 50 without changes.
 
-    A true recurrence along the dates, so each symbol's closes go through one array in the order of their dates.
+    A missing close ends the run: its own change and the next are null, have no RSI, and the means start again after them.
+    A true recurrence along the dates, so each symbol's closes, a few thousand, are one group.
     """
-    rows = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("s"))
-    start = F.struct(F.lit(0).alias("k"), F.lit(None).cast("double").alias("prev"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.expr("cast(array() as array<struct<date: date, rsi: double>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        d = F.when(a["prev"].isNotNull(), x["close"] - a["prev"])
-        k = a["k"] + d.isNotNull().cast("int")
-        gain, loss = F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))
-        up = F.when(k <= n, a["up"] + gain / n).otherwise((a["up"] * (n - 1) + gain) / n)
-        down = F.when(k <= n, a["down"] + loss / n).otherwise((a["down"] * (n - 1) + loss) / n)
-        rsi = F.when(k < n, F.lit(None).cast("double")).when((up == 0) & (down == 0), 50.0).when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / F.nullif(down, F.lit(0.0))))
-        return F.struct(k.alias("k"), x["close"].alias("prev"), up.alias("up"), down.alias("down"), F.concat(a["out"], F.array(F.struct(x["date"].alias("date"), rsi.alias("rsi")))).alias("out"))
-
-    return rows.select("symbol", F.inline(F.aggregate("s", start, step)["out"]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", ignore_index=True)
+        d = pdf["close"].diff().where(lambda x: np.isfinite(x))
+        out = pd.Series(np.nan, pdf.index)
+        for _, part in d.groupby(d.isna().cumsum()):
+            part = part.dropna()
+            if len(part) >= n:
+                means = []
+                for x in (part.clip(lower=0), (-part).clip(lower=0)):
+                    later = pd.concat([pd.Series([x.iloc[:n].mean()], [x.index[n - 1]]), x.iloc[n:]])
+                    means.append(later.ewm(alpha=1 / n, adjust=False).mean())
+                up, down = means
+                rsi = 100 - 100 / (1 + up / down.where(down > 0))
+                out[up.index] = rsi.where(down > 0, np.where(up > 0, 100.0, 50.0))
+        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "rsi": out.astype(object).where(out.notna(), None)})
+
+    return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol string, date date, rsi double")

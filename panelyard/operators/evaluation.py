@@ -107,7 +107,7 @@ def linear_score(features: tuple[str, ...], coefficients: list[float]) -> Column
     return total
 
 
-def block_bootstrap(daily: DataFrame, samples: int = 200, block: int = 20, seed: int = 5, r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def block_bootstrap(daily: DataFrame, samples: int = 1000, block: int = 20, seed: int = 5, r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Mean and a 95 % interval of it by a circular block bootstrap.
 
     A block's sum is the difference of two prefix sums on the series wrapped once; starts are drawn by a hash of (seed,
@@ -119,13 +119,14 @@ def block_bootstrap(daily: DataFrame, samples: int = 200, block: int = 20, seed:
     prefix = twice.withColumn("upto", F.sum(r).over(W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0))).select(*keys, "i", "upto")
     sizes = d.select(*keys, "n").distinct()
     draws = sizes.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
-    draws = draws.withColumns({"start": F.pmod(F.xxhash64(F.lit(seed), "s", "b"), F.col("n")).cast("int"), "len": F.least(F.lit(block), F.col("n") - F.col("b") * block)})
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("s").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    draws = draws.withColumns({"start": F.floor(u * F.col("n")).cast("int"), "len": F.least(F.lit(block), F.col("n") - F.col("b") * block)})
     ends = draws.withColumn("last", F.col("start") + F.col("len") - 1).join(prefix.withColumnsRenamed({"i": "last", "upto": "hi"}).hint("merge"), [*keys, "last"])
     both = ends.withColumn("first", F.col("start") - 1).join(prefix.withColumnsRenamed({"i": "first", "upto": "lo"}).hint("merge"), [*keys, "first"], "left")
     means = both.groupBy(*keys, "s", "n").agg((F.sum(F.col("hi") - F.coalesce("lo", F.lit(0.0))) / F.col("n")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     ci = means.groupBy(*keys).agg(q[0].alias("low"), q[1].alias("high"))
-    return d.groupBy(*keys).agg(F.avg(r).alias("mean")).join(ci, list(keys))
+    return d.groupBy(*keys).agg(F.avg(r).alias("mean")).hint("merge").join(ci.hint("merge"), list(keys))
 
 
 def rigor_metrics(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symbol",), per_year: int = YEAR) -> DataFrame:

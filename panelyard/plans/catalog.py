@@ -489,6 +489,9 @@ def a8(spark, d):
 
 
 # 2.12 inference
-@query("i1_block_bootstrap")
+@query("i1_block_bootstrap", """WITH z AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE r IS NOT NULL), y AS (SELECT symbol, any_value(n) AS n FROM z GROUP BY symbol),
+ dr AS (SELECT symbol, s, b, n, CAST(floor(CAST('0x' || substr(md5('5|' || s || '|' || b), 1, 8) AS BIGINT) / 4294967296.0 * n) AS BIGINT) AS start FROM y, (SELECT unnest(range(1, 1001)) AS s), LATERAL (SELECT unnest(range(0, (n - 1) // 20 + 1)) AS b)),
+ ix AS (SELECT symbol, s, (start + k) % n AS i FROM dr, (SELECT unnest(range(0, 20)) AS k) WHERE b * 20 + k < n), m AS (SELECT symbol, s, avg(r) AS m FROM ix JOIN z USING (symbol, i) GROUP BY ALL)
+ SELECT symbol, mean, low, high FROM (SELECT symbol, avg(r) AS mean FROM z GROUP BY symbol) JOIN (SELECT symbol, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY symbol) USING (symbol)""", "mean low high")
 def i1(spark, d):
     return E.block_bootstrap(returns(spark, d))

@@ -60,7 +60,7 @@ def m3(spark, d):
 def m7(spark, d):
     label = B.panel(spark, d).select("symbol", "date", S.forward_label(5).alias("label"))
     x = G.model_features(features(spark, d)).join(label.hint("merge"), ["symbol", "date"]).filter("eligible")
-    return M.boosted_trees(x.filter(F.col("date") < "2000-06-01"), x, G.INPUTS, "label", iterations=10).select("symbol", "date", "score")
+    return M.boosted_trees(x.filter(F.col("date") < "2000-06-01"), x, G.INPUTS, "label", iterations=100).select("symbol", "date", "score")
 
 
 @query("m8_permutation_importance", f"""WITH x AS (SELECT * FROM ({_ROWS}) JOIN cal USING (date) WHERE r1 IS NOT NULL AND r5 IS NOT NULL AND label IS NOT NULL AND session_no % 10 = 0),
@@ -79,7 +79,7 @@ def excess(spark, d):
     return p.withColumn("_n", F.count("*").over(X.wd())).withColumn("r", X.demeaned("r")).filter("_n = 9").select("symbol", "date", "r")
 
 
-def _inference(source: str, samples: int = 50, block: int = 20) -> str:
+def _inference(source: str, samples: int = 1000, block: int = 20) -> str:
     u = "CAST('0x' || substr(md5('5|' || s || '|' || b), 1, 8) AS BIGINT) / 4294967296.0"
     return f"""WITH z AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({source})), n AS (SELECT max(n) AS n FROM z),
  dr AS (SELECT s, b, n, CAST(floor({u} * n) AS BIGINT) AS start FROM n, (SELECT unnest(range(1, {samples + 1})) AS s), LATERAL (SELECT unnest(range(0, (n - 1) // {block} + 1)) AS b)),
@@ -95,7 +95,7 @@ _P = "annual_mean lower upper familywise_p global_p"
 
 @query("i2_max_mean", _inference(_EXCESS), _P)
 def i2(spark, d):
-    return M.max_mean_inference(excess(spark, d), 50, 20, 5, 52)
+    return M.max_mean_inference(excess(spark, d), 1000, 20, 5, 52)
 
 
 @query("i4_paired_difference", _inference("SELECT 'S1-S2' AS symbol, a.date, a.r - b.r AS r FROM r a JOIN r b ON a.date = b.date AND a.symbol = 'S1' AND b.symbol = 'S2' WHERE a.r - b.r IS NOT NULL"), _P)
@@ -103,7 +103,7 @@ def i4(spark, d):
     r = B.panel(spark, d).withColumn("r", S.change("close")).select("symbol", "date", "r")
     side = lambda s, c: r.filter(F.col("symbol") == s).select("date", F.col("r").alias(c))
     diff = side("S1", "_a").join(side("S2", "_b").hint("merge"), "date").select(F.lit("S1-S2").alias("symbol"), "date", (F.col("_a") - F.col("_b")).alias("r")).filter("r is not null")
-    return M.max_mean_inference(diff, 50, 20, 5, 52)
+    return M.max_mean_inference(diff, 1000, 20, 5, 52)
 
 
 @query("i3_sharpe_evidence")

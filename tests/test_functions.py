@@ -119,3 +119,14 @@ def test_capped_weights(spark):
             if not over or len(held) == len(v):
                 break
         assert got[k] == pytest.approx([0.4 if i in held else x for i, x in enumerate(w)])
+
+
+def test_rsi_starts_again_after_a_gap(spark):
+    from datetime import date
+
+    from panelyard.functions import series
+
+    closes = [10.0, 11.0, 10.5, None, 12.0, 11.0, 13.0, 12.5]
+    bars = spark.createDataFrame([("A", date(2020, 1, i + 1), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
+    got = [r["rsi"] for r in series.wilder_rsi(bars, 2).orderBy("date").collect()]
+    assert [x and round(x, 1) for x in got] == [None, None, 66.7, None, None, None, 66.7, 50.0]
