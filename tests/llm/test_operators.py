@@ -383,3 +383,123 @@ def test_toxicity(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
     out = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect()}
     assert all((out[i] >= 0.5) == (i % 3 == 0) for i in range(200, 300)) and out[400] == out[401] and 0 <= out[400] <= 1
+
+
+def test_extract_takes_whole_pages_and_clashing_columns(spark, empty):
+    rows = [(1, "u", None, "a"), (2, "u", "", "b"), (3, "u", "<p>First, text.</p>" * 5000, "c"), (3, "u", "<p>First, text.</p>" * 5000, "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _html string").withColumn("text", F.lit("old"))
+    got = html_text.extract(df).orderBy("page_id").collect()
+    assert [(r["page_id"], r["_html"], len(r["text"])) for r in got] == [(1, "a", 0), (2, "b", 0), (3, "c", 5000 * 13 - 1), (3, "c", 5000 * 13 - 1)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_layout_wrappers_keep_their_article():
+    story = "".join(f"<p>A sentence of the story, number {i}, with some words.</p>" for i in range(6))
+    for wrapper in ("<div class='has-sidebar'>{}</div>", "<div class='content share-enabled'>{}</div>", "<div class='post tag-news'>{}</div>", "<form action=/>{}</form>"):
+        page = "<body>" + wrapper.format(f"<div class=x>{story}</div><div class=sidebar><p>Aside, with words.</p></div>") + "</body>"
+        assert html_text.main_text(page) == "\n".join(f"A sentence of the story, number {i}, with some words." for i in range(6))
+    assert html_text.main_text(f"<div>{story}</div><div id=comments>{'<p>I think, well, that it is long.</p>' * 40}</div>").count("\n") == 5
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for piece in ('<a href="', "<div><a href=x>l</a><a>m</a><a>n</a>", "<b>x", "<svg>", "</span><div>"):
+        began = time.time()
+        html_text.main_text(piece * 20_000)
+        assert time.time() - began < 20
+
+
+def test_special_tokens_have_the_ids_of_tokenizers():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext", " two  spaces\n\n and more ", ""):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def fewest_bins(sizes, capacity):
+    """The fewest bins by trying every placement."""
+    best = len(sizes)
+
+    def place(i, fill):
+        nonlocal best
+        if len(fill) >= best:
+            return
+        if i == len(sizes):
+            best = len(fill)
+            return
+        for b in range(len(fill)):
+            if fill[b] + sizes[i] <= capacity:
+                place(i + 1, [*fill[:b], fill[b] + sizes[i], *fill[b + 1 :]])
+        place(i + 1, [*fill, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_the_optimum_of_tiny_inputs(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(1, 8))]
+        least = fewest_bins(sorted(sizes, reverse=True), 10)
+        bins = packing.best_fit_decreasing(np.array(sizes), 10)[2]
+        assert packing.lower_bound(np.bincount(sizes, minlength=11), 10) <= least <= len(bins) <= least * 11 / 9 + 1
+    sizes = [rng.randint(1, 9) for _ in range(400)]
+    cut = spark.createDataFrame([(i, 0, s) for i, s in enumerate(sizes)], "row long, piece int, length int")
+    counts = [len({r["sequence_id"] for r in packed.collect()}) for packed in (packing.packed(cut, 10, 20), packing.packed(cut, 10, 1000))]
+    assert packing.lower_bound(np.bincount(sizes, minlength=11), 10) <= counts[1] <= counts[0] <= counts[1] * 1.1 + 1
+
+
+def test_clashing_columns_stay(docs, spark):
+    clash = docs.limit(20).selectExpr("*", "'a' AS _host", "'b' AS _lines", "'c' AS _kept", "'d' AS _m", "'e' AS _t", "'f' AS _row", "'g' AS t").cache()
+    for out in (line_dedup.line_dedup(clash), quality.quality(clash), toxicity.scored(clash, np.zeros(toxicity.BUCKETS + 1, np.float32)), near_copies.drop_near_copies(clash)):
+        assert {(r["_host"], r["_lines"], r["_kept"], r["_m"], r["_t"], r["_row"], r["t"]) for r in out.collect()} == {tuple("abcdefg")}
+
+
+def test_toxicity_with_empty_tables_and_conflicting_labels(docs, empty, spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(docs, none)
+    assert all(r["score"] == 0.5 for r in toxicity.scored(docs, model).collect())
+    assert toxicity.scored(empty, model).count() == 0 and len(toxicity.train(empty, none)) == toxicity.BUCKETS + 1
+    both = spark.createDataFrame([(i, t) for i in range(20) for t in (0, 1)], "doc_id long, toxic int")
+    assert all(abs(r["score"] - 0.5) < 0.2 for r in toxicity.scored(docs.filter("doc_id < 20"), toxicity.train(docs, both)).collect())
+
+
+def test_pipeline_stages_on_awkward_documents(docs, empty, spark):
+    """Nulls, empty and very long texts, repeated rows and empty tables go through every stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+        out = stage(spark, docs, "")
+        rows = out.collect()
+        if name != "pack":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        ids = [r["doc_id"] for r in rows]
+        if name == "quality rules":
+            assert all(len((r["text"] or "").split()) >= 10 for r in rows)
+        elif name == "near dedup":
+            assert len(ids) == len(set(ids)) and ids.count(0) == 1 and 123 not in ids
+        elif name == "mix":
+            assert max(ids.count(i) for i in set(ids) - {5}) <= 2
+        elif name == "pack":
+            assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) - 1  # one document is there twice
+
+
+@pytest.mark.parametrize("name", ["op2_maxscore", "op5_line_dedup"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from panelyard.llm.registry import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    cur = con.execute(ORACLE_SQL[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str(tuple(r)) for r in df.select(*names).collect()) == sorted(map(str, cur.fetchall()))
