@@ -74,7 +74,7 @@ def equal_weight_account(panel: DataFrame, bps: float, cadence: int, calendar: D
     panel(date, symbol, r) holds the returns from each date to the next; dates without a return are not held.
     """
     blocks = rebalance_blocks(calendar, cadence)
-    held = panel.filter(F.col(r).isNotNull()).select("date", "symbol", F.col(r).alias("r")).join(F.broadcast(blocks), "date")
+    held = panel.filter(F.col(r).isNotNull()).select("date", "symbol", F.col(r).alias("r")).join(blocks, "date")
     first = held.filter("is_rebalance").select("block", "symbol").distinct()
     sized = first.withColumn("target", 1 / F.count("*").over(W.partitionBy("block")))
     book = drifted_weights(held.join(sized, ["block", "symbol"]))
@@ -104,11 +104,11 @@ def close_marked_account(prices: DataFrame, targets: DataFrame, calendar: DataFr
     cal = rebalance_blocks(calendar, cadence).withColumn("_last", F.max("session_no").over(W.partitionBy(F.lit(1))))
     p = prices.withColumn("_prev", F.lag("close").over(W.partitionBy("symbol").orderBy("date"))).select("date", "symbol", "open", "close", "_prev")
     first = cal.filter("is_rebalance").select("block", F.col("decision_date").alias("date"))
-    held = targets.filter("weight > 0").select("date", "symbol", F.col("weight").alias("_t")).join(F.broadcast(first), "date").select("block", "symbol", "_t")
+    held = targets.filter("weight > 0").select("date", "symbol", F.col("weight").alias("_t")).join(first, "date").select("block", "symbol", "_t")
     # a block's sessions and, as its end, the open at which the next one trades
     ends = cal.filter("is_rebalance and block > 0").select((F.col("block") - 1).alias("block"), "date", "session_no", F.lit(True).alias("_end"))
     marks = cal.select("block", "date", "session_no", F.lit(False).alias("_end")).unionByName(ends)
-    book = held.join(F.broadcast(marks), "block").join(p, ["date", "symbol"], "left")
+    book = held.join(marks, "block").join(p, ["date", "symbol"], "left")
     w = W.partitionBy("block", "symbol").orderBy("session_no")
     start = F.min("session_no").over(W.partitionBy("block", "symbol"))
     gap = F.coalesce(F.when(F.col("session_no") > start, F.col("open") / F.col("_prev")), F.lit(1.0))
@@ -127,7 +127,7 @@ def close_marked_account(prices: DataFrame, targets: DataFrame, calendar: DataFr
     at = lambda m: F.transform(names, lambda s: F.coalesce(F.element_at(F.col(m), s), F.lit(0.0)))
     chain = W.partitionBy(F.lit(1)).orderBy("block").rowsBetween(W.unboundedPreceding, 0)  # one row a block of one book
     b = b.withColumn("_fee", trading_cost(at("_old"), at("_new"), rate)).withColumn("_n", F.product(F.col("_u") * (1 - F.col("_fee"))).over(chain))
-    s = d.filter("not _end").join(b.select("block", "_n", "_fee", "_u", "_uo", "_um").hint("merge"), "block").join(F.broadcast(cal.select("date", "is_rebalance", "_last")), "date")
+    s = d.filter("not _end").join(b.select("block", "_n", "_fee", "_u", "_uo", "_um").hint("merge"), "block").join(cal.select("date", "is_rebalance", "_last"), "date")
     s = s.withColumn("_sold", F.when(F.col("session_no") == F.col("_last"), rate * F.col("_n") * F.col("_c")).otherwise(0.0)).withColumn("nav", F.col("_n") * F.col("_pc") - F.col("_sold"))
     one = W.partitionBy(F.lit(1)).orderBy("session_no")
     s = s.withColumn("nav_before", F.coalesce(F.lag("nav").over(one), F.lit(1.0)))

@@ -20,11 +20,9 @@ def return_metrics(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("sym
 
 def tail_stats(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """A2: bias-corrected skew, first percentile, mean of the worst 5 % and the worst value."""
-    d = daily.filter(F.col(r).isNotNull())
+    d = daily.filter(F.col(r).isNotNull()).withColumn("_p05", F.percentile(r, 0.05).over(W.partitionBy(*keys)))
     n = F.count("*")
-    g = d.groupBy(*keys).agg(F.when(n > 2, F.skewness(r) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.percentile(r, 0.01).alias("p01"), F.percentile(r, 0.05).alias("_p05"), F.min(r).alias("worst"))
-    es = d.join(g.select(*keys, "_p05"), list(keys)).filter(F.col(r) <= F.col("_p05")).groupBy(*keys).agg(F.avg(r).alias("shortfall"))
-    return g.join(es, list(keys)).drop("_p05")
+    return d.groupBy(*keys).agg(F.when(n > 2, F.skewness(r) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.percentile(r, 0.01).alias("p01"), F.min(r).alias("worst"), F.avg(F.when(F.col(r) <= F.col("_p05"), F.col(r))).alias("shortfall"))
 
 
 def window_outcomes(daily: DataFrame, h: int = 20, r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -130,20 +128,23 @@ def block_bootstrap(daily: DataFrame, samples: int = 1000, block: int = 20, seed
 
 
 def rigor_metrics(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symbol",), per_year: int = YEAR) -> DataFrame:
-    """A3: Sortino and Calmar ratios, beta to r_mkt, mean of the worst 5 %, shares of positive months and years."""
-    d = daily.filter(F.col(r).isNotNull())
-    down = F.sqrt(F.avg(F.pow(F.least(F.col(r), F.lit(0.0)), F.lit(2.0))) * per_year)
-    g = d.groupBy(*keys).agg((F.avg(r) * per_year / F.nullif(down, F.lit(0.0))).alias("sortino"), (F.covar_samp(r, "r_mkt") / F.nullif(F.var_samp(F.when(F.col(r).isNotNull(), F.col("r_mkt"))), F.lit(0.0))).alias("beta"))
-    base = return_metrics(d, r, keys, per_year).select(*keys, (F.col("cagr") / F.nullif(-F.col("max_drawdown"), F.lit(0.0))).alias("calmar"))
-    tail = tail_stats(d, r, keys).select(*keys, F.col("shortfall").alias("tail_loss"))
-
-    def positive(unit: str, name: str) -> DataFrame:
-        p = d.groupBy(*keys, F.date_trunc(unit, "date").alias("_u")).agg(F.sum(F.log1p(r)).alias("_g"))
-        return p.groupBy(*keys).agg(F.avg((F.col("_g") > 0).cast("double")).alias(name))
+    """A3: Sortino and Calmar ratios, beta to r_mkt, mean of the worst 5 %, shares of positive months and years.
 
-    for other in (base, tail, positive("month", "monthly_consistency"), positive("year", "annual_consistency")):
-        g = g.join(other, list(keys))
-    return g
+    One shuffle on the keys serves all windows and the aggregate: daily is read once.
+    """
+    whole = W.partitionBy(*keys)
+    run = whole.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    d = daily.filter(F.col(r).isNotNull()).withColumns({"_nav": F.product(1 + F.col(r)).over(run), "_p05": F.percentile(r, 0.05).over(whole)})
+    d = d.withColumn("_dd", F.col("_nav") / F.greatest(F.lit(1.0), F.max("_nav").over(run)) - 1)
+    for unit in ("month", "year"):  # a unit's growth, on one of its rows
+        w = W.partitionBy(*keys, F.date_trunc(unit, "date"))
+        d = d.withColumn(f"_{unit}", F.when(F.row_number().over(w.orderBy("date")) == 1, (F.sum(F.log1p(r)).over(w) > 0).cast("double")))
+    down = F.sqrt(F.avg(F.pow(F.least(F.col(r), F.lit(0.0)), F.lit(2.0))) * per_year)
+    cagr = F.pow(F.exp(F.sum(F.log1p(r))), per_year / F.count("*")) - 1
+    return d.groupBy(*keys).agg(
+        (F.avg(r) * per_year / F.nullif(down, F.lit(0.0))).alias("sortino"), (F.covar_samp(r, "r_mkt") / F.nullif(F.var_samp("r_mkt"), F.lit(0.0))).alias("beta"), (cagr / F.nullif(-F.min("_dd"), F.lit(0.0))).alias("calmar"),
+        F.avg(F.when(F.col(r) <= F.col("_p05"), F.col(r))).alias("tail_loss"), F.avg("_month").alias("monthly_consistency"), F.avg("_year").alias("annual_consistency"),
+    )
 
 
 def lot_metrics(lots: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -75,7 +75,7 @@ def forecast_freeze(forecasts: DataFrame, clock: DataFrame, key: str = "version"
     of a (version, session) is accepted.
     """
     c = clock.select(F.col("date").alias("decision_date"), "known_at", "earliest_execution_at")
-    j = forecasts.join(F.broadcast(c), "decision_date", "left")  # a clock has one row a session
+    j = forecasts.join(c, "decision_date", "left")
     off = F.when(F.col("known_at").isNull(), "unknown").when(F.col("issued_at") < F.col("known_at"), "early").when(F.coalesce(F.col("issued_at") >= F.col("earliest_execution_at"), F.lit(False)), "late")
     j = j.withColumn("_off", off)
     first = F.row_number().over(W.partitionBy(key, "decision_date", F.col("_off").isNull()).orderBy("issued_at", "forecast_id"))

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Width of the cells in which lots are matched, in average fills of their symbol.
+CELL_FILLS = 32.0
+
 
 def bitemporal_asof(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """Per (decision_at, symbol), the latest fact in effect that was known by then; null if none.
 
-    An equi-join on the symbol with both time conditions, then a maximum with map-side combine.
+    A fact counts from the later of its two times on. Facts and decisions are laid on one time line of the symbol, and
+    each decision takes the running maximum of the facts before it: one shuffle, no facts by decisions. Facts without one
+    of the times never count.
     """
-    f = facts.select("symbol", "effective_at", "known_at", "value")
-    j = decisions.join(f, "symbol").filter((F.col("effective_at") <= F.col("decision_at")) & (F.col("known_at") <= F.col("decision_at")))
-    best = j.groupBy("symbol", "decision_at").agg(F.max_by("value", F.struct("effective_at", "known_at", "value")).alias("value"))
-    return decisions.join(best, ["symbol", "decision_at"], "left")
+    at = dict(decisions.dtypes)["decision_at"]
+    f = facts.select("symbol", F.greatest("effective_at", "known_at").cast(at).alias("_at"), F.lit(0).alias("_kind"), F.struct("effective_at", "known_at", "value").alias("_fact")).filter("_fact.effective_at is not null and _fact.known_at is not null")
+    d = decisions.select("symbol", F.col("decision_at").alias("_at"), F.lit(1).alias("_kind"), F.struct(*decisions.columns).alias("_row"))
+    w = W.partitionBy("symbol").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    line = f.unionByName(d, allowMissingColumns=True).withColumn("_best", F.max("_fact").over(w))
+    return line.filter("_kind = 1").select("_row.*", F.when(F.col("_at").isNotNull(), F.col("_best.value")).alias("value"))
 
 
 def position_diff(expected: DataFrame, actual: DataFrame, key: str = "symbol") -> DataFrame:
@@ -25,19 +32,26 @@ def position_diff(expected: DataFrame, actual: DataFrame, key: str = "symbol") -
     return j.filter(F.col("expected") != F.col("actual"))
 
 
-def fifo_lots(fills: DataFrame) -> DataFrame:
+def fifo_lots(fills: DataFrame, slot: Column | None = None) -> DataFrame:
     """Sells against the oldest buys of their symbol, as an overlap join of cumulative quantities.
 
-    fills: symbol, seq, sell, price, size. Sells beyond what is bought stay unmatched. The running quantities are cut at a
-    grid of their own width, so that each fill meets only fills of the cells that it spans, not its symbol's whole history.
+    fills: symbol, seq, sell, price, size. Sells beyond what is bought stay unmatched. slot: a part of the order that seq
+    gives, such as its month. Quantities run inside slots and start from the sum of the slots before, so no task holds a
+    symbol's whole history. The running quantities are cut at a grid CELL_FILLS average fills of the symbol wide, so that
+    each fill meets only fills of the cells that it spans.
     """
-    w = W.partitionBy("symbol", "sell").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    runs = fills.withColumn("z", F.sum("size").over(w)).withColumn("a", F.col("z") - F.col("size"))
-    cell = 1000.0
+    f = fills.withColumn("_slot", slot if slot is not None else F.lit(0))
+    sums = f.groupBy("symbol", "sell", "_slot").agg(F.sum("size").alias("_q"), F.count("*").alias("_c"))
+    mean = F.sum("_q").over(W.partitionBy("symbol")) / F.sum("_c").over(W.partitionBy("symbol"))
+    earlier = F.coalesce(F.sum("_q").over(W.partitionBy("symbol", "sell").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select("symbol", "sell", "_slot", earlier.alias("_from"), F.coalesce(CELL_FILLS * F.nullif(mean, F.lit(0.0)), F.lit(1.0)).alias("width"))
+    w = W.partitionBy("symbol", "sell", "_slot").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    runs = f.hint("merge").join(sums.hint("merge"), ["symbol", "sell", "_slot"]).withColumn("z", F.col("_from") + F.sum("size").over(w)).withColumn("a", F.col("z") - F.col("size"))
+    cell = F.col("width")
     cells = runs.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / cell), F.floor(F.col("z") / cell))))
-    buys = cells.filter("not sell").select("symbol", "cell", F.col("a").alias("ba"), F.col("z").alias("bz"), F.col("price").alias("buy_price"), F.col("seq").alias("bought"))
+    buys = cells.filter("not sell").select("symbol", "cell", "width", F.col("a").alias("ba"), F.col("z").alias("bz"), F.col("price").alias("buy_price"), F.col("seq").alias("bought"))
     sells = cells.filter("sell").select("symbol", "cell", F.col("a").alias("sa"), F.col("z").alias("sz"), F.col("price").alias("sell_price"), F.col("seq").alias("sold"))
-    j = buys.join(sells, ["symbol", "cell"])
+    j = buys.hint("merge").join(sells.hint("merge"), ["symbol", "cell"])
     start, units = F.greatest("ba", "sa"), F.least("bz", "sz") - F.greatest("ba", "sa")
     j = j.filter((units > 0) & (F.col("cell") == F.floor(start / cell)))  # the overlap is counted in its first cell
     return j.select("symbol", "bought", "sold", "buy_price", "sell_price", units.alias("units"), (units * (F.col("sell_price") - F.col("buy_price"))).alias("pnl"))

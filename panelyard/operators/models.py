@@ -106,7 +106,7 @@ def permutation_importance(panel: DataFrame, calendar: DataFrame, features: tupl
     """
     d = W.partitionBy("date").orderBy("symbol")
     whole = W.partitionBy("date").orderBy("symbol").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    p = panel.dropna(subset=[*features, label]).join(F.broadcast(calendar.filter(F.col("session_no") % every == 0).select("date")), "date")
+    p = panel.dropna(subset=[*features, label]).join(calendar.filter(F.col("session_no") % every == 0).select("date"), "date")
     p = p.withColumns({f"_{f}": F.coalesce(F.lag(f).over(d), F.last(f).over(whole)) for f in features})
     err = lambda cols: F.pow(score(cols) - F.col(label), F.lit(2.0))
     plain = {f: F.col(f) for f in features}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 FIELDS = ("open", "high", "low", "close", "adj_close", "volume")
 
@@ -31,13 +32,19 @@ def ohlc_geometry(bars: DataFrame, tolerance: float = 1e-5) -> DataFrame:
 def session_gaps(bars: DataFrame, calendar: DataFrame, own_range: bool = False) -> DataFrame:
     """V4, V5: (symbol, date) of the calendar without a bar, over the whole calendar or each symbol's own range.
 
-    Symbols are joined to the calendar of a few thousand dates; nothing is filled in.
+    Sessions are numbered; a gap is a step of more than one between a symbol's neighbouring bars, so only missing rows are
+    made, never symbols by dates. Bars outside the calendar are passed over, repeated bars count once; symbols without any
+    bar of the calendar have no rows.
     """
-    ranges = bars.groupBy("symbol").agg(F.min("date").alias("_a"), F.max("date").alias("_z"))
-    span = calendar.agg(F.sort_array(F.collect_set("date")).alias("_d"))
-    wanted = ranges.join(F.broadcast(span), F.lit(True)).select("symbol", "_a", "_z", F.explode("_d").alias("date"))
-    wanted = wanted.filter(F.col("date").between(F.col("_a"), F.col("_z"))) if own_range else wanted
-    return wanted.select("symbol", "date").join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    numbered = calendar.select("date").distinct().withColumns({"_no": F.row_number().over(W.orderBy("date")), "_all": F.count("*").over(W.partitionBy(F.lit(1)))})
+    w = W.partitionBy("symbol").orderBy("_no")
+    own = bars.select("symbol", "date").join(numbered, "date")
+    first, past = (F.col("_no") - 1, F.col("_no") + 1) if own_range else (F.lit(0), F.col("_all") + 1)
+    steps = own.withColumns({"_a": F.coalesce(F.lag("_no").over(w), first), "_last": F.lead("_no").over(w).isNull()})
+    before = steps.select("symbol", F.col("_a").cast("int").alias("_a"), F.col("_no").cast("int").alias("_z"))
+    after = steps.filter("_last").select("symbol", F.col("_no").cast("int").alias("_a"), past.cast("int").alias("_z"))
+    gaps = before.unionByName(after).filter("_z - _a > 1").select("symbol", F.explode(F.expr("sequence(_a + 1, _z - 1)")).alias("_no"))
+    return gaps.hint("merge").join(numbered.select("_no", "date").hint("merge"), "_no").select("symbol", "date")
 
 
 def adjustment_identity(bars: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ _FILLS = f"SELECT symbol, l_returnflag = 'R' AS sell, price, l_quantity AS q, su
 
 @query("a3_lot_metrics", f"WITH f AS ({_FILLS}), t AS (SELECT b.symbol, s.price / b.price - 1 AS ret, (least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q)) * (s.price - b.price) AS pnl FROM f b JOIN f s ON b.symbol = s.symbol AND NOT b.sell AND s.sell AND least(b.z, s.z) > greatest(b.z - b.q, s.z - s.q)) SELECT symbol, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(ret) FILTER (pnl > 0) AS average_winner, avg(ret) FILTER (pnl < 0) AS average_loser, sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0) AS profit_factor FROM t GROUP BY symbol", "hit_rate average_winner average_loser profit_factor")
 def a3l(spark, d):
-    return E.lot_metrics(J.fifo_lots(B.ticks(spark, d)))
+    return E.lot_metrics(J.fifo_lots(B.ticks(spark, d), F.date_trunc("month", "ts")))
 
 
 @query("a6_attribution", f"SELECT symbol, coalesce(gross, 0) AS gross, coalesce(fees, 0) AS fees, coalesce(gross, 0) - coalesce(fees, 0) AS net FROM (SELECT t.symbol, sum(weight * nx) AS gross FROM ({_TOP}) t JOIN (SELECT symbol, date, lead(close) {WSQL} / close - 1 AS nx FROM bars) n ON t.symbol = n.symbol AND t.date = n.date WHERE weight > 0 GROUP BY 1) FULL JOIN (SELECT symbol, sum(weight * 0.0005) AS fees FROM ({_TOP}) GROUP BY 1) USING (symbol)", "gross fees net")

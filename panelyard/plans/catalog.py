@@ -391,7 +391,7 @@ def j8(spark, d):
 
 @query("j10_fifo_lots", f"WITH f AS (SELECT symbol, l_returnflag = 'R' AS sell, price, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY symbol, l_returnflag = 'R' ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS z FROM ticks) SELECT b.symbol, count(*) AS lots, sum(least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q)) AS units, sum((least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q)) * (s.price - b.price)) AS pnl FROM f b JOIN f s ON b.symbol = s.symbol AND NOT b.sell AND s.sell AND least(b.z, s.z) > greatest(b.z - b.q, s.z - s.q) GROUP BY b.symbol", "units pnl")
 def j10(spark, d):
-    return J.fifo_lots(B.ticks(spark, d)).groupBy("symbol").agg(F.count("*").alias("lots"), F.sum("units").alias("units"), F.sum("pnl").alias("pnl"))
+    return J.fifo_lots(B.ticks(spark, d), F.date_trunc("month", "ts")).groupBy("symbol").agg(F.count("*").alias("lots"), F.sum("units").alias("units"), F.sum("pnl").alias("pnl"))
 
 
 @query("l8_order_state", "WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS filled, sum(l_quantity * l_extendedprice) / nullif(sum(l_quantity), 0) AS average_price FROM lineitem GROUP BY 1) SELECT o_orderkey AS order_ref, coalesce(filled, 0) AS filled, average_price, CASE WHEN coalesce(filled, 0) >= 100 THEN 'FILLED' WHEN coalesce(filled, 0) > 0 THEN 'PARTIALLY_FILLED' WHEN o_orderstatus = 'O' THEN 'ACKNOWLEDGED' ELSE 'NOT_SUBMITTED' END AS state FROM orders LEFT JOIN f ON k = o_orderkey", "filled average_price", prelude=False)
