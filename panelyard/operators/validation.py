@@ -40,10 +40,9 @@ def session_gaps(bars: DataFrame, calendar: DataFrame, own_range: bool = False)
     w = W.partitionBy("symbol").orderBy("_no")
     own = bars.select("symbol", "date").join(numbered, "date")
     first, past = (F.col("_no") - 1, F.col("_no") + 1) if own_range else (F.lit(0), F.col("_all") + 1)
-    steps = own.withColumns({"_a": F.coalesce(F.lag("_no").over(w), first), "_last": F.lead("_no").over(w).isNull()})
-    before = steps.select("symbol", F.col("_a").cast("int").alias("_a"), F.col("_no").cast("int").alias("_z"))
-    after = steps.filter("_last").select("symbol", F.col("_no").cast("int").alias("_a"), past.cast("int").alias("_z"))
-    gaps = before.unionByName(after).filter("_z - _a > 1").select("symbol", F.explode(F.expr("sequence(_a + 1, _z - 1)")).alias("_no"))
+    pair = lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"))
+    steps = F.array_compact(F.array(pair(F.coalesce(F.lag("_no").over(w), first), F.col("_no")), F.when(F.lead("_no").over(w).isNull(), pair(F.col("_no"), past))))
+    gaps = own.select("symbol", steps.alias("_s")).select("symbol", F.explode("_s").alias("_s")).filter("_s.z - _s.a > 1").select("symbol", F.explode(F.expr("sequence(_s.a + 1, _s.z - 1)")).alias("_no"))
     return gaps.hint("merge").join(numbered.select("_no", "date").hint("merge"), "_no").select("symbol", "date")
 
 

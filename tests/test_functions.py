@@ -130,3 +130,56 @@ def test_rsi_starts_again_after_a_gap(spark):
     bars = spark.createDataFrame([("A", date(2020, 1, i + 1), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
     got = [r["rsi"] for r in series.wilder_rsi(bars, 2).orderBy("date").collect()]
     assert [x and round(x, 1) for x in got] == [None, None, 66.7, None, None, None, 66.7, 50.0]
+
+
+def test_session_gaps_by_hand(spark):
+    from panelyard.operators import validation as V
+
+    day = lambda n: dt.date(2020, 1, n)
+    bars = spark.createDataFrame([("a", day(2)), ("a", day(5)), ("a", day(5)), ("b", day(1)), ("b", day(9))], "symbol string, date date")
+    cal = spark.createDataFrame([(day(n),) for n in range(1, 7)], "date date")
+    got = lambda own: sorted((r["symbol"], r["date"].day) for r in V.session_gaps(bars, cal, own).collect())
+    assert got(True) == [("a", 3), ("a", 4)]
+    assert got(False) == [("a", n) for n in (1, 3, 4, 6)] + [("b", n) for n in (2, 3, 4, 5, 6)]
+    assert V.session_gaps(bars.limit(0), cal).isEmpty()
+
+
+def test_asof_joins_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    at = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(hours=n)
+    when = lambda: rng.choice([None, *range(20)])
+    raw = [(rng.choice("abc"), when(), when(), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(200)]
+    facts = [(s, e if e is None else at(e), k if k is None else at(k), v) for s, e, k, v in raw]
+    wanted = [(s, at(n), f"{s}{n}") for s in "abcd" for n in (-1, 0, 5, 5, 19)] + [("a", None, "none")]
+    f = spark.createDataFrame(facts, "symbol string, effective_at timestamp_ntz, known_at timestamp_ntz, value double")
+    d = spark.createDataFrame(wanted, "symbol string, decision_at timestamp_ntz, note string")
+    got = sorted((r["note"], r["value"] or 0.0) for r in J.bitemporal_asof(f, d).collect())
+
+    def best(s, t):
+        seen = [(e, k, v or 0.0) for x, e, k, v in facts if x == s and t and e and k and e <= t and k <= t]
+        return max(seen)[2] if seen else 0.0
+
+    assert got == sorted((n, best(s, t)) for s, t, n in wanted)
+
+
+def test_fifo_lots_slots_do_not_matter(spark):
+    import random
+
+    rng = random.Random(8)
+    fills = [(rng.choice("ab"), i, rng.random() < 0.5, float(rng.randint(1, 9)), float(rng.choice([1, 2, 50, 400]))) for i in range(300)]
+    df = spark.createDataFrame(fills, "symbol string, seq int, sell boolean, price double, size double")
+    want = []
+    for s in "ab":
+        open_ = [[i, p, q] for x, i, sell, p, q in fills if x == s and not sell]
+        for _, i, _, p, q in [r for r in fills if r[0] == s and r[2]]:
+            while q > 0 and open_:
+                units = min(q, open_[0][2])
+                want.append((s, open_[0][0], i, units, units * (p - open_[0][1])))
+                q, open_[0][2] = q - units, open_[0][2] - units
+                if open_[0][2] == 0:
+                    open_.pop(0)
+    for slot in (None, F.floor(F.col("seq") / 20)):
+        got = sorted((r["symbol"], r["bought"], r["sold"], r["units"], r["pnl"]) for r in J.fifo_lots(df, slot).collect())
+        assert got == sorted(want)
