@@ -459,14 +459,27 @@ def m5(spark, d):
     return E.gram(p, ("r1", "r5"), "label")
 
 
-@query("m2_m6_ridge_scores")
+@query("m2_m6_ridge_scores", f"""WITH x AS (SELECT symbol, date, close / lag(close, 1) {WSQL} - 1 AS a, close / lag(close, 5) {WSQL} - 1 AS b, lead(open, 6) {WSQL} / lead(open, 1) {WSQL} - 1 AS label FROM bars),
+ g AS (SELECT avg(a*a) + 0.01 AS aa, avg(a*b) AS ab, avg(b*b) + 0.01 AS bb, avg(a*label) AS ay, avg(b*label) AS by_ FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND label IS NOT NULL)
+ SELECT symbol, date, (a * (ay * bb - ab * by_) + b * (by_ * aa - ab * ay)) / (aa * bb - ab * ab) AS score FROM x, g""", "score")
 def m2(spark, d):
     p = B.panel(spark, d).select("symbol", "date", S.change("close", 1).alias("r1"), S.change("close", 5).alias("r5"), S.forward_label(5).alias("label"))
     return p.select("symbol", "date", E.linear_score(("r1", "r5"), E.ridge(p, ("r1", "r5"), "label", 0.01)).alias("score"))
 
 
 # 2.11 accounts
-@query("f3_equal_weight_account")
+def _by_symbol(value: str) -> str:
+    return "[" + ", ".join(f"coalesce(sum({value}) FILTER (symbol = 'S{i}'), 0)" for i in range(9)) + "]"
+
+
+@query("f3_equal_weight_account", f"""WITH x AS (SELECT symbol, date, r, session_no // 5 AS block, session_no % 5 = 0 AS trades FROM (SELECT symbol, date, lead(close) {WSQL} / close - 1 AS r FROM bars) JOIN cal USING (date) WHERE r IS NOT NULL),
+ t AS (SELECT block, symbol, 1.0 / count(*) OVER (PARTITION BY block) AS target FROM x WHERE trades),
+ k AS (SELECT x.*, target, target * coalesce(product(1 + r) OVER (PARTITION BY block, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS v FROM x JOIN t USING (block, symbol)),
+ g AS (SELECT *, sum(v * r) OVER d / (sum(v) OVER d + 1 - sum(target) OVER d) AS gross, v / (sum(v) OVER d + 1 - sum(target) OVER d) AS w FROM k WINDOW d AS (PARTITION BY date)),
+ d AS (SELECT date, any_value(trades) AS trades, any_value(gross) AS gross, {_by_symbol("target")} AS t, {_by_symbol("w * (1 + r) / (1 + gross)")} AS z FROM g GROUP BY date),
+ p AS (SELECT *, lag(z) OVER (ORDER BY date) AS pv FROM d),
+ c AS (SELECT date, gross, CASE WHEN trades THEN list_reduce(list_transform(range(21), lambda i: CAST(0 AS DOUBLE)), lambda c, q: 0.001 * list_sum(list_transform(range(1, 10), lambda i: abs((1 - c) * t[i] - coalesce(pv[i], 0))))) ELSE 0 END AS cost FROM p)
+ SELECT date, gross, cost, (1 - cost) * (1 + gross) - 1 AS net, product((1 - cost) * (1 + gross)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM c""", "gross cost net nav")
 def f3(spark, d):
     b = B.panel(spark, d)
     fwd = b.select("date", "symbol", (F.lead("close").over(S.ws()) / F.col("close") - 1).alias("r"))
