@@ -86,10 +86,15 @@ def _key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
 
 
+def _hash(doc_id: str, seed: int) -> Column:
+    """64 bits of the id and the seed, the last four zero; from MD5, which SQL engines share (null id: as empty)."""
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f"|{int(seed)}")).cast("binary")), 1, 15)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 4)
+
+
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     """(doc_id, source, size, _h, _key) of every document, saved."""
-    hashed = F.xxhash64(F.col("doc_id"), F.lit(int(seed)))
-    return saved(docs.select("doc_id", "source", word_count("text").alias("size"), hashed.alias("_h"), _key().alias("_key")), "mix-sizes")
+    return saved(docs.select("doc_id", "source", word_count("text").alias("size"), _hash("doc_id", seed).alias("_h"), _key().alias("_key")), "mix-sizes")
 
 
 def source_limits(sized: DataFrame, weights: DataFrame | tuple[int, ...], budget: float, cap: float) -> DataFrame:
@@ -137,7 +142,7 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[int, ...] = (5,
     limits = source_limits(_sized(docs, seed), weights, budget, cap)
     h, times = unused("_h", docs.columns), unused("_times", docs.columns)
     names = {c: unused(c, docs.columns) for c in ("_key", "_passes", "_limit")}
-    hashed = docs.withColumn(h, F.xxhash64(F.col("doc_id"), F.lit(int(seed)))).withColumn(names["_key"], _key())
+    hashed = docs.withColumn(h, _hash("doc_id", seed)).withColumn(names["_key"], _key())
     joined = hashed.join(limits.select(*names).withColumnsRenamed(names), names["_key"])
     out = joined.withColumn(times, _copies(h, cap, names["_passes"], names["_limit"]).cast("int")).filter(F.col(times) > 0)
     return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -145,3 +150,18 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[int, ...] = (5,
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+# The level is found from every source's own cap; documents follow the running sum of their sources by 30 bits of the hash.
+OP1_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|1'), 1, 8) AS BIGINT) >> 2 AS h FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
+ f AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS most, 2 * source_size / weight AS fills, CAST(1.5 * sum(source_size) OVER () AS DOUBLE) AS whole FROM s),
+ c AS (SELECT a.x, sum(least(f.most, a.x * f.weight)) AS got, sum(f.weight) FILTER (f.fills > a.x) AS left_, any_value(f.whole) AS whole FROM (SELECT CAST(0 AS DOUBLE) AS x UNION SELECT fills FROM f) AS a, f GROUP BY a.x),
+ l AS (SELECT arg_max(x + (whole - got) / left_, x) AS level FROM c WHERE got <= whole AND left_ > 0),
+ t AS (SELECT source, source_size, least(most, level * weight) AS target FROM f, l),
+ p AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS passes FROM t),
+ b AS (SELECT source, h, sum(size) AS n FROM d GROUP BY ALL),
+ u AS (SELECT b.source, h, n, sum(n) OVER (PARTITION BY b.source ORDER BY h) AS upto, target - passes * source_size AS rest FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source WHERE source_size > 0),
+ e AS (SELECT source, h FROM u WHERE upto <= rest OR (upto - n <= rest AND upto - rest < rest - (upto - n))),
+ o AS (SELECT d.*, source_size, target, least(2, passes + CASE WHEN e.h IS NULL THEN 0 ELSE 1 END) AS copies FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.h = d.h)
+ SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM o"""

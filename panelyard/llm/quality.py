@@ -135,3 +135,26 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The threshold table as an SQL condition on the measures' names."""
+    parts = []
+    for r in rules:
+        fine = " AND ".join([f"{r.measure} >= {r.low}"] * (r.low is not None) + [f"{r.measure} <= {r.high}"] * (r.high is not None))
+        parts.append(f"(n_words < {r.min_words} OR ({fine}))" if r.min_words else f"({fine})")
+    return " AND ".join(parts)
+
+
+# One row a word: windows, repeats and stop words by window functions over the places in the text.
+OP4_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+ u AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+ v AS (SELECT *, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS five, word = lag(word) OVER p AS again FROM u WINDOW p AS (PARTITION BY id ORDER BY i)),
+ c AS (SELECT *, five IS NOT NULL AND count(*) OVER (PARTITION BY id, five) > 1 AS twice FROM v),
+ k AS (SELECT *, bool_or(twice) OVER (PARTITION BY id ORDER BY i ROWS 4 PRECEDING) AS inside FROM c),
+ g AS (SELECT id, count(*) FILTER (inside) AS rep, count(*) FILTER (again) AS adj, count(*) FILTER (regexp_full_match(lower(word), '(?:{"|".join(dict.fromkeys(STOP_WORDS))})(?:[.,;:!?].*)?')) AS stops FROM k GROUP BY id),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words, coalesce(adj, 0) AS adj, coalesce(stops, 0) AS stops, len(l) AS n_lines FROM d LEFT JOIN g USING (id)),
+ r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
+  coalesce(stops / nullif(n_words, 0), 0) AS stop_ratio, coalesce(adj / nullif(n_words, 0), 0) AS adjacent_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules_sql()} AS kept FROM r"""

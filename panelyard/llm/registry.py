@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL = {"op2_maxscore": maxscore.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
+ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL, "op2_maxscore": maxscore.OP2_SQL, "op4_quality": quality.OP4_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_warc": warc.OP8_SQL}

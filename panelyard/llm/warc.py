@@ -260,3 +260,10 @@ def archive_folder(spark: SparkSession) -> str:
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     return read_back(archive_pages(table(spark, sf_dir, "pages"), archive_folder(spark)))
+
+
+# Base 32 takes five bits a letter: four letters from every five hexadecimal digits of the SHA-1.
+OP8_SQL = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+ m AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS best FROM p)
+ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM m"""
