@@ -45,6 +45,16 @@ RULES = (
 )
 
 
+def _any_of(words: list[str]) -> str:
+    """A regular expression for any of the words that shares their common beginnings, so that few branches are tried."""
+    rests: dict[str, list[str]] = {}
+    for w in dict.fromkeys(words):
+        if w:
+            rests.setdefault(w[0], []).append(w[1:])
+    parts = "|".join(letter + _any_of(rest) for letter, rest in rests.items())
+    return (f"(?:{parts})?" if "" in words else f"(?:{parts})") if parts else ""
+
+
 def _covered(windows: Column, width: int) -> Column:
     """Words in windows that occur twice or more: sorted by (window, place), the repeated places, and their union's length."""
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -76,13 +86,13 @@ def measured(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
         n = F.size(w)
         five = F.when(n >= 6, F.transform(F.sequence(F.lit(0), F.greatest(n - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))).otherwise(F.array().cast("array<bigint>"))
         repeat = F.transform(F.array(five), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h, 5)).otherwise(F.lit(0).cast("long")))
-        same = F.size(F.filter(F.arrays_zip(F.slice(w, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda z: z["a"] == z["b"]))
+        same = F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))
         return F.struct(n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.get(repeat, 0).cast("long").alias("n_repeat_words"), same.cast("long").alias("n_adjacent"))
 
     of = F.get(F.transform(F.array(words(text)), of_words), 0)
-    # stop words: occurrences in the lower-cased text, one pass of a regular expression
+    # stop words: occurrences in the lower-cased text, one pass of a regular expression; only the blank before is consumed
     spaced = F.concat(F.lit(" "), F.lower(body), F.lit(" "))
-    n_stop = F.regexp_count(spaced, F.lit("(?<=[ \\t\\n\\x0B\\f\\r])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?=[ \\t\\n\\x0B\\f\\r.,;:!?])"))
+    n_stop = F.regexp_count(spaced, F.lit("[ \\t\\n\\x0B\\f\\r]" + _any_of(STOP_WORDS) + "(?=[ \\t\\n\\x0B\\f\\r.,;:!?])"))
     per_line = F.get(F.transform(F.array(lines), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))), 0)
     return docs.withColumn(name, F.struct(of.alias("w"), n_stop.cast("long").alias("n_stop"), per_line.alias("l"), F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols")))
 
