@@ -26,16 +26,29 @@ def tail_stats(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symbol"
 
 
 def window_outcomes(daily: DataFrame, h: int = 20, r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The compounded return of every full window of h rows."""
+    """Of every full window of h rows the compounded return and the largest drawdown inside, from its start on."""
     w = W.partitionBy(*keys).orderBy("date").rowsBetween(-(h - 1), 0)
-    return daily.withColumn("outcome", F.when(F.count(r).over(w) == h, F.product(1 + F.col(r)).over(w) - 1))
+
+    def step(a: Column, x: Column) -> Column:
+        value = a["value"] * (1 + x)
+        peak = F.greatest(a["peak"], value)
+        return F.struct(value.alias("value"), peak.alias("peak"), F.least(a["worst"], value / peak - 1).alias("worst"))
+
+    start = F.struct(F.lit(1.0).alias("value"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("worst"))
+    d = daily.withColumn("_w", F.collect_list(r).over(w)).withColumn("_a", F.when(F.size("_w") == h, F.aggregate("_w", start, step)))
+    return d.withColumns({"outcome": F.col("_a.value") - 1, "drawdown": F.col("_a.worst")}).drop("_w", "_a")
 
 
 def outcome_stats(outcomes: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """A4"""
-    o = outcomes.filter("outcome is not null")
-    p = F.percentile("outcome", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    return o.groupBy(*keys).agg(F.avg("outcome").alias("mean"), p[0].alias("median"), p[1].alias("p75"), p[2].alias("p90"), F.min("outcome").alias("worst"), F.avg((F.col("outcome") > 0).cast("double")).alias("share_positive"))
+    """A4: mean, quantiles, bias-corrected skew, worst cases and shares of windows beyond fixed levels."""
+    o, n = outcomes.filter("outcome is not null"), F.count("*")
+    p = F.percentile("outcome", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9), F.lit(0.95)))
+    share = lambda c: F.avg(c.cast("double"))
+    beyond = [share(F.col("outcome") > x / 100).alias(f"share_above_{x}") for x in (5, 10, 20)] + [share(F.col("outcome") < -x / 100).alias(f"share_below_{x}") for x in (5, 10)]
+    return o.groupBy(*keys).agg(
+        n.alias("n"), F.avg("outcome").alias("mean"), p[0].alias("median"), p[1].alias("p75"), p[2].alias("p90"), p[3].alias("p95"), F.when(n > 2, F.skewness("outcome") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+        F.min("outcome").alias("worst"), F.min("drawdown").alias("worst_drawdown"), share(F.col("outcome") > 0).alias("share_positive"), *beyond, share(F.col("drawdown") < -0.1).alias("share_drawdown_10"),
+    )
 
 
 def breakdown(daily: DataFrame, r: str = "r") -> DataFrame:
@@ -49,6 +62,17 @@ def effective_n(weights: DataFrame, keys: tuple[str, ...] = ("date",)) -> DataFr
     return weights.groupBy(*keys).agg((1 / F.nullif(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0))).alias("effective_n"), F.max("weight").alias("largest"), F.sum(F.abs("weight")).alias("gross"))
 
 
+def turnover(weights: DataFrame) -> DataFrame:
+    """(date, turnover), the sum of |weight - weight of the date before| over the symbols of both dates; no row is no weight."""
+    one = W.partitionBy(F.lit(1)).orderBy("date")  # one row a date
+    dates = weights.select("date").distinct().select("date", F.lag("date").over(one).alias("_prev"), F.lead("date").over(one).alias("_next"))
+    w = W.partitionBy("symbol").orderBy("date")
+    x = weights.join(dates.hint("merge"), "date").withColumns({"_before": F.when(F.lag("date").over(w) == F.col("_prev"), F.lag("weight").over(w)), "_stays": F.coalesce(F.lead("date").over(w) == F.col("_next"), F.lit(False))})
+    moved = x.select("date", F.abs(F.col("weight") - F.coalesce("_before", F.lit(0.0))).alias("_m"))
+    left = x.filter("not _stays and _next is not null").select(F.col("_next").alias("date"), F.abs("weight").alias("_m"))
+    return moved.unionByName(left).groupBy("date").agg(F.sum("_m").alias("turnover"))
+
+
 def log_decomposition(legs: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Sums of log returns overnight and intraday, and the overnight share of the whole."""
     g = legs.filter("close_close is not null").groupBy(*keys).agg(F.sum(F.log1p("overnight")).alias("overnight"), F.sum(F.log1p("intraday")).alias("intraday"), F.sum(F.log1p("close_close")).alias("whole"))

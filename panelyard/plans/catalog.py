@@ -301,9 +301,14 @@ def w25(spark, d):
 _OUT = f"SELECT symbol, date, CASE WHEN count(r) {_frame(20)} = 20 THEN product(1 + r) {_frame(20)} - 1 END AS outcome FROM r"
 
 
-@query("w27_window_outcomes", _OUT, "outcome")
+# The largest fall inside a window is the least ratio of a later to an earlier value in it.
+_FALL = f"""WITH v AS (SELECT symbol, date, row_number() {WSQL} - 1 AS n, close FROM bars), q AS (SELECT a.symbol, a.n AS k, b.n AS j, b.close / a.close - 1 AS fall FROM v a JOIN v b ON a.symbol = b.symbol AND b.n BETWEEN a.n AND a.n + 20)
+ SELECT v.symbol, v.date, min(fall) AS drawdown FROM v JOIN q ON q.symbol = v.symbol AND k >= v.n - 20 AND j <= v.n WHERE v.n >= 20 GROUP BY ALL"""
+
+
+@query("w27_window_outcomes", f"SELECT symbol, date, outcome, drawdown FROM ({_OUT}) LEFT JOIN ({_FALL}) USING (symbol, date)", "outcome drawdown")
 def w27(spark, d):
-    return E.window_outcomes(returns(spark, d)).select("symbol", "date", "outcome")
+    return E.window_outcomes(returns(spark, d)).select("symbol", "date", "outcome", "drawdown")
 
 
 @query("w28_rebalance_blocks", "SELECT date, session_no, CAST(floor((session_no - 2) / 5.0) AS BIGINT) AS block, (session_no - 2) % 5 = 0 AS is_rebalance FROM cal")
@@ -422,7 +427,9 @@ def a2(spark, d):
     return E.tail_stats(returns(spark, d))
 
 
-@query("a4_outcome_stats", f"SELECT symbol, avg(outcome) AS mean, quantile_cont(outcome, 0.5) AS median, quantile_cont(outcome, 0.75) AS p75, quantile_cont(outcome, 0.9) AS p90, min(outcome) AS worst, avg(CASE WHEN outcome > 0 THEN 1.0 ELSE 0.0 END) AS share_positive FROM ({_OUT}) WHERE outcome IS NOT NULL GROUP BY symbol", "mean median p75 p90 worst share_positive")
+@query("a4_outcome_stats", f"""SELECT symbol, count(*) AS n, avg(outcome) AS mean, quantile_cont(outcome, 0.5) AS median, quantile_cont(outcome, 0.75) AS p75, quantile_cont(outcome, 0.9) AS p90, quantile_cont(outcome, 0.95) AS p95, skewness(outcome) AS skew, min(outcome) AS worst, min(drawdown) AS worst_drawdown,
+ avg(CASE WHEN outcome > 0 THEN 1.0 ELSE 0.0 END) AS share_positive, {", ".join(f"avg(CASE WHEN outcome > {x / 100} THEN 1.0 ELSE 0.0 END) AS share_above_{x}" for x in (5, 10, 20))}, {", ".join(f"avg(CASE WHEN outcome < -{x / 100} THEN 1.0 ELSE 0.0 END) AS share_below_{x}" for x in (5, 10))}, avg(CASE WHEN drawdown < -0.1 THEN 1.0 ELSE 0.0 END) AS share_drawdown_10
+ FROM ({_OUT}) JOIN ({_FALL}) USING (symbol, date) WHERE outcome IS NOT NULL GROUP BY symbol""", "mean median p75 p90 p95 skew worst worst_drawdown share_positive share_above_5 share_above_10 share_above_20 share_below_5 share_below_10 share_drawdown_10")
 def a4(spark, d):
     return E.outcome_stats(E.window_outcomes(returns(spark, d)))
 
@@ -432,9 +439,10 @@ def a5(spark, d):
     return E.breakdown(returns(spark, d)).withColumn("year", F.col("year").cast("long"))
 
 
-@query("a12_effective_n", f"SELECT date, 1 / nullif(sum(weight * weight), 0) AS effective_n, max(weight) AS largest, sum(abs(weight)) AS gross FROM ({_TOP}) GROUP BY date", "effective_n largest gross")
+@query("a12_effective_n", f"SELECT date, 1 / nullif(sum(weight * weight), 0) AS effective_n, max(weight) AS largest, sum(abs(weight)) AS gross, any_value(turnover) AS turnover FROM ({_TOP}) JOIN (SELECT date, sum(abs(w - p)) AS turnover FROM (SELECT date, w, lag(w, 1, 0) {WSQL} AS p FROM (SELECT date, symbol, coalesce(weight, 0) AS w FROM (SELECT DISTINCT date FROM ({_TOP})) CROSS JOIN (SELECT DISTINCT symbol FROM ({_TOP})) LEFT JOIN ({_TOP}) USING (date, symbol))) GROUP BY date) USING (date) GROUP BY date", "effective_n largest gross turnover")
 def a12(spark, d):
-    return E.effective_n(x5(spark, d))
+    w = x5(spark, d).filter("weight > 0")
+    return E.effective_n(w).join(E.turnover(w).hint("merge"), "date")
 
 
 @query("a13_log_decomposition", f"SELECT symbol, sum(ln(open / prev)) AS overnight, sum(ln(close / open)) AS intraday, sum(ln(close / prev)) AS whole, sum(ln(open / prev)) / nullif(sum(ln(close / prev)), 0) AS overnight_share FROM (SELECT *, lag(close) {WSQL} AS prev FROM bars) WHERE prev IS NOT NULL GROUP BY symbol", "overnight intraday whole overnight_share")
