@@ -137,6 +137,17 @@ def rule_scores(t: DataFrame) -> DataFrame:
     return t.select("symbol", "date", *[c.alias(n) for n, c in rules.items()])
 
 
+def guarded_scores(t: DataFrame, scores: DataFrame, market: DataFrame) -> DataFrame:
+    """P5: scores that a state of the symbol or of the market can forbid; null where it does or is unknown.
+
+    t: a technical panel; scores(symbol, date, score): a model's; market(date, market_trend): one row a date.
+    """
+    up = (F.col("close") > F.col("cloud_top")) & (F.col("tenkan") > F.col("kijun"))
+    x = t.hint("merge").join(scores.select("symbol", "date", "score").hint("merge"), ["symbol", "date"], "left").join(market.select("date", "market_trend").hint("merge"), "date", "left")
+    allowed = {"ridge_rsi_veto": F.col("rsi") < 70, "ridge_bb_veto": F.col("bandwidth_pct") < 0.8, "ridge_ichimoku_veto": up}
+    return x.select("symbol", "date", F.when(up & (F.col("market_trend") > 0), F.col("cloud_distance")).alias("ichimoku_market"), *[F.when(c, F.col("score")).alias(n) for n, c in allowed.items()])
+
+
 def lagged_condition(bars: DataFrame, trend_n: int = 200, lag: int = 2) -> DataFrame:
     """Close above its mean, and a negative three-row return, as known lag rows later; null until defined."""
     c = bars.withColumns({"_up": F.col("close") > S.mean("close", trend_n), "_down": S.change("close", 3) < 0})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cross as X
 from ..functions import series as S
 from ..functions import signals as G
+from ..operators import evaluation as E
 from ..sources import bars as B
 from .catalog import WSQL, _frame, _full, query
 
@@ -124,6 +125,19 @@ def p5(spark, d):
     return G.rule_scores(G.technical(B.panel(spark, d), pct_n=60, trend_n=50))
 
 
+_GUARDED = _RULES[: _RULES.rindex(" SELECT symbol, date, -rsi")] + f""", s AS (SELECT symbol, date, 0.2 * (close / lag(close, 1) {WSQL} - 1) - 0.3 * (close / lag(close, 5) {WSQL} - 1) AS score FROM bars), st AS ({_STATE})
+ SELECT symbol, date, CASE WHEN up AND market_trend > 0 THEN (close - top) / nullif(atr, 0) END AS ichimoku_market, CASE WHEN rsi < 70 THEN score END AS ridge_rsi_veto, CASE WHEN bp < 0.8 THEN score END AS ridge_bb_veto, CASE WHEN up THEN score END AS ridge_ichimoku_veto
+ FROM i4 JOIN s USING (symbol, date) LEFT JOIN st USING (date)"""
+
+
+@query("p5_guarded_scores", _GUARDED, "ichimoku_market ridge_rsi_veto ridge_bb_veto ridge_ichimoku_veto")
+def p5_guarded(spark, d):
+    b = B.panel(spark, d)
+    score = E.linear_score(("_r1", "_r5"), [0.2, -0.3])
+    scores = b.withColumns({"_r1": S.change("close", 1), "_r5": S.change("close", 5)}).select("symbol", "date", score.alias("score"))
+    return G.guarded_scores(G.technical(b, pct_n=60, trend_n=50), scores, w19(spark, d))
+
+
 @query("w24_lagged_condition", f"SELECT symbol, date, lag(up, 2) {WSQL} AS risk_on, lag(down, 2) {WSQL} AS pullback FROM (SELECT symbol, date, close > ({_full('avg(close)', 'close', 40)}) AS up, close / lag(close, 3) {WSQL} - 1 < 0 AS down FROM bars)")
 def w24(spark, d):
     return G.lagged_condition(B.panel(spark, d), 40)
