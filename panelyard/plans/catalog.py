@@ -92,6 +92,13 @@ def s2(spark, d):
     return B.manifest(B.panel(spark, d)).drop("fingerprint")
 
 
+@query("s4_stored_bars", "SELECT symbol, date, open, high, low, close, volume, adj_close, adj_open FROM bars", "open high low close volume adj_close adj_open")
+def s4(spark, d):
+    path = B.fresh_path(spark, "bars")
+    B.panel(spark, d).write.parquet(path)
+    return B.read_bars(spark, path)
+
+
 # 2.2 checks
 @query("v1_invalid_values", "SELECT event_id, 'value' AS field FROM events WHERE value IS NULL OR NOT isfinite(value) OR value <= 10", prelude=False)
 def v1(spark, d):
@@ -480,10 +487,22 @@ def _by_symbol(value: str) -> str:
     return "[" + ", ".join(f"coalesce(sum({value}) FILTER (symbol = 'S{i}'), 0)" for i in range(9)) + "]"
 
 
-@query("f3_equal_weight_account", f"""WITH x AS (SELECT symbol, date, r, session_no // 5 AS block, session_no % 5 = 0 AS trades FROM (SELECT symbol, date, lead(close) {WSQL} / close - 1 AS r FROM bars) JOIN cal USING (date) WHERE r IS NOT NULL),
+_DRIFT = f"""WITH x AS (SELECT symbol, date, r, session_no // 5 AS block, session_no % 5 = 0 AS trades FROM (SELECT symbol, date, lead(close) {WSQL} / close - 1 AS r FROM bars) JOIN cal USING (date) WHERE r IS NOT NULL),
  t AS (SELECT block, symbol, 1.0 / count(*) OVER (PARTITION BY block) AS target FROM x WHERE trades),
  k AS (SELECT x.*, target, target * coalesce(product(1 + r) OVER (PARTITION BY block, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS v FROM x JOIN t USING (block, symbol)),
- g AS (SELECT *, sum(v * r) OVER d / (sum(v) OVER d + 1 - sum(target) OVER d) AS gross, v / (sum(v) OVER d + 1 - sum(target) OVER d) AS w FROM k WINDOW d AS (PARTITION BY date)),
+ g AS (SELECT *, sum(v * r) OVER d / (sum(v) OVER d + 1 - sum(target) OVER d) AS gross, v / (sum(v) OVER d + 1 - sum(target) OVER d) AS w FROM k WINDOW d AS (PARTITION BY date))"""
+
+
+@query("f2_drifted_weights", f"{_DRIFT} SELECT symbol, date, block, target, w AS weight FROM g", "target weight")
+def f2(spark, d):
+    b = B.panel(spark, d)
+    held = b.withColumn("r", F.lead("close").over(S.ws()) / F.col("close") - 1).filter("r is not null").select("symbol", "date", "r")
+    held = held.join(A.rebalance_blocks(B.sessions(b), 5).hint("merge"), "date")
+    first = held.filter("is_rebalance").select("block", "symbol").withColumn("target", 1 / F.count("*").over(W.partitionBy("block")))
+    return A.drifted_weights(held.join(first.hint("merge"), ["block", "symbol"])).select("symbol", "date", "block", "target", "weight")
+
+
+@query("f3_equal_weight_account", f"""{_DRIFT},
  d AS (SELECT date, any_value(trades) AS trades, any_value(gross) AS gross, {_by_symbol("target")} AS t, {_by_symbol("w * (1 + r) / (1 + gross)")} AS z FROM g GROUP BY date),
  p AS (SELECT *, lag(z) OVER (ORDER BY date) AS pv FROM d),
  c AS (SELECT date, gross, CASE WHEN trades THEN list_reduce(list_transform(range(21), lambda i: CAST(0 AS DOUBLE)), lambda c, q: 0.001 * list_sum(list_transform(range(1, 10), lambda i: abs((1 - c) * t[i] - coalesce(pv[i], 0))))) ELSE 0 END AS cost FROM p)
@@ -499,6 +518,12 @@ def f5(spark, d):
     return A.single_asset_account(returns(spark, d).filter("r is not null"), 5.0).select("symbol", "date", "net", "nav")
 
 
+@query("f9_combined_sleeves", "WITH n AS (SELECT symbol, date, product((1 + r) * (1 - 0.0005) / (1 + 0.0005)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM r WHERE r IS NOT NULL) SELECT date, a.nav * 3 AS value_a, b.nav * 2 AS value_b, (a.nav * 3 + b.nav * 2) / 5 AS nav, a.nav * 3 / (a.nav * 3 + b.nav * 2) AS share_a FROM n a JOIN n b USING (date) WHERE a.symbol = 'S1' AND b.symbol = 'S2'", "value_a value_b nav share_a")
+def f9(spark, d):
+    n = A.single_asset_account(returns(spark, d).filter("r is not null"), 5.0)
+    return A.combine_sleeves(n.filter("symbol = 'S1'"), n.filter("symbol = 'S2'"), 3.0, 2.0).select("date", "value_a", "value_b", "nav", "share_a")
+
+
 @query("f6_break_even", "SELECT symbol, least(999, greatest(0, 10000 * (exp(avg(ln(1 + r))) - 1) / (exp(avg(ln(1 + r))) + 1))) AS bps FROM r WHERE r IS NOT NULL GROUP BY symbol", "bps")
 def f6(spark, d):
     return A.break_even_bps(returns(spark, d).filter("r is not null"))
