@@ -240,7 +240,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 10, shard_docs: in
     if not 0 < shard_docs <= 1 << POST_BITS:
         raise ValueError(f"a shard has 1 to {1 << POST_BITS} documents")
     spark = docs.sparkSession
-    ddl = items.select("item_id").withColumns({"doc_id": F.lit(0).cast("long"), "score": F.lit(0).cast("long")}).schema
+    ddl = f"item_id {items.select('item_id').dtypes[0][1]}, doc_id long, score long"
     found = [spark.createDataFrame([], ddl)]
     with scratch(spark, "lexical"):
         for block in _passes(saved(item_terms(items), "lexical-items"), pass_terms):
@@ -252,7 +252,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 10, shard_docs: in
     return every.withColumn("rank", place).filter(F.col("rank") <= k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
-def _one_pass(docs: DataFrame, block: dict, k: int, shard_docs: int, ddl) -> DataFrame:
+def _one_pass(docs: DataFrame, block: dict, k: int, shard_docs: int, ddl: str) -> DataFrame:
     """(item_id, doc_id, score): every task's k best for each item of the block, saved."""
     sc = docs.sparkSession.sparkContext
     wanted = {t.encode() for ts in block.values() for t in ts}
@@ -271,7 +271,7 @@ def _one_pass(docs: DataFrame, block: dict, k: int, shard_docs: int, ddl) -> Dat
                 for item, query in queries.items():
                     best[item] = search(shard, query, best[item], k)[0]
         rows = [(item, None if null else i, -s) for item, top in best.items() for s, null, i in top]
-        yield pd.DataFrame(rows, columns=["item_id", "doc_id", "score"]).astype({"doc_id": "Int64", "score": "int64"})
+        yield pd.DataFrame(rows, columns=["item_id", "doc_id", "score"], dtype=object)
 
     return saved(shards.select("ids", "nulls", "lengths", "terms", "df", "places", "tfs").mapInPandas(run, ddl), "lexical-found", keep=True)
 
