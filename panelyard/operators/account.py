@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ledger import account_ledger
+
 PASSES = 20
 
 
@@ -92,54 +94,12 @@ def equal_weight_account(panel: DataFrame, bps: float, cadence: int, calendar: D
 
 
 def close_marked_account(prices: DataFrame, targets: DataFrame, calendar: DataFrame, bps: float, cadence: int) -> DataFrame:
-    """weights decided at one close, traded at the next open every cadence sessions, marked at each close.
+    """the daily marks of one book's account_ledger, all sold at the last close.
 
-    prices(date, symbol, open, close); targets(date, symbol, weight); calendar(date, decision_date, session_no) of the
-    sessions to hold, from 0. What a block of sessions holds grows from 1 without regard to the net asset value, so all
-    blocks run side by side; value then chains over blocks by one product. All is sold at the last close. n_missing counts
-    holdings without a price that session, which keep their value. Exposures are at the open before and after trading and
-    at the close; overnight, intraday and cost are fractions of the value before.
+    Exposures are at the open before and after trading and at the close; overnight, intraday and cost are fractions of the
+    value before.
     """
-    rate = bps / 10_000
-    cal = rebalance_blocks(calendar, cadence).withColumn("_last", F.max("session_no").over(W.partitionBy(F.lit(1))))
-    p = prices.withColumn("_prev", F.lag("close").over(W.partitionBy("symbol").orderBy("date"))).select("date", "symbol", "open", "close", "_prev")
-    first = cal.filter("is_rebalance").select("block", F.col("decision_date").alias("date"))
-    held = targets.filter("weight > 0").select("date", "symbol", F.col("weight").alias("_t")).join(first, "date").select("block", "symbol", "_t")
-    # a block's sessions and, as its end, the open at which the next one trades
-    ends = cal.filter("is_rebalance and block > 0").select((F.col("block") - 1).alias("block"), "date", "session_no", F.lit(True).alias("_end"))
-    marks = cal.select("block", "date", "session_no", F.lit(False).alias("_end")).unionByName(ends)
-    book = held.join(marks, "block").join(p, ["date", "symbol"], "left")
-    w = W.partitionBy("block", "symbol").orderBy("session_no")
-    start = F.min("session_no").over(W.partitionBy("block", "symbol"))
-    gap = F.coalesce(F.when(F.col("session_no") > start, F.col("open") / F.col("_prev")), F.lit(1.0))
-    day = F.when(F.col("_end"), 1.0).otherwise(F.coalesce(F.col("close") / F.col("open"), F.lit(1.0)))
-    book = book.withColumns({"_gap": gap, "_day": day}).withColumn("_close", F.col("_t") * F.product(F.col("_gap") * F.col("_day")).over(w)).withColumn("_open", F.col("_close") / F.col("_day"))
-    d = book.groupBy("block", "date", "session_no", "_end").agg(F.sum("_t").alias("_in"), F.sum("_open").alias("_o"), F.sum("_close").alias("_c"), F.max("_open").alias("_mo"), F.max("_close").alias("_mc"), F.count_if(F.col("open").isNull() | F.col("close").isNull()).alias("n_missing"), F.map_from_entries(F.collect_list(F.struct("symbol", "_open"))).alias("_v"))
-    # every mark has a row, also where a block holds only cash
-    d = marks.join(d.hint("merge"), ["block", "date", "session_no", "_end"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_in", "_o", "_c", "_mo", "_mc")}).withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
-    d = d.withColumns({"_po": F.col("_o") + 1 - F.col("_in"), "_pc": F.col("_c") + 1 - F.col("_in")})
-    none = F.expr("cast(map() as map<string, double>)")
-    weights = held.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "_t"))).alias("_new"))
-    before = d.filter("_end").select((F.col("block") + 1).alias("block"), F.col("_po").alias("_u"), F.col("_o").alias("_uo"), F.col("_mo").alias("_um"), F.transform_values("_v", lambda _, v: v / F.col("_po")).alias("_old"))
-    b = cal.filter("is_rebalance").select("block").join(weights.hint("merge"), "block", "left").join(before.hint("merge"), "block", "left")
-    b = b.withColumns({"_new": F.coalesce("_new", none), "_old": F.coalesce("_old", none), "_u": F.coalesce("_u", F.lit(1.0)), "_uo": F.coalesce("_uo", F.lit(0.0)), "_um": F.coalesce("_um", F.lit(0.0))})
-    names = F.array_sort(F.array_union(F.map_keys("_old"), F.map_keys("_new")))
-    at = lambda m: F.transform(names, lambda s: F.coalesce(F.element_at(F.col(m), s), F.lit(0.0)))
-    chain = W.partitionBy(F.lit(1)).orderBy("block").rowsBetween(W.unboundedPreceding, 0)  # one row a block of one book
-    b = b.withColumn("_fee", trading_cost(at("_old"), at("_new"), rate)).withColumn("_n", F.product(F.col("_u") * (1 - F.col("_fee"))).over(chain))
-    s = d.filter("not _end").join(b.select("block", "_n", "_fee", "_u", "_uo", "_um").hint("merge"), "block").join(cal.select("date", "is_rebalance", "_last"), "date")
-    s = s.withColumn("_sold", F.when(F.col("session_no") == F.col("_last"), rate * F.col("_n") * F.col("_c")).otherwise(0.0)).withColumn("nav", F.col("_n") * F.col("_pc") - F.col("_sold"))
-    one = W.partitionBy(F.lit(1)).orderBy("session_no")
-    s = s.withColumn("nav_before", F.coalesce(F.lag("nav").over(one), F.lit(1.0)))
-    at_open = F.when(F.col("is_rebalance"), F.col("_n") / (1 - F.col("_fee"))).otherwise(F.col("_n") * F.col("_po"))
-    after = F.when(F.col("is_rebalance"), F.col("_n")).otherwise(F.col("_n") * F.col("_po"))
-    pre = F.when(F.col("is_rebalance"), F.col("_uo") / F.col("_u")).otherwise(F.col("_o") / F.col("_po"))
-    largest = F.greatest(F.when(F.col("is_rebalance"), F.col("_um") / F.col("_u")).otherwise(F.lit(0.0)), F.col("_mo") / F.col("_po"), F.col("_mc") / F.col("_pc"))
-    return s.select(
-        "date", "nav_before", "nav", (F.col("nav") / F.col("nav_before") - 1).alias("net"), (at_open / F.col("nav_before") - 1).alias("overnight"), ((F.col("_n") * F.col("_pc") - after) / F.col("nav_before")).alias("intraday"),
-        ((at_open - after + F.col("_sold")) / F.col("nav_before")).alias("cost"), pre.alias("preopen_exposure"), F.when(F.col("is_rebalance"), F.col("_in")).otherwise(F.col("_o") / F.col("_po")).alias("open_exposure"),
-        F.when(F.col("_sold") > 0, 0.0).otherwise(F.col("_c") / F.col("_pc")).alias("closing_exposure"), largest.alias("largest"), "n_missing",
-    )
+    return account_ledger(prices, targets, calendar, bps, cadence).daily.drop("turnover")
 
 
 def exposed_account(legs: DataFrame, r: str = "r", exposure: str = "exposure", bps: str = "bps") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import signals as G
 from ..operators import account as A
 from ..operators import evaluation as E
 from ..operators import joins as J
+from ..operators import ledger as L
 from ..sources import bars as B
 from .catalog import _ORDER, WSQL, _full, query, returns, x5, _TOP
 
@@ -91,11 +92,87 @@ def t3(spark, d):
     return E.ranked_summary(yearly(spark, d), "total_return", "symbol", ("year",))
 
 
-@query("f4_f11_close_marked")
-def f4(spark, d):
-    b = B.panel(spark, d)
+def _account_sql(result: str, open_to_open: bool = False, intraday: bool = False, buy_hold: bool = False, cadence: int = 5, rate: float = 0.001) -> str:
+    """One book session by session: lists by symbol of values at the open before (g) and after trading (h) and at the close (e), cash and the fee rate's fixed point c."""
+    legs = f"SELECT symbol, date, open, lead(open) {WSQL} AS close, open AS prev FROM bars QUALIFY close IS NOT NULL" if open_to_open else f"SELECT symbol, date, open, close, lag(close) {WSQL} AS prev FROM bars"
+    each = lambda x: f"list_transform(range(1, len(z.t) + 1), lambda i: {x})"
+    trade, sell = "(n = 0)" if buy_hold else f"(n % {cadence} = 0)", "true" if intraday else "n = last"
+    cost = f"list_reduce(list_transform(range(41), lambda i: CAST(0 AS DOUBLE)), lambda c, y: {rate} * list_sum({each('abs((1 - c) * z.t[i] - z.g[i] / z.m)')}))"
+    return f"""WITH RECURSIVE p AS ({legs}), sy AS (SELECT DISTINCT symbol FROM bars), k AS (SELECT n, date, decision, max(n) OVER () AS last, date_trunc('week', date) AS w FROM (SELECT date, session_no - 1 AS n, lag(date) OVER (ORDER BY date) AS decision FROM cal) WHERE n >= 0{" AND date < (SELECT max(date) FROM cal)" if open_to_open else ""}),
+ pl AS (SELECT k.n, d.decision FROM k JOIN k AS d ON d.n = {"0" if buy_hold else f"k.n - k.n % {cadence}"}),
+ x AS (SELECT k.n, k.date, k.last, list(sy.symbol ORDER BY sy.symbol) AS names, list({"1.0" if open_to_open else "coalesce(p.open / p.prev, 1)"} ORDER BY sy.symbol) AS gap, list(coalesce(p.close / p.open, 1) ORDER BY sy.symbol) AS day, list(coalesce(t.weight, 0) * 0.95 ORDER BY sy.symbol) AS t, list(CASE WHEN p.open IS NULL OR p.close IS NULL THEN 1 ELSE 0 END ORDER BY sy.symbol) AS gone
+   FROM k JOIN pl ON pl.n = k.n CROSS JOIN sy LEFT JOIN p ON p.symbol = sy.symbol AND p.date = k.date LEFT JOIN ({_TOP}) t ON t.symbol = sy.symbol AND t.date = pl.decision GROUP BY k.n, k.date, k.last),
+ a AS (SELECT CAST(-1 AS BIGINT) AS n, DATE '1900-01-01' AS date, CAST(0 AS BIGINT) AS last, CAST([] AS VARCHAR[]) AS names, CAST([] AS DOUBLE[]) AS e0, CAST([] AS DOUBLE[]) AS g, CAST([] AS DOUBLE[]) AS h, CAST([] AS DOUBLE[]) AS e, CAST(1 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS cash, CAST(1 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS nav, CAST(0 AS DOUBLE) AS held, 0 AS n_missing
+  UNION ALL
+  SELECT n, date, last, names, e0, g, h, e, m, c, cash, before, cash + list_sum(e) * (CASE WHEN {sell} THEN 1 - {rate} ELSE 1 END), held, CAST(list_sum({each("CASE WHEN z.h[i] > 0 THEN z.gone[i] ELSE 0 END")}) AS INTEGER)
+  FROM (SELECT *, {each("z.h[i] * z.day[i]")} AS e FROM (SELECT *, CASE WHEN {"true" if intraday else trade} THEN {each("z.m * (1 - z.c) * z.t[i]")} ELSE g END AS h, CASE WHEN {"true" if intraday else trade} THEN z.m * (1 - z.c) * (1 - list_sum(z.t)) ELSE cash0 END AS cash
+   FROM (SELECT *, CASE WHEN {"true" if intraday else trade} THEN {cost} ELSE 0 END AS c FROM (SELECT *, cash0 + list_sum(g) AS m FROM (
+    SELECT x.n, x.date, x.last, x.names, x.gone, x.t, x.day, a.nav AS before, {"a.nav" if intraday else "a.cash"} AS cash0, a.h IS NOT NULL AS go, list_sum(x.t) AS held,
+     CASE WHEN a.n < 0 OR {str(intraday).lower()} THEN list_transform(x.t, lambda y: CAST(0 AS DOUBLE)) ELSE a.e END AS e0, CASE WHEN a.n < 0 OR {str(intraday).lower()} THEN list_transform(x.t, lambda y: CAST(0 AS DOUBLE)) ELSE list_transform(range(1, len(x.t) + 1), lambda i: a.e[i] * x.gap[i]) END AS g
+    FROM a JOIN x ON x.n = a.n + 1) AS z) AS z) AS z) AS z) AS z),
+ u AS (SELECT n, date, before, nav, m, c, cash, last, held, n_missing, {trade if not intraday else "true"} AS trades, {sell} AS sells, unnest(names) AS symbol, unnest(e0) AS e0, unnest(g) AS g, unnest(h) AS h, unnest(e) AS e FROM a WHERE n >= 0),
+ tr AS (SELECT date, symbol, 'open' AS kind, h - g AS dollars, abs(h - g) * {rate} AS fee FROM u WHERE trades AND abs(h - g) > 1e-12 * m UNION ALL SELECT date, symbol, 'close', -e, e * {rate} FROM u WHERE sells AND e > 1e-12),
+ co AS (SELECT date, symbol, g - e0 AS overnight, e - h AS intraday FROM u WHERE e0 > 0 OR h > 0),
+ da AS (SELECT date, any_value(before) AS nav_before, any_value(nav) AS nav, any_value(nav) / any_value(before) - 1 AS net, sum(g - e0) / any_value(before) AS overnight, sum(e - h) / any_value(before) AS intraday, (CASE WHEN any_value(trades) THEN any_value(m) * any_value(c) ELSE 0 END + CASE WHEN any_value(sells) THEN sum(e) * {rate} ELSE 0 END) / any_value(before) AS cost, (CASE WHEN any_value(trades) THEN sum(abs(h - g)) ELSE 0 END + CASE WHEN any_value(sells) THEN sum(e) ELSE 0 END) / any_value(before) AS turnover,
+   sum(g) / any_value(m) AS preopen_exposure, CASE WHEN any_value(trades) THEN any_value(held) ELSE sum(h) / any_value(m) END AS open_exposure, CASE WHEN any_value(sells) THEN 0 ELSE sum(e) / (any_value(cash) + sum(e)) END AS closing_exposure, greatest(CASE WHEN any_value(trades) THEN max(g) / any_value(m) ELSE 0 END, max(h) / (any_value(cash) + sum(h)), max(e) / (any_value(cash) + sum(e))) AS largest, CAST(any_value(n_missing) AS BIGINT) AS n_missing FROM u GROUP BY date)
+ {result}"""
+
+
+def _on_log_scale(df, columns):
+    """sign(x) * ln(1 + |x|): the accounts of these invented prices end at up to 1e64 times their start."""
+    return df.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in columns})
+
+
+def _log_sql(table: str, columns: tuple[str, ...], without: str = "") -> str:
+    return f"SELECT * {f'EXCLUDE ({without}) ' if without else ''}REPLACE ({', '.join(f'sign({c}) * ln(1 + abs({c})) AS {c}' for c in columns)}) FROM {table}"
+
+
+_NAV, _TRADE, _PNL = ("nav", "nav_before"), ("dollars", "fee"), ("overnight", "intraday")
+_MARKS = "nav_before nav net overnight intraday cost turnover preopen_exposure open_exposure closing_exposure largest"
+_OPEN_MARKS = "nav_before nav net intraday cost turnover open_exposure closing_exposure largest"
+
+
+def _book(spark, d, last: bool = True):
+    """Bars read once, the targets of a book and the sessions after the first."""
+    b = B.kept_panel(spark, d)
     cal = B.sessions(b).withColumn("decision_date", F.lag("date").over(W.orderBy("date"))).filter("session_no > 0").withColumn("session_no", F.col("session_no") - 1)
-    return A.close_marked_account(b, x5(spark, d).select("date", "symbol", (F.col("weight") * 0.95).alias("weight")), cal, 10.0, 5)
+    cal = cal if last else cal.withColumn("_after", F.lead("date").over(W.orderBy("date"))).filter("_after is not null")
+    return b, X.top_weights(b, "volume", 3).select("date", "symbol", (F.col("weight") * 0.95).alias("weight")), cal
+
+
+@query("f4_f11_close_marked", _account_sql(_log_sql("da", _NAV, "turnover")), _MARKS.replace(" turnover", ""))
+def f4(spark, d):
+    return _on_log_scale(A.close_marked_account(*_book(spark, d), 10.0, 5), _NAV)
+
+
+@query("f4_trades", _account_sql(_log_sql("tr", _TRADE)), "dollars fee")
+def f4_trades(spark, d):
+    return _on_log_scale(L.account_ledger(*_book(spark, d), 10.0, 5).trades, _TRADE)
+
+
+@query("f4_contributions", _account_sql(_log_sql("co", _PNL)), "overnight intraday")
+def f4_contributions(spark, d):
+    return _on_log_scale(L.account_ledger(*_book(spark, d), 10.0, 5).contributions, _PNL)
+
+
+@query("f4_intraday", _account_sql(_log_sql("da", _NAV), intraday=True), _MARKS)
+def f4_intraday(spark, d):
+    return _on_log_scale(L.account_ledger(*_book(spark, d), 10.0, 5, intraday=True).daily, _NAV)
+
+
+@query("f3_open_ledger", _account_sql(_log_sql("da", _NAV, "overnight, preopen_exposure"), open_to_open=True), _OPEN_MARKS)
+def f3_ledger(spark, d):
+    return _on_log_scale(L.open_to_open_ledger(*_book(spark, d, False), 10.0, 5).daily, _NAV)
+
+
+@query("f3_open_trades", _account_sql(_log_sql("tr", _TRADE), open_to_open=True), "dollars fee")
+def f3_trades(spark, d):
+    return _on_log_scale(L.open_to_open_ledger(*_book(spark, d, False), 10.0, 5).trades, _TRADE)
+
+
+@query("f3_open_buy_hold", _account_sql(_log_sql("da", _NAV, "overnight, preopen_exposure"), open_to_open=True, buy_hold=True), _OPEN_MARKS)
+def f3_buy_hold(spark, d):
+    return _on_log_scale(L.open_to_open_ledger(*_book(spark, d, False), 10.0, buy_hold=True).daily, _NAV)
 
 
 _LEGS = f"SELECT b.symbol, b.date, open / lag(close) OVER w - 1 AS overnight, close / open - 1 AS intraday, CAST(lag(up, 2) OVER w AS DOUBLE) AS condition FROM (SELECT *, close > ({_full('avg(close)', 'close', 20)}) AS up FROM bars) b WINDOW w AS (PARTITION BY symbol ORDER BY date)"

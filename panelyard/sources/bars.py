@@ -130,3 +130,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what several steps need is computed once."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_panel(spark: SparkSession, sf_dir: str, bucket: str = "week") -> DataFrame:
+    """The bars of a query that needs them more than once: one scan of the trades, bars sorted by symbol and date."""
+    return kept(panel(spark, sf_dir, bucket).sortWithinPartitions("symbol", "date"), "bars")
