@@ -45,18 +45,19 @@ ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|aria-hidden)(
 
 
 class Node:
-    __slots__ = ("drop", "kids", "link", "links", "main", "name", "parent", "points", "size", "suspect", "tag")
+    __slots__ = ("comment", "drop", "inside", "kids", "link", "links", "main", "name", "parent", "points", "size", "suspect", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.name, self.drop, self.suspect = tag, parent, [], "", False, False
+        self.comment, self.inside = False, False
         self.points, self.size, self.link, self.links, self.main = 0.0, 0, 0, 0, False
 
 
 def _marked(node: Node, attributes: str, inside: bool) -> None:
-    """Sets name, drop and suspect of an element from its attributes; inside: whether it stands in an article or main."""
+    """Sets name, drop, comment and suspect of an element from its attributes; inside: whether it stands in an article or main."""
     protected = node.tag in ("html", "body", "article", "main")
     node.drop = node.tag in DROP or node.tag == "header" and not inside
-    node.suspect = node.tag == "form"
+    node.suspect, node.inside = node.tag == "form", inside
     if attributes and not attributes.isspace():
         names = []
         for k, a, b, c in ATTRIBUTE.findall(attributes):
@@ -72,7 +73,7 @@ def _marked(node: Node, attributes: str, inside: bool) -> None:
         node.name = " ".join(names)
         said = " ".join(x for x in names if not LAYOUT_NAME.fullmatch(x))
         if said and not protected:
-            node.drop |= bool(COMMENT_NAME.search(said))
+            node.comment = bool(COMMENT_NAME.search(said))
             node.suspect |= bool(BAD_NAME.search(said)) or not inside and bool(HEAD_NAME.search(said))
 
 
@@ -220,6 +221,15 @@ def _drop_suspects(root: Node) -> None:
             n.drop = True
 
 
+def _is_menu(n: Node) -> bool:
+    """Lists and boxes of links; in an article only lists of short links, so that references stay, and never paragraphs."""
+    if not n.size or n.links < 3 or n.main:
+        return False
+    if n.inside:
+        return n.tag in ("ul", "ol", "div", "table", "section") and n.link > 0.9 * n.size and n.link < 25 * n.links
+    return n.tag in ("ul", "ol", "div", "table", "section", "p") and n.link > 0.6 * n.size
+
+
 def blocks(root: Node) -> Iterator[str]:
     """The text of each block below root in page order, its white space made single spaces, blanks left out."""
     out, todo, now = [], [root], []
@@ -245,17 +255,8 @@ def blocks(root: Node) -> Iterator[str]:
     return iter(out)
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks joined by line ends; an empty text if there is none."""
-    root = parsed(html or "")
-    _drop_suspects(root)
-    nodes = _order(root)
-    _sizes(nodes)
-    for n in nodes:  # lists and boxes of links are menus
-        if n.tag in ("ul", "ol", "div", "table", "section", "p") and n.size and n.link > 0.6 * n.size and n.links >= 3:
-            n.drop = True
-    nodes = _order(root)
-    _sizes(nodes)
+def _scores(nodes: list[Node]) -> dict[int, tuple[Node, float]]:
+    """By element: its points from the paragraphs in it, discounted by its share of text in links."""
     scored: dict[int, Node] = {}
     for n in nodes:
         if n.tag not in BLOCK and n.tag != "#" or n.tag[:1] == "h" and n.tag[1:].isdigit():
@@ -272,19 +273,78 @@ def main_text(html: str | None) -> str:
                 up.points += TAG_POINTS.get(up.tag, 0) + (25 if GOOD_NAME.search(up.name) else 0)
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
-    if not scored:
-        return "\n".join(blocks(root)) if root.size and any(n.tag in ("article", "main") for n in nodes) else ""
-    final = {i: n.points * (1 - n.link / n.size if n.size else 0) for i, n in scored.items()}
-    best = scored[max(final, key=lambda i: final[i])]
-    keep, least = [], max(10.0, 0.2 * final[id(best)])
-    for k in best.parent.kids if best.parent is not None else [best]:
-        if not isinstance(k, Node) or k.drop:
-            continue
-        dense = k.link / k.size if k.size else 0
-        same = 0.2 * final[id(best)] if k.name and k.name == best.name else 0
-        if k is best or final.get(id(k), 0) + same >= least or k.tag == "p" and (k.size > 80 and dense < 0.25 or 0 < k.size <= 80 and not k.link):
-            keep.append(k)
-    return "\n".join(s for k in keep for s in blocks(k))
+    return {i: (n, n.points * (1 - n.link / n.size if n.size else 0)) for i, n in scored.items()}
+
+
+def _story(root: Node, final: dict[int, tuple[Node, float]]) -> list[Node]:
+    """The elements to keep, in page order.
+
+    The innermost article or main that holds the best container and at least half of the prose is kept whole. Without one,
+    the best container's siblings that look like its continuation are kept, and so those of its ancestors up to the body.
+    """
+    best, most = max(final.values(), key=lambda x: x[1])
+    up = best
+    while up is not None:
+        if up.tag in ("article", "main") and 2 * (up.size - up.link) >= root.size - root.link:
+            return [up]
+        up = up.parent
+    keep, here, least = [best], best, max(10.0, 0.2 * most)
+    while here.parent is not None and here.tag not in ("body", "html"):
+        level = []
+        for k in here.parent.kids:
+            if k is here:
+                level += keep
+            elif isinstance(k, Node) and not k.drop and k.size:
+                score = final[id(k)][1] if id(k) in final else 0
+                alike = k.tag == here.tag and k.name == here.name
+                dense = k.link / k.size
+                row = alike and dense < 0.25 and score > 0
+                line = k.tag == "p" and here is best and (k.size > 80 and dense < 0.25 or k.size <= 80 and not k.link)
+                title = k.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup") and dense < 0.25
+                if row or line or title or score + (0.2 * most if k.name and k.name == best.name else 0) >= least:
+                    level.append(k)
+        keep, here = level, here.parent
+    return keep
+
+
+def _extracted(root: Node) -> str | None:
+    """The text of the page's story; None where no paragraph passes points."""
+    nodes = _order(root)
+    _sizes(nodes)
+    for n in nodes:
+        n.points = 0.0
+        if _is_menu(n):
+            n.drop = True
+    nodes = _order(root)
+    _sizes(nodes)
+    final = _scores(nodes)
+    if not final:
+        return None
+    return "\n".join(s for k in _story(root, final) for s in blocks(k))
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks joined by line ends; an empty text if there is none.
+
+    Reader comments are left out by their names, unless nothing else of the page has a paragraph. A page without any
+    paragraph gives its other text outside links, such as a heading.
+    """
+    root = parsed(html or "")
+    nodes = _order(root)
+    _sizes(nodes)
+    comments = [n for n in nodes if n.comment and not n.main]
+    for n in comments:
+        n.drop = True
+    _drop_suspects(root)
+    found = _extracted(root)
+    if found is None and comments:
+        for n in comments:
+            n.drop = False
+        found = _extracted(root)
+    if found is None:
+        _sizes(_order(root))
+        found = "\n".join(blocks(root)) if root.size > root.link else ""
+    return found
 
 
 def _inline(node: Node) -> str:

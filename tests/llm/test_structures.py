@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm import conversations, fingerprints, lexical
+from panelyard.llm import conversations, fingerprints, html_text, lexical
 
 TURNS = "conv_id long, turn long, role string, text string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,7 +178,7 @@ def test_lexical_search_drops_intervals():
     every = []
     for d in range(4000):
         place = int(np.flatnonzero(shard.ids == d)[0])
-        every.append((-sum(int(x[np.searchsorted(p, place)]) for p, x, _ in (shard.get("common"), shard.get("rare")) if place in p), False, d))
+        every.append((-sum(int(x[np.searchsorted(p, place)]) for p, x, *_ in (shard.get("common"), shard.get("rare")) if place in p), False, d))
     assert best == nsmallest(10, every)
 
 
@@ -221,3 +221,59 @@ def test_sketches_merge_and_estimate(spark):
     pair = spark.createDataFrame([(by["a"], "".join(plain_sketch(texts[2][1])), "".join(plain_sketch(texts[5][1])))], "a string, b string, d string")
     got = pair.select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("b"), F.col("a")).alias("c"), fingerprints.merged(F.col("a"), F.col("b")).alias("m"), fingerprints.distinct_shingles(F.col("a")).alias("n"), fingerprints.distinct_shingles(F.col("d")).alias("few"), fingerprints.resemblance(F.lit(""), F.lit("")).alias("none")).first()
     assert abs(got["r"] - 2 / 3) < 0.15 and got["c"] == 1.0 and got["m"] == by["a"] and abs(got["n"] / 2996 - 1) < 0.3 and got["few"] == 46 and got["none"] == 1.0
+
+
+def test_extraction_keeps_the_whole_article():
+    long = "<p>" + "A long sentence, with commas, and more words than most. " * 6 + "</p>"
+    said = long[3:-4].strip()
+    page = f"<article><header><h1>Title</h1></header><section>{long * 4}</section><section><h2>B</h2><p>tiny</p></section></article>"
+    assert html_text.main_text(page) == "\n".join(["Title", *[said] * 4, "B", "tiny"])
+    page = f"<body><div id=w><div class=row>{long * 3}</div><div class=row>{long * 18}</div></div></body>"
+    assert html_text.main_text(page).count("\n") == 20
+    links = "<p>See <a href=a>the first of these</a>, <a href=b>the second of these</a> and <a href=c>the third one of these</a></p>"
+    refs = "<ol>" + "".join(f"<li><a href={i}>Reference number {i}, a paper with a long title</a></li>" for i in range(5)) + "</ol>"
+    page = f"<article>{links}{long * 3}{refs}</article>"
+    text = html_text.main_text(page).split("\n")
+    assert text[0].startswith("See the first") and len(text) == 9 and text[-1].startswith("Reference number 4")
+    for name in ('class="opinion comment"', 'id="comment-policy-article"'):
+        assert html_text.main_text(f"<nav><a href=x>Home</a></nav><section {name}>{long * 2}</section>") == f"{said}\n{said}"
+    assert html_text.main_text("<body><h1>Only heading</h1></body>") == "Only heading"
+    assert html_text.main_text("<body><a href=a>Home</a><a href=b>News</a></body>") == ""
+
+
+def test_extraction_of_generated_pages():
+    """Pages built of known blocks: all blocks of the article come back, in order, and nothing else."""
+    rng = random.Random(8)
+    words = "river stone market winter paper letter garden morning number water people city".split()
+    line = lambda n: (" ".join(rng.choice(words) + rng.choice(["", "", ","]) for _ in range(n)).strip(",") + ".").capitalize()
+    menu = lambda: "<ul>" + "".join(f"<li><a href=/{i}>{rng.choice(words)}</a></li>" for i in range(rng.randint(4, 9))) + "</ul>"
+    for _ in range(200):
+        want, inner = [], ""
+        title = line(6)
+        for _ in range(rng.randint(1, 4)):
+            parts = ""
+            if rng.random() < 0.6:
+                want_head = line(4)
+                parts += f"<h2>{want_head}</h2>"
+                want.append(want_head)
+            for _ in range(rng.randint(1, 6)):
+                text = line(rng.choice([3, 12, 40, 60]))
+                if rng.random() < 0.2:
+                    parts += f"<p>{text} <a href=a>{words[0]}</a> <a href=b>{words[1]}</a></p>"
+                    want.append(f"{text} {words[0]} {words[1]}")
+                else:
+                    parts += rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(text)
+                    want.append(text)
+            inner += f"<section>{parts}</section>"
+        for _ in range(2):  # the story outweighs its surroundings
+            text = line(80)
+            inner += f"<p>{text}</p>"
+            want.append(text)
+        article = rng.choice([f"<article><header><h1>{title}</h1></header>{inner}</article>", f"<main><h1>{title}</h1>{inner}</main>", f"<main><article><h1>{title}</h1>{inner}</article></main>"])
+        comment = f"<div class={rng.choice(['comments', 'comment-list'])}>" + "".join(f"<p>{line(20)}</p>" for _ in range(rng.randint(1, 9))) + "</div>"
+        before = [f"<nav>{menu()}</nav>", f"<header><h2>{line(3)}</h2>{menu()}</header>", f"<div class=cookie-notice><p>{line(9)}</p></div>", f"<div class='ad box'>{line(9)}</div>", menu()]
+        after = [f"<footer><p>{line(12)}</p></footer>", f"<aside>{line(30)}</aside>", f"<div id=sidebar>{menu()}<p>{line(9)}</p></div>", comment, f"<form><p>{line(8)}</p><input></form>", f"<script>{line(5)}</script>"]
+        rng.shuffle(before)
+        rng.shuffle(after)
+        page = f"<html><body>{''.join(before[: rng.randint(0, 5)])}{article}{''.join(after[: rng.randint(0, 6)])}</body></html>"
+        assert html_text.main_text(page) == "\n".join([title, *want]), page
