@@ -30,12 +30,12 @@ SHARD_DOCS = 8192
 SHARD_POSTINGS = 1_000_000
 #: Items and their terms that one pass over the index takes to its tasks, at most.
 PASS_TERMS = 200_000
-#: Intervals that are split at once, and documents up to which an interval is scored whole.
+#: Intervals that are split at once.
 WIDE = 256
-LEAF = 8
-# Bytes that end a term, and the parts of the score.
-BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
+#: Bits of a document's place in its shard.
 POST_BITS = 20
+# Bytes that end a term become a space.
+BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -97,23 +97,18 @@ def index(docs: DataFrame, wanted: set[bytes], shard_docs: int = SHARD_DOCS, sha
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, INDEX_DDL)
 
 
-def sparse_table(x: np.ndarray) -> list[np.ndarray]:
-    """Level j holds, at each place, the maximum of the 2 ** j values that begin there."""
+#: Floor of the logarithm to base 2 of lengths (0: 0).
+LOG = np.frexp(np.arange((1 << POST_BITS) + 1, dtype=np.float64))[1].astype(np.int64) - 1
+LOG[0] = 0
+
+
+def sparse_table(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level j holds, at each place, the maximum of the 2 ** j values that begin there: all levels in one array, and where each begins."""
     levels = [x]
     while 2 * (half := 1 << (len(levels) - 1)) <= len(x):
         below = levels[-1]
         levels.append(np.maximum(below[:-half], below[half:]))
-    return levels
-
-
-def range_max(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The maximum of each range a <= place < b, 0 where it is empty."""
-    out, span = np.zeros(len(a), np.int64), b - a
-    depth = np.frexp(span.astype(np.float64))[1] - 1  # floor of the logarithm to base 2
-    for j in np.unique(depth[span > 0]).tolist():
-        s = (depth == j) & (span > 0)
-        out[s] = np.maximum(levels[j][a[s]], levels[j][b[s] - (1 << j)])
-    return out
+    return np.concatenate(levels), np.cumsum([0, *map(len, levels[:-1])])
 
 
 class Lists:
@@ -131,82 +126,90 @@ class Lists:
         ends = np.cumsum(row.df) if len(row.df) else np.empty(0, np.int64)
         self.at = {t: (int(e) - int(n), int(e)) for t, n, e in zip(row.terms, row.df, ends)}
         self.weights, self.built = weights, {}
-        self.least = sparse_table(-rank)
+        self.least, self.least_at = sparse_table(-rank)
 
     def get(self, term: str):
-        """(places, impacts, sparse table of impact and place) of a term; None where no document of the shard holds it."""
+        """(places, impacts, sparse table of impact and place, its levels) of a term; None where no document of the shard holds it."""
         if term not in self.built:
             found = None
             if term in self.at and self.weights.get(term):
                 a, b = self.at[term]
                 p, tf = self.places[a:b].astype(np.int64), self.tfs[a:b]
                 x = self.weights[term] * (1_000_000_000 * tf // (1000 * tf + 8 * self.m[p]))
-                found = (p, x, sparse_table(x << POST_BITS | p))
+                found = (p, x, *sparse_table(x << POST_BITS | p))
             self.built[term] = found
         return self.built[term]
 
+    def first_ids(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is null, id) of the document that ranks first among equal scores in each interval."""
+        d = LOG[hi - lo]
+        rank = -np.maximum(self.least[self.least_at[d] + lo], self.least[self.least_at[d] + hi - (1 << d)])
+        return self.nulls[self.by_rank[rank]], self.ids[self.by_rank[rank]]
 
-def search(shard: Lists, query: list[str], best: list[tuple[int, bool, int]], k: int, wide: int = WIDE, leaf: int = LEAF) -> tuple[list[tuple[int, bool, int]], int]:
+
+def search(shard: Lists, query: list[str], best: list[tuple[int, bool, int]], k: int, wide: int = WIDE) -> tuple[list[tuple[int, bool, int]], int]:
     """best (-score, id is null, id), the k least, after the shard's documents have been offered; and the documents scored.
 
-    Intervals [lo, hi) of places are taken by falling bound, wide at a time.
+    Intervals [lo, hi) of places are taken by falling bound, wide at a time; from and to are their ranges in each list.
     """
     lists = [x for x in map(shard.get, query) if x]
     if not lists:
         return best, 0
+    column = np.arange(len(lists))[:, None]
+    size = np.array([len(x[0]) for x in lists])[:, None]
+    begin = size.cumsum(0) - size
+    posts = np.append(np.concatenate([p + (i << POST_BITS) for i, (p, *_) in enumerate(lists)]), -1)
+    impacts = np.append(np.concatenate([x[1] for x in lists]), 0)
+    flat = np.append(np.concatenate([x[2] for x in lists]), 0)
+    starts = np.cumsum([0, *(len(x[2]) for x in lists[:-1])])
+    level = np.zeros((len(lists), max(len(x[3]) for x in lists)), np.int64)
+    for i, x in enumerate(lists):
+        level[i, : len(x[3])] = starts[i] + x[3]
     scored, low = 0, (1 << POST_BITS) - 1
 
-    def bounds(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals' bounds, and the place of the largest impact in each."""
-        total, top = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
-        for p, _, t in lists:
-            found = range_max(t, np.searchsorted(p, lo), np.searchsorted(p, hi))
-            total += found >> POST_BITS
-            np.maximum(top, found, out=top)
-        return total, top & low
-
-    def score(d: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(d), np.int64)
-        for p, x, _ in lists:
-            i = np.minimum(np.searchsorted(p, d), len(p) - 1)
-            total += np.where(p[i] == d, x[i], 0)
-        return total
+    def bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of intervals whose ranges in the lists are a to b, and the place of the largest impact in each."""
+        span = b - a
+        d = LOG[span]
+        at = level[column, d]
+        most = np.where(span > 0, np.maximum(flat[at + a], flat[at + b - (1 << d)]), 0)
+        return (most >> POST_BITS).sum(0), most.max(0) & low
 
     lo, hi = np.zeros(1, np.int64), np.array([len(shard.ids)], np.int64)
-    bound, top = bounds(lo, hi)
-    while len(lo):
+    a, b = np.zeros_like(size), size.copy()
+    bound, top = bounds(a, b)
+    while True:
         if len(best) == k:  # an interval of equal bound counts only if it holds an id before the k-th
             live = bound > -best[-1][0]
             even = np.flatnonzero(bound == -best[-1][0])
-            first = shard.by_rank[-range_max(shard.least, lo[even], hi[even])]
-            null, i = shard.nulls[first], shard.ids[first]
-            live[even] = (null < best[-1][1]) | (null == best[-1][1]) & (i < best[-1][2])
+            if len(even):
+                null, i = shard.first_ids(lo[even], hi[even])
+                live[even] = (null < best[-1][1]) | (null == best[-1][1]) & (i < best[-1][2])
         else:
             live = bound > 0
-        lo, hi, bound, top = lo[live], hi[live], bound[live], top[live]
+        if not live.all():
+            lo, hi, a, b, bound, top = lo[live], hi[live], a[:, live], b[:, live], bound[live], top[live]
         if not len(lo):
-            break
-        pick = np.argpartition(-bound, min(wide, len(bound)) - 1)[:wide] if len(bound) > wide else np.arange(len(bound))
-        a, b, m = lo[pick], hi[pick], top[pick]
-        rest = np.ones(len(lo), bool)
-        rest[pick] = False
-        small = b - a <= leaf
-        whole = np.concatenate([np.arange(x, y) for x, y in zip(a[small], b[small])]) if small.any() else np.empty(0, np.int64)
-        docs = np.concatenate([m[~small], whole])
-        s = score(docs)
-        scored += len(docs)
-        keep = s >= (-best[-1][0] if len(best) == k else 1)
+            return best, scored
+        pick = np.argpartition(-bound, wide - 1)[:wide] if len(bound) > wide else np.arange(len(bound))
+        doc = top[pick]
+        here = np.searchsorted(posts[:-1], (column << POST_BITS) + doc)
+        hit = posts[here] == (column << POST_BITS) + doc
+        score = np.where(hit, impacts[here], 0).sum(0)
+        scored += len(doc)
+        keep = score >= (-best[-1][0] if len(best) == k else 1)
         if keep.any():
-            offered = [(-int(v), bool(shard.nulls[d]), int(shard.ids[d])) for v, d in zip(s[keep], docs[keep])]
-            best = sorted(best + offered)[:k]
-        a, b, m = a[~small], b[~small], m[~small]
-        new_lo, new_hi = np.concatenate([a, m + 1]), np.concatenate([m, b])
+            best = sorted(best + [(-int(v), bool(shard.nulls[d]), int(shard.ids[d])) for v, d in zip(score[keep], doc[keep])])[:k]
+        here = here - begin
+        new_lo, new_hi = np.concatenate([lo[pick], doc + 1]), np.concatenate([doc, hi[pick]])
+        new_a, new_b = np.concatenate([a[:, pick], here + hit], 1), np.concatenate([here, b[:, pick]], 1)
         full = new_hi > new_lo
-        new_lo, new_hi = new_lo[full], new_hi[full]
-        new_bound, new_top = bounds(new_lo, new_hi)
-        lo, hi = np.concatenate([lo[rest], new_lo]), np.concatenate([hi[rest], new_hi])
+        new_lo, new_hi, new_a, new_b = new_lo[full], new_hi[full], new_a[:, full], new_b[:, full]
+        new_bound, new_top = bounds(new_a, new_b)
+        rest = np.ones(len(lo), bool)
+        rest[pick] = False
+        lo, hi, a, b = np.concatenate([lo[rest], new_lo]), np.concatenate([hi[rest], new_hi]), np.concatenate([a[:, rest], new_a], 1), np.concatenate([b[:, rest], new_b], 1)
         bound, top = np.concatenate([bound[rest], new_bound]), np.concatenate([top[rest], new_top])
-    return best, scored
 
 
 def _weight(n: Column, df: Column) -> Column:
