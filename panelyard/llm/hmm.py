@@ -409,7 +409,14 @@ def score_texts(docs: DataFrame, training: str = "held_out = false", states: int
     token a form; they add up to one. Null and blank texts are the end alone. Texts of any length are taken whole. Without
     training rows both models know the unseen token and the end only. Rows that repeat a doc_id are trained on and scored
     each; where training is null for a row, it is scored only. Other columns are ignored. An empty table gives an empty result.
+    Raises ValueError for more than 8 states, or for more symbols than two bytes can number.
     """
+    if not 1 <= states <= 8:
+        raise ValueError("states must be from 1 to 8: a token's shares of them are the bytes of a long")
+    if not (forms >= 1 and frequent >= 0 and frequent + forms < RARE):
+        raise ValueError(f"forms and frequent tokens together must be fewer than {RARE}: a token's symbol has two bytes")
+    if rounds < 1:
+        raise ValueError("rounds must be at least 1")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "held_out", F.coalesce(F.expr(training), F.lit(False)).alias("train"), "text")
     known, counted = saved_at(token_counts(docs.filter("train")), "hmm-tokens")

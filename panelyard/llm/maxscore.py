@@ -25,7 +25,8 @@ from pyspark.sql.window import Window as W
 from .common import saved, table
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 512
+#: Queries of a block: with this many, copies of shards and of query blocks weigh within a factor of two of each other in the grid.
+QUERY_ROWS = 4096
 BLOCK = 1024
 PROBES = 4
 LONG = np.iinfo(np.int64)

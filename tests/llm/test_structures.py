@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm import conversations, fingerprints, html_text, lexical
+from panelyard.llm import conversations, fingerprints, hmm, html_text, lexical
 
 TURNS = "conv_id long, turn long, role string, text string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -277,3 +277,10 @@ def test_extraction_of_generated_pages():
         rng.shuffle(after)
         page = f"<html><body>{''.join(before[: rng.randint(0, 5)])}{article}{''.join(after[: rng.randint(0, 6)])}</body></html>"
         assert html_text.main_text(page) == "\n".join([title, *want]), page
+
+
+@pytest.mark.parametrize("params", [{"states": 9}, {"states": 0}, {"frequent": 65_536}, {"forms": 0}, {"rounds": 0}])
+def test_language_model_refuses_sizes_that_it_cannot_pack(spark, params):
+    docs = spark.createDataFrame([(1, False, "a b")], "doc_id long, held_out boolean, text string")
+    with pytest.raises(ValueError):
+        hmm.score_texts(docs, **params)
