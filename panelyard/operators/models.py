@@ -5,10 +5,14 @@ Spark forms the sufficient statistics of all folds in one grouped job; the drive
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.bars import kept
+from .boosting import fit_trees, score_trees
+from .quantiles import exact_quantiles
 
 
 def training_mask(calendar: DataFrame, start: str, boundaries: dict[str, str], horizon: int, embargo: int) -> DataFrame:
@@ -24,59 +28,97 @@ def training_mask(calendar: DataFrame, start: str, boundaries: dict[str, str], h
     return c.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("session_no") + horizon + 1 < F.col("_b") - embargo)).select("fold", "date")
 
 
-def ridge_by_fold(rows: DataFrame, features: tuple[str, ...], label: str, penalty: float, tails: float = 0.01) -> DataFrame:
-    """One row per (fold, feature): lower, upper, mean, scale, coefficient; feature null is the intercept.
+def ridge_blocks(rows: DataFrame, blocks: dict[str, tuple[str, ...]], label: str, penalty: float, tails: float = 0.01, least_rows: int = 100) -> DataFrame:
+    """M4, M9: one row per (fold, block, feature): lower, upper, mean, scale, coefficient; feature null is the intercept.
 
-    rows(fold, features, label) are the training rows of each fold. Features are cut at each fold's own quantiles, scaled
-    by the deviation of the cut values (1 where there is none), and the intercept is not penalised. Rows with a null go.
+    rows(fold, features, label) are the training rows of each fold; blocks name sets of features that may overlap. Features
+    are cut at each fold's own exact quantiles, scaled by the deviation of the cut values (1 where there is none), and the
+    intercept is not penalised. Rows with a null in any block go. One pass forms each fold's matrix of products of all
+    features, as partial sums of tasks; a block's model is solved from its part of it. Raises ValueError where a fold has
+    fewer than least_rows rows.
     """
     import numpy as np
 
-    full = rows.select("fold", label, *features).dropna()
-    q = full.groupBy("fold").agg(*[F.percentile(f, F.array(F.lit(tails), F.lit(1 - tails))).alias(f"_q_{f}") for f in features])
-    cut = full.join(F.broadcast(q), "fold")  # q has one row a fold
-    cut = cut.select("fold", label, *[F.least(F.greatest(F.col(f), F.col(f"_q_{f}")[0]), F.col(f"_q_{f}")[1]).alias(f) for f in features])
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    stats = cut.groupBy("fold").agg(F.avg(label).alias("_y"), *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.covar_pop(a, b).alias(f"_c_{a}__{b}") for a, b in pairs], *[F.covar_pop(f, label).alias(f"_v_{f}") for f in features])
+    features = tuple(dict.fromkeys(f for block in blocks.values() for f in block))
+    full = kept(rows.select("fold", *[F.col(c).cast("double").alias(c) for c in (*features, label)]).dropna(), "ridge-rows")
+    bounds: dict = {}
+    for r in exact_quantiles(full, features, (tails, 1 - tails), ("fold",)).collect():  # one row a fold and feature
+        bounds.setdefault(r["fold"], {})[r["column"]] = (r["n"], *r["q"])
+    for fold, of in bounds.items():
+        if of[features[0]][0] < least_rows:
+            raise ValueError(f"fold {fold} has fewer than {least_rows} training rows")
+    lower = {fold: np.array([of[f][1] for f in features]) for fold, of in bounds.items()}
+    upper = {fold: np.array([of[f][2] for f in features]) for fold, of in bounds.items()}
+    width = len(features) + 2  # the features, about the middle of their bounds; the label; one
+
+    def products(parts):
+        total = {}
+        for pdf in parts:
+            for fold, part in pdf.groupby("fold"):
+                x = np.clip(part[list(features)].to_numpy(float), lower[fold], upper[fold]) - (lower[fold] + upper[fold]) / 2
+                v = np.column_stack([x, part[label], np.ones(len(part))])
+                total[fold] = total.get(fold, 0) + v.T @ v
+        cells = [(fold, i * width + j, m[i, j]) for fold, m in total.items() for i in range(width) for j in range(i, width)]
+        yield pd.DataFrame(cells, columns=["fold", "cell", "s"])
+
+    sums = full.mapInPandas(products, "fold string, cell int, s double").groupBy("fold", "cell").agg(F.sum("s").alias("s"))
+    matrices = {fold: np.zeros((width, width)) for fold in bounds}
+    for r in sums.collect():  # (p + 2) (p + 3) / 2 rows a fold
+        i, j = divmod(r["cell"], width)
+        matrices[r["fold"]][i, j] = matrices[r["fold"]][j, i] = r["s"]
     out = []
-    for s in stats.join(F.broadcast(q), "fold").collect():  # one row a fold
-        scale = np.array([s[f"_c_{f}__{f}"] ** 0.5 for f in features])
-        scale = np.where(scale > 1e-12, scale, 1.0)
-        m = np.zeros((len(features), len(features)))
-        for a, b in pairs:
-            i, j = features.index(a), features.index(b)
-            m[i, j] = m[j, i] = s[f"_c_{a}__{b}"] / scale[i] / scale[j]
-        w = np.linalg.solve(m + penalty * np.eye(len(features)), np.array([s[f"_v_{f}"] for f in features]) / scale)
-        out.append((s["fold"], None, None, None, None, None, s["_y"]))
-        out += [(s["fold"], f, *map(float, s[f"_q_{f}"]), s[f"_m_{f}"], float(scale[i]), float(w[i])) for i, f in enumerate(features)]
-    return rows.sparkSession.createDataFrame(out, "fold string, feature string, lower double, upper double, mean double, scale double, coefficient double")
+    for fold, m in matrices.items():
+        m = m / m[-1, -1]
+        mean, cov = m[:-1, -1], m[:-1, :-1] - np.outer(m[:-1, -1], m[:-1, -1])
+        deviation = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
+        scale = np.where(deviation > 1e-12, deviation, 1.0)
+        middle = (lower[fold] + upper[fold]) / 2
+        for block, members in blocks.items():
+            at = [features.index(f) for f in members]
+            g = cov[np.ix_(at, at)] / np.outer(scale[at], scale[at])
+            w = np.linalg.solve(g + penalty * np.eye(len(at)), cov[at, -1] / scale[at])
+            out.append((fold, block, None, None, None, None, None, float(mean[-1])))
+            out += [(fold, block, f, float(lower[fold][i]), float(upper[fold][i]), float(mean[i] + middle[i]), float(scale[i]), float(c)) for f, i, c in zip(members, at, w)]
+    return rows.sparkSession.createDataFrame(out, "fold string, block string, feature string, lower double, upper double, mean double, scale double, coefficient double")
+
+
+def ridge_by_fold(rows: DataFrame, features: tuple[str, ...], label: str, penalty: float, tails: float = 0.01, least_rows: int = 100) -> DataFrame:
+    """As ridge_blocks, of one block of features, without the column block."""
+    return ridge_blocks(rows, {"all": features}, label, penalty, tails, least_rows).drop("block")
 
 
 def score_folds(rows: DataFrame, models: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """M9: the score of every row under every fold's model (fold, symbol, date, score); null features give null.
+    """M9: the score of every row under every model (symbol, date, fold and, if the models have it, block, score); null features give null.
 
-    models is folds * (features + 1) rows, so the coefficients become literals of one projection.
+    models is a row per fold, block and feature, so the coefficients become literals of one projection.
     """
     by: dict = {}
+    names = [c for c in ("fold", "block") if c in models.columns]
     for m in models.collect():
-        by.setdefault(m["fold"], {})[m["feature"]] = m
+        by.setdefault(tuple(m[c] for c in names), {})[m["feature"]] = m
     scores = []
-    for fold, m in sorted(by.items()):
+    for key, m in sorted(by.items()):
         s = F.lit(m[None]["coefficient"])
         for f in features:
-            z = (F.least(F.greatest(F.col(f), F.lit(m[f]["lower"])), F.lit(m[f]["upper"])) - m[f]["mean"]) / m[f]["scale"]
-            s = s + F.when(F.col(f).isNotNull(), z * m[f]["coefficient"])
-        scores += [F.lit(fold), s]
-    return rows.select("symbol", "date", F.explode(F.create_map(*scores)).alias("fold", "score"))
+            if f in m:
+                z = (F.least(F.greatest(F.col(f), F.lit(m[f]["lower"])), F.lit(m[f]["upper"])) - m[f]["mean"]) / m[f]["scale"]
+                s = s + F.when(F.col(f).isNotNull(), z * m[f]["coefficient"])
+        scores.append(F.struct(*[F.lit(x).alias(c) for c, x in zip(names, key)], s.alias("score")))
+    return rows.select("symbol", "date", F.explode(F.array(*scores)).alias("_m")).select("symbol", "date", "_m.*")
+
 
+def ridge_intercept(rows: DataFrame, features: tuple[str, ...], labels: tuple[str, ...], penalty: float, least_rows: int = 10_000) -> DataFrame:
+    """M3: (label, feature, coefficient) of ridge models with an unpenalised intercept (feature null), one per label.
 
-def ridge_intercept(rows: DataFrame, features: tuple[str, ...], labels: tuple[str, ...], penalty: float) -> DataFrame:
-    """M3: (label, feature, coefficient) of ridge models with an unpenalised intercept (feature null), one per label."""
+    Raises ValueError with fewer than least_rows rows that have all features and labels.
+    """
     import numpy as np
 
     full = rows.dropna(subset=[*features, *labels])
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    s = full.agg(*[F.avg(c).alias(f"m_{c}") for c in (*features, *labels)], *[F.covar_pop(a, b).alias(f"{a}__{b}") for a, b in [*pairs, *[(f, y) for f in features for y in labels]]]).first()
+    s = full.agg(*[F.avg(c).alias(f"m_{c}") for c in (*features, *labels)], *[F.covar_pop(a, b).alias(f"{a}__{b}") for a, b in [*pairs, *[(f, y) for f in features for y in labels]]], F.count("*").alias("_n")).first()
+    if s["_n"] < least_rows:
+        raise ValueError(f"fewer than {least_rows} training rows")
     g = np.zeros((len(features), len(features)))
     for a, b in pairs:
         i, j = features.index(a), features.index(b)
@@ -89,14 +131,9 @@ def ridge_intercept(rows: DataFrame, features: tuple[str, ...], labels: tuple[st
     return rows.sparkSession.createDataFrame(out, "label string, feature string, coefficient double")
 
 
-def boosted_trees(train: DataFrame, rows: DataFrame, features: tuple[str, ...], label: str, iterations: int = 100, depth: int = 3, rate: float = 0.035, least: int = 250) -> DataFrame:
-    """M7: rows with the score of gradient-boosted trees; rows with a null feature go."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    v = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    gbt = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="score", maxIter=iterations, maxDepth=depth, stepSize=rate, minInstancesPerNode=least, seed=7)
-    return gbt.fit(v.transform(train.dropna(subset=[*features, label]))).transform(v.transform(rows)).drop("_x")
+def boosted_trees(train: DataFrame, rows: DataFrame, features: tuple[str, ...], label: str, **params) -> DataFrame:
+    """M7: rows with the score of gradient-boosted trees fitted on train (see fit_trees); rows with a null feature go."""
+    return score_trees(rows, fit_trees(train, features, label, **params), features).filter("score is not null")
 
 
 def permutation_importance(panel: DataFrame, calendar: DataFrame, features: tuple[str, ...], label: str, score, every: int = 10) -> DataFrame:

@@ -13,12 +13,18 @@ from ..functions import signals as G
 from ..operators import models as M
 from ..sources import bars as B
 from .catalog import WSQL, query
-from .signals import features
+from .signals import _MODEL, FLOOR
 
 FEATURES = ("r1", "r5")
 FOLDS = {"a": "1997-06-01", "b": "1998-09-01", "c": "2000-06-01"}
 _ROWS = f"SELECT symbol, date, close / lag(close, 1) {WSQL} - 1 AS r1, close / lag(close, 5) {WSQL} - 1 AS r5, lead(open, 6) {WSQL} / lead(open, 1) {WSQL} - 1 AS label, lead(open, 1) {WSQL} / close - 1 AS night FROM bars"
-_MASK = "SELECT fold, date FROM (SELECT *, count(*) FILTER (date < boundary) OVER (PARTITION BY fold) AS b FROM cal, (VALUES " + ", ".join(f"('{k}', DATE '{v}')" for k, v in FOLDS.items()) + ") AS f(fold, boundary)) WHERE date >= DATE '1995-03-01' AND session_no + 6 < b - 5"
+
+
+def _mask_sql(folds: dict[str, str]) -> str:
+    return "SELECT fold, date FROM (SELECT *, count(*) FILTER (date < boundary) OVER (PARTITION BY fold) AS b FROM cal, (VALUES " + ", ".join(f"('{k}', DATE '{v}')" for k, v in folds.items()) + ") AS f(fold, boundary)) WHERE date >= DATE '1995-03-01' AND session_no + 6 < b - 5"
+
+
+_MASK = _mask_sql(FOLDS)
 
 
 def rows(spark, d):
@@ -52,18 +58,63 @@ def m9(spark, d):
     return M.score_folds(rows(spark, d), m4(spark, d), FEATURES).filter("score is not null")
 
 
+BLOCKS = {"base": G.BASE, "ranked": G.RANKED, "all": G.INPUTS}
+LATER = {"a": "1999-09-01", "b": "2000-06-01", "c": "2001-03-01"}
+_LATER = _mask_sql(LATER)
+_IN_BLOCK = "(VALUES " + ", ".join(f"('{k}', '{f}', {i})" for k, fs in BLOCKS.items() for i, f in enumerate(fs, 1)) + ") AS b(block, feature, i)"
+# The normal equations of a fold and block are solved by elimination, a row of the list of lists a step.
+_SOLVED = f"""WITH RECURSIVE w AS ({_MODEL}), k AS ({_LATER}), lb AS (SELECT symbol, date, lead(open, 6) {WSQL} / lead(open, 1) {WSQL} - 1 AS label FROM bars),
+ x AS (SELECT fold, symbol, date, label, {', '.join(G.INPUTS)} FROM w JOIN lb USING (symbol, date) JOIN k USING (date) WHERE eligible AND label IS NOT NULL),
+ l AS (UNPIVOT x ON {', '.join(G.INPUTS)} INTO NAME feature VALUE v),
+ q AS (SELECT fold, feature, quantile_cont(v, 0.01) AS lower, quantile_cont(v, 0.99) AS upper FROM l GROUP BY ALL),
+ c AS (SELECT fold, symbol, date, label, feature, least(greatest(v, lower), upper) AS v FROM l JOIN q USING (fold, feature)),
+ m AS (SELECT fold, feature, avg(v) AS mean, CASE WHEN stddev_pop(v) > 1e-12 THEN stddev_pop(v) ELSE 1 END AS scale FROM c GROUP BY ALL),
+ y AS (SELECT fold, avg(label) AS y FROM x GROUP BY fold),
+ z AS (SELECT fold, symbol, date, label - y AS label, feature, (v - mean) / scale AS z FROM c JOIN m USING (fold, feature) JOIN y USING (fold)),
+ gm AS (SELECT s.fold, s.feature AS f, t.feature AS g, avg(s.z * t.z) + CASE WHEN s.feature = t.feature THEN 0.03 ELSE 0 END AS v FROM z AS s JOIN z AS t USING (fold, symbol, date) GROUP BY s.fold, s.feature, t.feature),
+ gv AS (SELECT fold, feature AS f, avg(z * label) AS v FROM z GROUP BY ALL),
+ r0 AS (SELECT fold, bi.block, bi.i, list_append(list(gm.v ORDER BY bj.i), any_value(gv.v)) AS r FROM gm JOIN {_IN_BLOCK.replace("AS b(", "AS bi(")} ON bi.feature = gm.f JOIN {_IN_BLOCK.replace("AS b(", "AS bj(")} ON bj.feature = gm.g AND bj.block = bi.block JOIN gv USING (fold, f) GROUP BY ALL),
+ e AS (SELECT fold, block, 1 AS step, count(*) AS p, list(r ORDER BY i) AS a FROM r0 GROUP BY fold, block
+  UNION ALL SELECT fold, block, step + 1, p, list_transform(range(1, p + 1), lambda i: list_transform(range(1, p + 2), lambda j: CASE WHEN i = step THEN a[step][j] / a[step][step] ELSE a[i][j] - a[i][step] * a[step][j] / a[step][step] END)) FROM e WHERE step <= p),
+ co AS (SELECT fold, block, b.feature, a[b.i][p + 1] AS coefficient FROM e JOIN {_IN_BLOCK} USING (block) WHERE step = p + 1),
+ fit AS (SELECT fold, block, feature, lower, upper, mean, scale, coefficient FROM co JOIN q USING (fold, feature) JOIN m USING (fold, feature) UNION ALL SELECT fold, block, NULL, NULL, NULL, NULL, NULL, y FROM y, (SELECT DISTINCT block FROM co))"""
+
+
+def _inputs(spark, d):
+    """W10's inputs and the label of eligible rows, and the sessions."""
+    b = B.kept_panel(spark, d)
+    x = G.model_features(G.feature_panel(b, B.benchmark(spark, d), FLOOR)).filter("eligible")
+    return x.join(b.select("symbol", "date", S.forward_label(5).alias("label")).hint("merge"), ["symbol", "date"]), B.sessions(b)
+
+
+def _block_models(x, cal):
+    return M.ridge_blocks(x.join(M.training_mask(cal, "1995-03-01", LATER, 5, 5).hint("merge"), "date"), BLOCKS, "label", 0.03)
+
+
+@query("m9_block_models", f"{_SOLVED} SELECT * FROM fit", "lower upper mean scale coefficient")
+def m9_models(spark, d):
+    return _block_models(*_inputs(spark, d))
+
+
+@query("m9_block_scores", f"""{_SOLVED}, u AS (UNPIVOT (SELECT symbol, date, {', '.join(G.INPUTS)} FROM w WHERE eligible) ON {', '.join(G.INPUTS)} INTO NAME feature VALUE v)
+ SELECT symbol, date, fold, block, sum((least(greatest(v, lower), upper) - mean) / scale * coefficient) + any_value(y) AS score FROM u JOIN fit USING (feature) JOIN y USING (fold) GROUP BY ALL""", "score")
+def m9_scores(spark, d):
+    x, cal = _inputs(spark, d)
+    x = B.kept(x, "model-inputs")
+    return M.score_folds(x, _block_models(x, cal), G.INPUTS)
+
+
 @query("m3_ridge_intercept", f"""WITH g AS (SELECT avg(r1) AS m1, avg(r5) AS m5, avg(label) AS ml, avg(night) AS mn, var_pop(r1) + 0.03 AS a, covar_pop(r1, r5) AS b, var_pop(r5) + 0.03 AS c, covar_pop(r1, label) AS p, covar_pop(r5, label) AS q, covar_pop(r1, night) AS s, covar_pop(r5, night) AS t FROM ({_ROWS}) WHERE r1 IS NOT NULL AND r5 IS NOT NULL AND label IS NOT NULL AND night IS NOT NULL),
  h AS (SELECT *, (p * c - b * q) / (a * c - b * b) AS x1, (q * a - b * p) / (a * c - b * b) AS x5, (s * c - b * t) / (a * c - b * b) AS y1, (t * a - b * s) / (a * c - b * b) AS y5 FROM g)
  SELECT label, feature, coefficient FROM h, LATERAL (VALUES ('label', NULL, ml - x1 * m1 - x5 * m5), ('label', 'r1', x1), ('label', 'r5', x5), ('night', NULL, mn - y1 * m1 - y5 * m5), ('night', 'r1', y1), ('night', 'r5', y5)) AS v(label, feature, coefficient)""", "coefficient")
 def m3(spark, d):
-    return M.ridge_intercept(rows(spark, d), FEATURES, ("label", "night"), 0.03)
+    return M.ridge_intercept(rows(spark, d), FEATURES, ("label", "night"), 0.03, 500)
 
 
 @query("m7_boosted_trees")
 def m7(spark, d):
-    label = B.panel(spark, d).select("symbol", "date", S.forward_label(5).alias("label"))
-    x = G.model_features(features(spark, d)).join(label.hint("merge"), ["symbol", "date"]).filter("eligible")
-    return M.boosted_trees(x.filter(F.col("date") < "2000-06-01"), x, G.INPUTS, "label", iterations=100).select("symbol", "date", "score")
+    x = B.kept(_inputs(spark, d)[0], "model-inputs")
+    return M.boosted_trees(x.filter(F.col("date") < "2000-06-01"), x, G.INPUTS, "label").select("symbol", "date", "score")
 
 
 @query("m8_permutation_importance", f"""WITH x AS (SELECT * FROM ({_ROWS}) JOIN cal USING (date) WHERE r1 IS NOT NULL AND r5 IS NOT NULL AND label IS NOT NULL AND session_no % 10 = 0),
