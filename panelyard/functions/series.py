@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+
+def finite(c: Column) -> Column:
+    """The value, null where it is NaN or infinite."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
 def ws():
     return W.partitionBy("symbol").orderBy("date")
 

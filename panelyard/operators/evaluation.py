@@ -132,23 +132,28 @@ def linear_score(features: tuple[str, ...], coefficients: list[float]) -> Column
 def block_bootstrap(daily: DataFrame, samples: int = 1000, block: int = 20, seed: int = 5, r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Mean and a 95 % interval of it by a circular block bootstrap.
 
-    A block's sum is the difference of two prefix sums on the series wrapped once; starts are drawn by a hash of (seed,
-    sample, block), so matched series share them and reruns agree. The last block is cut to keep n values a sample.
+    Every row is a date of its series, also where r is null or NaN: blocks span dates, and a sample's mean is over the values
+    present in it. A block's sums are differences of prefix sums of values and of presence on the series wrapped once; starts
+    are drawn by a hash of (seed, sample, block), so matched series share them and reruns agree. The last block is cut to keep
+    n dates a sample. An infinite value is an error.
     """
+    v = F.when(F.abs(r) == float("inf"), F.raise_error(F.lit("infinite return"))).when(~F.isnan(r), F.col(r))
     w = W.partitionBy(*keys).orderBy("date")
-    d = daily.filter(F.col(r).isNotNull()).select(*keys, "date", r).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(*keys))})
-    twice = d.select(*keys, "n", r, F.explode(F.array(F.col("i"), F.col("i") + F.col("n"))).alias("i"))
-    prefix = twice.withColumn("upto", F.sum(r).over(W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0))).select(*keys, "i", "upto")
+    d = daily.select(*keys, "date", v.cast("double").alias("_v")).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(*keys))})
+    twice = d.select(*keys, "n", "_v", F.explode(F.array(F.col("i"), F.col("i") + F.col("n"))).alias("i"))
+    run = W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    prefix = twice.select(*keys, "i", F.struct(F.coalesce(F.sum("_v").over(run), F.lit(0.0)).alias("v"), F.count("_v").over(run).alias("n")).alias("upto"))
     sizes = d.select(*keys, "n").distinct()
     draws = sizes.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("s").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     draws = draws.withColumns({"start": F.floor(u * F.col("n")).cast("int"), "len": F.least(F.lit(block), F.col("n") - F.col("b") * block)})
     ends = draws.withColumn("last", F.col("start") + F.col("len") - 1).join(prefix.withColumnsRenamed({"i": "last", "upto": "hi"}).hint("merge"), [*keys, "last"])
     both = ends.withColumn("first", F.col("start") - 1).join(prefix.withColumnsRenamed({"i": "first", "upto": "lo"}).hint("merge"), [*keys, "first"], "left")
-    means = both.groupBy(*keys, "s", "n").agg((F.sum(F.col("hi") - F.coalesce("lo", F.lit(0.0))) / F.col("n")).alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+    total, present = F.sum(F.col("hi.v") - F.coalesce("lo.v", F.lit(0.0))), F.sum(F.col("hi.n") - F.coalesce("lo.n", F.lit(0)))
+    means = both.groupBy(*keys, "s").agg(F.try_divide(total, present).alias("m"))
+    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))  # of as many values a key as there are samples
     ci = means.groupBy(*keys).agg(q[0].alias("low"), q[1].alias("high"))
-    return d.groupBy(*keys).agg(F.avg(r).alias("mean")).hint("merge").join(ci.hint("merge"), list(keys))
+    return d.groupBy(*keys).agg(F.avg("_v").alias("mean")).hint("merge").join(ci.hint("merge"), list(keys))
 
 
 def rigor_metrics(daily: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symbol",), per_year: int = YEAR) -> DataFrame:

@@ -29,12 +29,12 @@ def ohlc_geometry(bars: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     return bars.filter(bad).select("symbol", "date")
 
 
-def session_gaps(bars: DataFrame, calendar: DataFrame, own_range: bool = False) -> DataFrame:
+def session_gaps(bars: DataFrame, calendar: DataFrame, own_range: bool = False, symbols: DataFrame | None = None) -> DataFrame:
     """V4, V5: (symbol, date) of the calendar without a bar, over the whole calendar or each symbol's own range.
 
     Sessions are numbered; a gap is a step of more than one between a symbol's neighbouring bars, so only missing rows are
-    made, never symbols by dates. Bars outside the calendar are passed over, repeated bars count once; symbols without any
-    bar of the calendar have no rows.
+    made, never symbols by dates. Bars outside the calendar are passed over, repeated bars count once. U3: a requested symbol
+    of symbols(symbol) without any bar of the calendar misses all of it; without symbols such a one has no rows.
     """
     numbered = calendar.select("date").distinct().withColumns({"_no": F.row_number().over(W.orderBy("date")), "_all": F.count("*").over(W.partitionBy(F.lit(1)))})
     w = W.partitionBy("symbol").orderBy("_no")
@@ -43,6 +43,9 @@ def session_gaps(bars: DataFrame, calendar: DataFrame, own_range: bool = False)
     pair = lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"))
     steps = F.array_compact(F.array(pair(F.coalesce(F.lag("_no").over(w), first), F.col("_no")), F.when(F.lead("_no").over(w).isNull(), pair(F.col("_no"), past))))
     gaps = own.select("symbol", steps.alias("_s")).select("symbol", F.explode("_s").alias("_s")).filter("_s.z - _s.a > 1").select("symbol", F.explode(F.expr("sequence(_s.a + 1, _s.z - 1)")).alias("_no"))
+    if symbols is not None:
+        absent = symbols.select("symbol").distinct().join(own.select("symbol").distinct().hint("merge"), "symbol", "left_anti")
+        gaps = gaps.unionByName(absent.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(calendar.select("date").distinct().count()).cast("int"))).alias("_no")))
     return gaps.hint("merge").join(numbered.select("_no", "date").hint("merge"), "_no").select("symbol", "date")
 
 

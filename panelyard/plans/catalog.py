@@ -87,9 +87,53 @@ def s9d(spark, d):
     return B.panel(spark, d, "day").drop("adj_close", "adj_open")
 
 
-@query("s2_manifest", "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM bars")
+_ROW = " || '|' || ".join(f"coalesce(CAST({f'CAST(round({c} * 10000.0::DOUBLE) AS HUGEINT)' if c not in ('symbol', 'date') else c} AS VARCHAR), 'null')" for c in "symbol date open high low close volume adj_close adj_open".split())
+_ROW_HASH = f"CAST('0x' || substr(md5({_ROW}), 1, 15) AS BIGINT)"
+
+
+@query("s2_manifest", f"SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, bit_xor({_ROW_HASH}) AS fingerprint, CAST(sum({_ROW_HASH}) AS VARCHAR) AS fingerprint_sum FROM bars")
 def s2(spark, d):
-    return B.manifest(B.panel(spark, d)).drop("fingerprint")
+    return B.manifest(B.panel(spark, d).select("symbol", "date", "open", "high", "low", "close", "volume", "adj_close", "adj_open"))
+
+
+def charts(spark, d):
+    """The bars written as one JSON payload a symbol; those of S1 to S4 are truncated, of another symbol, currency and type."""
+    b = B.panel(spark, d).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "open", "high", "low", "close", "volume", "adj_close"))).alias("x"))
+    noon = F.transform("x", lambda e: F.unix_date(e["date"]) * 86_400 + 17 * 3600)  # noon or 13 h in New York
+    name = F.when(F.col("symbol") == "S2", "X2").otherwise(F.col("symbol"))
+    meta = F.struct(name.alias("symbol"), F.when(F.col("symbol") == "S3", "EUR").otherwise("USD").alias("currency"), F.when(F.col("symbol") == "S4", "INDEX").otherwise("EQUITY").alias("instrumentType"))
+    quote = F.struct(*[F.col(f"x.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    result = F.struct(meta.alias("meta"), noon.alias("timestamp"), F.struct(F.array(quote).alias("quote"), F.array(F.struct(F.col("x.adj_close").alias("adjclose"))).alias("adjclose")).alias("indicators"))
+    text = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")))
+    path = B.fresh_path(spark, "charts")
+    b.select(F.when(F.col("symbol") == "S1", F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text).alias("value"), F.col("symbol").alias("requested")).write.partitionBy("requested").text(path)
+    return B.read_charts(spark, path)
+
+
+@query("s1_chart_bars", "SELECT symbol, date, open, high, low, close, volume, adj_close, open * adj_close / close AS adj_open FROM bars WHERE symbol NOT IN ('S1', 'S2', 'S3', 'S4') AND date BETWEEN DATE '1995-03-01' AND DATE '2001-05-31'", "open high low close volume adj_close adj_open")
+def s1(spark, d):
+    return B.chart_bars(charts(spark, d)[0], "1995-03-01", "2001-05-31")
+
+
+@query("s1_rejected_charts", "SELECT requested, reason FROM (VALUES ('S1', 'corrupt'), ('S2', 'symbol'), ('S3', 'currency'), ('S4', 'type')) AS v(requested, reason) WHERE requested IN (SELECT symbol FROM bars)")
+def s1_rejected(spark, d):
+    return charts(spark, d)[1]
+
+
+@query("s3_verify_files", "SELECT name, issue FROM (VALUES ('S0.txt', 'differs'), ('S1.txt', 'not listed'), ('gone.txt', 'no file')) AS v(name, issue)")
+def s3(spark, d):
+    """Files of the bars' symbols against their digests, with one changed, one not listed and one listed without a file."""
+    files = B.kept(B.panel(spark, d).groupBy("symbol").agg(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(",", F.col("date").cast("string"), F.round("close", 4).cast("string"))))).alias("value")), "files")
+    path = B.fresh_path(spark, "digests")
+    files.select(F.concat(F.col("value"), F.when(F.col("symbol") == "S0", " ").otherwise("")).alias("value"), "symbol").write.partitionBy("symbol").text(path)
+    listed = files.filter("symbol <> 'S1'").select(F.concat("symbol", F.lit(".txt")).alias("name"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("sha256"))
+    listed = listed.unionByName(spark.range(1).select(F.lit("gone.txt").alias("name"), F.sha2(F.lit(""), 256).alias("sha256")))
+    return B.verify_files(spark, path, listed, F.concat(F.regexp_extract("path", "symbol=([^/]*)/", 1), F.lit(".txt")))
+
+
+@query("p17_finite_or_null", "SELECT l_orderkey, l_linenumber, log10(CASE WHEN isfinite(x) THEN x END) AS magnitude FROM (SELECT l_orderkey, l_linenumber, pow(CAST(10 AS DOUBLE), l_quantity * 10) AS x FROM lineitem)", "magnitude")
+def p17(spark, d):
+    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.log10(S.finite(F.pow(F.lit(10.0), F.col("l_quantity").cast("double") * 10))).alias("magnitude"))
 
 
 @query("s4_stored_bars", "SELECT symbol, date, open, high, low, close, volume, adj_close, adj_open FROM bars", "open high low close volume adj_close adj_open")
@@ -131,10 +175,11 @@ def v4(spark, d):
     return V.session_gaps(b, b.select("date").distinct(), own_range=True)
 
 
-@query("v5_panel_completeness", f"WITH {_BRANDS} SELECT s.symbol, c.date FROM (SELECT DISTINCT symbol FROM brands) s, (SELECT DISTINCT date FROM brands) c EXCEPT SELECT symbol, date FROM brands", prelude=False)
+@query("v5_panel_completeness", f"WITH {_BRANDS} SELECT s.symbol, c.date FROM (SELECT symbol FROM brands UNION SELECT 'Brand#' || CAST(n_nationkey AS VARCHAR) FROM nation) s, (SELECT DISTINCT date FROM brands) c EXCEPT SELECT symbol, date FROM brands", prelude=False)
 def v5(spark, d):
     b = brand_bars(spark, d)
-    return V.session_gaps(b, b.select("date").distinct())
+    asked = b.select("symbol").unionByName(B.table(spark, d, "nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("symbol")))
+    return V.session_gaps(b, b.select("date").distinct(), symbols=asked)
 
 
 @query("v6_adjustment_identity", "SELECT max(abs(adj_open - open * adj_close / close)) AS max_error, min(adj_close / close) AS min_factor, max(adj_close / close) AS max_factor FROM bars", "max_error min_factor max_factor")
@@ -535,7 +580,7 @@ def a8(spark, d):
 
 
 # 2.12 inference
-@query("i1_block_bootstrap", """WITH z AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE r IS NOT NULL), y AS (SELECT symbol, any_value(n) AS n FROM z GROUP BY symbol),
+@query("i1_block_bootstrap", """WITH z AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r), y AS (SELECT symbol, any_value(n) AS n FROM z GROUP BY symbol),
  dr AS (SELECT symbol, s, b, n, CAST(floor(CAST('0x' || substr(md5('5|' || s || '|' || b), 1, 8) AS BIGINT) / 4294967296.0 * n) AS BIGINT) AS start FROM y, (SELECT unnest(range(1, 1001)) AS s), LATERAL (SELECT unnest(range(0, (n - 1) // 20 + 1)) AS b)),
  ix AS (SELECT symbol, s, (start + k) % n AS i FROM dr, (SELECT unnest(range(0, 20)) AS k) WHERE b * 20 + k < n), m AS (SELECT symbol, s, avg(r) AS m FROM ix JOIN z USING (symbol, i) GROUP BY ALL)
  SELECT symbol, mean, low, high FROM (SELECT symbol, avg(r) AS mean FROM z GROUP BY symbol) JOIN (SELECT symbol, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY symbol) USING (symbol)""", "mean low high")

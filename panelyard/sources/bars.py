@@ -81,10 +81,40 @@ def chart_bars(payloads: DataFrame, start: str, end: str, zone: str = "America/N
     return adjusted(out.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
 
 
+CHART = """chart struct<result: array<struct<meta: struct<symbol: string, currency: string, instrumentType: string>, timestamp: array<long>, indicators:
+struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<double>>>, adjclose: array<struct<adjclose: array<double>>>>>>>"""
+
+
+def read_charts(spark: SparkSession, path: str, currency: str = "USD", kinds: tuple[str, ...] = ("EQUITY", "ETF")) -> tuple[DataFrame, DataFrame]:
+    """A folder of JSON payloads by requested symbol (requested=...) as good payloads and rejected ones (requested, reason).
+
+    Rejected are payloads that do not parse, have no result, or are of another symbol, currency or instrument type.
+    """
+    p = spark.read.schema(f"{CHART}, requested string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    meta = F.get("chart.result", F.lit(0))["meta"]
+    other = lambda c, ok: F.coalesce(~ok(meta[c]), F.lit(True))
+    reason = (
+        F.when(F.col("_corrupt").isNotNull(), "corrupt").when(F.coalesce(F.size("chart.result"), F.lit(0)) < 1, "empty")
+        .when(other("symbol", lambda x: x == F.col("requested")), "symbol").when(other("currency", lambda x: x == currency), "currency").when(other("instrumentType", lambda x: x.isin(*kinds)), "type")
+    )
+    p = kept(p.withColumn("reason", reason), "charts")
+    return p.filter("reason is null").select("requested", "chart"), p.filter("reason is not null").select("requested", "reason")
+
+
+def fingerprint(rows: DataFrame, digits: int = 4) -> tuple[Column, Column]:
+    """Two columns to aggregate rows by: exclusive or and sum of a 60-bit hash of each row, doubles at so many digits.
+
+    The sum tells repeated rows apart, which cancel in pairs in the exclusive or; neither depends on the order of rows.
+    """
+    texts = [F.coalesce((F.round(F.col(c) * F.lit(10.0**digits)).cast("decimal(38,0)") if t == "double" else F.col(c)).cast("string"), F.lit("null")) for c, t in rows.dtypes]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.bit_xor(h), F.sum(h.cast("decimal(20,0)")).cast("string")
+
+
 def manifest(bars: DataFrame) -> DataFrame:
-    """Row count, date range, symbols and an order-free fingerprint of the content."""
-    cols = [F.col(c) for c in bars.columns]
-    return bars.agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("symbols"), F.bit_xor(F.xxhash64(*cols)).alias("fingerprint"))
+    """Row count, date range, symbols and an order-free fingerprint of the content (exclusive or and sum of row hashes)."""
+    xor, total = fingerprint(bars)
+    return bars.agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("symbols"), xor.alias("fingerprint"), total.alias("fingerprint_sum"))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -97,9 +127,13 @@ def write_results(df: DataFrame, path: str, by: tuple[str, ...] = ("partition",
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """S3: files whose SHA-256 differs from manifest(name, sha256), is missing there, or has no file; executors hash them."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+def verify_files(spark: SparkSession, path: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
+    """S3: files whose SHA-256 differs from manifest(name, sha256), is missing there, or has no file; executors hash them.
+
+    name: a file's name from its path, its last part if left out.
+    """
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("name"), F.sha2("content", 256).alias("found"))
     j = files.join(manifest, "name", "full")
     return j.filter(~F.col("found").eqNullSafe(F.col("sha256"))).select("name", F.when(F.col("found").isNull(), "no file").when(F.col("sha256").isNull(), "not listed").otherwise("differs").alias("issue"))
 
