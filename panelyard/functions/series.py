@@ -89,6 +89,13 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     return b.withColumns({"pct_b": (F.col("close") - F.col("lower")) / F.nullif(F.col("upper") - F.col("lower"), F.lit(0.0)), "bandwidth": (F.col("upper") - F.col("lower")) / F.col("centre")})
 
 
+def band_distances(bands: DataFrame, n: int = 126) -> DataFrame:
+    """Of bollinger's columns, the width's percentile and change both ways, and the close's distances in deviations."""
+    s = F.nullif("sigma", F.lit(0.0))
+    b = bands.withColumns({"bandwidth_percentile": percentile_rank("bandwidth", n), "expansion": F.col("bandwidth") - F.lag("bandwidth").over(ws())}).withColumn("contraction", -F.col("expansion"))
+    return b.withColumns({f"distance_{c}": (F.col("close") - F.col(c)) / s for c in ("centre", "upper", "lower")})
+
+
 def ichimoku(bars: DataFrame, a: int = 9, b: int = 26, c: int = 52) -> DataFrame:
     """Conversion, base and both spans at their own date, and the cloud."""
     mid = lambda n: (high("high", n) + low("low", n)) / 2
@@ -105,6 +112,20 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return t.withColumn("atr", mean("true_range", n))
 
 
+def cloud_state(bars: DataFrame, cloud: tuple[int, int, int] = (9, 26, 52), n: int = 126) -> DataFrame:
+    """ichimoku's columns and atr, and from them distances, thickness and slope in true ranges, the thickness's percentile,
+    how long the close has been above the cloud, and its change over the base's span. All at their own date."""
+    c = atr(ichimoku(bars, *cloud))
+    a, middle = F.nullif("atr", F.lit(0.0)), (F.col("span_a") + F.col("span_b")) / 2
+    c = c.withColumns({"_above": F.when(F.col("cloud_top").isNotNull(), F.col("close") > F.col("cloud_top")), "cloud_thickness": (F.col("cloud_top") - F.col("cloud_bottom")) / a, "tenkan_kijun": F.col("tenkan") - F.col("kijun")})
+    return c.withColumns(
+        {
+            "cloud_distance": (F.col("close") - F.col("cloud_top")) / a, "cloud_thickness_percentile": percentile_rank("cloud_thickness", n), "cloud_slope": (middle - F.lag(middle, 5).over(ws())) / a,
+            "tenkan_kijun_atr": F.col("tenkan_kijun") / a, "trend_persistence": persistence("_above", 20), "breakout_persistence": persistence("_above", 5), "chikou_comparison": change("close", cloud[1]),
+        }
+    ).drop("_above")
+
+
 def persistence(flag: str, n: int) -> Column:
     """Share of the last n rows where flag holds."""
     return full(F.avg(F.col(flag).cast("double")).over(over(n)), flag, n)
@@ -117,6 +138,21 @@ def session_legs(bars: DataFrame) -> DataFrame:
     return s.withColumn("leg_error", (1 + F.col("overnight")) * (1 + F.col("intraday")) - 1 - F.col("close_close"))
 
 
+def adjusted_legs(bars: DataFrame) -> DataFrame:
+    """Raw and adjusted legs, how far each pair is from its whole, and what the adjustment factor leaves unexplained.
+
+    The first bar of a symbol has no leg from a close before.
+    """
+    last = lambda c: F.lag(c).over(ws())
+    s = bars.withColumn("factor", F.col("adj_close") / F.col("close"))
+    s = s.withColumns({"_ratio": F.col("factor") / last("factor"), "_raw": last("close"), "_adj": last("adj_close")})
+    for side, o, c, before in (("raw", "open", "close", "_raw"), ("adjusted", "adj_open", "adj_close", "_adj")):
+        s = s.withColumns({f"{side}_overnight": F.col(o) / F.col(before) - 1, f"{side}_intraday": F.col(c) / F.col(o) - 1, f"{side}_close_close": F.col(c) / F.col(before) - 1})
+        s = s.withColumn(f"{side}_residual", (1 + F.col(f"{side}_overnight")) * (1 + F.col(f"{side}_intraday")) - 1 - F.col(f"{side}_close_close"))
+    s = s.withColumns({f"factor_{leg}_residual": 1 + F.col(f"adjusted_{leg}") - (1 + F.col(f"raw_{leg}")) * F.col("_ratio") for leg in ("overnight", "close_close")})
+    return s.withColumns({"factor_intraday_residual": F.col("adjusted_intraday") - F.col("raw_intraday"), "adjustment_log_effect": F.log("_ratio")}).drop("_ratio", "_raw", "_adj")
+
+
 def forward_label(h: int = 5, price: str = "open") -> Column:
     """Return from the next row's price to the one h rows later."""
     return F.lead(price, h + 1).over(ws()) / F.lead(price, 1).over(ws()) - 1

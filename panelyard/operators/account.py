@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.bars import kept
 from .ledger import account_ledger
 
 PASSES = 20
@@ -56,6 +57,26 @@ def break_even_bps(legs: DataFrame, r: str = "r", keys: tuple[str, ...] = ("symb
     return g.select(*keys, F.least(F.lit(999.0), F.greatest(F.lit(0.0), 10_000 * (F.exp("_g") - 1) / (F.exp("_g") + 1))).alias("bps"))
 
 
+def break_even_exposed(legs: DataFrame, r: str = "r", exposure: str = "exposure", keys: tuple[str, ...] = ("symbol",), most: float = 999.0, cells: int = 64, rounds: int = 7) -> DataFrame:
+    """F6 for any exposure in [0, 1]: (keys, bps, capped), the fee at which an exposed_account's log growth is 0.
+
+    Growth falls as the fee rises. Each round evaluates a grid of fees between a key's bounds in one aggregation, and the
+    cell where the sign changes is the next round's; 0 where growth is not positive free of fees, and most, capped, where
+    it still is at the largest fee.
+    """
+    rows = kept(legs.filter(F.col(r).isNotNull() & F.col(exposure).isNotNull()).select(*keys, F.col(r).alias("_r"), F.col(exposure).alias("_w")), "fee-legs")
+    at = rows.select(*keys).distinct().withColumns({"lo": F.lit(0.0), "hi": F.lit(float(most))})
+    for _ in range(rounds):
+        grid = at.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(cells)))).withColumn("_bps", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_i") / cells)
+        f, w = F.col("_bps") / 10_000, F.col("_w")
+        growth = F.sum(F.log((1 + w * F.col("_r") - w * (1 + F.col("_r")) * f) / (1 + f * w)))
+        g = rows.join(grid.hint("merge"), list(keys)).groupBy(*keys, "_bps").agg(growth.alias("_g"))
+        up = F.max(F.when(F.col("_g") > 0, F.col("_bps")))
+        down = F.min(F.when(F.col("_g") <= 0, F.col("_bps")))
+        at = kept(g.groupBy(*keys).agg(F.coalesce(up, F.lit(0.0)).alias("lo"), F.coalesce(down, F.lit(float(most))).alias("hi")), "fee-bounds")
+    return at.select(*keys, ((F.col("lo") + F.col("hi")) / 2).alias("bps"), (F.col("lo") >= most).alias("capped"))
+
+
 def cost_grid(legs: DataFrame, grid: tuple[float, ...], r: str = "r", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Total net return at each fee of a grid, one aggregation for all."""
     each = legs.select(*keys, r, F.explode(F.array(*[F.lit(float(b)) for b in grid])).alias("bps"))

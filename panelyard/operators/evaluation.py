@@ -79,6 +79,34 @@ def log_decomposition(legs: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> D
     return g.withColumn("overnight_share", F.when(F.abs("whole") > 1e-12, F.col("overnight") / F.col("whole")))
 
 
+def leg_summary(legs: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """A13 of adjusted_legs: sums of log returns by side and leg, the overnight shares, the adjustment's effect and the largest residual."""
+    sides, names = ("raw", "adjusted"), ("overnight", "intraday", "close_close")
+    residuals = [F.abs(F.coalesce(c, F.lit(0.0))) for c in ("raw_residual", "adjusted_residual", "factor_overnight_residual", "factor_close_close_residual", "factor_intraday_residual")]
+    g = legs.filter("raw_close_close is not null").groupBy(*keys).agg(*[F.sum(F.log1p(f"{s}_{n}")).alias(f"{s}_{n}") for s in sides for n in names], F.sum("adjustment_log_effect").alias("adjustment_log_effect"), F.max(F.greatest(*residuals)).alias("max_residual"))
+    return g.withColumns({f"{s}_overnight_share": F.when(F.abs(f"{s}_close_close") > 1e-12, F.col(f"{s}_overnight") / F.col(f"{s}_close_close")) for s in sides})
+
+
+def against_comparator(daily: DataFrame, comparator: DataFrame, regimes: DataFrame, r: str = "r", per_year: int = YEAR) -> DataFrame:
+    """By symbol and year and by symbol and regime: days, compounded and mean returns, and the comparator's on the same dates.
+
+    comparator(date, r_cmp), regimes(date, regime); dates without either or without r are left out.
+    """
+    d = daily.filter(F.col(r).isNotNull()).select("symbol", "date", F.col(r).alias("_r")).join(comparator.filter("r_cmp is not null"), "date").join(regimes.filter("regime is not null"), "date").withColumn("year", F.year("date"))
+    g = d.groupingSets([["symbol", "year"], ["symbol", "regime"]], "symbol", "year", "regime").agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("_r"))) - 1).alias("total_return"), (F.exp(F.sum(F.log1p("r_cmp"))) - 1).alias("comparator_return"), (F.avg("_r") * per_year).alias("annual_mean"), (F.avg(F.col("_r") - F.col("r_cmp")) * per_year).alias("annual_excess"))
+    return g.withColumn("difference", F.col("total_return") - F.col("comparator_return"))
+
+
+def account_metrics(daily: DataFrame, keys: tuple[str, ...] = (), per_year: int = YEAR) -> DataFrame:
+    """A3: mean exposure and annual turnover of an account's days."""
+    return daily.groupBy(*keys).agg(F.avg("open_exposure").alias("exposure"), (F.avg("turnover") * per_year).alias("annual_turnover"))
+
+
+def holding_period(lots: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """A3: mean holding sessions of lots, weighted by units, and the net lot returns' mean."""
+    return lots.groupBy(*keys).agg((F.sum(F.col("holding_sessions") * F.col("units")) / F.nullif(F.sum("units"), F.lit(0.0))).alias("average_holding_period"), F.avg("net_return").alias("mean_return"), F.sum("net_pnl").alias("net_pnl"))
+
+
 def ic_summary(ic: DataFrame, keys: tuple[str, ...] = ("year",)) -> DataFrame:
     """A10"""
     p = F.percentile("ic", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))

@@ -57,6 +57,19 @@ def fifo_lots(fills: DataFrame, slot: Column | None = None) -> DataFrame:
     return j.select("symbol", "bought", "sold", "buy_price", "sell_price", units.alias("units"), (units * (F.col("sell_price") - F.col("buy_price"))).alias("pnl"))
 
 
+def lot_outcomes(lots: DataFrame, calendar: DataFrame, entry: Column, exit: Column, rate: float) -> DataFrame:
+    """Lots with their holding sessions and, with a fee rate on both fills, cost basis, net pnl and net return.
+
+    entry, exit: the dates of the two fills, which calendar(date, session_no) numbers; a date that it lacks gives null.
+    """
+    c = calendar.select(F.col("date").alias("entry_date"), F.col("session_no").alias("_in"))
+    z = calendar.select(F.col("date").alias("exit_date"), F.col("session_no").alias("_out"))
+    j = lots.withColumns({"entry_date": entry, "exit_date": exit}).join(c.hint("merge"), "entry_date", "left").join(z.hint("merge"), "exit_date", "left")
+    basis = F.col("units") * F.col("buy_price") * (1 + rate)
+    j = j.withColumns({"holding_sessions": F.col("_out") - F.col("_in"), "cost_basis": basis, "net_pnl": F.col("units") * F.col("sell_price") * (1 - rate) - basis})
+    return j.withColumn("net_return", F.col("net_pnl") / F.nullif("cost_basis", F.lit(0.0))).drop("_in", "_out")
+
+
 def latest_per_key(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """T4: the newest record of each key."""
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

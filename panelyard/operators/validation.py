@@ -81,3 +81,15 @@ def liquidity_breach(trades: DataFrame, limit: float) -> DataFrame:
     """By date, the symbol of the highest traded notional over its prior average volume, where above limit."""
     r = trades.withColumn("ratio", F.col("notional") / F.nullif(F.col("adv"), F.lit(0.0)))
     return r.groupBy("date").agg(F.max("ratio").alias("ratio"), F.max_by("symbol", F.struct("ratio", "symbol")).alias("symbol")).filter(F.col("ratio") > limit)
+
+
+def difference_within(a: DataFrame, b: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], tolerance: float) -> DataFrame:
+    """V13 with a tolerance: (keys, column, a, b) of the values that differ by more, or that one side lacks.
+
+    Null and a missing row are alike; keys must be unique and not null on each side.
+    """
+    side = lambda df, n: df.select(*keys, *[F.col(c).cast("double").alias(f"{n}_{c}") for c in columns])
+    j = side(a, "a").join(side(b, "b").hint("merge"), list(keys), "full")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b")) for c in columns]))
+    x = j.select(*keys, each.alias("_x")).select(*keys, "_x.*")
+    return x.filter(F.coalesce(F.abs(F.col("a") - F.col("b")) > tolerance, ~F.col("a").eqNullSafe(F.col("b"))))

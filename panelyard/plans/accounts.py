@@ -145,6 +145,12 @@ def f4(spark, d):
     return _on_log_scale(A.close_marked_account(*_book(spark, d), 10.0, 5), _NAV)
 
 
+@query("a3_account_metrics", _account_sql("SELECT CAST(year(date) AS BIGINT) AS year, avg(open_exposure) AS exposure, avg(turnover) * 52 AS annual_turnover FROM da GROUP BY ALL"), "exposure annual_turnover")
+def a3_account(spark, d):
+    daily = L.account_ledger(*_book(spark, d), 10.0, 5).daily
+    return E.account_metrics(daily.withColumn("year", F.year("date").cast("long")), ("year",), 52)
+
+
 @query("f4_trades", _account_sql(_log_sql("tr", _TRADE)), "dollars fee")
 def f4_trades(spark, d):
     return _on_log_scale(L.account_ledger(*_book(spark, d), 10.0, 5).trades, _TRADE)

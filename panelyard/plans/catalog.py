@@ -209,6 +209,15 @@ def v13(spark, d):
     return V.difference(b.select("symbol", "date"), b.filter("volume > 100").select("symbol", "date"))
 
 
+@query("v13_within_tolerance", """WITH a AS (SELECT symbol, date, close, volume FROM bars WHERE volume % 11 <> 0), b AS (SELECT symbol, date, close + CASE WHEN volume % 3 = 0 THEN 0.01 WHEN volume % 2 = 0 THEN 1e-9 ELSE 0 END AS close, CASE WHEN volume % 13 <> 0 THEN volume END AS volume FROM bars),
+ x AS (SELECT symbol, date, unnest(['close', 'volume']) AS "column", unnest([a.close, a.volume]) AS a, unnest([b.close, b.volume]) AS b FROM a FULL JOIN b USING (symbol, date)) SELECT * FROM x WHERE coalesce(abs(a - b) > 1e-6, a IS DISTINCT FROM b)""", "a b")
+def v13_within(spark, d):
+    x = B.panel(spark, d).select("symbol", "date", "close", "volume")
+    v = F.col("volume")
+    y = x.select("symbol", "date", (F.col("close") + F.when(v % 3 == 0, 0.01).when(v % 2 == 0, 1e-9).otherwise(0.0)).alias("close"), F.when(v % 13 != 0, v).alias("volume"))
+    return V.difference_within(x.filter(v % 11 != 0), y, ("symbol", "date"), ("close", "volume"), 1e-6)
+
+
 @query("v14_liquidity_breach", f"WITH x AS (SELECT symbol, date, volume * close / nullif({_full('avg(volume * close)', 'volume * close', 5)}, 0) AS ratio FROM bars) SELECT date, max(ratio) AS ratio, arg_max(symbol, (ratio, symbol)) AS symbol FROM x WHERE ratio IS NOT NULL GROUP BY date HAVING max(ratio) > 1.5", "ratio")
 def v14(spark, d):
     b = B.panel(spark, d).withColumn("notional", F.col("volume") * F.col("close"))
@@ -306,6 +315,30 @@ def w16(spark, d):
     return S.ichimoku(B.panel(spark, d)).select("symbol", "date", "tenkan", "kijun", "span_a", "span_b", "cloud_top", "cloud_bottom")
 
 
+def _pct_rank(c: str, n: int = 126) -> str:
+    """The rank of c among the last n values as a share, over a row with the list w_c of these."""
+    return f"CASE WHEN len(w_{c}) = {n} AND len(list_filter(w_{c}, lambda x: x IS NOT NULL)) = {n} THEN (len(list_filter(w_{c}, lambda x: x < {c})) + (len(list_filter(w_{c}, lambda x: x = {c})) + 1) / 2.0) / {n} END"
+
+
+@query("w15_band_distances", f"""SELECT symbol, date, {_pct_rank('bandwidth')} AS bandwidth_percentile, expansion, -expansion AS contraction, (close - centre) / nullif(sigma, 0) AS distance_centre, (close - centre - 2 * sigma) / nullif(sigma, 0) AS distance_upper, (close - centre + 2 * sigma) / nullif(sigma, 0) AS distance_lower FROM
+ (SELECT *, bandwidth - lag(bandwidth) {WSQL} AS expansion, list(bandwidth) {_frame(126)} AS w_bandwidth FROM (SELECT *, 4 * sigma / centre AS bandwidth FROM (SELECT *, {_full('avg(close)', 'close', 20)} AS centre, {_full('stddev_pop(close)', 'close', 20)} AS sigma FROM bars)))""", "bandwidth_percentile expansion contraction distance_centre distance_upper distance_lower")
+def w15_distances(spark, d):
+    return S.band_distances(S.bollinger(B.panel(spark, d))).select("symbol", "date", "bandwidth_percentile", "expansion", "contraction", "distance_centre", "distance_upper", "distance_lower")
+
+
+_CLOUD = "cloud_distance cloud_thickness cloud_thickness_percentile cloud_slope tenkan_kijun tenkan_kijun_atr trend_persistence breakout_persistence chikou_comparison"
+
+
+@query("w16_cloud_state", f"""WITH a AS (SELECT symbol, date, close, {_mid(9)} AS tenkan, {_mid(26)} AS kijun, {_mid(52)} AS span_b, CASE WHEN prev IS NOT NULL THEN greatest(high - low, abs(high - prev), abs(low - prev)) END AS tr, close / lag(close, 26) {WSQL} - 1 AS chikou_comparison FROM (SELECT *, lag(close) {WSQL} AS prev FROM bars)),
+ b AS (SELECT *, (tenkan + kijun) / 2 AS span_a, nullif({_full('avg(tr)', 'tr', 14)}, 0) AS atr FROM a),
+ c AS (SELECT *, CASE WHEN span_a + span_b IS NOT NULL THEN greatest(span_a, span_b) END AS top, CASE WHEN span_a + span_b IS NOT NULL THEN least(span_a, span_b) END AS bottom, ((span_a + span_b) / 2 - lag((span_a + span_b) / 2, 5) {WSQL}) / atr AS cloud_slope FROM b),
+ e AS (SELECT *, (top - bottom) / atr AS cloud_thickness, CASE WHEN top IS NOT NULL THEN CASE WHEN close > top THEN 1.0 ELSE 0.0 END END AS above FROM c),
+ f AS (SELECT *, list(cloud_thickness) {_frame(126)} AS w_cloud_thickness, {_full('avg(above)', 'above', 20)} AS trend_persistence, {_full('avg(above)', 'above', 5)} AS breakout_persistence FROM e)
+ SELECT symbol, date, (close - top) / atr AS cloud_distance, cloud_thickness, {_pct_rank('cloud_thickness')} AS cloud_thickness_percentile, cloud_slope, tenkan - kijun AS tenkan_kijun, (tenkan - kijun) / atr AS tenkan_kijun_atr, trend_persistence, breakout_persistence, chikou_comparison FROM f""", _CLOUD)
+def w16_state(spark, d):
+    return S.cloud_state(B.panel(spark, d)).select("symbol", "date", *_CLOUD.split())
+
+
 @query("w17_atr", f"SELECT symbol, date, {_full('avg(tr)', 'tr', 14)} AS atr FROM (SELECT *, CASE WHEN prev IS NOT NULL THEN greatest(high - low, abs(high - prev), abs(low - prev)) END AS tr FROM (SELECT *, lag(close) {WSQL} AS prev FROM bars))", "atr")
 def w17(spark, d):
     return S.atr(B.panel(spark, d)).select("symbol", "date", "atr")
@@ -321,6 +354,22 @@ def w20(spark, d):
     return S.session_legs(B.panel(spark, d)).select("symbol", "date", "overnight", "intraday", "close_close")
 
 
+_ADJUSTED = f"""SELECT *, adjusted_overnight + 1 - (raw_overnight + 1) * ratio AS factor_overnight_residual, adjusted_close_close + 1 - (raw_close_close + 1) * ratio AS factor_close_close_residual, adjusted_intraday - raw_intraday AS factor_intraday_residual, ln(ratio) AS adjustment_log_effect FROM
+ (SELECT symbol, date, open / prev - 1 AS raw_overnight, close / open - 1 AS raw_intraday, close / prev - 1 AS raw_close_close, adj_open / adj_prev - 1 AS adjusted_overnight, adj_close / adj_open - 1 AS adjusted_intraday, adj_close / adj_prev - 1 AS adjusted_close_close, (adj_close / close) / (adj_prev / prev) AS ratio FROM (SELECT *, lag(close) {WSQL} AS prev, lag(adj_close) {WSQL} AS adj_prev FROM bars))"""
+_LEG_NAMES = [f"{s}_{x}" for s in ("raw", "adjusted") for x in ("overnight", "intraday", "close_close")]
+_ADJUSTED_NAMES = [*_LEG_NAMES, "factor_overnight_residual", "factor_close_close_residual", "factor_intraday_residual", "adjustment_log_effect"]
+
+
+@query("w20_adjusted_legs", f"SELECT symbol, date, {', '.join(_ADJUSTED_NAMES)} FROM ({_ADJUSTED})", " ".join(_ADJUSTED_NAMES))
+def w20_adjusted(spark, d):
+    return S.adjusted_legs(B.panel(spark, d)).select("symbol", "date", *_ADJUSTED_NAMES)
+
+
+@query("a13_adjusted_legs", f"SELECT symbol, {', '.join(f'sum(ln(1 + {x})) AS {x}' for x in _LEG_NAMES)}, sum(adjustment_log_effect) AS adjustment_log_effect, 0.0 AS max_residual, sum(ln(1 + raw_overnight)) / nullif(sum(ln(1 + raw_close_close)), 0) AS raw_overnight_share, sum(ln(1 + adjusted_overnight)) / nullif(sum(ln(1 + adjusted_close_close)), 0) AS adjusted_overnight_share FROM ({_ADJUSTED}) WHERE raw_close_close IS NOT NULL GROUP BY symbol", " ".join([*_LEG_NAMES, "adjustment_log_effect", "max_residual", "raw_overnight_share", "adjusted_overnight_share"]))
+def a13_adjusted(spark, d):
+    return E.leg_summary(S.adjusted_legs(B.panel(spark, d)))
+
+
 _LABEL = f"SELECT symbol, date, lead(open, 6) {WSQL} / lead(open, 1) {WSQL} - 1 AS label FROM bars"
 
 
@@ -451,6 +500,44 @@ def j10(spark, d):
     return J.fifo_lots(B.ticks(spark, d), F.date_trunc("month", "ts")).groupBy("symbol").agg(F.count("*").alias("lots"), F.sum("units").alias("units"), F.sum("pnl").alias("pnl"))
 
 
+_RUNS = f"SELECT symbol, l_returnflag = 'R' AS sell, price, date, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY symbol, l_returnflag = 'R' ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS z FROM ticks"
+_OUTCOMES = f"""SELECT b.symbol, b.date AS entry_date, s.date AS exit_date, least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q) AS units, b.price * 1.001 AS basis, s.price * 0.999 AS proceeds, y.session_no - x.session_no AS held FROM ({_RUNS}) b JOIN ({_RUNS}) s ON b.symbol = s.symbol AND NOT b.sell AND s.sell AND least(b.z, s.z) > greatest(b.z - b.q, s.z - s.q) JOIN cal x ON x.date = b.date JOIN cal y ON y.date = s.date"""
+
+
+def _outcomes(spark, d):
+    t, week = B.ticks(spark, d), lambda c: F.to_date(F.date_trunc("week", f"{c}.l_shipdate"))
+    return J.lot_outcomes(J.fifo_lots(t, F.date_trunc("month", "ts")), B.sessions(t.select(F.to_date(F.date_trunc("week", "ts")).alias("date"))), week("bought"), week("sold"), 0.001)
+
+
+@query("j10_lot_outcomes", f"SELECT symbol, entry_date, exit_date, count(*) AS lots, sum(units) AS units, CAST(any_value(held) AS BIGINT) AS holding_sessions, sum(units * basis) AS cost_basis, sum(units * (proceeds - basis)) AS net_pnl, max(proceeds / basis - 1) AS best_return FROM ({_OUTCOMES}) GROUP BY ALL", "units cost_basis net_pnl best_return")
+def j10_outcomes(spark, d):
+    g = _outcomes(spark, d).groupBy("symbol", "entry_date", "exit_date")
+    return g.agg(F.count("*").alias("lots"), F.sum("units").alias("units"), F.first("holding_sessions").cast("long").alias("holding_sessions"), F.sum("cost_basis").alias("cost_basis"), F.sum("net_pnl").alias("net_pnl"), F.max("net_return").alias("best_return"))
+
+
+@query("a3_holding_period", f"SELECT symbol, sum(held * units) / nullif(sum(units), 0) AS average_holding_period, avg(proceeds / basis - 1) AS mean_return, sum(units * (proceeds - basis)) AS net_pnl FROM ({_OUTCOMES}) GROUP BY symbol", "average_holding_period mean_return net_pnl")
+def a3_holding(spark, d):
+    return E.holding_period(_outcomes(spark, d))
+
+
+_CHAIN = """SELECT study, seq, CASE WHEN seq = 2 AND volume % 7 = 0 THEN repeat('0', 64) ELSE previous END AS previous, CASE WHEN seq = 1 AND volume % 5 = 0 THEN payload || '!' ELSE payload END AS payload, hash AS sha256 FROM (
+ SELECT study, volume, unnest([0, 1, 2]) AS seq, unnest([repeat('0', 64), h0, h1]) AS previous, unnest([p0, p1, p2]) AS payload, unnest([h0, h1, h2]) AS hash FROM (SELECT *, sha256(h1 || '|' || p2) AS h2 FROM (SELECT *, sha256(h0 || '|' || p1) AS h1 FROM (SELECT *, sha256(repeat('0', 64) || '|' || p0) AS h0 FROM (
+  SELECT symbol || CAST(date AS VARCHAR) AS study, CAST(volume AS BIGINT) AS volume, CAST(CAST(round(open * 100) AS BIGINT) AS VARCHAR) AS p0, CAST(CAST(round(high * 100) AS BIGINT) AS VARCHAR) AS p1, CAST(CAST(round(low * 100) AS BIGINT) AS VARCHAR) AS p2 FROM bars)))))"""
+
+
+@query("l1_chain_breaks", f"SELECT study, seq, linked, intact FROM (SELECT *, previous = coalesce(lag(sha256) OVER (PARTITION BY study ORDER BY seq), repeat('0', 64)) AS linked, sha256 = sha256(previous || '|' || payload) AS intact FROM ({_CHAIN})) WHERE NOT linked OR NOT intact")
+def l1(spark, d):
+    """Ledgers of three entries a bar; some have a previous hash or a payload changed afterwards."""
+    b = B.panel(spark, d).select(F.concat("symbol", F.col("date").cast("string")).alias("study"), F.col("volume").cast("long").alias("volume"), *[F.round(F.col(c) * 100).cast("long").cast("string").alias(f"p{i}") for i, c in enumerate(("open", "high", "low"))])
+    h = lambda prev, p: F.sha2(F.concat(prev, F.lit("|"), F.col(p)), 256)
+    zero = F.lit("0" * 64)
+    b = b.withColumn("h0", h(zero, "p0")).withColumn("h1", h(F.col("h0"), "p1")).withColumn("h2", h(F.col("h1"), "p2"))
+    entry = lambda i, prev: F.struct(F.lit(i).alias("seq"), prev.alias("previous"), F.col(f"p{i}").alias("payload"), F.col(f"h{i}").alias("sha256"))
+    e = b.select("study", "volume", F.explode(F.array(entry(0, zero), entry(1, F.col("h0")), entry(2, F.col("h1")))).alias("e")).select("study", "volume", "e.*")
+    e = e.withColumns({"previous": F.when((F.col("seq") == 2) & (F.col("volume") % 7 == 0), zero).otherwise(F.col("previous")), "payload": F.when((F.col("seq") == 1) & (F.col("volume") % 5 == 0), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))})
+    return J.chain_breaks(e.drop("volume")).select("study", "seq", "linked", "intact")
+
+
 @query("l8_order_state", "WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS filled, sum(l_quantity * l_extendedprice) / nullif(sum(l_quantity), 0) AS average_price FROM lineitem GROUP BY 1) SELECT o_orderkey AS order_ref, coalesce(filled, 0) AS filled, average_price, CASE WHEN coalesce(filled, 0) >= 100 THEN 'FILLED' WHEN coalesce(filled, 0) > 0 THEN 'PARTIALLY_FILLED' WHEN o_orderstatus = 'O' THEN 'ACKNOWLEDGED' ELSE 'NOT_SUBMITTED' END AS state FROM orders LEFT JOIN f ON k = o_orderkey", "filled average_price", prelude=False)
 def l8(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_ref"), F.lit(100.0).alias("quantity"), (F.col("o_orderstatus") == "O").alias("open"))
@@ -574,6 +661,29 @@ def f6(spark, d):
     return A.break_even_bps(returns(spark, d).filter("r is not null"))
 
 
+_EXPOSED = f"SELECT symbol, list(r ORDER BY date) AS rs, list(w ORDER BY date) AS ws FROM (SELECT symbol, date, r / 20 + 0.003 AS r, CASE WHEN r > 0 THEN 1.0 ELSE 0.4 END AS w FROM r WHERE r IS NOT NULL) GROUP BY symbol"
+_GROWTH = "list_sum(list_transform(range(1, len(rs) + 1), lambda i: ln((1 + ws[i] * rs[i] - ws[i] * (1 + rs[i]) * f / 10000) / (1 + f / 10000 * ws[i]))))"
+
+
+@query("f6_break_even_exposed", f"""WITH RECURSIVE e AS ({_EXPOSED}), b AS (SELECT symbol, rs, ws, 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(999 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS f, {_GROWTH.replace('f / 10000', '0.0')} AS g0, {_GROWTH.replace('f / 10000', '0.0999')} AS g1 FROM e
+ UNION ALL SELECT symbol, rs, ws, k + 1, CASE WHEN {_GROWTH} > 0 THEN f ELSE lo END, CASE WHEN {_GROWTH} > 0 THEN hi ELSE f END, f, g0, g1 FROM (SELECT * REPLACE ((lo + hi) / 2 AS f) FROM b WHERE k < 48))
+ SELECT symbol, CASE WHEN g0 <= 0 THEN 0 WHEN g1 > 0 THEN 999 ELSE (lo + hi) / 2 END AS bps, g1 > 0 AS capped FROM b WHERE k = 48""", "bps")
+def f6_exposed(spark, d):
+    r = returns(spark, d).filter("r is not null").select("symbol", (F.col("r") / 20 + 0.003).alias("r"), F.when(F.col("r") > 0, 1.0).otherwise(0.4).alias("exposure"))
+    return A.break_even_exposed(r)
+
+
+@query("a7_against_comparator", """WITH m AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS c FROM mkt), g AS (SELECT date, c, CASE WHEN lag(c) OVER (ORDER BY date) > 0 THEN 'up' WHEN lag(c) OVER (ORDER BY date) <= 0 THEN 'down' END AS regime FROM m)
+ SELECT symbol, CAST(year(date) AS BIGINT) AS year, regime, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS total_return, exp(sum(ln(1 + c))) - 1 AS comparator_return, avg(r) * 52 AS annual_mean, avg(r - c) * 52 AS annual_excess, exp(sum(ln(1 + r))) - exp(sum(ln(1 + c))) AS difference
+ FROM r JOIN g USING (date) WHERE r IS NOT NULL AND c IS NOT NULL AND regime IS NOT NULL GROUP BY GROUPING SETS ((symbol, year(date)), (symbol, regime))""", "total_return comparator_return annual_mean annual_excess difference")
+def a7(spark, d):
+    w = W.orderBy("date")  # a row a date
+    m = B.benchmark(spark, d).select("date", (F.col("close") / F.lag("close").over(w) - 1).alias("r_cmp"))
+    m = m.withColumn("_before", F.lag("r_cmp").over(w)).withColumn("regime", F.when(F.col("_before") > 0, "up").when(F.col("_before") <= 0, "down"))
+    m = B.kept(m, "market")
+    return E.against_comparator(returns(spark, d), m.select("date", "r_cmp"), m.select("date", "regime"), per_year=52).withColumn("year", F.col("year").cast("long"))
+
+
 @query("a8_cost_grid", "SELECT symbol, CAST(bps AS DOUBLE) AS bps, exp(sum(ln(1 + r) + ln((1 - bps / 10000.0) / (1 + bps / 10000.0)))) - 1 AS total_return FROM r, (VALUES (0), (5), (10), (20)) AS g(bps) WHERE r IS NOT NULL GROUP BY ALL", "bps total_return")
 def a8(spark, d):
     return A.cost_grid(returns(spark, d).filter("r is not null"), (0, 5, 10, 20))
