@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -169,27 +169,42 @@ def drawdown(nav: str = "nav", keys: tuple[str, ...] = ("symbol",), order: str =
     return F.col(nav) / F.greatest(F.lit(1.0), top) - 1
 
 
-def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    """The first n changes give means, later ones are smoothed by 1 / n; 100 without losses, 50 without changes.
+def smoothed_by_blocks(rows: DataFrame, values: tuple[str, ...], keys: tuple[str, ...], position: str, decay: float) -> DataFrame:
+    """rows with each value v as y, where y = decay * y of the position before + v, positions counted from 0 by keys.
 
-    A missing close ends the run: its own change and the next are null, have no RSI, and the means start again after them.
-    A true recurrence along the dates, so each symbol's closes, a few thousand, are one group.
+    A segmented affine scan in windows: blocks are so long that a value fades to 1e-12 of itself over one. Inside a block y
+    is a running sum of values scaled by powers of the decay, so that no sum has terms of different signs for values of one
+    sign; what comes into a block is composed from the three blocks before it, past which nothing is left in a double.
     """
+    size = max(2, math.ceil(-12 * math.log(10) / math.log(decay)))
+    block, off = F.floor(F.col(position) / size).cast("int"), (F.col(position) % size).cast("int")
+    run = W.partitionBy(*keys, "_block").orderBy(position)
+    r = rows.withColumns({"_block": block, "_off": off})
+    r = r.withColumns({f"_s_{v}": F.sum(F.col(v) * F.pow(F.lit(decay), -F.col("_off"))).over(run) for v in values})
+    ends = r.groupBy(*keys, "_block").agg(*[(F.max_by(f"_s_{v}", "_off") * decay ** (size - 1)).alias(f"_e_{v}") for v in values])
+    along = W.partitionBy(*keys).orderBy("_block")  # a row a block
+    carried = lambda v: sum((F.coalesce(F.lag(f"_e_{v}", k).over(along), F.lit(0.0)) * decay ** (size * (k - 1)) for k in (2, 3)), F.coalesce(F.lag(f"_e_{v}", 1).over(along), F.lit(0.0)))
+    ends = ends.select(*keys, "_block", *[carried(v).alias(f"_c_{v}") for v in values])
+    r = r.join(ends.hint("merge"), [*keys, "_block"])
+    y = {v: F.col(f"_s_{v}") * F.pow(F.lit(decay), F.col("_off")) + F.col(f"_c_{v}") * F.pow(F.lit(decay), F.col("_off") + 1) for v in values}
+    return r.withColumns(y).drop("_block", "_off", *[f"_{x}_{v}" for x in "sc" for v in values])
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        d = pdf["close"].diff().where(lambda x: np.isfinite(x))
-        out = pd.Series(np.nan, pdf.index)
-        for _, part in d.groupby(d.isna().cumsum()):
-            part = part.dropna()
-            if len(part) >= n:
-                means = []
-                for x in (part.clip(lower=0), (-part).clip(lower=0)):
-                    later = pd.concat([pd.Series([x.iloc[:n].mean()], [x.index[n - 1]]), x.iloc[n:]])
-                    means.append(later.ewm(alpha=1 / n, adjust=False).mean())
-                up, down = means
-                rsi = 100 - 100 / (1 + up / down.where(down > 0))
-                out[up.index] = rsi.where(down > 0, np.where(up > 0, 100.0, 50.0))
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "rsi": out.astype(object).where(out.notna(), None)})
-
-    return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol string, date date, rsi double")
+def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+    """(symbol, date, rsi). The first n changes give means, later ones are smoothed by 1 / n; 100 without losses, 50 without changes.
+
+    A missing or infinite close ends the run: its own change and the next are null, have no RSI, and the means start again
+    after them. All steps are windows and one join by symbol and run.
+    """
+    change = finite(F.col("close") - F.lag("close").over(ws()))
+    d = bars.select("symbol", "date", "close").withColumn("_d", change)
+    d = d.withColumn("_run", F.sum(F.col("_d").isNull().cast("int")).over(ws().rowsBetween(W.unboundedPreceding, 0)))
+    w = W.partitionBy("symbol", "_run").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_k", F.count("_d").over(w) - n)  # 0 where the first n changes are complete
+    sides = {"_up": F.when(F.col("_d") > 0, F.col("_d")).when(F.col("_d") <= 0, 0.0), "_down": F.when(F.col("_d") < 0, -F.col("_d")).when(F.col("_d") >= 0, 0.0)}
+    first = {c: F.when(F.col("_k") == 0, F.avg(x).over(w)).otherwise(x / n) for c, x in sides.items()}
+    ready = d.withColumns(first).filter(F.col("_d").isNotNull() & (F.col("_k") >= 0)).select("symbol", "date", "_run", "_k", "_up", "_down")
+    y = smoothed_by_blocks(ready, ("_up", "_down"), ("symbol", "_run"), "_k", 1 - 1 / n) if n > 1 else ready
+    rsi = F.when((F.col("_up") == 0) & (F.col("_down") == 0), 50.0).when(F.col("_down") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_up") / F.nullif("_down", F.lit(0.0))))
+    y = y.select("symbol", "date", rsi.alias("rsi"))
+    return bars.select("symbol", "date").join(y.hint("merge"), ["symbol", "date"], "left")

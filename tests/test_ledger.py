@@ -193,3 +193,35 @@ def test_block_models_equal_numpy(spark):
             assert mine[mine.index.isna()].tolist() + [mine[f] for f in fs] == pytest.approx(want.tolist(), abs=1e-9)
     with pytest.raises(ValueError):
         models.ridge_blocks(spark.createDataFrame(pdf), blocks, "y", 0.03, least_rows=200)
+
+
+def test_rsi_of_long_series_with_gaps(spark):
+    """The windows' blocks against the recurrence row by row, over several blocks and runs."""
+    rng = np.random.default_rng(2)
+    series = {"long": rng.normal(size=1500).cumsum() + 500, "flat": np.full(40, 7.0), "rises": np.arange(60.0), "gaps": rng.normal(size=400).cumsum() + 90}
+    series["long"][700:760] = 480.0
+    series["gaps"][[3, 50, 51, 200]] = [np.nan, np.nan, np.nan, np.inf]
+    day = lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(i)
+    rows = [(s, day(i), None if math.isnan(v) else float(v)) for s, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double").repartition(3)
+    from panelyard.functions import series as S
+
+    for n in (1, 5, 14):
+        got = {(r["symbol"], r["date"]): r["rsi"] for r in S.wilder_rsi(df, n).collect()}
+        assert len(got) == len(rows)
+        for s, x in series.items():
+            ups, downs, means = [], [], None
+            for i in range(len(x)):
+                d = x[i] - x[i - 1] if i else math.nan
+                if not math.isfinite(d):
+                    ups, downs, means, want = [], [], None, None
+                else:
+                    u, v = max(d, 0.0), max(-d, 0.0)
+                    ups.append(u)
+                    downs.append(v)
+                    if means:
+                        means = tuple(m * (n - 1) / n + y / n for m, y in zip(means, (u, v)))
+                    elif len(ups) == n:
+                        means = (sum(ups) / n, sum(downs) / n)
+                    want = None if means is None else (100 - 100 / (1 + means[0] / means[1])) if means[1] > 0 else 100.0 if means[0] > 0 else 50.0
+                assert got[s, day(i)] == pytest.approx(want, abs=1e-8) if want is not None else got[s, day(i)] is None, (s, i, n)
