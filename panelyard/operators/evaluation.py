@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.bars import kept
+
 YEAR = 252
 
 
@@ -167,7 +169,7 @@ def block_bootstrap(daily: DataFrame, samples: int = 1000, block: int = 20, seed
     """
     v = F.when(F.abs(r) == float("inf"), F.raise_error(F.lit("infinite return"))).when(~F.isnan(r), F.col(r))
     w = W.partitionBy(*keys).orderBy("date")
-    d = daily.select(*keys, "date", v.cast("double").alias("_v")).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(*keys))})
+    d = kept(daily.select(*keys, "date", v.cast("double").alias("_v")).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(*keys))}), "bootstrap-series")
     twice = d.select(*keys, "n", "_v", F.explode(F.array(F.col("i"), F.col("i") + F.col("n"))).alias("i"))
     run = W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     prefix = twice.select(*keys, "i", F.struct(F.coalesce(F.sum("_v").over(run), F.lit(0.0)).alias("v"), F.count("_v").over(run).alias("n")).alias("upto"))

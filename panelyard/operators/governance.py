@@ -52,12 +52,12 @@ def latest_completed(sessions: DataFrame, moments: DataFrame, lag: str = "1 hour
     w = W.partitionBy(F.lit(1)).orderBy("t")  # the calendar: one row a session
     s = sessions.select((F.col("closes") + F.expr(f"interval {lag}")).alias("t"), F.col("date").alias("d")).withColumn("u", F.lead("t").over(w))
     days = s.filter("u is not null").withColumn("day", F.explode(F.sequence(F.to_date("t"), F.to_date("u"))))
-    last = s.agg(F.max("t").alias("_t"), F.max_by("d", "t").alias("_d"))
+    first, last, session = s.agg(F.min("t"), F.max("t"), F.max_by("d", "t")).first()  # three values
     j = moments.withColumn("day", F.to_date("now")).join(days.hint("merge"), "day").filter((F.col("now") >= F.col("t")) & (F.col("now") < F.col("u")))
     found = j.select("now", F.col("d").alias("session"))
-    rest = moments.join(F.broadcast(last), F.col("now") >= F.col("_t")).select("now", F.col("_d").alias("session"))  # last is one row
-    first = s.agg(F.min("t").alias("_t"))
-    none = moments.join(F.broadcast(first), F.coalesce(F.col("now") < F.col("_t"), F.lit(True))).select("now", F.lit(None).cast("date").alias("session"))
+    at = lambda x: F.lit(x).cast(dict(s.dtypes)["t"])
+    rest = moments.filter(F.col("now") >= at(last)).select("now", F.lit(session).cast("date").alias("session"))
+    none = moments.filter(F.coalesce(F.col("now") < at(first), F.lit(True))).select("now", F.lit(None).cast("date").alias("session"))
     return found.unionByName(rest).unionByName(none)
 
 

@@ -158,7 +158,7 @@ def max_mean_inference(excess: DataFrame, samples: int, block: int, seed: int, p
     block) points. A block's sum is a difference of prefix sums, so the work is series * samples * blocks, not dates.
     """
     w = W.partitionBy(key).orderBy("date")
-    d = excess.select(key, "date", r).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(key))})
+    d = kept(excess.select(key, "date", r).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(key))}), "inference-series")
     twice = d.select(key, "n", r, F.explode(F.array(F.col("i"), F.col("i") + F.col("n"))).alias("i"))
     prefix = twice.withColumn("upto", F.sum(r).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, 0))).select(key, "i", "upto")
     draws = d.select(key, "n").distinct().withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
@@ -166,7 +166,7 @@ def max_mean_inference(excess: DataFrame, samples: int, block: int, seed: int, p
     draws = draws.withColumns({"start": F.floor(u * F.col("n")).cast("int"), "len": F.least(F.lit(block), F.col("n") - F.col("b") * block).cast("int")})
     hi = draws.withColumn("i", F.col("start") + F.col("len") - 1).join(prefix.withColumnRenamed("upto", "hi").hint("merge"), [key, "i"]).drop("i")
     both = hi.withColumn("i", F.col("start") - 1).join(prefix.withColumnRenamed("upto", "lo").hint("merge"), [key, "i"], "left")
-    means = both.groupBy(key, "s").agg((F.sum(F.col("hi") - F.coalesce("lo", F.lit(0.0))) / F.first("n")).alias("m"))
+    means = kept(both.groupBy(key, "s").agg((F.sum(F.col("hi") - F.coalesce("lo", F.lit(0.0))) / F.first("n")).alias("m")), "inference-means")
     seen = d.groupBy(key).agg(F.avg(r).alias("mean"))
     seen = seen.withColumn("best", F.greatest(F.lit(0.0), F.max("mean").over(W.partitionBy(F.lit(1)))))  # one row a series
     m = means.join(seen.hint("merge"), key)

@@ -65,12 +65,12 @@ def portfolio_risk(bars: DataFrame, weights: DataFrame, capital: float, per_year
     w = last.join(weights.hint("merge"), "symbol")
     r = w.filter((F.col("k") <= sessions) & F.col("r").isNotNull())
     a, b = r.select("date", F.col("symbol").alias("a"), F.col("r").alias("x"), F.col("weight").alias("wa")), r.select("date", F.col("symbol").alias("b"), F.col("r").alias("y"), F.col("weight").alias("wb"))
-    pairs = a.hint("merge").join(b.hint("merge"), "date").groupBy("a", "b", "wa", "wb").agg(F.covar_samp("x", "y").alias("c"), F.corr("x", "y").alias("rho"))
-    risk = pairs.agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("c")) * per_year).alias("volatility"), F.avg(F.when(F.col("a") < F.col("b"), F.col("rho"))).alias("mean_correlation"))
+    pairs = a.hint("merge").join(b.hint("merge"), "date").filter("a <= b").groupBy("a", "b", "wa", "wb").agg(F.covar_samp("x", "y").alias("c"), F.corr("x", "y").alias("rho"))
+    risk = pairs.agg(F.sqrt(F.sum(F.when(F.col("a") < F.col("b"), 2.0).otherwise(1.0) * F.col("wa") * F.col("wb") * F.col("c")) * per_year).alias("volatility"), F.avg(F.when(F.col("a") < F.col("b"), F.col("rho"))).alias("mean_correlation"))
     dv = w.filter(F.col("k") <= volume_sessions).groupBy("symbol", "weight").agg(F.avg(F.col("close") * F.col("volume")).alias("dv"))
     liquid = dv.agg(F.max("weight").alias("max_weight"), F.max(F.lit(float(capital)) * F.col("weight") / F.nullif("dv", F.lit(0.0))).alias("max_notional_to_volume"), F.min("dv").alias("min_dollar_volume"))
-    one = F.lit(1).alias("one")
-    return risk.select("*", one).hint("merge").join(liquid.select("*", one).hint("merge"), "one").drop("one")  # a row each
+    both = risk.unionByName(liquid, allowMissingColumns=True)  # a row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def fill_accounting(fills: DataFrame, commissions: DataFrame, marks: DataFrame) -> DataFrame:

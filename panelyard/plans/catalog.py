@@ -171,13 +171,13 @@ def brand_bars(spark, d):
 
 @query("v4_session_gaps", f"WITH {_BRANDS}, a AS (SELECT symbol, min(date) a, max(date) z FROM brands GROUP BY symbol) SELECT symbol, date FROM a, (SELECT DISTINCT date FROM brands) c WHERE date BETWEEN a AND z EXCEPT SELECT symbol, date FROM brands", prelude=False)
 def v4(spark, d):
-    b = brand_bars(spark, d)
+    b = B.kept(brand_bars(spark, d), "brands")
     return V.session_gaps(b, b.select("date").distinct(), own_range=True)
 
 
 @query("v5_panel_completeness", f"WITH {_BRANDS} SELECT s.symbol, c.date FROM (SELECT symbol FROM brands UNION SELECT 'Brand#' || CAST(n_nationkey AS VARCHAR) FROM nation) s, (SELECT DISTINCT date FROM brands) c EXCEPT SELECT symbol, date FROM brands", prelude=False)
 def v5(spark, d):
-    b = brand_bars(spark, d)
+    b = B.kept(brand_bars(spark, d), "brands")
     asked = b.select("symbol").unionByName(B.table(spark, d, "nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("symbol")))
     return V.session_gaps(b, b.select("date").distinct(), symbols=asked)
 

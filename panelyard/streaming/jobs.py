@@ -46,7 +46,7 @@ def stale(quotes: DataFrame, now: str, seconds: int) -> DataFrame:
 def accepted_forecasts(forecasts: DataFrame, clock: DataFrame) -> DataFrame:
     """ST3: forecasts(decision_date, issued_at) issued in their session's time; a stream-static join without state."""
     c = clock.select(F.col("date").alias("decision_date"), F.col("known_at").cast("timestamp").alias("_a"), F.col("earliest_execution_at").cast("timestamp").alias("_b"))
-    j = forecasts.join(F.broadcast(c), "decision_date")  # the clock has one row a session
+    j = forecasts.join(c.hint("shuffle_hash"), "decision_date")
     return j.filter((F.col("issued_at") >= F.col("_a")) & F.coalesce(F.col("issued_at") < F.col("_b"), F.lit(True))).drop("_a", "_b")
 
 
