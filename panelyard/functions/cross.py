@@ -50,11 +50,36 @@ def top_weights(panel: DataFrame, c: str, k: int) -> DataFrame:
     return p.withColumn("weight", w).drop("_above", "_below", "_names", "_ties", "_n")
 
 
-def target_weights(panel: DataFrame, c: str, k: int, gross: float = 0.995) -> DataFrame:
-    """X6 without a cap: the k best by score, ties to the symbol first in order, weighted 1.5 to 0.5 by place."""
+def _by_place(p: DataFrame, keys: tuple[str, ...], k: int, weighting: str, gross: float) -> DataFrame:
+    """p with weight from place: equal, or signal, falling in a line from 1.5 to 0.5; scaled to gross by key."""
+    if weighting not in ("signal", "equal"):
+        raise ValueError("weighting must be signal or equal")
+    raw = 1.5 - (F.col("place") - 1) / F.lit(max(k - 1, 1)) if weighting == "signal" else F.lit(1.0)
+    return p.withColumn("_w", raw).withColumn("weight", gross * F.col("_w") / F.sum("_w").over(W.partitionBy(*keys))).drop("_w")
+
+
+def target_weights(panel: DataFrame, c: str, k: int, gross: float = 0.995, weighting: str = "signal") -> DataFrame:
+    """X6 without a cap: the k best by score, ties to the symbol first in order, weighted 1.5 to 0.5 by place or equally."""
     p = panel.filter(F.col(c).isNotNull()).withColumn("place", F.row_number().over(wd().orderBy(F.desc(c), "symbol"))).filter(F.col("place") <= k)
-    raw = 1.5 - (F.col("place") - 1) / F.lit(max(k - 1, 1))
-    return p.withColumn("_w", raw).withColumn("weight", gross * F.col("_w") / F.sum("_w").over(wd())).drop("_w")
+    return _by_place(p, ("date",), k, weighting, gross)
+
+
+def weights_without_each_group(panel: DataFrame, groups: DataFrame, c: str, k: int, gross: float = 0.995, weighting: str = "signal") -> DataFrame:
+    """(grp, date, symbol, place, weight): target_weights of the names outside each group, from one ranking.
+
+    A group whose names hold j of the first k + j places leaves the others of these; j is the number of its names whose
+    place, less its names above, is at most k. groups(symbol, grp): a name may be in several groups, or in none. Only names
+    within reach meet the groups of their date, so the panel isn't copied once a group.
+    """
+    ranked = panel.filter(F.col(c).isNotNull()).select("date", "symbol", F.row_number().over(wd().orderBy(F.desc(c), "symbol")).alias("_p"))
+    members = ranked.join(groups.select("symbol", "grp").distinct().hint("merge"), "symbol")
+    g = W.partitionBy("date", "grp").orderBy("_p")
+    lost = members.withColumn("_above", F.row_number().over(g) - 1).groupBy("date", "grp").agg((k + F.count_if(F.col("_p") - F.col("_above") <= k)).alias("_to"))
+    reach = ranked.join(lost.groupBy("date").agg(F.max("_to").alias("_most")).hint("merge"), "date").filter("_p <= _most").drop("_most")
+    left = reach.join(lost.hint("merge"), "date").filter("_p <= _to")
+    own = members.select("date", "grp", "symbol")
+    left = left.join(own.hint("merge"), ["date", "grp", "symbol"], "left_anti").withColumn("place", F.row_number().over(g))
+    return _by_place(left.select("grp", "date", "symbol", "place"), ("grp", "date"), k, weighting, gross)
 
 
 def quantile_spread(panel: DataFrame, c: str, label: str, q: float = 0.2) -> DataFrame:

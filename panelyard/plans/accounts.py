@@ -75,6 +75,30 @@ def f15(spark, d):
     return E.without_each_group(returns(spark, d), groups(spark, d))
 
 
+_WITHOUT = f"""SELECT grp, date, symbol, place, 0.995 * w / sum(w) OVER (PARTITION BY grp, date) AS weight FROM (SELECT *, 1.5 - (place - 1) / 2.0 AS w FROM (
+ SELECT g.grp, b.date, b.symbol, CAST(row_number() OVER (PARTITION BY g.grp, b.date ORDER BY b.volume DESC, b.symbol) AS INTEGER) AS place FROM bars b, (SELECT DISTINCT grp FROM ({_GRP})) g
+ WHERE b.symbol NOT IN (SELECT symbol FROM ({_GRP}) m WHERE m.grp = g.grp) AND EXISTS (SELECT 1 FROM bars x JOIN ({_GRP}) m USING (symbol) WHERE x.date = b.date AND m.grp = g.grp)) WHERE place <= 3)"""
+
+
+@query("f15_weights_without_group", _WITHOUT, "weight")
+def f15_weights(spark, d):
+    return X.weights_without_each_group(B.panel(spark, d), groups(spark, d), "volume", 3)
+
+
+@query("x6_capped_signal", f"""WITH t AS (SELECT symbol, date, 0.995 * w / sum(w) OVER (PARTITION BY date) AS raw FROM (SELECT *, 1.5 - (place - 1) / 3.0 AS w FROM (SELECT symbol, date, row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS place FROM bars) WHERE place <= 4)),
+ a AS (SELECT *, raw > 0.3 AS c0, count(*) FILTER (raw > 0.3) OVER (PARTITION BY date) AS n0, sum(CASE WHEN raw > 0.3 THEN 0 ELSE raw END) OVER (PARTITION BY date) AS s0, sum(raw) OVER (PARTITION BY date) AS al FROM t),
+ b AS (SELECT *, CASE WHEN c0 THEN 0.3 ELSE (al - 0.3 * n0) * raw / s0 END AS w1 FROM a), c AS (SELECT *, c0 OR w1 > 0.3 AS c1, count(*) FILTER (c0 OR w1 > 0.3) OVER (PARTITION BY date) AS n1, sum(CASE WHEN c0 OR w1 > 0.3 THEN 0 ELSE raw END) OVER (PARTITION BY date) AS s1 FROM b),
+ e AS (SELECT *, CASE WHEN c1 THEN 0.3 ELSE (al - 0.3 * n1) * raw / s1 END AS w2 FROM c), h AS (SELECT *, c1 OR w2 > 0.3 AS c2, count(*) FILTER (c1 OR w2 > 0.3) OVER (PARTITION BY date) AS n2, sum(CASE WHEN c1 OR w2 > 0.3 THEN 0 ELSE raw END) OVER (PARTITION BY date) AS s2 FROM e),
+ i AS (SELECT *, CASE WHEN c2 THEN 0.3 ELSE (al - 0.3 * n2) * raw / s2 END AS w3 FROM h) SELECT symbol, date, CASE WHEN c2 OR w3 > 0.3 THEN 0.3 ELSE w3 END AS weight FROM i""", "weight")
+def x6_capped(spark, d):
+    return X.capped(X.target_weights(B.panel(spark, d), "volume", 4).withColumnRenamed("weight", "raw"), "raw", 0.995, 0.3).select("symbol", "date", "weight")
+
+
+@query("x6_equal", "SELECT symbol, date, place, 0.995 / count(*) OVER (PARTITION BY date) AS weight FROM (SELECT symbol, date, CAST(row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS INTEGER) AS place FROM bars) WHERE place <= 4", "weight")
+def x6_equal(spark, d):
+    return X.target_weights(B.panel(spark, d), "volume", 4, weighting="equal").select("symbol", "date", "place", "weight")
+
+
 _YEARLY = "SELECT symbol, CAST(year(date) AS INTEGER) AS year, exp(sum(ln(1 + r))) - 1 AS total_return FROM r WHERE r IS NOT NULL GROUP BY ALL"
 
 
@@ -92,7 +116,7 @@ def t3(spark, d):
     return E.ranked_summary(yearly(spark, d), "total_return", "symbol", ("year",))
 
 
-def _account_sql(result: str, open_to_open: bool = False, intraday: bool = False, buy_hold: bool = False, cadence: int = 5, rate: float = 0.001) -> str:
+def _account_sql(result: str, targets: str = f"SELECT symbol, date, weight * 0.95 AS weight FROM ({_TOP})", open_to_open: bool = False, intraday: bool = False, buy_hold: bool = False, cadence: int = 5, rate: float = 0.001) -> str:
     """One book session by session: lists by symbol of values at the open before (g) and after trading (h) and at the close (e), cash and the fee rate's fixed point c."""
     legs = f"SELECT symbol, date, open, lead(open) {WSQL} AS close, open AS prev FROM bars QUALIFY close IS NOT NULL" if open_to_open else f"SELECT symbol, date, open, close, lag(close) {WSQL} AS prev FROM bars"
     each = lambda x: f"list_transform(range(1, len(z.t) + 1), lambda i: {x})"
@@ -100,8 +124,8 @@ def _account_sql(result: str, open_to_open: bool = False, intraday: bool = False
     cost = f"list_reduce(list_transform(range(41), lambda i: CAST(0 AS DOUBLE)), lambda c, y: {rate} * list_sum({each('abs((1 - c) * z.t[i] - z.g[i] / z.m)')}))"
     return f"""WITH RECURSIVE p AS ({legs}), sy AS (SELECT DISTINCT symbol FROM bars), k AS (SELECT n, date, decision, max(n) OVER () AS last, date_trunc('week', date) AS w FROM (SELECT date, session_no - 1 AS n, lag(date) OVER (ORDER BY date) AS decision FROM cal) WHERE n >= 0{" AND date < (SELECT max(date) FROM cal)" if open_to_open else ""}),
  pl AS (SELECT k.n, d.decision FROM k JOIN k AS d ON d.n = {"0" if buy_hold else f"k.n - k.n % {cadence}"}),
- x AS (SELECT k.n, k.date, k.last, list(sy.symbol ORDER BY sy.symbol) AS names, list({"1.0" if open_to_open else "coalesce(p.open / p.prev, 1)"} ORDER BY sy.symbol) AS gap, list(coalesce(p.close / p.open, 1) ORDER BY sy.symbol) AS day, list(coalesce(t.weight, 0) * 0.95 ORDER BY sy.symbol) AS t, list(CASE WHEN p.open IS NULL OR p.close IS NULL THEN 1 ELSE 0 END ORDER BY sy.symbol) AS gone
-   FROM k JOIN pl ON pl.n = k.n CROSS JOIN sy LEFT JOIN p ON p.symbol = sy.symbol AND p.date = k.date LEFT JOIN ({_TOP}) t ON t.symbol = sy.symbol AND t.date = pl.decision GROUP BY k.n, k.date, k.last),
+ x AS (SELECT k.n, k.date, k.last, list(sy.symbol ORDER BY sy.symbol) AS names, list({"1.0" if open_to_open else "coalesce(p.open / p.prev, 1)"} ORDER BY sy.symbol) AS gap, list(coalesce(p.close / p.open, 1) ORDER BY sy.symbol) AS day, list(coalesce(t.weight, 0) ORDER BY sy.symbol) AS t, list(CASE WHEN p.open IS NULL OR p.close IS NULL THEN 1 ELSE 0 END ORDER BY sy.symbol) AS gone
+   FROM k JOIN pl ON pl.n = k.n CROSS JOIN sy LEFT JOIN p ON p.symbol = sy.symbol AND p.date = k.date LEFT JOIN ({targets}) t ON t.symbol = sy.symbol AND t.date = pl.decision GROUP BY k.n, k.date, k.last),
  a AS (SELECT CAST(-1 AS BIGINT) AS n, DATE '1900-01-01' AS date, CAST(0 AS BIGINT) AS last, CAST([] AS VARCHAR[]) AS names, CAST([] AS DOUBLE[]) AS e0, CAST([] AS DOUBLE[]) AS g, CAST([] AS DOUBLE[]) AS h, CAST([] AS DOUBLE[]) AS e, CAST(1 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS cash, CAST(1 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS nav, CAST(0 AS DOUBLE) AS held, 0 AS n_missing
   UNION ALL
   SELECT n, date, last, names, e0, g, h, e, m, c, cash, before, cash + list_sum(e) * (CASE WHEN {sell} THEN 1 - {rate} ELSE 1 END), held, CAST(list_sum({each("CASE WHEN z.h[i] > 0 THEN z.gone[i] ELSE 0 END")}) AS INTEGER)
@@ -181,6 +205,13 @@ def f3_buy_hold(spark, d):
     return _on_log_scale(L.open_to_open_ledger(*_book(spark, d, False), 10.0, buy_hold=True).daily, _NAV)
 
 
+@query("f15_accounts_without_group", " UNION ALL ".join(f"SELECT 'G{i}' AS grp, * FROM (" + _account_sql(_log_sql("(SELECT date, nav FROM da)", ("nav",)), f"SELECT symbol, date, weight FROM ({_WITHOUT}) WHERE grp = 'G{i}'", open_to_open=True) + ")" for i in range(3)), "nav")
+def f15_accounts(spark, d):
+    b, _, cal = _book(spark, d, False)
+    w = X.weights_without_each_group(b, groups(spark, d), "volume", 3)
+    return _on_log_scale(L.open_to_open_ledger(b, w, cal, 10.0, 5, ("grp",)).daily.select("grp", "date", "nav"), ("nav",))
+
+
 _LEGS = f"SELECT b.symbol, b.date, open / lag(close) OVER w - 1 AS overnight, close / open - 1 AS intraday, CAST(lag(up, 2) OVER w AS DOUBLE) AS condition FROM (SELECT *, close > ({_full('avg(close)', 'close', 20)}) AS up FROM bars) b WINDOW w AS (PARTITION BY symbol ORDER BY date)"
 
 

@@ -29,6 +29,21 @@ def st2(spark, d):
     return local(J.stale(last, "2024-01-21", 86_400), "bid_at", "ask_at")
 
 
+# A row's state is stale (o) or not; it expires before the next row, or before the watermark's end.
+_STALENESS = """WITH q AS (SELECT CAST(user_id AS VARCHAR) AS symbol, event_id % 2 AS side, value, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, event_id AS seq FROM events),
+ x AS (SELECT symbol, ms, seq, last_value(CASE WHEN side = 0 THEN ms END IGNORE NULLS) OVER w AS b, last_value(CASE WHEN side = 1 THEN ms END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN side = 0 THEN value END IGNORE NULLS) OVER w AS bid, last_value(CASE WHEN side = 1 THEN value END IGNORE NULLS) OVER w AS ask, lead(ms) OVER (PARTITION BY symbol ORDER BY ms, seq) AS nx FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ms, seq ROWS UNBOUNDED PRECEDING)),
+ y AS (SELECT *, b IS NULL OR a IS NULL OR ms - least(a, b) > 86400000 AS o, least(a, b) + 86400000 AS e, coalesce(nx, (SELECT max(ms) - 3600000 FROM q)) AS until FROM x),
+ z AS (SELECT *, lag(o OR e < until) OVER (PARTITION BY symbol ORDER BY ms, seq) AS before FROM y)
+ SELECT symbol, ms AS at_ms, o AS stale, bid, ask FROM z WHERE before IS NULL OR o <> before UNION ALL SELECT symbol, e, true, bid, ask FROM y WHERE NOT o AND e < until"""
+
+
+@query("st2_staleness", _STALENESS, "bid ask", prelude=False)
+def st2_staleness(spark, d):
+    side = F.when(F.col("event_id") % 2 == 0, "bid").otherwise("ask")
+    q = J.stream_table(spark, d, "events").select(F.col("user_id").cast("string").alias("symbol"), side.alias("side"), F.col("value").alias("price"), "ts", F.col("event_id").alias("seq"))
+    return J.finished(J.quote_staleness(q, 86_400_000, "1 hour"), "st2-staleness")
+
+
 @query("st3_accepted_forecasts", f"SELECT event_id AS forecast_id, ts + to_hours(12 * (event_id % 3)) AS issued_at FROM events JOIN ({_CLOCK}) c ON c.date = CAST(ts AS DATE) WHERE ts + to_hours(12 * (event_id % 3)) >= known_at AND coalesce(ts + to_hours(12 * (event_id % 3)) < earliest_execution_at, true)", prelude=False)
 def st3(spark, d):
     f = J.stream_table(spark, d, "events").select(F.col("event_id").alias("forecast_id"), F.to_date("ts").alias("decision_date"), F.expr("ts + make_dt_interval(0, cast(12 * (event_id % 3) as int))").alias("issued_at"))

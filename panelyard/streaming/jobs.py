@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import bars as B
 
@@ -43,6 +47,53 @@ def stale(quotes: DataFrame, now: str, seconds: int) -> DataFrame:
     return quotes.withColumn("stale", old("bid_at") | old("ask_at"))
 
 
+STALENESS = "symbol string, at_ms long, stale boolean, bid double, ask double"
+QUOTE_STATE = "bid double, bid_at long, bid_seq long, ask double, ask_at long, ask_seq long, stale boolean"
+
+
+def quote_staleness(quotes: DataFrame, limit_ms: int, delay: str) -> DataFrame:
+    """ST2: (symbol, at_ms, stale, bid, ask), a row each time that a symbol's quotes become stale or fresh, and at its first.
+
+    quotes(symbol, side, price, ts, seq): stale is a side that is missing or older than the limit. State is one row a symbol
+    with an event-time timer at the older side's age limit, so the flag comes also where no quote follows, once the watermark
+    (delay after the latest ts) has passed it. Within a batch quotes go by (ts, seq); one that comes in a later batch than
+    newer ones changes no row already sent, and a side only if it is its newest.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bid, bid_at, bid_seq, ask, ask_at, ask_seq, stale = state.get if state.exists else (None,) * 7
+        out = []
+
+        def expire(until: int) -> None:
+            nonlocal stale
+            if stale is False and min(bid_at, ask_at) + limit_ms < until:
+                stale = True
+                out.append((key[0], min(bid_at, ask_at) + limit_ms, True, bid, ask))
+
+        if state.hasTimedOut:
+            expire(state.getCurrentWatermarkMs())
+        else:
+            rows = pd.concat(list(parts)).sort_values(["ms", "seq"])
+            for side, price, ms, seq in zip(rows["side"], rows["price"], rows["ms"], rows["seq"]):
+                expire(ms)
+                if side == "bid" and (bid_at is None or (ms, seq) > (bid_at, bid_seq)):
+                    bid, bid_at, bid_seq = float(price), int(ms), int(seq)
+                elif side == "ask" and (ask_at is None or (ms, seq) > (ask_at, ask_seq)):
+                    ask, ask_at, ask_seq = float(price), int(ms), int(seq)
+                old = bid_at is None or ask_at is None or ms - min(bid_at, ask_at) > limit_ms
+                if old is not stale:
+                    stale = old
+                    out.append((key[0], int(ms), stale, bid, ask))
+        state.update((bid, bid_at, bid_seq, ask, ask_at, ask_seq, stale))
+        if stale is False:
+            state.setTimeoutTimestamp(max(min(bid_at, ask_at) + limit_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "at_ms", "stale", "bid", "ask"])
+
+    q = quotes.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    return q.groupBy("symbol").applyInPandasWithState(step, STALENESS, QUOTE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def accepted_forecasts(forecasts: DataFrame, clock: DataFrame) -> DataFrame:
     """ST3: forecasts(decision_date, issued_at) issued in their session's time; a stream-static join without state."""
     c = clock.select(F.col("date").alias("decision_date"), F.col("known_at").cast("timestamp").alias("_a"), F.col("earliest_execution_at").cast("timestamp").alias("_b"))
