@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm import conversations, fingerprints, hmm, html_text, lexical
+from panelyard.llm import conversations, fingerprints, hmm, html_text, lexical, maxscore, simhash, toxicity, warc
 
 TURNS = "conv_id long, turn long, role string, text string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -284,3 +285,79 @@ def test_language_model_refuses_sizes_that_it_cannot_pack(spark, params):
     docs = spark.createDataFrame([(1, False, "a b")], "doc_id long, held_out boolean, text string")
     with pytest.raises(ValueError):
         hmm.score_texts(docs, **params)
+
+
+def plain_features(text):
+    """Buckets of the 3-, 5- and 7-grams of each distinct word between its marks, one by one."""
+    found = set()
+    for word in dict.fromkeys((text or "").lower().split()):
+        s = "\x02" + word + "\x03"
+        for n in toxicity.SIZES:
+            for i in range(len(s) - n + 1):
+                h = ord(s[i])
+                for c in s[i + 1 : i + n]:
+                    h = (h * int(toxicity.ROLL) + ord(c)) % 2**32
+                x = (h + n) * int(toxicity.STIR) % 2**32
+                found.add(((x ^ x >> 15) * int(toxicity.STIR) % 2**32) >> (32 - toxicity.BUCKET_BITS))
+    return found
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Features, log-count ratios and the descent, feature by feature in dictionaries."""
+    rng = random.Random(11)
+    nice, rude = [f"calm{i}" for i in range(30)], [f"vile{i}" for i in range(8)]
+    rows = [(i, " ".join(rng.choices(nice, k=12) + rng.choices(rude, k=4) * (i % 3 == 0)), int(i % 3 == 0)) for i in range(45)] + [(45, None, 0), (46, "Größe ünï", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    fs = [plain_features(t) for _, t, _ in rows]
+    assert all(set(toxicity.features(t).tolist()) == f for (_, t, _), f in zip(rows, fs))
+    y = [r[2] for r in rows]
+    seen = [Counter(b for f, label in zip(fs, y) if label == k for b in f) for k in (1, 0)]
+    totals = [toxicity.BUCKETS + c.total() for c in seen]
+    buckets = sorted(set().union(*fs))
+    ratio = {b: math.log((seen[0][b] + 1) / totals[0] / ((seen[1][b] + 1) / totals[1])) for b in buckets}
+    w, base = dict.fromkeys(buckets, 0.0), 0.0
+    m, v, mb, vb = dict.fromkeys(buckets, 0.0), dict.fromkeys(buckets, 0.0), 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        grad, g0 = dict.fromkeys(buckets, 0.0), 0.0
+        for f, label in zip(fs, y):
+            scale = 1 / math.sqrt(max(len(f), 1))
+            z = sum(w[b] * ratio[b] for b in f) * scale + base
+            e = (1 / (1 + math.exp(-z)) - label) * (0.5 / sum(y) if label else 0.5 / (len(y) - sum(y)))
+            for b in f:
+                grad[b] += e * scale
+            g0 += e
+        rate = 0.3 * (1 - step / (toxicity.STEPS + 10))
+        for b in buckets:
+            g = grad[b] * ratio[b] + 1e-5 * w[b]
+            m[b], v[b] = 0.9 * m[b] + 0.1 * g, 0.99 * v[b] + 0.01 * g * g
+            w[b] -= rate * m[b] / (1 - 0.9**step) / (math.sqrt(v[b] / (1 - 0.99**step)) + 1e-9)
+        mb, vb = 0.9 * mb + 0.1 * g0, 0.99 * vb + 0.01 * g0 * g0
+        base -= rate * mb / (1 - 0.9**step) / (math.sqrt(vb / (1 - 0.99**step)) + 1e-9)
+    model = toxicity.train(docs, labels)
+    clash = docs.selectExpr("*", "'x' AS score", "1 AS predicted", "2 AS t")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(clash, model).collect()}
+    for (i, _, _), f in zip(rows, fs):
+        z = sum(w[b] * ratio[b] for b in f) / math.sqrt(max(len(f), 1)) + base
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=0.01)
+
+
+def test_archives_of_repeated_and_unnamed_pages(spark):
+    rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, "v", "<p>x</p>"), (7, "w", "<p>y</p>"), (7, "w", "<p>y</p>"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS row", "2 AS bytes", "'z' AS payload", "3 AS best")
+    got = warc.read_back(warc.archive_pages(df, warc.archive_folder(spark), archive_rows=2)).collect()
+    assert len(got) == len(rows)
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
+    assert kinds == {(1, "response", None): 1, (1, "revisit", 1): 1, (None, "revisit", 1): 1, (7, "response", None): 1, (7, "revisit", 7): 1, (None, "response", None): 1}
+    for r in got:
+        assert r["payload_digest"] in {base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode() for _, _, h in rows}
+
+
+def test_search_and_fingerprints_of_rows_without_ids(spark):
+    rows = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(None, [9.0, 9.0]), (None, None)]
+    v = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = maxscore.top_k(v, v.filter("vec_id % 20 = 0"), 3).collect()
+    assert len(got) == 6 and all(r["vec_id"] is not None for r in got)
+    docs = spark.createDataFrame([(None, "one two three"), (5, "one two three"), (None, "alone and far away"), (6, None)], "doc_id long, text string")
+    found = Counter((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect())
+    assert found == {(None, 5): 1, (5, 5): 1, (None, None): 1, (6, 6): 1}
