@@ -137,6 +137,15 @@ def rule_scores(t: DataFrame) -> DataFrame:
     return t.select("symbol", "date", *[c.alias(n) for n, c in rules.items()])
 
 
+def feature_scores(features: DataFrame, min_price: float = 5.0) -> DataFrame:
+    """P5: the quality rule and the two hypotheses of eligible names, from W10's ranks; the pullback holds only where momentum is positive."""
+    x = model_features(features, min_price).filter("eligible")
+    raw = features.select("symbol", "date", F.col("momentum").alias("_raw"))
+    x = x.join(raw.hint("merge"), ["symbol", "date"])
+    quality = F.col("momentum") + F.col("residual_momentum") + F.col("breakout") - 0.5 * F.col("volatility") + 0.25 * F.col("reversal")
+    return x.select("symbol", "date", quality.alias("quality_rule"), F.when(F.col("_raw") > 0, F.col("momentum") + F.col("reversal")).alias("momentum_quality_pullback"), (F.col("momentum") - F.col("volatility")).alias("momentum_low_vol"))
+
+
 def guarded_scores(t: DataFrame, scores: DataFrame, market: DataFrame) -> DataFrame:
     """P5: scores that a state of the symbol or of the market can forbid; null where it does or is unknown.
 

@@ -145,6 +145,40 @@ def overnight_study(legs: DataFrame, conditions: DataFrame, start: str, grid: tu
     return exposed_account(each).groupBy("symbol", "rule", "bps").agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("total_return"), F.avg("net").alias("mean"))
 
 
+def overnight_partitions(legs: DataFrame, conditions: DataFrame, partitions: tuple[tuple[str, str, str], ...], grid: tuple[float, ...], close_close: str = "close_close") -> DataFrame:
+    """F8: (partition, symbol, rule, bps) with days, mean exposure, total return and mean of each leg, of holding throughout, of
+    the overnight leg under each condition and of its constant control, for every fee of the grid, in one job.
+
+    legs(symbol, date, overnight, intraday, close_close); conditions(symbol, date, rule, condition). partitions (name, start,
+    end) are independent and in order: the first one's controls are the condition's mean before it, later ones' that of the
+    partition before. Buy and hold pays on its first and last day only; dates without a leg or a condition are left out.
+    """
+    names = F.array(*[F.struct(F.lit(n).alias("partition"), F.lit(a).cast("date").alias("_a"), F.lit(z).cast("date").alias("_z")) for n, a, z in partitions])
+    inside = lambda df: df.withColumn("_p", F.explode(names)).filter(F.col("date").between(F.col("_p._a"), F.col("_p._z"))).withColumn("partition", F.col("_p.partition")).drop("_p")
+    c = conditions.filter("condition is not null").withColumn("condition", F.col("condition").cast("double"))
+    follows = {partitions[i][0]: partitions[i + 1][0] for i in range(len(partitions) - 1)}
+    earlier = c.filter(F.col("date") < F.lit(partitions[0][1]).cast("date")).withColumn("partition", F.lit(partitions[0][0]))
+    if follows:
+        after = F.element_at(F.create_map(*[F.lit(x) for kv in follows.items() for x in kv]), F.col("partition"))
+        before = inside(c).filter(F.col("partition").isin(*follows)).withColumn("partition", after)
+        earlier = earlier.unionByName(before)
+    controls = earlier.groupBy("partition", "symbol", "rule").agg(F.avg("condition").alias("_k"))
+    days = inside(legs.filter(F.col("overnight").isNotNull() & F.col("intraday").isNotNull() & F.col(close_close).isNotNull()))
+    w = W.partitionBy("partition", "symbol")
+    days = days.withColumns({"_first": F.col("date") == F.min("date").over(w), "_final": F.col("date") == F.max("date").over(w)})
+    plain = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(x).alias("r"), F.lit(1.0).alias("exposure"), (F.lit(n == "buy_hold")).alias("_hold")) for n, x in (("overnight", "overnight"), ("intraday", "intraday"), ("buy_hold", close_close))]))
+    base = days.select("partition", "symbol", "_first", "_final", plain.alias("_x")).select("partition", "symbol", "_first", "_final", "_x.*")
+    held = days.join(c.select("symbol", "date", "rule", "condition").hint("merge"), ["symbol", "date"]).join(controls.hint("merge"), ["partition", "symbol", "rule"])
+    both = F.explode(F.array(F.struct(F.col("rule"), F.col("condition").alias("exposure")), F.struct(F.concat("rule", F.lit("_control")).alias("rule"), F.col("_k").alias("exposure"))))
+    held = held.select("partition", "symbol", "_first", "_final", F.col("overnight").alias("r"), both.alias("_x")).select("partition", "symbol", "_first", "_final", "_x.rule", "r", "_x.exposure", F.lit(False).alias("_hold"))
+    each = base.unionByName(held).withColumn("bps", F.explode(F.array(*[F.lit(float(b)) for b in grid])))
+    f = F.col("bps") / 10_000
+    each = exposed_account(each)
+    kept_ = (1 + F.col("r")) * F.when(F.col("_first"), 1 / (1 + f)).otherwise(1.0) * F.when(F.col("_final"), 1 - f).otherwise(1.0) - 1
+    each = each.withColumn("net", F.when(F.col("_hold"), kept_).otherwise(F.col("net")))
+    return each.groupBy("partition", "symbol", "rule", "bps").agg(F.count("*").alias("n"), F.avg("exposure").alias("mean_exposure"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("total_return"), F.avg("net").alias("mean"))
+
+
 def time_share(a: DataFrame, b: DataFrame) -> DataFrame:
     """two books one after the other each day: (1 + a)(1 + b) - 1."""
     return a.select("date", F.col("r").alias("_a")).join(b.select("date", F.col("r").alias("_b")), "date").select("date", ((1 + F.col("_a")) * (1 + F.col("_b")) - 1).alias("r"))

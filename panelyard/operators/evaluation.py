@@ -151,6 +151,31 @@ def ridge(rows: DataFrame, features: tuple[str, ...], label: str, penalty: float
     return np.linalg.solve(m + penalty * np.eye(p), v).tolist()
 
 
+def ridge_fits(rows: DataFrame, features: tuple[str, ...], label: str, penalty: float, fits: dict[str, Column], least_rows: int = 500) -> DataFrame:
+    """M2: (fit, feature, coefficient) of ridge models without intercept on the rows of each condition, such as the whole and its halves.
+
+    One aggregation forms all Gram matrices. Raises ValueError where a fit has fewer than least_rows rows.
+    """
+    import numpy as np
+
+    each = rows.withColumn("fit", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fits.items()]))))
+    at, p = {f: i for i, f in enumerate(features)}, len(features)
+    grams: dict = {n: (np.zeros((p, p)), np.zeros(p), 0) for n in fits}
+    for r in gram(each, features, label, ("fit",)).collect():  # p (p + 3) / 2 rows a fit
+        m, v, _ = grams[r["fit"]]
+        if r["j"] == "y":
+            v[at[r["i"]]] = r["value"]
+        else:
+            m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["value"]
+        grams[r["fit"]] = (m, v, r["n"])
+    out = []
+    for n, (m, v, rows_) in grams.items():
+        if rows_ < least_rows:
+            raise ValueError(f"fit {n} has fewer than {least_rows} training rows")
+        out += [(n, f, float(c)) for f, c in zip(features, np.linalg.solve(m + penalty * np.eye(p), v))]
+    return rows.sparkSession.createDataFrame(out, "fit string, feature string, coefficient double")
+
+
 def linear_score(features: tuple[str, ...], coefficients: list[float]) -> Column:
     """M6: dot product of feature columns and frozen coefficients; null if a feature is."""
     total = F.lit(0.0)

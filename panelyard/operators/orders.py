@@ -63,12 +63,15 @@ def order_plan(targets: DataFrame, reserve: float, collar_bps: float, max_adv: f
     return o.select(*keys, "symbol", "side", "quantity", "limit_price", "notional", "fee", "resulting_weight", "nav", "cash")
 
 
-def plan_checks(plan: DataFrame, reserve: float, cap: float, keys: tuple[str, ...] = ("account",)) -> DataFrame:
-    """(account, issue, n) of a plan: too large a weight, too much cash spent, both directions of a symbol, short."""
-    per = plan.groupBy(*keys, "symbol").agg(F.max("resulting_weight").alias("w"), F.min("resulting_weight").alias("lo"), F.count_distinct("side").alias("sides"))
-    by_symbol = per.select(*keys, F.explode(F.array_compact(F.array(F.when(F.col("w") > cap, "cap"), F.when(F.col("lo") < 0, "short"), F.when(F.col("sides") > 1, "direction")))).alias("issue"))
+def plan_checks(plan: DataFrame, reserve: float, cap: float, keys: tuple[str, ...] = ("account",), gross: float | None = None) -> DataFrame:
+    """(account, issue, n) of a plan: too large a weight, too much cash spent, both directions of a symbol, short, two
+    orders of one symbol (overlap) and, with a limit, resulting weights that add up to more than gross."""
+    per = plan.groupBy(*keys, "symbol").agg(F.max("resulting_weight").alias("w"), F.min("resulting_weight").alias("lo"), F.count_distinct("side").alias("sides"), F.count("*").alias("orders"))
+    by_symbol = per.select(*keys, F.explode(F.array_compact(F.array(F.when(F.col("w") > cap, "cap"), F.when(F.col("lo") < 0, "short"), F.when(F.col("sides") > 1, "direction"), F.when(F.col("orders") > 1, "overlap")))).alias("issue"))
     buys = plan.groupBy(*keys).agg(F.sum(F.when(F.col("side") == "BUY", F.col("notional") + F.col("fee")).otherwise(0.0)).alias("spent"), F.max(F.col("cash") - reserve * F.col("nav")).alias("budget"))
     by_account = buys.filter(F.col("spent") > F.greatest(F.lit(0.0), F.col("budget")) + 1e-9).select(*keys, F.lit("cash").alias("issue"))
+    if gross is not None:
+        by_account = by_account.unionByName(per.groupBy(*keys).agg(F.sum("w").alias("_g")).filter(F.col("_g") > gross + 1e-6).select(*keys, F.lit("gross").alias("issue")))
     return by_symbol.unionByName(by_account).groupBy(*keys, "issue").agg(F.count("*").alias("n"))
 
 

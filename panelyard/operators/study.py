@@ -142,3 +142,15 @@ def intent_vs_ledger(file_rows: DataFrame, ledger_rows: DataFrame) -> DataFrame:
 def date_intersection(dates: DataFrame, ready: DataFrame) -> DataFrame:
     """Dates of a partition on which signals are ready."""
     return dates.select("date").intersect(ready.select("date"))
+
+
+def moonshot(shares: DataFrame, label: str = "top_3", most: float = 0.5) -> DataFrame:
+    """A5: whether the winners of that label in top_lot_share's result make more than so much of the net; false where it has no share."""
+    return shares.filter(F.col("label") == label).select("label", F.coalesce(F.col("fraction_net") > most, F.lit(False)).alias("moonshot"))
+
+
+def equity_residual(per_symbol: DataFrame, nav_before: float, nav: float) -> DataFrame:
+    """Of fill_accounting's rows, all notional over the first net asset value, the marked contribution and what of the equity change it leaves."""
+    g = per_symbol.agg(F.coalesce(F.sum("notional"), F.lit(0.0)).alias("notional"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("marked"))
+    change = F.lit(float(nav - nav_before))
+    return g.select("notional", (F.col("notional") / nav_before).alias("turnover"), F.col("marked").alias("marked_contribution"), change.alias("equity_change"), (change - F.col("marked")).alias("unattributed"))

@@ -223,6 +223,26 @@ def f8(spark, d):
     return A.overnight_study(S.session_legs(b), G.lagged_condition(b, 20).select("symbol", "date", F.col("risk_on").alias("condition")), "1997-01-01", (0, 5, 20))
 
 
+_PARTS = (("discovery", "1996-01-01", "1998-06-30"), ("validation", "1998-07-01", "2001-06-30"))
+
+
+@query("f8_partitions", f"""WITH l AS (SELECT b.symbol, b.date, open / lag(close) OVER w - 1 AS overnight, close / open - 1 AS intraday, close / lag(close) OVER w - 1 AS cc, lag(up, 2) OVER w AS risk_on, lag(down, 2) OVER w AS pullback FROM (SELECT *, close > ({_full('avg(close)', 'close', 20)}) AS up, close / lag(close, 3) {WSQL} - 1 < 0 AS down FROM bars) b WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+ pt AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', DATE '{a}', DATE '{z}')" for i, (n, a, z) in enumerate(_PARTS))}) AS v(i, partition, a, z)),
+ c AS (SELECT symbol, date, 'risk_on' AS rule, CAST(risk_on AS DOUBLE) AS k FROM l WHERE risk_on IS NOT NULL UNION ALL SELECT symbol, date, 'pullback', CAST(pullback AS DOUBLE) FROM l WHERE pullback IS NOT NULL),
+ k AS (SELECT pt.partition, symbol, rule, avg(k) AS control FROM pt JOIN c ON CASE WHEN i = 0 THEN date < pt.a ELSE date BETWEEN (SELECT q.a FROM pt q WHERE q.i = pt.i - 1) AND (SELECT q.z FROM pt q WHERE q.i = pt.i - 1) END GROUP BY ALL),
+ d AS (SELECT pt.partition, l.*, date = min(date) OVER p AS fst, date = max(date) OVER p AS lst FROM l JOIN pt ON date BETWEEN a AND z WHERE cc IS NOT NULL WINDOW p AS (PARTITION BY pt.partition, symbol)),
+ e AS (SELECT partition, symbol, 'overnight' AS rule, overnight AS r, 1.0 AS w, false AS fst, false AS lst, false AS hold FROM d UNION ALL SELECT partition, symbol, 'intraday', intraday, 1.0, false, false, false FROM d UNION ALL SELECT partition, symbol, 'buy_hold', cc, 1.0, fst, lst, true FROM d
+  UNION ALL SELECT d.partition, d.symbol, c.rule, overnight, c.k, false, false, false FROM d JOIN c USING (symbol, date) JOIN k ON k.partition = d.partition AND k.symbol = d.symbol AND k.rule = c.rule
+  UNION ALL SELECT d.partition, d.symbol, c.rule || '_control', overnight, control, false, false, false FROM d JOIN c USING (symbol, date) JOIN k ON k.partition = d.partition AND k.symbol = d.symbol AND k.rule = c.rule),
+ y AS (SELECT partition, symbol, rule, w, CAST(bps AS DOUBLE) AS bps, CASE WHEN hold THEN (1 + r) * (CASE WHEN fst THEN 1 / (1 + f) ELSE 1 END) * (CASE WHEN lst THEN 1 - f ELSE 1 END) - 1 ELSE (1 + w * r) / (1 + f * w) - w * (1 + r) * f / (1 + f * w) - 1 END AS net FROM e, (SELECT bps, bps / 10000.0 AS f FROM (VALUES (0), (5), (20)) AS v(bps)))
+ SELECT partition, symbol, rule, bps, count(*) AS n, avg(w) AS mean_exposure, exp(sum(ln(1 + net))) - 1 AS total_return, avg(net) AS mean FROM y GROUP BY ALL""", "bps mean_exposure total_return mean")
+def f8_partitions(spark, d):
+    b = B.kept_panel(spark, d)
+    c = G.lagged_condition(b, 20)
+    c = c.select("symbol", "date", F.explode(F.create_map(F.lit("risk_on"), F.col("risk_on"), F.lit("pullback"), F.col("pullback"))).alias("rule", "condition"))
+    return A.overnight_partitions(S.session_legs(b), c, _PARTS, (0, 5, 20))
+
+
 @query("f7_exposure_control", f"SELECT symbol, avg(condition) AS exposure FROM ({_LEGS}) WHERE date < DATE '1997-01-01' GROUP BY symbol", "exposure")
 def f7(spark, d):
     return A.exposure_control(G.lagged_condition(B.panel(spark, d), 20).withColumnRenamed("risk_on", "condition"), "1997-01-01")

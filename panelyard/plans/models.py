@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cross as X
 from ..functions import series as S
 from ..functions import signals as G
+from ..operators import evaluation as E
 from ..operators import models as M
 from ..sources import bars as B
 from .catalog import WSQL, query
@@ -111,6 +112,14 @@ def m3(spark, d):
     return M.ridge_intercept(rows(spark, d), FEATURES, ("label", "night"), 0.03, 500)
 
 
+@query("m2_stability_fits", f"""WITH x AS (SELECT *, unnest(CASE WHEN date < DATE '1998-04-01' THEN ['all', 'early'] ELSE ['all', 'late'] END) AS fit FROM ({_ROWS}) WHERE r1 IS NOT NULL AND r5 IS NOT NULL AND label IS NOT NULL),
+ g AS (SELECT fit, avg(r1 * r1) + 0.01 AS a, avg(r1 * r5) AS b, avg(r5 * r5) + 0.01 AS c, avg(r1 * label) AS p, avg(r5 * label) AS q FROM x GROUP BY fit)
+ SELECT fit, 'r1' AS feature, (p * c - b * q) / (a * c - b * b) AS coefficient FROM g UNION ALL SELECT fit, 'r5', (q * a - b * p) / (a * c - b * b) FROM g""", "coefficient")
+def m2_fits(spark, d):
+    middle = F.lit("1998-04-01").cast("date")
+    return E.ridge_fits(rows(spark, d), FEATURES, "label", 0.01, {"all": F.lit(True), "early": F.col("date") < middle, "late": F.col("date") >= middle})
+
+
 @query("m7_boosted_trees")
 def m7(spark, d):
     x = B.kept(_inputs(spark, d)[0], "model-inputs")

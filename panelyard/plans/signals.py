@@ -196,3 +196,9 @@ def x9(spark, d):
 def x6(spark, d):
     p = B.panel(spark, d).withColumn("r", S.change("close")).select("symbol", "date", S.change("close", 5).alias("score"), S.std("r", 20).alias("volatility"))
     return X.inverse_volatility_weights(p, "score", "volatility", 3).select("symbol", "date", "place", "weight")
+
+
+@query("p5_feature_scores", f"""WITH m AS ({_MODEL}), w AS (SELECT symbol, date, momentum AS rm FROM ({_FEATURES} SELECT * FROM f))
+ SELECT symbol, date, momentum + residual_momentum + breakout - 0.5 * volatility + 0.25 * reversal AS quality_rule, CASE WHEN rm > 0 THEN momentum + reversal END AS momentum_quality_pullback, momentum - volatility AS momentum_low_vol FROM m JOIN w USING (symbol, date) WHERE eligible""", "quality_rule momentum_quality_pullback momentum_low_vol")
+def p5_features(spark, d):
+    return G.feature_scores(B.kept(features(spark, d), "features"))

@@ -22,8 +22,11 @@ def lots(spark, d):
 _TOP = " UNION ALL ".join(f"SELECT '{k}' AS label, CAST({n} AS BIGINT) AS n FROM t" for k, n in _SHARES)
 
 
-@query("t5_top_lot_share", f"""WITH l AS (SELECT greatest(pnl, 0) AS win, pnl, row_number() OVER (ORDER BY pnl DESC) AS k FROM ({_LOTS})), t AS (SELECT count(*) AS n, sum(pnl) AS net, sum(win) AS positive FROM l), a AS ({_TOP})
- SELECT label, n, pnl, CASE WHEN net > 0 THEN pnl / net END AS fraction_net, CASE WHEN positive > 0 THEN pnl / positive END AS fraction_positive FROM (SELECT label, a.n, sum(win) AS pnl FROM a JOIN l ON k <= a.n GROUP BY ALL), (SELECT net, positive FROM t)""", "pnl fraction_net fraction_positive", prelude=False)
+_SHARE = f"""WITH l AS (SELECT greatest(pnl, 0) AS win, pnl, row_number() OVER (ORDER BY pnl DESC) AS k FROM ({_LOTS})), t AS (SELECT count(*) AS n, sum(pnl) AS net, sum(win) AS positive FROM l), a AS ({_TOP})
+ SELECT label, n, pnl, CASE WHEN net > 0 THEN pnl / net END AS fraction_net, CASE WHEN positive > 0 THEN pnl / positive END AS fraction_positive FROM (SELECT label, a.n, sum(win) AS pnl FROM a JOIN l ON k <= a.n GROUP BY ALL), (SELECT net, positive FROM t)"""
+
+
+@query("t5_top_lot_share", _SHARE, "pnl fraction_net fraction_positive", prelude=False)
 def t5(spark, d):
     return Y.top_lot_share(lots(spark, d), {"top_1": 1, "top_3": 3}, {"top_1pct": 0.01, "top_5pct": 0.05, "top_10pct": 0.1})
 
@@ -64,9 +67,12 @@ def fills(spark, d):
     return t.select(F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")]).alias("execution_id"), F.concat(F.lit("S"), (F.col("l_partkey") % 9).cast("string")).alias("symbol"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_linestatus").alias("status"), (F.col("l_extendedprice") * F.col("l_tax") / 100).alias("amount"))
 
 
-@query("a18_fill_accounting", f"""WITH f AS ({_FILLS}), m AS (SELECT symbol, max_by(close, date) AS mark FROM bars GROUP BY symbol)
+_ACCOUNTED = f"""WITH f AS ({_FILLS}), m AS (SELECT symbol, max_by(close, date) AS mark FROM bars GROUP BY symbol)
  SELECT symbol, sum(quantity * price) AS notional, coalesce(sum(amount) FILTER (status = 'F'), 0) AS commissions, count(*) FILTER (status <> 'F') AS pending, sum(s * quantity) AS position, sum(s * quantity) * any_value(mark) AS exposure,
- sum(s * quantity) * any_value(mark) - sum(s * quantity * price) - coalesce(sum(amount) FILTER (status = 'F'), 0) AS pnl FROM (SELECT *, CASE WHEN side = 'BUY' THEN 1.0 ELSE -1.0 END AS s FROM f) JOIN m USING (symbol) GROUP BY symbol""", "notional commissions position exposure pnl")
+ sum(s * quantity) * any_value(mark) - sum(s * quantity * price) - coalesce(sum(amount) FILTER (status = 'F'), 0) AS pnl FROM (SELECT *, CASE WHEN side = 'BUY' THEN 1.0 ELSE -1.0 END AS s FROM f) JOIN m USING (symbol) GROUP BY symbol"""
+
+
+@query("a18_fill_accounting", _ACCOUNTED, "notional commissions position exposure pnl")
 def a18(spark, d):
     f = fills(spark, d)
     marks = B.panel(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("mark"))
@@ -127,3 +133,13 @@ def _step(c: str, d: str) -> str:
 def w12(spark, d):
     gap = (F.year("date") % 2 == 0) & F.dayofyear("date").between(100, 107)
     return S.wilder_rsi(B.panel(spark, d).withColumn("close", F.when(~gap, F.col("close"))))
+
+
+@query("a5_moonshot", f"SELECT label, coalesce(fraction_net > 0.5, false) AS moonshot FROM ({_SHARE}) WHERE label = 'top_3'", prelude=False)
+def a5_moonshot(spark, d):
+    return Y.moonshot(t5(spark, d))
+
+
+@query("a18_residual", f"SELECT sum(notional) AS notional, sum(notional) / 2000000 AS turnover, sum(pnl) AS marked_contribution, CAST(50000 AS DOUBLE) AS equity_change, 50000 - sum(pnl) AS unattributed FROM ({_ACCOUNTED})", "notional turnover marked_contribution unattributed")
+def a18_residual(spark, d):
+    return Y.equity_residual(a18(spark, d), 2_000_000.0, 2_050_000.0)
