@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import cross as X
 from ..functions import series as S
 from ..functions import signals as G

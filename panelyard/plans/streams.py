@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import bars as B
 from ..streaming import jobs as J
 from .catalog import query
 from .records import _CLOCK, w31
