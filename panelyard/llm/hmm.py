@@ -43,7 +43,7 @@ BATCH_TOKENS = 300_000
 #: Tokens of a block of texts, about; a longer text is a block of its own.
 BLOCK_TOKENS = 6_000_000
 FLUSH_TOKENS = 300_000
-#: Marks a rarer token while a text is coded.
+#: While a text is coded, rarer tokens have numbers above this one.
 RARE = 0xFFFF
 
 Model = tuple[np.ndarray, np.ndarray, np.ndarray]  # start (S), moves (S, S), emissions (symbols, S)
@@ -80,15 +80,30 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-class _Made(dict):
-    """A dict that makes what it lacks."""
+class _Codes(dict):
+    """Symbols of tokens: those of frequent ones, and for rarer ones numbers above RARE in the order in which they come.
 
-    def __init__(self, make):
-        self.make = make
+    kinds and hashes hold the rarer tokens' forms and XXH64 by number. A token is looked up once until forget.
+    """
+
+    def __init__(self, symbols: dict[bytes, int], forms: int):
+        self.symbols, self.forms, self.n = symbols, forms, 0
+        self.kinds, self.hashes = np.empty(1 << 16, np.uint16), np.empty(1 << 16, np.uint64)
+
+    def __missing__(self, token: bytes) -> int:
+        s = self.symbols.get(token)
+        if s is None:
+            if self.n == len(self.kinds):
+                self.kinds, self.hashes = (np.concatenate([x, np.empty_like(x)]) for x in (self.kinds, self.hashes))
+            self.kinds[self.n], self.hashes[self.n] = form(token, self.forms), xxhash.xxh64_intdigest(token)
+            self.n += 1
+            s = RARE + self.n
+        self[token] = s
+        return s
 
-    def __missing__(self, key: bytes) -> int:
-        v = self[key] = self.make(key)
-        return v
+    def forget(self) -> None:
+        self.clear()
+        self.n = 0
 
 
 def encoded(docs: DataFrame, symbols: dict[bytes, int], forms: int = FORMS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -102,7 +117,7 @@ def encoded(docs: DataFrame, symbols: dict[bytes, int], forms: int = FORMS, bloc
     names = ["block", "doc_id", "held_out", "train", "n_tokens", "ids", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, form_of, hashes = shared.value.get, _Made(lambda t: form(t, forms)), _Made(lambda t: xxhash.xxh64_intdigest(t))
+        codes = _Codes(shared.value, forms)
         block, filled = TaskContext.get().partitionId() << 24, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -110,20 +125,19 @@ def encoded(docs: DataFrame, symbols: dict[bytes, int], forms: int = FORMS, bloc
                 blocks, n, ids, rare = [], [], [], []
                 for t in b.column(3):
                     ws = tokens(t.as_py())
-                    x = [get(w, RARE) for w in ws]
-                    few = [w for w, s in zip(ws, x) if s == RARE]
-                    x.append(0)
-                    a = np.array(x, "<u2")
-                    a[a == RARE] = np.fromiter(map(form_of.__getitem__, few), np.uint16, len(few))
-                    if filled and filled + len(x) > block_tokens:
+                    a = np.zeros(len(ws) + 1, np.int64)  # the end is 0
+                    a[:-1] = np.fromiter(map(codes.__getitem__, ws), np.int64, len(ws))
+                    few = a > RARE
+                    number = a[few] - (RARE + 1)
+                    a[few] = codes.kinds[number]
+                    n.append(len(a))
+                    ids.append(a.astype("<u2").tobytes())
+                    rare.append(codes.hashes[number].astype("<u8").tobytes())
+                    if filled and filled + len(a) > block_tokens:
                         block, filled = block + 1, 0
-                        form_of.clear()
-                        hashes.clear()
-                    filled += len(x)
+                        codes.forget()
+                    filled += len(a)
                     blocks.append(block)
-                    n.append(len(x))
-                    ids.append(a.tobytes())
-                    rare.append(np.fromiter(map(hashes.__getitem__, few), "<u8", len(few)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *[b.column(i) for i in range(3)], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "train", F.col("text").cast("binary").alias("text"))
