@@ -39,7 +39,8 @@ FORMS = 256
 ROUNDS = 5
 #: Prior weight of the unigram shares in a state's emissions, in tokens; and the part of its form in a rarer token's row.
 PRIOR, FORM_PART = 200.0, 0.3
-BATCH_TOKENS = 300_000
+#: A batch of texts ends at that many tokens and texts, or at MOST_TOKENS: each step of a recursion should have many texts.
+BATCH_TOKENS, BATCH_TEXTS, MOST_TOKENS = 300_000, 300, 1_000_000
 #: Tokens of a block of texts, about; a longer text is a block of its own.
 BLOCK_TOKENS = 6_000_000
 FLUSH_TOKENS = 300_000
@@ -159,11 +160,12 @@ def forward(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     """log10 likelihood of each sequence of symbols, by the scaled forward recursion over all of them side by side."""
     start, moves, emit = model
     order, flat, starts, active = _packed(seqs)
-    out, a = np.zeros(len(seqs)), np.tile(start, (len(seqs), 1))
+    out, a, one = np.zeros(len(seqs)), np.tile(start, (len(seqs), 1)), np.ones(len(start), emit.dtype)
     scales: list[np.ndarray] = []
-    for t, n in enumerate(active):
-        a = (a[:n] @ moves if t else a) * emit[flat[starts[:n] + t]]
-        s = a.sum(axis=1)
+    for t, n in enumerate(active.tolist()):
+        a = a[:n] @ moves if t else a
+        a *= emit.take(flat[starts[:n] + t], axis=0)
+        s = a @ one
         a /= s[:, None]
         scales.append(s)
         if len(scales) == 64 or t == len(active) - 1:
@@ -180,27 +182,27 @@ def posteriors(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.nda
     start, moves, emit = model
     s = len(start)
     order, flat, starts, active = _packed(seqs)
-    at = np.concatenate([[0], np.cumsum(active)])
-    where = np.concatenate([starts[:n] + t for t, n in enumerate(active)])
-    alpha, e, scale = np.empty((at[-1], s), emit.dtype), emit[flat[where]], np.empty(at[-1], emit.dtype)
-    a = np.tile(start, (len(seqs), 1))
-    for t, n in enumerate(active):
+    at, width = [0, *np.cumsum(active).tolist()], active.tolist()
+    where = np.concatenate([starts[:n] + t for t, n in enumerate(width)])
+    alpha, e, scale = np.empty((at[-1], s), emit.dtype), emit.take(flat[where], axis=0), np.empty(at[-1], emit.dtype)
+    a, one = np.tile(start, (len(seqs), 1)), np.ones(s, emit.dtype)
+    for t, n in enumerate(width):
         i, j = at[t], at[t + 1]
-        a = (a[:n] @ moves if t else a) * e[i:j]
-        scale[i:j] = a.sum(axis=1)
-        a /= scale[i:j, None]
-        alpha[i:j] = a
+        a = a[:n] @ moves if t else a
+        a *= e[i:j]
+        sums = np.matmul(a, one, out=scale[i:j])
+        a = np.divide(a, sums[:, None], out=alpha[i:j])
     e /= scale[:, None]
-    pairs, beta = np.zeros((s, s)), np.ones((active[-1], s), emit.dtype)
+    pairs, beta = np.zeros((s, s)), np.ones((width[-1], s), emit.dtype)
     back = moves.T.copy()
-    for t in range(len(active) - 1, 0, -1):
-        i, j, n = at[t], at[t + 1], active[t]
-        eb = e[i:j] * beta
+    for t in range(len(width) - 1, 0, -1):
+        i, j, n, p = at[t], at[t + 1], width[t], at[t - 1]
+        eb = e[i:j]
+        eb *= beta
         alpha[i:j] *= beta  # from here on the state's posterior
-        p = at[t - 1]
         pairs += alpha[p : p + n].T @ eb
-        beta = np.ones((active[t - 1], s), emit.dtype)
-        beta[:n] = eb @ back
+        beta = np.ones((width[t - 1], s), emit.dtype)
+        np.matmul(eb, back, out=beta[:n])
     alpha[: at[1]] *= beta
     size = np.array([len(x) for x in seqs])
     first = np.concatenate([[0], size[:-1].cumsum()])  # places in the order of seqs, not in that of length
@@ -215,11 +217,12 @@ def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
 
 
 def _by_symbol(symbols: np.ndarray, post: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(symbols, weights=post[:, k], minlength=n) for k in range(post.shape[1])], axis=1)
+    symbols = symbols.astype(np.intp)
+    return np.stack([np.bincount(symbols, weights=w, minlength=n) for w in np.ascontiguousarray(post.T)], axis=1)
 
 
 def _batches(sizes: list[int]) -> Iterator[list[int]]:
-    """The places of all sizes (numbers of tokens) in batches of about BATCH_TOKENS tokens or of one longer text.
+    """The places of all sizes (numbers of tokens) in batches of BATCH_TOKENS to MOST_TOKENS tokens, about, or of one longer text.
 
     Texts of like length go together: a batch takes as many steps as its longest text has tokens.
     """
@@ -227,7 +230,7 @@ def _batches(sizes: list[int]) -> Iterator[list[int]]:
     for i in np.argsort(-np.array(sizes, np.int64), kind="stable").tolist():
         few.append(i)
         n += sizes[i]
-        if n >= BATCH_TOKENS:
+        if n >= MOST_TOKENS or n >= BATCH_TOKENS and len(few) >= BATCH_TEXTS:
             yield few
             few, n = [], 0
     if few:
@@ -339,9 +342,9 @@ def last_estep(coded: DataFrame, model: Model, name: str, forms: int = FORMS) ->
                         if wanted:
                             start, pairs, where, post = posteriors(seqs, shared.value)
                             total += np.concatenate([_by_symbol(ids[where], post, n_symbols), pairs, start[None]])
-                            back = np.empty_like(post)
-                            back[where] = post
-                            sums[:, :s], sums[:, s] = back[is_rare], 1
+                            place = np.cumsum(is_rare) - 1
+                            theirs = is_rare[where]
+                            sums[place[where[theirs]], :s], sums[:, s] = post[theirs], 1
                         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
                         parts.append((u, kind[first], _by_symbol(inverse, sums, len(u))))
                         if len(parts) >= 8:
