@@ -13,8 +13,8 @@ TERMINAL = ("Cancelled", "ApiCancelled", "Inactive")
 def top_lot_share(lots: DataFrame, counts: dict[str, int], shares: dict[str, float], pnl: str = "pnl") -> DataFrame:
     """T5: (label, n, pnl, fraction_net, fraction_positive) of the n largest winners, n fixed or ceil(share * lots).
 
-    Winners are counted by steps of their logarithm; only the step in which the n-th one lies is ordered, so that no task
-    orders all lots. Fractions are null where their denominator isn't positive.
+    Winners are counted by steps of their logarithm; only the distinct wins of the step in which the n-th one lies are
+    ordered, so that no task orders all lots or many equal ones. Fractions are null where their denominator isn't positive.
     """
     won = F.greatest(F.col(pnl), F.lit(0.0))
     n_lots, net, positive = lots.agg(F.count("*"), F.coalesce(F.sum(pnl), F.lit(0.0)), F.coalesce(F.sum(won), F.lit(0.0))).first()
@@ -24,8 +24,10 @@ def top_lot_share(lots: DataFrame, counts: dict[str, int], shares: dict[str, flo
     steps = steps.withColumn("upto", F.sum("c").over(W.orderBy(F.desc("step"))))
     asked = steps.withColumn("a", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).cast("long").alias("n")) for k, v in wanted.items()]))).select("*", "a.label", "a.n")
     edges = asked.filter("upto > n and upto - c < n").select("label", "step", (F.col("n") - F.col("upto") + F.col("c")).alias("need"))
-    inside = wins.join(F.broadcast(edges), "step").withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.desc("win")))).filter("k <= need")  # one row a label is broadcast
-    parts = asked.filter("upto <= n").select("label", "s").unionByName(inside.select("label", F.col("win").alias("s")))
+    equal = wins.join(F.broadcast(edges), "step").groupBy("label", "need", "win").agg(F.count("*").alias("c"))  # one row a label is broadcast
+    before = F.sum("c").over(W.partitionBy("label").orderBy(F.desc("win"))) - F.col("c")
+    inside = equal.withColumn("k", F.least(F.col("c"), F.col("need") - before)).filter("k > 0")  # of equal wins only their number counts
+    parts = asked.filter("upto <= n").select("label", "s").unionByName(inside.select("label", (F.col("k") * F.col("win")).alias("s")))
     sums = parts.groupBy("label").agg(F.sum("s").alias("pnl"))
     all_ = lots.sparkSession.createDataFrame(list(wanted.items()), "label string, n long").join(sums.hint("merge"), "label", "left").fillna(0.0, ["pnl"])
     ratio = lambda d: F.col("pnl") / F.lit(float(d)) if d > 0 else F.lit(None).cast("double")

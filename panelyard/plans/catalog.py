@@ -143,6 +143,14 @@ def s4(spark, d):
     return B.read_bars(spark, path)
 
 
+@query("s4_bars_by_symbol", f"SELECT symbol, date, close / lag(close, 1) {WSQL} - 1 AS r1, lead(open, 6) {WSQL} / lead(open, 1) {WSQL} - 1 AS label, sum(volume) {WSQL} AS traded, avg(close) OVER (PARTITION BY symbol, year(date)) AS year_mean FROM bars", "r1 label traded year_mean")
+def s4_by_symbol(spark, d):
+    """Windows by symbol, and by symbol and year, of one stored table: one scan of the trades, no shuffle after it."""
+    w = W.partitionBy("symbol").orderBy("date")
+    year = F.avg("close").over(W.partitionBy("symbol", F.year("date")))
+    return B.kept_panel(spark, d).select("symbol", "date", S.change("close", 1).alias("r1"), S.forward_label(5).alias("label"), F.sum("volume").over(w).alias("traded"), year.alias("year_mean"))
+
+
 # 2.2 checks
 @query("v1_invalid_values", "SELECT event_id, 'value' AS field FROM events WHERE value IS NULL OR NOT isfinite(value) OR value <= 10", prelude=False)
 def v1(spark, d):

@@ -51,7 +51,7 @@ _FIT = f"""WITH k AS ({_MASK}), x AS (SELECT fold, r1, r5, label FROM ({_ROWS})
 
 @query("m4_m10_fold_models", f"{_FIT} SELECT fold, NULL AS feature, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS scale, y AS coefficient FROM z UNION ALL SELECT fold, 'r1', a1, z1, mu, su, b1 FROM z UNION ALL SELECT fold, 'r5', a5, z5, mv, sv, b5 FROM z", "lower upper mean scale coefficient")
 def m4(spark, d):
-    return M.ridge_by_fold(rows(spark, d).join(mask(spark, d), "date"), FEATURES, "label", 0.03)
+    return M.ridge_by_fold(rows(spark, d).hint("merge").join(mask(spark, d).hint("merge"), "date"), FEATURES, "label", 0.03)
 
 
 @query("m9_walk_forward", f"{_FIT} SELECT symbol, date, fold, y + b1 * (least(greatest(r1, a1), z1) - mu) / su + b5 * (least(greatest(r5, a5), z5) - mv) / sv AS score FROM ({_ROWS}), z WHERE r1 IS NOT NULL AND r5 IS NOT NULL", "score")

@@ -173,6 +173,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_bars(bars: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Bars as a table of the catalog whose files lie in path, one a bucket of symbols, sorted by symbol and date.
+
+    Windows and aggregates by symbol, or by symbol and more, read it without a shuffle, and reads of given symbols open those
+    symbols' buckets only. So do joins by symbol of two tables with as many buckets; those by symbol and date as well where
+    the session sets spark.sql.requireAllClusterKeysForCoPartition to false. A symbol's bars are one bucket's, as a window by
+    symbol has them in one task anyway. buckets: as many as spark.sql.shuffle.partitions if left out. A null symbol has a
+    bucket as any other; an empty table gives an empty result. Raises an error if the table is there already or path holds files.
+    """
+    n = buckets or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bars.repartition(n, "symbol").write.option("path", path).bucketBy(n, "symbol").sortBy("symbol", "date").saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
 def kept_panel(spark: SparkSession, sf_dir: str, bucket: str = "week") -> DataFrame:
-    """The bars of a query that needs them more than once: one scan of the trades, bars sorted by symbol and date."""
-    return kept(panel(spark, sf_dir, bucket).sortWithinPartitions("symbol", "date"), "bars")
+    """The bars of a query that needs them more than once: one scan of the trades, stored by symbol.
+
+    The table's name leaves the catalog at once; its files stay in the shared folder.
+    """
+    name = f"bars_{uuid.uuid4().hex}"
+    out = store_bars(panel(spark, sf_dir, bucket), name, fresh_path(spark, "bars"))
+    spark.sql(f"DROP TABLE {name}")
+    return out

@@ -7,9 +7,11 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelyard.operators import account as A
 from panelyard.operators import joins as J
+from panelyard.operators import study as T
 from panelyard.sources import bars as B
 
 
@@ -183,3 +185,42 @@ def test_fifo_lots_slots_do_not_matter(spark):
     for slot in (None, F.floor(F.col("seq") / 20)):
         got = sorted((r["symbol"], r["bought"], r["sold"], r["units"], r["pnl"]) for r in J.fifo_lots(df, slot).collect())
         assert got == sorted(want)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_bars_need_no_shuffle_by_symbol(spark, tmp_path):
+    rows = [(s, dt.date(2020, 1, d), *[float(d)] * 7) for s in ("A", "B", None) for d in (1, 2, 2, 3)]
+    df = spark.createDataFrame(rows, B.BARS)
+    a = B.store_bars(df, "stored_a", f"{tmp_path}/a", 3)
+    b = B.store_bars(df, "stored_b", f"{tmp_path}/b", 3)
+    assert a.dtypes == df.dtypes and not a.exceptAll(df).count() and a.count() == 12
+    by = W.partitionBy("symbol").orderBy("date")
+    moved = a.withColumn("before", F.lag("close").over(by))
+    for x in (moved, a.groupBy("symbol", "date").agg(F.sum("volume")), a.hint("merge").join(b.hint("merge"), "symbol")):
+        assert "Exchange" not in plan(x)
+    both = a.hint("merge").join(b.hint("merge"), ["symbol", "date"])
+    assert "Exchange" in plan(both)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        both = a.hint("merge").join(b.hint("merge"), ["symbol", "date"])
+        assert "Exchange" not in plan(both) and both.count() == 2 * (1 + 4 + 1)  # null symbols meet nothing
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    assert "SelectedBucketsCount: 1 out of 3" in plan(moved.filter("symbol = 'A'"))
+    assert B.store_bars(df.limit(0), "stored_none", f"{tmp_path}/none", 3).count() == 0
+    with pytest.raises(Exception, match="(?i)already exists"):
+        B.store_bars(df, "stored_a", f"{tmp_path}/c", 3)
+    for name in ("stored_a", "stored_b", "stored_none"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_top_lot_share_counts_equal_wins(spark):
+    values = [5.0] * 40 + [5.01] * 3 + [1.0] * 7 + [-2.0] * 5 + [0.0]
+    lots = spark.createDataFrame([(v,) for v in values], "pnl double")
+    wins, counts = sorted((v for v in values if v > 0), reverse=True), {"two": 2, "ten": 10, "all": 50}
+    got = {r["label"]: r for r in T.top_lot_share(lots, counts, {}).collect()}
+    for label, n in counts.items():
+        assert got[label]["pnl"] == pytest.approx(sum(wins[:n]))
