@@ -162,6 +162,67 @@ def test_hmm_is_proper_and_takes_every_row_in_every_round(spark, monkeypatch):
     assert all(got[d]["score"] < 0 for d, _, _ in asked)
 
 
+def plain_passes(ids, start, moves, emit):
+    """Likelihood, posteriors by token and state, and expected moves of a short sequence, without scaling."""
+    alpha = [start * emit[ids[0]]]
+    for i in ids[1:]:
+        alpha.append((alpha[-1] @ moves) * emit[i])
+    beta = [np.ones(len(start))]
+    for i in reversed(ids[1:]):
+        beta.insert(0, moves @ (emit[i] * beta[0]))
+    p = alpha[-1].sum()
+    pairs = sum((np.outer(a, emit[i] * b) * moves / p for a, i, b in zip(alpha, ids[1:], beta[1:])), np.zeros_like(moves))
+    return p, [a * b / p for a, b in zip(alpha, beta)], pairs
+
+
+def plain_scores(train, texts, states, frequent, rounds, forms):
+    """log10 probability of each text under the model of op3, with each token's own expected counts unrounded."""
+    words = [t.lower().split() for t in train]
+    n = Counter(w for ws in words for w in ws)
+    top = sorted(n, key=lambda w: (-n[w], w))[:frequent]
+    number = {w: forms + 1 + i for i, w in enumerate(top)}
+    symbol = lambda w: number[w] if w in number else 1 + zlib.crc32(w[-2:].encode()) % forms
+    unigram = np.zeros(forms + 1 + len(top))
+    unigram[0], unigram[1 : forms + 1] = len(train) + 1, 1
+    for w, c in n.items():
+        unigram[symbol(w)] += c + 1
+    unigram /= unigram.sum()
+    start, moves, emit = hmm.start_model(unigram, states)
+    for _ in range(rounds):
+        s, m, e, own = np.zeros(states), np.zeros((states, states)), np.zeros((len(unigram), states)), {}
+        for ws in words:
+            ids = [*map(symbol, ws), 0]
+            _, post, pairs = plain_passes(ids, start, moves, emit)
+            s, m = s + post[0], m + pairs
+            for i, w, x in zip(ids, [*ws, None], post):
+                e[i] += x
+                own[w] = own.get(w, 0) + x
+        start, moves = (s + 1 / states) / (s.sum() + 1), (m + 0.5) / (m + 0.5).sum(axis=1, keepdims=True)
+        smooth = e + 200 * unigram[:, None]
+        emit = smooth / smooth.sum(axis=0)
+    tied = smooth / smooth.sum(axis=1, keepdims=True)
+    row = lambda w: smooth[symbol(w)] if w in number else 0.7 * own.get(w, 0) + (n[w] + 1) * 0.3 * tied[symbol(w)]
+    total = smooth[0] + sum(row(w) for w in n) + 0.3 * tied[1 : forms + 1].sum(axis=0)
+    out = []
+    for t in texts:
+        ws = t.lower().split()
+        out.append(math.log10(plain_passes(list(range(len(ws) + 1)), start, moves, np.array([*map(row, ws), smooth[0]]) / total)[0]))
+    return out
+
+
+@pytest.mark.parametrize("states,rounds", [(3, 3), (8, 1)])
+def test_hmm_final_scores_are_those_of_a_plain_version(spark, states, rounds):
+    rng = random.Random(4)
+    halves = [f"{a}{b}" for a in "xyz" for b in "abcdef"], [f"{a}{b}" for a in "mnop" for b in "ghij"]
+    texts = [" ".join(rng.choices(halves[i % 2], k=rng.randint(1, 25))) + (f" Once{i}" if i % 9 == 0 else "") for i in range(150)] + ["", "neverseen xa mg", "xa"]
+    held = [i % 7 == 2 or i >= 150 for i in range(len(texts))]
+    marked = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(zip(held, texts))], "doc_id long, held_out boolean, text string").repartition(3)
+    few = {"states": states, "frequent": 6, "rounds": rounds, "forms": 4}
+    got = {r["doc_id"]: r["score"] for r in hmm.score_texts(marked, block_tokens=200, **few).collect()}
+    want = plain_scores([t for t, h in zip(texts, held) if not h], texts, **few)
+    assert max(abs(got[i] - w) / (len(texts[i].split()) + 1) for i, w in enumerate(want)) < 1e-3  # shares of states have 8 bits
+
+
 def test_baum_welch_step_over_partitions_is_that_of_brute_force(spark):
     rng = np.random.default_rng(2)
     model = (rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(4), 2).T)
