@@ -51,10 +51,13 @@ def stitch_folds(folds: DataFrame, model: str = "symbol") -> DataFrame:
 
 
 def scenario_grid(daily: DataFrame, scenarios: list[tuple[str, float, int]], r: str = "r") -> DataFrame:
-    """(symbol, scenario, year, total_return) of every strategy under every scenario (name, cost in bps a session, first year)."""
+    """(symbol, scenario, year, total_return) of every strategy under every scenario (name, cost in bps a session, first year).
+
+    Sessions compound as a product, which also holds where return and cost lose all or more in one session.
+    """
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("scenario"), F.lit(float(b)).alias("bps"), F.lit(c).alias("start")) for a, b, c in scenarios]))
     d = daily.filter(F.col(r).isNotNull()).select("symbol", F.year("date").alias("year"), F.col(r).alias("r"), grid.alias("g")).filter(F.col("year") >= F.col("g.start"))
-    return d.groupBy("symbol", F.col("g.scenario").alias("scenario"), "year").agg((F.exp(F.sum(F.log(1 + F.col("r") - F.col("g.bps") / 10_000))) - 1).alias("total_return"))
+    return d.groupBy("symbol", F.col("g.scenario").alias("scenario"), "year").agg((F.product(1 + F.col("r") - F.col("g.bps") / 10_000) - 1).alias("total_return"))
 
 
 def portfolio_risk(bars: DataFrame, weights: DataFrame, capital: float, per_year: int = 252, sessions: int = 60, volume_sessions: int = 20) -> DataFrame:

@@ -45,7 +45,7 @@ def u4(spark, d):
     return Y.stitch_folds(r.select("symbol", "fold", "date", nav.alias("nav"), F.col("r").alias("pnl")))
 
 
-@query("j12_scenario_grid", "SELECT symbol, scenario, CAST(year(date) AS INTEGER) AS year, exp(sum(ln(1 + r - bps / 10000.0))) - 1 AS total_return FROM r, (VALUES ('base', 0, 0), ('costly', 10, 0), ('late', 5, 1996)) AS g(scenario, bps, start) WHERE r IS NOT NULL AND year(date) >= start GROUP BY ALL", "total_return")
+@query("j12_scenario_grid", "SELECT symbol, scenario, CAST(year(date) AS INTEGER) AS year, product(1 + r - bps / 10000.0) - 1 AS total_return FROM r, (VALUES ('base', 0, 0), ('costly', 10, 0), ('late', 5, 1996)) AS g(scenario, bps, start) WHERE r IS NOT NULL AND year(date) >= start GROUP BY ALL", "total_return")
 def j12(spark, d):
     return Y.scenario_grid(returns(spark, d), [("base", 0, 0), ("costly", 10, 0), ("late", 5, 1996)])
 

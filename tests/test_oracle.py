@@ -47,3 +47,20 @@ def test_matches_sql(spark, duck, name):
     assert len(rows) == len(want)
     for x, y in zip(sorted(rows, key=key), sorted(want, key=key)):
         assert all(same(float(p) if isinstance(q, float) and p is not None else p, q) for p, q in zip(x, y)), (x, y)
+
+
+def test_scenarios_that_lose_all_in_a_session_match_sql(spark, tmp_path):
+    closes = {"1995-01-02": 100_000.0, "1995-01-09": 50.0, "1995-01-16": 100.0, "1996-01-01": 200.0, "1996-01-08": 0.1, "1996-01-15": 0.3}  # 1 + r: 0.0005 twice
+    duck = duckdb.connect()
+    values = ", ".join(f"({i}, 9, 1, 1, 1.0, {c}, 0.0, 0.0, 'N', 'O', TIMESTAMP '{d}')" for i, (d, c) in enumerate(closes.items()))
+    columns = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+    types = dict(zip(columns.split(", "), "BIGINT BIGINT BIGINT INTEGER DOUBLE DOUBLE DOUBLE DOUBLE VARCHAR VARCHAR TIMESTAMP".split()))
+    duck.execute(f"CREATE TABLE lineitem AS SELECT {', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())} FROM (VALUES {values}) AS t({columns})")
+    duck.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    rows = catalog.QUERIES["j12_scenario_grid"](spark, str(tmp_path)).select("symbol", "scenario", "year", "total_return").collect()
+    want = duck.execute(f"SELECT symbol, scenario, year, total_return FROM ({catalog.SQL['j12_scenario_grid']})").fetchall()
+    found = {(r[1], r[2]): r[3] for r in rows}
+    assert len(rows) == len(want) == 5
+    assert all(same(found[scenario, year], value) for _, scenario, year, value in want)
+    assert found["costly", 1995] == pytest.approx((0.0005 - 0.001) * (2 - 0.001) - 1, abs=1e-7)
+    assert found["costly", 1996] == pytest.approx((2 - 0.001) * (0.0005 - 0.001) * (3 - 0.001) - 1, abs=1e-7)
