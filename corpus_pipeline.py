@@ -30,7 +30,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: those that operator 9 joins, and those of similar sets of shingles."""
     return near_copies.drop_near_copies(docs.select(*COLUMNS))
 
 

@@ -1,7 +1,11 @@
 """Near-dedup of a corpus: one document of each group of near copies stays.
 
-Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles reaches a threshold t. The search is complete: with all shingles in one
+Operator 9 comes first: two texts are linked if their SimHash fingerprints
+differ in 2 or fewer bits, found by its grid of segment counts. Edits that
+change more bits are left to a second rule: two texts are also linked if the
+Jaccard similarity of their sets of five-word shingles reaches a threshold t;
+pairs that fingerprints join already are not looked at again. The search is
+complete: with all shingles in one
 global order, the sets of two such texts meet in their first n - ceil(t n) + 1
 shingles, n being the size of the set. Those shingles are the cells of the
 search. Any order finds every pair; here shingles that a sample of the texts
@@ -27,9 +31,10 @@ from pyspark.sql.window import Window as W
 
 from .common import is_small, saved, scratch, unused
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_classes, majority, shingle_hashes
 
-WIDTH = 5
+#: Words of a shingle of the sets; of one that a fingerprint is made of, as in operator 9.
+WIDTH, FINGERPRINT_WIDTH = 5, 3
 #: Ranges of the shingles' hashes, by their upper 8 of 63 bits, in which a text's shingles are counted.
 SEGMENTS = 256
 #: Common shingles, which only the order of the search depends on: those of at least so many texts of one in SAMPLE.
@@ -61,9 +66,9 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _hashes(text: bytes | None) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
     """The distinct shingles' hashes in 63 bits."""
-    return np.unique(shingle_hashes(_words(text), WIDTH) >> np.uint64(1)).astype(np.int64)
+    return np.unique(shingle_hashes(words, WIDTH) >> np.uint64(1)).astype(np.int64)
 
 
 def common_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -79,7 +84,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
 
         for b in batches:
             for t in b.column(0):
-                c.update(_hashes(t.as_py()).tolist())
+                c.update(_hashes(_words(t.as_py())).tolist())
                 if len(c) > FLUSH:
                     yield out()
         if c:
@@ -92,9 +97,9 @@ def common_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def marked(docs: DataFrame, similarity: float, common: np.ndarray, text: str = "text") -> DataFrame:
-    """(row, doc_id, same, size, cells, counts): same is a 128-bit hash of the words, A-Z lower-cased; cells the set's first shingles in order.
+    """(row, doc_id, same, fp, size, cells, counts): same is a 128-bit hash of the words, A-Z lower-cased; cells the set's first shingles in order.
 
-    counts: how many of the set's hashes lie in each of SEGMENTS equal ranges. The Manhattan distance of two texts' counts
+    fp: operator 9's fingerprint. counts: how many of the set's hashes lie in each of SEGMENTS equal ranges. The Manhattan distance of two texts' counts
     never exceeds the number of shingles that only one of them has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -102,11 +107,12 @@ def marked(docs: DataFrame, similarity: float, common: np.ndarray, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for b in batches:
-            same, sizes, cells, counts = [], [], [], []
+            same, fps, sizes, cells, counts = [], [], [], [], []
             for t in b.column(2):
-                x = t.as_py()
-                same.append(xxhash.xxh3_128_digest(b" ".join(_words(x))))
-                h = _hashes(x)
+                ws = _words(t.as_py())
+                same.append(xxhash.xxh3_128_digest(b" ".join(ws)))
+                fps.append(majority(shingle_hashes(ws, FINGERPRINT_WIDTH)))
+                h = _hashes(ws)
                 sizes.append(len(h))
                 counts.append(np.minimum(np.bincount(h >> 55, minlength=SEGMENTS), 65_535).astype("<u2").tobytes())
                 if len(last):
@@ -115,9 +121,9 @@ def marked(docs: DataFrame, similarity: float, common: np.ndarray, text: str = "
                     often = np.zeros(len(h), bool)
                 # below zero all others, in the order of their hashes; from zero on the common ones
                 cells.append(np.concatenate([h[~often] + np.iinfo(np.int64).min, h[often]])[: prefix_size(len(h), similarity)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["row", "doc_id", "same", "size", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["row", "doc_id", "same", "fp", "size", "cells", "counts"])
 
-    return docs.select("row", "doc_id", F.col(text).cast("binary").alias("t")).mapInArrow(run, "row long, doc_id long, same binary, size int, cells array<long>, counts binary")
+    return docs.select("row", "doc_id", F.col(text).cast("binary").alias("t")).mapInArrow(run, "row long, doc_id long, same binary, fp long, size int, cells array<long>, counts binary")
 
 
 def _possible(similarity: float) -> Column:
@@ -155,7 +161,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
 
 
 def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of that similarity that join all rows of texts(row, size, cells) that such links join (enough for the components)."""
+    """Links (u, v) that join all rows of texts(row, class, size, cells, counts) that classes or links of that similarity join.
+
+    class: the smallest row of those that operator 9 joins. The links are enough for the components.
+    """
+    joined = texts.filter("row <> class").select(F.col("row").alias("u"), F.col("class").alias("v"))
     cell = W.partitionBy("cell")
     order = cell.orderBy("row")
     spread = texts.select("row", F.explode("cells").alias("cell"))
@@ -166,11 +176,12 @@ def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     pairs = counted.select(F.col("row").alias("u"), F.explode("before").alias("v"), (F.col("n") <= CELL + 1).cast("int").alias("c")).filter("u > v")
     pairs = pairs.groupBy("u", "v").agg(F.sum("c").alias("c"))
     fulls = counted.filter(F.col("n") > CELL + 1).groupBy("row").agg(F.count("*").alias("f"))
-    sides = texts.select("row", F.col("size").alias("s"), F.size("cells").alias("p"), F.get("cells", F.size("cells") - 1).alias("end")).hint("merge").join(fulls.hint("merge"), "row", "left").fillna(0, ["f"])
+    sides = texts.select("row", "class", F.col("size").alias("s"), F.size("cells").alias("p"), F.get("cells", F.size("cells") - 1).alias("end")).hint("merge").join(fulls.hint("merge"), "row", "left").fillna(0, ["f"])
     sides = saved(sides, "near-sides")
     for side in ("u", "v"):
-        pairs = pairs.hint("merge").join(sides.select(F.col("row").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("s", "p", "end", "f")]).hint("merge"), side)
-    links = _verified(saved(pairs.filter(_possible(similarity)).select("u", "v"), "near-pairs"), docs, similarity)
+        pairs = pairs.hint("merge").join(sides.select(F.col("row").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("class", "s", "p", "end", "f")]).hint("merge"), side)
+    links = _verified(saved(pairs.filter("u_class <> v_class").filter(_possible(similarity)).select("u", "v"), "near-pairs"), docs, similarity)
+    links = links.unionByName(joined)
     full = counted.filter(F.col("n") > CELL + 1).select("row", "cell")
     if full.isEmpty():
         return links
@@ -223,14 +234,17 @@ def _links(texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(row, doc_id, keeper) for docs(row, doc_id, text): keeper is true for one row of each group of near copies.
 
-    A group is what links of at least that Jaccard similarity of five-word shingles join; every such link counts and no
-    other. Equal word sequences are one class before any pair is formed. The row with the smallest doc_id stays, and of
+    A group is what operator 9's links of fingerprints and links of at least that Jaccard similarity of five-word shingles
+    join; every such link counts and no other. Equal word sequences are one class before any pair is formed. The row with the smallest doc_id stays, and of
     rows that repeat it the first; null ids come last. Null and blank texts are one group.
     """
     marks = saved(marked(docs, similarity, common_shingles(docs)), "near-marks")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row"))
     firsts = saved(marks.groupBy("same").agg(F.min("row").alias("row"), F.min(order).alias("best")), "near-texts")
-    texts = saved(marks.select("row", "size", "cells", "counts").hint("merge").join(firsts.select("row").hint("merge"), "row", "left_semi"), "near-firsts")
+    texts = marks.select("row", "fp", "size", "cells", "counts").hint("merge").join(firsts.select("row").hint("merge"), "row", "left_semi")
+    fps = saved(marks.groupBy("fp").agg(F.min("row").alias("first")), "near-fingerprints")  # its first row is also the first of a text
+    classes = fingerprint_classes(fps).select("fp", F.col("lowest").alias("class"))
+    texts = saved(texts.hint("merge").join(classes.hint("merge"), "fp").drop("fp"), "near-firsts")
     found = components(_links(texts, docs, similarity))
     rooted = firsts.select("row", "same", "best").hint("merge").join(found.select(F.col("node").alias("row"), "root").hint("merge"), "row", "left")
     rooted = saved(rooted.select("same", "best", F.coalesce("root", "row").alias("root")), "near-roots")

@@ -110,6 +110,15 @@ def near_links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def fingerprint_classes(fps: DataFrame) -> DataFrame:
+    """(fp, lowest) for distinct fps(fp, first): lowest is the smallest first reachable over links of 2 or fewer differing bits."""
+    roots = components(near_links(fps)).select(F.col("node").alias("fp"), "root")
+    rooted = fps.hint("merge").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = saved(rooted, "simhash-roots")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
+    return rooted.hint("merge").join(lowest.hint("merge"), "root").select("fp", "lowest")
+
+
 def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of 2 or fewer differing bits.
 
@@ -119,11 +128,7 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """
     marked = saved(fingerprinted(docs.select("doc_id", "text"), width=width), "simhash-fingerprints")
     fps = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(near_links(fps)).select(F.col("node").alias("fp"), "root")
-    rooted = fps.hint("merge").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = saved(rooted, "simhash-roots")
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.hint("merge").join(lowest.hint("merge"), "root").select("fp", "component_id")
+    classes = fingerprint_classes(fps).withColumnRenamed("lowest", "component_id")
     return marked.hint("merge").join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 

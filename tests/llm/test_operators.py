@@ -398,6 +398,27 @@ def near_brute(rows, t=0.8):
     return sorted({rows[find(i)][0] for i in range(len(rows))})
 
 
+def test_near_dedup_joins_what_operator_9_joins_and_similar_sets(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('abcdef')}{rng.randrange(900)}"
+    rows = []
+    for i in range(20):
+        base = [word() for _ in range(300)]
+        # fingerprints of a chorus with verses of their own are the same, their sets of shingles are not similar
+        chorus = base[:3] * 40
+        rows += [(10 * i, " ".join(chorus + base[10:16]), "en", "s", 0), (10 * i + 1, " ".join(chorus + base[20:26]), "en", "s", 0)]
+        # sets with a similarity of 0.85, fingerprints apart
+        rows += [(10 * i + 2, " ".join(base), "en", "s", 0), (10 * i + 3, " ".join(base + [word() for _ in range(50)]), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    component = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    assert all(component[10 * i + 1] == 10 * i for i in range(20)) and any(component[10 * i + 3] == 10 * i + 3 for i in range(20))
+    assert {10 * i + 1 for i in range(20)} <= set(near_brute(rows))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(10 * i + k for i in range(20) for k in (0, 2))
+
+
 def test_near_copies_finds_every_appended_or_truncated_copy(spark):
     rng = random.Random(8)
     word = lambda: f"{rng.choice('abcdef')}{rng.randrange(900)}"
