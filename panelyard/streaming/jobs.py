@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,50 +49,83 @@ def stale(quotes: DataFrame, now: str, seconds: int) -> DataFrame:
 
 
 STALENESS = "symbol string, at_ms long, stale boolean, bid double, ask double"
-QUOTE_STATE = "bid double, bid_at long, bid_seq long, ask double, ask_at long, ask_seq long, stale boolean"
+SIDE_STATE = ("bid", "bid_at", "bid_seq", "ask", "ask_at", "ask_seq")
+QUOTE_STATE = "symbol array<string>, bid array<double>, bid_at array<long>, bid_seq array<long>, ask array<double>, ask_at array<long>, ask_seq array<long>, stale array<int>"
+#: The time of a side without a quote: older than any limit, and far from overflow when subtracted.
+NEVER = -(1 << 62)
+#: Groups of symbols whose quotes share a state row; a group costs one Python call a batch, whatever its symbols.
+QUOTE_BUCKETS = 2048
 
 
-def quote_staleness(quotes: DataFrame, limit_ms: int, delay: str) -> DataFrame:
+def quote_staleness(quotes: DataFrame, limit_ms: int, delay: str, buckets: int = QUOTE_BUCKETS) -> DataFrame:
     """ST2: (symbol, at_ms, stale, bid, ask), a row each time that a symbol's quotes become stale or fresh, and at its first.
 
-    quotes(symbol, side, price, ts, seq): stale is a side that is missing or older than the limit. State is one row a symbol
-    with an event-time timer at the older side's age limit, so the flag comes also where no quote follows, once the watermark
-    (delay after the latest ts) has passed it. Within a batch quotes go by (ts, seq); one that comes in a later batch than
-    newer ones changes no row already sent, and a side only if it is its newest.
+    quotes(symbol, side, price, ts, seq): stale is a side that is missing or older than the limit. State is one row a bucket
+    of symbols (by hash) with an event-time timer at the earliest age limit of its symbols' older sides, so the flag comes
+    also where no quote follows, once the watermark (delay after the latest ts) has passed it. Within a batch quotes go by
+    (ts, seq); one that comes in a later batch than newer ones changes no row already sent, and a side only if it is its newest.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bid, bid_at, bid_seq, ask, ask_at, ask_seq, stale = state.get if state.exists else (None,) * 7
-        out = []
-
-        def expire(until: int) -> None:
-            nonlocal stale
-            if stale is False and min(bid_at, ask_at) + limit_ms < until:
-                stale = True
-                out.append((key[0], min(bid_at, ask_at) + limit_ms, True, bid, ask))
-
-        if state.hasTimedOut:
-            expire(state.getCurrentWatermarkMs())
+        values = state.get if state.exists else ([],) * 8
+        names, watermark, out = list(values[0]), state.getCurrentWatermarkMs(), []
+        rows = None if state.hasTimedOut else pd.concat(list(parts))
+        if rows is not None:
+            codes, found = pd.factorize(pd.concat([pd.Series(names, dtype=object), rows["symbol"].astype(object)]), use_na_sentinel=False)
+            codes, more = codes[len(names) :], len(found) - len(names)
+            names += [None if pd.isna(x) else x for x in found[len(names) :]]
         else:
-            rows = pd.concat(list(parts)).sort_values(["ms", "seq"])
-            for side, price, ms, seq in zip(rows["side"], rows["price"], rows["ms"], rows["seq"]):
-                expire(ms)
-                if side == "bid" and (bid_at is None or (ms, seq) > (bid_at, bid_seq)):
-                    bid, bid_at, bid_seq = float(price), int(ms), int(seq)
-                elif side == "ask" and (ask_at is None or (ms, seq) > (ask_at, ask_seq)):
-                    ask, ask_at, ask_seq = float(price), int(ms), int(seq)
-                old = bid_at is None or ask_at is None or ms - min(bid_at, ask_at) > limit_ms
-                if old is not stale:
-                    stale = old
-                    out.append((key[0], int(ms), stale, bid, ask))
-        state.update((bid, bid_at, bid_seq, ask, ask_at, ask_seq, stale))
-        if stale is False:
-            state.setTimeoutTimestamp(max(min(bid_at, ask_at) + limit_ms, state.getCurrentWatermarkMs() + 1))
+            codes, more = np.empty(0, np.int64), 0
+        kinds = [np.float64, np.int64, np.int64] * 2
+        new = [np.nan, NEVER, 0] * 2
+        held = {n: np.concatenate([np.array(v, k), np.full(more, x, k)]) for n, v, k, x in zip(SIDE_STATE, values[1:7], kinds, new)}
+        stale = np.concatenate([np.array(values[7], np.int64), np.full(more, -1)])  # -1: no row yet
+        symbols, touched = np.array(names, object), np.zeros(len(names), bool)
+
+        def send(at: np.ndarray, ms: np.ndarray, flag: np.ndarray | bool, bid: np.ndarray, ask: np.ndarray) -> None:
+            if len(at):
+                out.append(pd.DataFrame({"symbol": symbols[at], "at_ms": ms, "stale": flag, "bid": bid, "ask": ask}))
+
+        if len(codes):
+            ms, seq = rows["ms"].to_numpy(np.int64), rows["seq"].to_numpy(np.int64)
+            order = np.lexsort((seq, ms, codes))
+            c, ms, seq, price, side = codes[order], ms[order], seq[order], rows["price"].to_numpy(np.float64)[order], rows["side"].to_numpy()[order]
+            first = np.concatenate([[True], c[1:] != c[:-1]])
+            place = np.arange(len(c))
+            start = np.maximum.accumulate(np.where(first, place, 0))
+            now, before = {}, {}
+            for s in ("bid", "ask"):
+                at0, seq0 = held[f"{s}_at"][c], held[f"{s}_seq"][c]
+                newer = (side == s) & ((ms > at0) | ((ms == at0) & (seq > seq0)))
+                last = np.maximum.accumulate(np.where(newer, place, -1))
+                here = last >= start
+                for n, v in ((s, price), (f"{s}_at", ms), (f"{s}_seq", seq)):
+                    now[n] = np.where(here, v[last], held[n][c])
+                    before[n] = np.where(first, held[n][c], np.roll(now[n], 1))
+            old = (ms - np.minimum(now["bid_at"], now["ask_at"]) > limit_ms).astype(np.int64)
+            was = np.where(first, stale[c], np.roll(old, 1))
+            due = np.minimum(before["bid_at"], before["ask_at"]) + limit_ms
+            expired = (was == 0) & (due < ms)
+            send(c[expired], due[expired], True, before["bid"][expired], before["ask"][expired])
+            changed = old != np.where(expired, 1, was)
+            send(c[changed], ms[changed], old[changed] == 1, now["bid"][changed], now["ask"][changed])
+            end = np.concatenate([c[1:] != c[:-1], [True]])
+            for n in SIDE_STATE:
+                held[n][c[end]] = now[n][end]
+            stale[c[end]] = old[end]
+            touched[c] = True
+        due = np.minimum(held["bid_at"], held["ask_at"]) + limit_ms
+        expired = ~touched & (stale == 0) & (due < watermark)
+        send(np.flatnonzero(expired), due[expired], True, held["bid"][expired], held["ask"][expired])
+        stale[expired] = 1
+        state.update((names, *(held[n].tolist() for n in SIDE_STATE), stale.tolist()))
+        if (stale == 0).any():
+            state.setTimeoutTimestamp(max(int(due[stale == 0].min()), watermark + 1))
         if out:
-            yield pd.DataFrame(out, columns=["symbol", "at_ms", "stale", "bid", "ask"])
+            yield pd.concat(out)
 
-    q = quotes.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
-    return q.groupBy("symbol").applyInPandasWithState(step, STALENESS, QUOTE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    q = quotes.withWatermark("ts", delay).withColumns({"ms": F.unix_millis("ts"), "bucket": F.pmod(F.xxhash64("symbol"), F.lit(buckets))})
+    return q.groupBy("bucket").applyInPandasWithState(step, STALENESS, QUOTE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def accepted_forecasts(forecasts: DataFrame, clock: DataFrame) -> DataFrame:

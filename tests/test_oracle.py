@@ -64,3 +64,42 @@ def test_scenarios_that_lose_all_in_a_session_match_sql(spark, tmp_path):
     assert all(same(found[scenario, year], value) for _, scenario, year, value in want)
     assert found["costly", 1995] == pytest.approx((0.0005 - 0.001) * (2 - 0.001) - 1, abs=1e-7)
     assert found["costly", 1996] == pytest.approx((2 - 0.001) * (0.0005 - 0.001) * (3 - 0.001) - 1, abs=1e-7)
+
+
+def test_quote_staleness_over_batches_holds_a_state_row_a_bucket(spark, tmp_path):
+    import random
+    import time
+    from datetime import datetime, timedelta, timezone
+
+    from panelyard.streaming import jobs
+
+    rng, limit, day = random.Random(3), 3_600_000, datetime(2024, 1, 1, tzinfo=timezone.utc)
+    ends = sorted(rng.sample(range(1, 200_000), 600))
+    rows = [(None if i % 61 == 0 else f"s{rng.randrange(60)}", rng.choice(("bid", "ask")), float(i), 1_000 * t, i) for i, t in enumerate(ends)]
+    schema = "symbol string, side string, price double, ts timestamp, seq long"
+    for k in range(4):  # files in the order of time, one a batch
+        part = [(s, side, p, day + timedelta(milliseconds=ms), i) for s, side, p, ms, i in rows[150 * k : 150 * (k + 1)]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/quotes")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/quotes")
+    q = jobs.quote_staleness(stream, limit, "1 minute", buckets=5)
+    run = q.writeStream.format("memory").queryName("staleness").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    run.awaitTermination()
+    zero, want, state = int(day.timestamp() * 1000), [], {}
+    for symbol, side, price, ms, _ in [*rows, *[(s, None, None, rows[-1][3] - 60_000, None) for s in {r[0] for r in rows}]]:
+        at, stale = state.get(symbol, ({}, None))
+        end = min(at["bid"][0], at["ask"][0]) + limit if len(at) == 2 else None
+        if stale is False and end < ms:
+            stale = True
+            want.append((symbol, zero + end, True, at["bid"][1], at["ask"][1]))
+        if side:
+            at[side] = (ms, price)
+            now = len(at) < 2 or ms - min(v[0] for v in at.values()) > limit
+            if now is not stale:
+                want.append((symbol, zero + ms, now, *[at[s][1] if s in at else None for s in ("bid", "ask")]))
+            stale = now
+        state[symbol] = (at, stale)
+    found = [tuple(r) for r in spark.table("staleness").select("symbol", "at_ms", "stale", "bid", "ask").collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert sum(r[2] for r in want) > 100 and len(run.recentProgress) > 3
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 5
